@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, chat, langid, line_quality, mixing, sharding, sp_bpe, toxicity
+from . import base, chat, langid, line_quality, mixing, sharding, sp_bpe, suffix_dedup, toxicity
 
 #: A conversation whose texts hold control strings of a chat template.
 SPOILT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -27,6 +27,10 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sp_bpe.encode_documents(base.read(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_documents(base.read(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_quality.line_rules(base.read(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op4_sentencepiece": op4_sentencepiece,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
     "op8_mixing": op8_mixing,
