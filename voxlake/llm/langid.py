@@ -74,10 +74,15 @@ class Centroids:
         return self.langs[j], float(min(1.0, max(0.0, cosine[j]))), bool(cosine[j] < self.least[j])
 
 
-def training_sample(docs: DataFrame, label: str, per_label: int) -> DataFrame:
-    """At most per_label rows of each label, those of least hash of (doc_id, text): a top-k that each task cuts down before the shuffle."""
-    by = Window.partitionBy(label).orderBy(F.xxhash64("doc_id", "text"), "doc_id")
-    return docs.withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_label).drop("_n")
+def training_ids(labels: DataFrame, label: str, per_label: int) -> DataFrame:
+    """doc_id and label of at most per_label rows of each label, those of least hash of doc_id.
+
+    Texts take no part, and each task cuts its rows down before the shuffle. So the result may be broadcast: it has
+    per_label rows for each label at most.
+    """
+    by = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = labels.select("doc_id", label).withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_label)
+    return F.broadcast(chosen.drop("_n"))
 
 
 def fit_languages(train: DataFrame, per_label: int = 1000, per_language: int = 4) -> Centroids:
@@ -94,7 +99,8 @@ def fit_languages(train: DataFrame, per_label: int = 1000, per_language: int = 4
                 value.append(counts[some])
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "i": pa.array(index, pa.list_(pa.int32())), "v": pa.array(value, pa.list_(pa.float32()))})
 
-    rows = training_sample(train.where("lang is not null").select("doc_id", "text", "lang"), "lang", per_label)
+    ids = training_ids(train.where("lang is not null").select("doc_id", "lang").distinct(), "lang", per_label)
+    rows = train.select("doc_id", "text", "lang").join(ids, ["doc_id", "lang"])
     got = rows.mapInArrow(run, "doc_id long, lang string, i array<int>, v array<float>").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
     counts = np.zeros((got.num_rows, DIMS), np.float32)
     for n, (i, v) in enumerate(zip(got["i"], got["v"], strict=True)):

@@ -56,7 +56,7 @@ def op9_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.read(spark, sf_dir, "documents")
-    model = toxicity.fit_toxicity(toxicity.labelled(docs, base.read(spark, sf_dir, "labels")))
+    model = toxicity.fit_toxicity(docs, base.read(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs.withColumn("held_out", langid.held_out("doc_id")), model, ("doc_id", "held_out"))
 
 

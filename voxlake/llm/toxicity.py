@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
-from .langid import held_out, training_sample
+from .langid import held_out, training_ids
 
 BITS = 20
 TOKEN = re.compile(r"\w+")
@@ -79,25 +79,23 @@ class Ftrl:
         return float(1 / (1 + np.exp(-np.clip(self._dense[features(text)].sum() + self.bias, -35, 35))))
 
 
-def fit_toxicity(train: DataFrame, per_label: int = 6000, **options) -> Ftrl:
-    """Fit on train (doc_id, text, toxic), at most per_label rows of each label (the documented bound; null labels go)."""
-    base.bounded_batches(train.sparkSession)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 6000, **options) -> Ftrl:
+    """Fit on docs (doc_id, text) with labels (doc_id, toxic), at most per_label ids of each label (the documented bound).
+
+    Null labels and held-out ids are not learnt from. Of several labels for an id the largest counts.
+    """
+    base.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "i": pa.array([features(t.as_py()) for t in batch.column("text")], pa.list_(pa.int32()))})
 
-    rows = training_sample(train.where("toxic is not null").select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")), "toxic", per_label)
-    got = rows.mapInArrow(run, "doc_id long, toxic int, i array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    marks = labels.where("toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    rows = docs.select("doc_id", "text").join(training_ids(marks, "toxic", per_label), "doc_id")
+    got = rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, i array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
     return Ftrl.fit([i.values.to_numpy() for i in got["i"]], got["toxic"].to_numpy(), **options)
 
 
-def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows to learn from: docs with their toxic label, but for held-out ids. Of several labels for an id the largest counts."""
-    marks = labels.where("toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(marks, "doc_id")
-
-
 def score_toxicity(docs: DataFrame, model: Ftrl, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The kept columns of each row of docs with its text's score and predicted (1 from THRESHOLD on). A null text scores as an empty one."""
     base.bounded_batches(docs.sparkSession)
