@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, chat, langid, line_quality, mixing, ngram_join, sharding, sp_bpe, suffix_dedup, toxicity
+from . import base, chat, fingerprint, langid, line_quality, mixing, ngram_join, sharding, sp_bpe, suffix_dedup, toxicity
 
 #: A conversation whose texts hold control strings of a chat template.
 SPOILT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
@@ -22,6 +22,10 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(base.read(spark, sf_dir, "documents"), 40)
 
 
+def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(base.read(spark, sf_dir, "documents"))
+
+
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(base.read(spark, sf_dir, "documents"), percent=80, n=5)
 
@@ -62,6 +66,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
+    "op2_fingerprints": op2_fingerprints,
     "op3_ngram_join": op3_ngram_join,
     "op4_sentencepiece": op4_sentencepiece,
     "op5_suffix_dedup": op5_suffix_dedup,
