@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -141,19 +142,19 @@ def model(path: str) -> PieceModel:
 
 
 def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs (doc_id, text), and with ids=True also ids and decoded.
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs (doc_id, text), and with ids=True also ids.
 
     Ids have begin and end. A null text counts as empty. Rows stay apart even if repeated; extra columns are ignored.
     """
     import hashlib
 
-    more = ", ids array<int>, decoded string" if ids else ""
+    more = ", ids array<int>" if ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         begin, end = array("I", [m.bos]).tobytes(), array("I", [m.eos]).tobytes()
         for batch in batches:
-            n, a, d, kept, said = [], [], [], [], []
+            n, a, d, kept = [], [], [], []
             for text in batch.column("text"):
                 coded = begin + m.encode(text.as_py() or "") + end
                 back = m.decode(coded)
@@ -161,11 +162,11 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame
                 a.append(hashlib.sha256(coded).hexdigest())
                 d.append(hashlib.sha256(back.encode()).hexdigest())
                 if ids:
-                    kept.append(memoryview(coded).cast("I").tolist())
-                    said.append(back)
+                    kept.append(coded)
             cols = {"doc_id": batch.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "ids_sha256": pa.array(a, pa.string()), "decoded_sha256": pa.array(d, pa.string())}
             if ids:
-                cols |= {"ids": pa.array(kept, pa.list_(pa.int32())), "decoded": pa.array(said, pa.string())}
+                ends = pa.array([0, *accumulate(n)], pa.int32())
+                cols["ids"] = pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(kept))]))
             yield pa.RecordBatch.from_pydict(cols)
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)
