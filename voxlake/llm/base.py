@@ -41,9 +41,15 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/voxlake-{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of queries that have ended: it does so when the driver's JVM collects its garbage."""
+    spark._jvm.System.gc()
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that stored() wrote, once nothing reads it any more."""
     spark = df.sparkSession
