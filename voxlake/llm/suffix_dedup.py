@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-W, K = 200, 32
+W, K = 200, 24
 SEGMENT = 1 << 19
 #: Classes of an anchor that one task sorts; above, its windows are counted.
 MOST = 256
@@ -200,19 +200,63 @@ def _reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out(rows)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each class, 128 bits of hash of every window, and the window's bytes left of the anchor."""
+_ROW = np.dtype([("h0", "<u8"), ("h1", "<u8"), ("g", "<i8"), ("c", "<i8"), ("back", "<i4")])
+
+
+def _windows(buckets: int):
+    """128 bits of hash of every window of each class, as one binary for each bucket of a batch. Of a window that a batch
+    holds more than twice, two rows go on; the others are known to repeat and give their reach at once."""
     import xxhash
 
-    for batch in batches:
-        g, c, h, back = [], [], [], []
-        for gi, ci, b, a in zip(*(batch.column(k).to_pylist() for k in ("g", "c", "bytes", "a")), strict=True):
-            for s in range(len(b) - W + 1):
-                g.append(gi)
-                c.append(ci)
-                h.append(xxhash.xxh3_128_digest(b[s : s + W]))
-                back.append(a - s)
-        yield pa.RecordBatch.from_pydict({"g": pa.array(g, pa.int64()), "c": pa.array(c, pa.int64()), "h": pa.array(h, pa.binary()), "back": pa.array(back, pa.int32())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = []
+            for g, c, b, a in zip(*(batch.column(k).to_pylist() for k in ("g", "c", "bytes", "a")), strict=True):
+                n = len(b) - W + 1
+                rows = np.zeros(n, _ROW)
+                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b[s : s + W]) for s in range(n)), "<u8").reshape(n, 2)
+                rows["h0"], rows["h1"], rows["g"], rows["c"], rows["back"] = h[:, 0], h[:, 1], g, c, a - np.arange(n)
+                parts.append(rows)
+            if not parts:
+                continue
+            rows = np.unique(np.concatenate(parts))  # by hash, anchor, class
+            third = np.zeros(len(rows), bool)
+            third[2:] = (rows["h0"][2:] == rows["h0"][:-2]) & (rows["h1"][2:] == rows["h1"][:-2])
+            if third.any():
+                yield _reach_rows(rows[third], buckets=True)
+            rows = rows[~third]
+            bucket = (rows["h0"] % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            k = len(cuts) + 1
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[np.concatenate([[0], cuts])], pa.int64()), "rows": pa.array([x.tobytes() for x in np.split(rows, cuts)], pa.binary()), "g": pa.nulls(k, pa.int64()), "c": pa.nulls(k, pa.int64()), "back": pa.nulls(k, pa.int32()), "ahead": pa.nulls(k, pa.int32())})
+
+    return run
+
+
+def _reach_rows(rows: np.ndarray, buckets: bool = False) -> pa.RecordBatch:
+    """The reach of each class over its windows in rows."""
+    order = np.lexsort((rows["back"], rows["c"], rows["g"]))
+    rows = rows[order]
+    first = np.concatenate([[True], (rows["g"][1:] != rows["g"][:-1]) | (rows["c"][1:] != rows["c"][:-1])]) if len(rows) else np.zeros(0, bool)
+    start = np.flatnonzero(first)
+    stop = np.concatenate([start[1:], [len(rows)]])[: len(start)]
+    cols = {"g": rows["g"][start], "c": rows["c"][start], "back": rows["back"][stop - 1], "ahead": (W - rows["back"][start]).astype(np.int32)}
+    none = {"bucket": pa.nulls(len(start), pa.int64()), "rows": pa.nulls(len(start), pa.binary())} if buckets else {}
+    return pa.RecordBatch.from_pydict(none | {k: pa.array(np.ascontiguousarray(v)) for k, v in cols.items()})
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of all rows of a task's buckets: the reach of classes by windows that another class has too."""
+    parts = [np.frombuffer(x.as_buffer(), _ROW) for batch in batches for x in batch.column("rows")]
+    if parts:
+        rows = np.unique(np.concatenate(parts))
+        same = (rows["h0"][1:] == rows["h0"][:-1]) & (rows["h1"][1:] == rows["h1"][:-1]) & (rows["g"][1:] == rows["g"][:-1])
+        twice = np.zeros(len(rows), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        yield _reach_rows(rows[twice])
 
 
 def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -238,9 +282,11 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     kinds = "g long, c long, bytes binary, a int"
     contexts = lambda which: texts.select("text", F.col(which).alias("wanted")).where(F.size("wanted") > 0).mapInArrow(_contexts, kinds)
     few = contexts("few").dropDuplicates(["g", "c"]).repartition("g").sortWithinPartitions("g").mapInArrow(_reaches, "g long, c long, back int, ahead int")
-    windows = contexts("many").mapInArrow(_windows, "g long, c long, h binary, back int")
-    met = windows.groupBy("g", "h").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("g", "h")
-    many = windows.join(met, ["g", "h"]).groupBy("g", "c").agg(F.max("back").alias("back"), (W - F.min("back")).cast("int").alias("ahead"))
+    n_large = classes.join(large, "g").count()
+    buckets = max(1, -(-n_large * W // 1_000_000))
+    windows = base.stored(contexts("many").dropDuplicates(["g", "c"]).mapInArrow(_windows(buckets), "bucket long, rows binary, g long, c long, back int, ahead int"), "dedup-windows") if n_large else None
+    reaches = "g long, c long, back int, ahead int"
+    many = windows.where("bucket is not null").select("bucket", "rows").repartition(max(buckets, 8), "bucket").mapInArrow(_met, reaches).unionByName(windows.where("bucket is null").select("g", "c", "back", "ahead")) if n_large else few.limit(0)
     covers = few.unionByName(many).unionByName(classes.where("n > 1").select("g", "c", (F.col("at") - F.col("first")).alias("back"), (F.col("last") + W - F.col("at")).alias("ahead")))
     covers = base.stored(covers.groupBy("g", "c").agg(F.max("back").alias("back"), F.max("ahead").alias("ahead")), "dedup-covers")
     spans = again.where("not mixed").select("id", "th", F.col("first").alias("start"), (F.col("last") + W).alias("stop"))
