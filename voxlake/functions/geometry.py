@@ -89,9 +89,9 @@ def intersect_boxes(boxes: DataFrame, key: str, source: str) -> DataFrame:
 
     Axes that a source lacks are dropped; a key whose sources touch or miss each other along a shared axis, or share none, has no row.
     """
-    n = boxes.groupBy(key).agg(F.countDistinct(source).alias("n"))
-    shared = boxes.groupBy(key, "axis").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"), F.countDistinct(source).alias("k"))
-    shared = shared.join(n, key).where("k = n").drop("k", "n")
+    n = boxes.groupBy(key).agg(F.countDistinct(source).alias("_sources"))
+    shared = boxes.groupBy(key, "axis").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"), F.countDistinct(source).alias("_with"))
+    shared = shared.join(n, key).where("_with = _sources").drop("_with", "_sources")
     empty = shared.where("lo >= hi").select(key).distinct()
     return shared.join(empty, key, "left_anti")
 

@@ -27,7 +27,7 @@ def offsets(shape: tuple[int, int, int]) -> Column:
 
 def read_voxels(requests: DataFrame, voxels: DataFrame, shape: tuple[int, int, int], pad_value: float = NAN) -> DataFrame:
     """requests (volume_id, patch_id, z0, y0, x0) and voxels (volume_id, z, y, x, v): a row (.., dz, dy, dx, v) for each voxel of each patch."""
-    grid = requests.withColumn("o", F.explode(offsets(shape))).select("*", "o.dz", "o.dy", "o.dx").drop("o")
+    grid = requests.withColumn("_o", F.explode(offsets(shape))).select("*", "_o.dz", "_o.dy", "_o.dx").drop("_o")
     grid = grid.withColumns({a: F.col(f"{a}0") + F.col(f"d{a}") for a in "zyx"})
     read = grid.join(voxels.select("volume_id", "z", "y", "x", "v"), ["volume_id", "z", "y", "x"], "left")
     return read.select("volume_id", "patch_id", "dz", "dy", "dx", F.coalesce("v", F.lit(pad_value)).alias("v"))

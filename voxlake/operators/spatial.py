@@ -33,7 +33,7 @@ def resample_nearest(patch: DataFrame, keys: list[str], shape_in: tuple[int, ...
     """A row for each output voxel: keys, dz, dy, dx, v."""
     from .scan import offsets
 
-    ids = patch.select(*keys).distinct().withColumn("o", F.explode(offsets(shape_out))).select(*keys, *[F.col(f"o.d{a}").alias(f"o{a}") for a in "zyx"])
+    ids = patch.select(*keys).distinct().withColumn("_o", F.explode(offsets(shape_out))).select(*keys, *[F.col(f"_o.d{a}").alias(f"o{a}") for a in "zyx"])
     for a, i, o in zip("zyx", shape_in, shape_out, strict=True):
         ids = ids.withColumn(f"d{a}", nearest_source(F.col(f"o{a}"), i, o).cast("int"))
     got = ids.join(patch, [*keys, "dz", "dy", "dx"])
@@ -49,7 +49,7 @@ def resample_linear(patch: DataFrame, keys: list[str], shape_in: tuple[int, ...]
             use[high].append((out, w))
         taps = F.array(*[F.array(*[F.struct(F.lit(k).alias("o"), F.lit(w).alias("w")) for k, w in use[s]]) if use[s] else F.array().cast("array<struct<o:int,w:double>>") for s in range(i)])
         others = [f"d{b}" for b in "zyx" if b != a]
-        patch = patch.withColumn("t", F.explode(F.get(taps, F.col(f"d{a}").cast("int")))).groupBy(*keys, *others, F.col("t.o").alias(f"d{a}")).agg(F.sum(F.col("v") * F.col("t.w")).alias("v"))
+        patch = patch.withColumn("_tap", F.explode(F.get(taps, F.col(f"d{a}").cast("int")))).groupBy(*keys, *others, F.col("_tap.o").alias(f"d{a}")).agg(F.sum(F.col("v") * F.col("_tap.w")).alias("v"))
     return patch.select(*keys, "dz", "dy", "dx", "v")
 
 
@@ -80,7 +80,7 @@ def enforce_shape(patch: DataFrame, keys: list[str], shape: tuple[int, ...], tar
     for a, n, t in zip("zyx", shape, target, strict=True):
         if n < t:
             patch = patch.withColumn(f"d{a}", F.col(f"d{a}") + (t - n) // 2)
-    ids = patch.select(*keys).distinct().withColumn("o", F.explode(offsets(target))).select(*keys, "o.*")
+    ids = patch.select(*keys).distinct().withColumn("_o", F.explode(offsets(target))).select(*keys, "_o.*")
     return ids.join(patch, [*keys, "dz", "dy", "dx"], "left").select(*keys, "dz", "dy", "dx", F.coalesce("v", F.lit(pad_value)).alias("v"))
 
 
@@ -144,12 +144,12 @@ def blur(patch: DataFrame, keys: list[str], shape: tuple[int, ...], kernel: list
     axes = ["dz", "dy", "dx"][3 - dims :]
     sizes = dict(zip(["dz", "dy", "dx"], shape, strict=True))
     arms = F.array(*[F.struct(*[F.lit(o).alias(a) for a, o in zip(axes, c, strict=True)], F.lit(w).alias("w")) for c, w in kernel])
-    out = patch.withColumn("k", F.explode(arms))
+    out = patch.withColumn("_arm", F.explode(arms))
     for a in axes:
-        n, c = sizes[a], F.col(f"k.{a}")
+        n, c = sizes[a], F.col(f"_arm.{a}")
         low = F.when(F.col(a) == 0, F.lit(0)).otherwise(F.col(a) - c)
         high = F.when(F.col(a) == n - 1, F.lit(n - 1)).otherwise(F.col(a) - c)
         low, high = F.greatest(F.least(low, F.col(a) - c), F.lit(0)), F.least(F.greatest(high, F.col(a) - c), F.lit(n - 1))
         out = out.withColumn(f"o_{a}", F.when(low <= high, F.sequence(low.cast("int"), high.cast("int"))).otherwise(F.array().cast("array<int>"))).withColumn(f"o_{a}", F.explode(f"o_{a}"))
     kept = [a for a in ("dz", "dy", "dx") if a not in axes]
-    return out.groupBy(*keys, *kept, *[F.col(f"o_{a}").alias(a) for a in axes]).agg(F.sum(F.col("v") * F.col("k.w")).alias("v")).select(*keys, "dz", "dy", "dx", "v")
+    return out.groupBy(*keys, *kept, *[F.col(f"o_{a}").alias(a) for a in axes]).agg(F.sum(F.col("v") * F.col("_arm.w")).alias("v")).select(*keys, "dz", "dy", "dx", "v")
