@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 
 from . import base
 
-SAMPLES = 32
+SAMPLES = 24
+#: Samples that one aggregate row takes; few enough for the compiled method to stay small.
+LANES = 8
 #: Entries of the quantile tables of r and of ln c, powers of two.
 R_STEPS, C_STEPS = 1024, 4096
 SPLIT = r"[\x20\x09-\x0D]+"
@@ -48,9 +50,9 @@ def _constant(values: list[float]) -> Column:
     return F.split(F.lit(",".join(f"{v:.9g}" for v in values)), ",").cast("array<double>")
 
 
-def sample(k: int, term: Column, log_weight: Column, r_table: Column, c_table: Column) -> Column:
+def sample(k: Column, term: Column, log_weight: Column, r_table: Column, c_table: Column) -> Column:
     """One long whose least value over terms is sample k: ln a in the high 32 bits, a hash of (term, t) in the low 32."""
-    h = F.xxhash64(term, F.lit(k))
+    h = F.xxhash64(term, k)
     r = F.get(r_table, h.bitwiseAND(F.lit(R_STEPS - 1)).cast("int"))
     log_c = F.get(c_table, F.shiftrightunsigned(h, 10).bitwiseAND(F.lit(C_STEPS - 1)).cast("int"))
     b = F.shiftrightunsigned(h, 22).bitwiseAND(F.lit((1 << 20) - 1)) * (1.0 / (1 << 20))
@@ -69,8 +71,12 @@ def signatures(texts: DataFrame, keys: list[str], samples: int = SAMPLES) -> Dat
     terms = words.select(*keys, F.xxhash64("word").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("n"))
     weighted = terms.select(*keys, "term", F.log(F.col("n").cast("double")).alias("w"))
     r, c = map(_constant, tables())
-    least = weighted.groupBy(*keys).agg(*[F.min(sample(k, F.col("term"), F.col("w"), r, c)).alias(f"s{k}") for k in range(samples)])
-    return least.select(*keys, F.array(*[F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(samples)]).alias("sig"))
+    lanes = weighted.withColumn("lane", F.explode(F.array(*[F.lit(i) for i in range(0, samples, LANES)])))
+    one = [F.min(sample(F.col("lane") + k, F.col("term"), F.col("w"), r, c)).alias(f"s{k}") for k in range(LANES)]
+    least = lanes.groupBy(*keys, "lane").agg(*one)
+    part = F.array(*[F.col(f"s{k}").bitwiseAND(F.lit(0xFFFFFFFF)) for k in range(LANES)])
+    whole = least.groupBy(*keys).agg(*[F.max(F.when(F.col("lane") == i, part)).alias(f"l{i}") for i in range(0, samples, LANES)])
+    return whole.select(*keys, F.concat(*[F.col(f"l{i}") for i in range(0, samples, LANES)]).alias("sig"))
 
 
 def likeness(a: Column, b: Column) -> Column:
