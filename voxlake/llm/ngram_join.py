@@ -292,11 +292,16 @@ def _against(pivots: list[tuple[int, np.ndarray]], percent: int):
     return run
 
 
-def _pool_links(pool: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """links plus what links the classes of pool (c, grams) across components."""
+def _stars(links: DataFrame) -> DataFrame:
+    """c, label of links (a, b) that go from each class to one label of its component."""
+    return links.select(F.col("a").alias("c"), F.col("b").alias("label")).unionByName(links.select(F.col("b").alias("c"), F.col("b").alias("label")).distinct())
+
+
+def _pool_labels(pool: DataFrame, links: DataFrame, percent: int) -> DataFrame:
+    """c, label of linked classes: of links, which are stars, and of what links the classes of pool (c, grams) across components."""
     spark = pool.sparkSession
+    label = _stars(links)
     while True:
-        label = components(links).select(F.col("node").alias("c"), "label")
         pool = pool.select("c", "grams").join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
         each = pool.select("c", "label", F.size("grams").alias("n"), F.explode("grams").alias("g"))
         open_grams = each.groupBy("g").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("g")
@@ -305,7 +310,7 @@ def _pool_links(pool: DataFrame, links: DataFrame, percent: int) -> DataFrame:
         pool = base.stored(pool.join(rest, "c"), "join-pool")
         first = pool.select("c", "openness", "size").orderBy(F.desc("openness"), "size", "c").limit(PIVOTS).collect()
         if len(first) < 2:
-            return links
+            return label
         chosen, total = [], 0
         for r in first:
             total += r["size"]
@@ -316,6 +321,7 @@ def _pool_links(pool: DataFrame, links: DataFrame, percent: int) -> DataFrame:
         pivots = [(c, g.values.to_numpy()) for c, g in zip(held["c"].to_pylist(), held["grams"], strict=True)]
         met = pool.select("c", "grams").mapInArrow(_against(pivots, percent), "a long, b long")
         links = base.stored(links.unionByName(met), "join-links")
+        label = components(links).select(F.col("node").alias("c"), "label")
         gone = spark.createDataFrame([(c,) for c in chosen], "c long")
         pool = base.stored(pool.select("c", "grams").join(F.broadcast(gone), "c", "left_anti"), "join-pool")
 
@@ -360,8 +366,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFr
     inside = wanted.where("family is not null and not large").select("c", "family").join(sets.select("c", "grams"), "c")
     links = inside.repartition("family").sortWithinPartitions("family", "c").mapInArrow(_families(percent), "a long, b long")
     links = base.stored(links, "join-links")
-    links = _pool_links(sets.where("pool"), links, percent)
-    label = components(links).select(F.col("node").alias("c"), "label")
+    label = _pool_labels(sets.where("pool"), links, percent)
     out = table.select("doc_id", "c", "n").join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
     out = base.stored(out, "join-labels")
     least = out.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
