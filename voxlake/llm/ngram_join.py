@@ -1,15 +1,15 @@
 """Operator 3, n-gram Jaccard join over a prefix tree.
 
 Sets of word n-grams are linked when their Jaccard similarity reaches a threshold. Equal sets are one class. Two linked
-classes share l of the first |x| - ceil(t|x|) + l grams of a global order, so each class sends those to buckets, as packed
-arrays. Within a bucket, classes that share a gram become candidate pairs, counted by shared grams; a gram with more
-than MOST classes is hot and makes no pairs, but counts for what its classes may still share. Pairs with too few shared
-grams go. What remains falls into families, and each family's sets, in one global order, are joined over a trie:
-classes that share a beginning share its overlap, and a subtree ends where the grams left are too few.
-
-Classes with so many hot grams that these alone could link them, and families too large for a task, form a pool. As
-long as grams of the pool occur under two labels, classes with enough such grams to be linked across labels remain; some
-of them are pivots, a bounded trie that every remaining class walks, and leave when all their links are known.
+classes share l of the first |x| - ceil(t|x|) + l grams of a global order. So classes send these grams to buckets, as
+packed arrays, and a class stays if enough of them occur in a second class; the same is then asked of all grams of the
+classes that stay, of which the threshold's share must occur twice. Classes that still share a gram of their beginnings
+fall into one family, and each family's sets, in one global order, are joined over a trie: classes that share a
+beginning share its overlap, and a subtree ends where the grams left are too few. No pairs are made outside the trie.
+
+Families too large for a task form a pool. As long as grams of the pool occur under two labels, classes with enough such
+grams to be linked across labels remain; some of them are pivots, a bounded trie that every remaining class walks, and
+leave when all their links are known.
 """
 
 from __future__ import annotations
@@ -28,10 +28,10 @@ from . import base
 from .components import components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Classes of a gram that make pairs; families that one task joins, in classes and in grams; pivots of a round, likewise.
-MOST, FAMILY, FAMILY_GRAMS, PIVOTS, PIVOT_GRAMS = 24, 1500, 2_000_000, 256, 500_000
-#: Occurrences in one batch from which a gram is hot at once, so that no bucket receives a gram from each document.
-BATCH_MOST = 16
+#: Families that one task joins, in classes and in grams; pivots of a round, likewise.
+FAMILY, FAMILY_GRAMS, PIVOTS, PIVOT_GRAMS = 2000, 2_000_000, 256, 500_000
+#: Of a gram that a batch holds more often, two rows go to the bucket, so that no bucket receives it from each document.
+BATCH_MOST = 2
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)
 
 
@@ -75,7 +75,7 @@ def needed(percent: int, x: int) -> int:
 
 def depth(x: int) -> int:
     """Grams that two prefixes share at least; it grows with the set."""
-    return 1 + x // 20
+    return 1 + x // 10
 
 
 def linked(percent: int, shared: int, x: int, y: int) -> bool:
@@ -161,85 +161,96 @@ def _classes(n: int, percent: int):
     return run
 
 
-_ROW = np.dtype([("g", "<i8"), ("c", "<i8"), ("n", "<i4")])
+_ROW = np.dtype([("g", "<i8"), ("c", "<i8")])
 
 
-def _packed(buckets: int):
-    """Rows (gram, class, size) of each batch as one binary for each bucket. A gram that a batch holds often goes as a
-    mark (size 0), and its classes get a row (class, -1 for the gram, count) for what they lost."""
+def _rows_of(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    """(gram, class) of the lists in a column, sorted, each once."""
+    lists = batch.column(column).cast(pa.large_list(pa.int64()))
+    rows = np.zeros(len(lists.flatten()), _ROW)
+    rows["g"] = lists.flatten().to_numpy()
+    rows["c"] = np.repeat(batch.column("c").to_numpy(), np.diff(lists.offsets.to_numpy()))
+    return np.unique(rows)  # copies in one batch are one class
 
-    def pack(rows: np.ndarray, bucket: np.ndarray) -> pa.RecordBatch:
-        order = np.argsort(bucket, kind="stable")
-        rows, bucket = rows[order], bucket[order]
-        cuts = np.flatnonzero(np.diff(bucket)) + 1
-        return pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[np.concatenate([[0], cuts])], pa.int64()), "rows": pa.array([x.tobytes() for x in np.split(rows, cuts)], pa.binary()), "c": pa.nulls(len(cuts) + 1, pa.int64()), "hot": pa.nulls(len(cuts) + 1, pa.int32())})
+
+def _packed(column: str, buckets: int, found):
+    """The rows of each batch as one binary for each bucket. Of a gram that a batch holds more than BATCH_MOST times,
+    the first two rows go there, so that its bucket knows of a second class, and `found` of all its rows goes out at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("first").cast(pa.large_list(pa.int64()))
-            size = np.diff(lists.offsets.to_numpy())
-            rows = np.zeros(int(size.sum()), _ROW)
+            rows = _rows_of(batch, column)
             if not len(rows):
                 continue
-            rows["g"] = lists.flatten().to_numpy()
-            rows["c"], rows["n"] = np.repeat(batch.column("c").to_numpy(), size), np.repeat(batch.column("n").to_numpy(), size)
-            rows = np.unique(rows)  # copies in one batch are one class
-            g, inverse, counts = np.unique(rows["g"], return_inverse=True, return_counts=True)
-            often = counts[inverse] > BATCH_MOST
+            start = np.concatenate([[True], rows["g"][1:] != rows["g"][:-1]])
+            count = np.diff(np.concatenate([np.flatnonzero(start), [len(rows)]]))
+            often = np.repeat(count > BATCH_MOST, count)
             if often.any():
-                c, k = np.unique(rows["c"][often], return_counts=True)
-                yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(len(c), pa.int64()), "rows": pa.nulls(len(c), pa.binary()), "c": pa.array(c), "hot": pa.array(k.astype(np.int32))})
-                marks = np.zeros(int((counts > BATCH_MOST).sum()), _ROW)
-                marks["g"] = g[counts > BATCH_MOST]
+                a, b = found(rows[often])
+                yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(len(a), pa.int64()), "rows": pa.nulls(len(a), pa.binary()), "a": pa.array(a), "b": pa.array(b)})
+                marks = np.concatenate([rows[often & start], rows[often & np.concatenate([[False], start[:-1]])]])
                 rows = np.concatenate([rows[~often], marks])
-            yield pack(rows, rows["g"].view(np.uint64) % np.uint64(buckets))
+            bucket = (rows["g"].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            k = len(cuts) + 1
+            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[np.concatenate([[0], cuts])]), "rows": pa.array([x.tobytes() for x in np.split(rows, cuts)], pa.binary()), "a": pa.nulls(k, pa.int64()), "b": pa.nulls(k, pa.int64())})
 
     return run
 
 
-def _pairs(percent: int):
-    """Of all rows of a task's buckets: (a, b, sizes, shared grams) of classes that share a gram, and (class, hot grams)."""
+def _met(found):
+    """`found` of the rows of a task's buckets whose gram occurs in a second class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [np.frombuffer(x.as_buffer(), _ROW) for batch in batches for x in batch.column("rows")]
-        if not parts:
-            return
-        rows = np.unique(np.concatenate(parts))  # by gram, then class
-        g = rows["g"]
-        start = np.concatenate([[0], np.flatnonzero(np.diff(g)) + 1, [len(g)]])
-        count = np.diff(start)
-        marked = np.zeros(len(count), bool)
-        group = np.repeat(np.arange(len(count)), count)
-        marked[group[rows["n"] == 0]] = True
-        hot = (marked | (count > MOST))[group]
-        lost = rows["c"][hot & (rows["n"] > 0)]
-        if len(lost):
-            c, k = np.unique(lost, return_counts=True)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(c), "b": pa.nulls(len(c), pa.int64()), "na": pa.nulls(len(c), pa.int32()), "nb": pa.nulls(len(c), pa.int32()), "k": pa.array(k.astype(np.int32))})
-        rows = rows[~hot & (count[group] > 1)]
-        found = []
-        for d in range(1, MOST):
-            x, y = rows[:-d], rows[d:]
-            same = x["g"] == y["g"]
-            if not same.any():
-                break
-            x, y = x[same], y[same]
-            near = 100 * np.minimum(x["n"], y["n"]) >= percent * np.maximum(x["n"], y["n"])
-            pair = np.zeros(int(near.sum()), [("a", "<i8"), ("b", "<i8"), ("na", "<i4"), ("nb", "<i4")])
-            pair["a"], pair["b"], pair["na"], pair["nb"] = x["c"][near], y["c"][near], x["n"][near], y["n"][near]
-            found.append(pair)
-        if found and sum(map(len, found)):
-            pair, k = np.unique(np.concatenate(found), return_counts=True)
-            yield pa.RecordBatch.from_pydict({f: pa.array(np.ascontiguousarray(pair[f])) for f in ("a", "b", "na", "nb")} | {"k": pa.array(k.astype(np.int32))})
+        if parts:
+            rows = np.unique(np.concatenate(parts))
+            same = rows["g"][1:] == rows["g"][:-1]
+            twice = np.zeros(len(rows), bool)
+            twice[1:] |= same
+            twice[:-1] |= same
+            a, b = found(rows[twice])
+            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
 
     return run
 
 
+def _shared(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each class with the number of its rows."""
+    c, k = np.unique(rows["c"], return_counts=True)
+    return c, k.astype(np.int64)
+
+
+def _to_least(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each class with the least class of each of its grams, once."""
+    start = np.concatenate([[True], rows["g"][1:] != rows["g"][:-1]]) if len(rows) else np.zeros(0, bool)
+    links = np.zeros(len(rows), [("a", "<i8"), ("b", "<i8")])
+    links["a"] = rows["c"]
+    links["b"] = rows["c"][np.flatnonzero(start)][np.cumsum(start) - 1] if len(rows) else rows["c"]
+    links = np.unique(links[links["a"] != links["b"]])
+    return np.ascontiguousarray(links["a"]), np.ascontiguousarray(links["b"])
+
+
+def _by_gram(table: DataFrame, column: str, found, name: str) -> DataFrame:
+    """a, b: what `found` gives for grams of the lists in a column of table (c, column) that two classes have, in parts."""
+    spark = table.sparkSession
+    total = table.agg(F.sum(F.size(column))).first()[0] or 0
+    buckets = max(1, math.ceil(total / 500_000))
+    packed = base.stored(table.select("c", column).mapInArrow(_packed(column, buckets, found), "bucket long, rows binary, a long, b long"), f"{name}-packed")
+    parts = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    met = packed.where("bucket is not null").select("bucket", "rows").repartition(parts, "bucket").mapInArrow(_met(found), "a long, b long")
+    out = base.stored(met.unionByName(packed.where("bucket is null").select("a", "b")), name)
+    base.forget(packed)
+    return out
+
+
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [grams(t.as_py(), n).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_pydict({"c": batch.column("c"), "pool": batch.column("pool"), "grams": pa.array(sets, pa.list_(pa.int64()))})
+            yield pa.RecordBatch.from_pydict({"c": batch.column("c"), "grams": pa.array(sets, pa.list_(pa.int64()))})
 
     return run
 
@@ -335,38 +346,30 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFr
     spark = docs.sparkSession
     base.bounded_batches(spark)
     table = base.stored(docs.select("doc_id", "text").mapInArrow(_classes(n, percent), "doc_id long, c long, n int, first array<long>"), "join-classes")
-    reps = table.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"))
-    total = table.agg(F.sum(F.size("first"))).first()[0] or 0
-    buckets = max(1, math.ceil(total / 500_000))
-    packed = base.stored(table.select("c", "n", "first").mapInArrow(_packed(buckets), "bucket long, rows binary, c long, hot int"), "join-packed")
-    met = packed.where("bucket is not null").select("bucket", "rows").repartition(max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))), "bucket").mapInArrow(_pairs(percent), "a long, b long, na int, nb int, k int")
-    met = base.stored(met, "join-met")
-    hot = met.where("b is null").select(F.col("a").alias("c"), "k").unionByName(packed.where("c is not null").select("c", F.col("hot").alias("k")))
-    # a batch that holds a class twice counts it twice, which only widens what is looked at
-    hot = base.stored(hot.groupBy("c").agg(F.sum("k").cast("int").alias("hot")), "join-hot")
-    base.forget(packed)
-    sizes = table.where("n > 0").groupBy("c").agg(F.min("n").alias("n"))
-    reach = lambda x: 1 + F.floor(x / 20)  # noqa: E731  depth() as a column
+    # a gram that a batch holds often counts its classes there and, marked, all others in its bucket; a class may count twice, never too little
+    shared = _by_gram(table, "first", _shared, "join-shared").groupBy(F.col("a").alias("c")).agg(F.sum("b").alias("k"))
+    classes = table.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
     # the least linked partner has needed(n) grams, so its depth is the least that must be shared
-    pool = hot.join(sizes, "c").where(F.col("hot") >= reach(F.ceil(F.col("n") * percent / 100))).select("c")
-    pairs = met.where("b is not null").groupBy("a", "b", "na", "nb").agg(F.sum("k").alias("k"))
-    pairs = pairs.join(hot.select(F.col("c").alias("a"), F.col("hot").alias("ha")), "a", "left").join(hot.select(F.col("c").alias("b"), F.col("hot").alias("hb")), "b", "left")
-    spare = F.least(F.coalesce("ha", F.lit(0)), F.coalesce("hb", F.lit(0)))
-    pairs = base.stored(pairs.where(F.col("k") >= reach(F.least("na", "nb")) - spare).select("a", "b"), "join-pairs")
-    families = base.stored(components(pairs).select(F.col("node").alias("c"), F.col("label").alias("family")), "join-families")
-    # sets are made anew from the texts of the classes that are looked at
-    large = families.join(sizes, "c").groupBy("family").agg(F.count("*").alias("k"), F.sum("n").alias("m")).where((F.col("k") > FAMILY) | (F.col("m") > FAMILY_GRAMS)).select("family", F.lit(True).alias("large"))
-    wanted = families.join(large, "family", "left").join(pool.withColumn("hot", F.lit(True)), "c", "full").join(reps, "c")
-    wanted = base.stored(wanted.select("c", "family", F.coalesce("large", F.lit(False)).alias("large"), (F.coalesce("hot", F.lit(False)) | F.coalesce("large", F.lit(False))).alias("pool"), "rep"), "join-wanted")
+    wanted = base.stored(shared.join(classes, "c").where(F.col("k") >= 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 10)).select(F.col("c").alias("wc"), "rep"), "join-wanted")
     few = wanted.count() <= 1_000_000
-    asked = wanted.select(F.col("c").alias("wc"), "pool", "rep")
-    texts = docs.select("doc_id", "text").join(F.broadcast(asked) if few else asked, F.col("doc_id").eqNullSafe(F.col("rep")))
-    sets = texts.select(F.col("wc").alias("c"), "pool", "text").mapInArrow(_sets(n), "c long, pool boolean, grams array<long>")
-    sets = base.stored(sets.dropDuplicates(["c"]), "join-sets")
-    inside = wanted.where("family is not null and not large").select("c", "family").join(sets.select("c", "grams"), "c")
+    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
+    # sets are made anew from the texts of the classes that are looked at
+    sets = texts.select(F.col("wc").alias("c"), "text").mapInArrow(_sets(n), "c long, grams array<long>")
+    sets = base.stored(sets if few else sets.dropDuplicates(["c"]), "join-sets")
+    again = _by_gram(sets, "grams", _shared, "join-again").groupBy(F.col("a").alias("c")).agg(F.sum("b").alias("k"))
+    again = sets.join(again, "c").where(100 * F.col("k") >= percent * F.size("grams"))
+    size = F.size("grams")
+    first = F.slice("grams", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1 + F.floor(size / 10).cast("int"))
+    sets = base.stored(again.select("c", "grams", first.alias("first")).dropDuplicates(["c"]), "join-sets")
+    families = components(_by_gram(sets, "first", _to_least, "join-near")).select(F.col("node").alias("c"), F.col("label").alias("family"))
+    families = families.join(sets.select("c", F.size("grams").alias("n")), "c")
+    large = families.groupBy("family").agg(F.count("*").alias("k"), F.sum("n").alias("m")).where((F.col("k") > FAMILY) | (F.col("m") > FAMILY_GRAMS)).select("family", F.lit(True).alias("large"))
+    families = base.stored(families.join(large, "family", "left").select("c", "family", F.coalesce("large", F.lit(False)).alias("large")), "join-families")
+    inside = sets.select("c", "grams").join(families.where("not large"), "c")
     links = inside.repartition("family").sortWithinPartitions("family", "c").mapInArrow(_families(percent), "a long, b long")
     links = base.stored(links, "join-links")
-    label = _pool_labels(sets.where("pool"), links, percent)
+    pool = sets.select("c", "grams").join(families.where("large").select("c"), "c", "left_semi")
+    label = _pool_labels(pool, links, percent) if not families.where("large").isEmpty() else _stars(links)
     out = table.select("doc_id", "c", "n").join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
     out = base.stored(out, "join-labels")
     least = out.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
