@@ -23,6 +23,8 @@ import numpy as np
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from ..session import importable
+
 SCHEMA = "volume_id string, level string, cz int, cy int, cx int, z0 int, y0 int, x0 int, shape array<int>, data array<float>"
 
 
@@ -160,6 +162,7 @@ class NgffSource(DataSource):
 
 
 def register(spark) -> None:
+    importable(spark)
     spark.dataSource.register(NgffSource)
 
 
