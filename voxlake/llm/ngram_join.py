@@ -29,7 +29,7 @@ from .components import components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Families that one task joins, in classes and in grams; pivots of a round, likewise.
-FAMILY, FAMILY_GRAMS, PIVOTS, PIVOT_GRAMS = 2000, 2_000_000, 256, 500_000
+FAMILY, FAMILY_GRAMS, PIVOTS, PIVOT_GRAMS = 4000, 2_000_000, 256, 500_000
 #: Of a gram that a batch holds more often, two rows go to the bucket, so that no bucket receives it from each document.
 BATCH_MOST = 2
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)
@@ -233,6 +233,41 @@ def _to_least(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(links["a"]), np.ascontiguousarray(links["b"])
 
 
+def _frequent(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each gram of more than 8 rows with their number."""
+    g, k = np.unique(rows["g"], return_counts=True)
+    return g[k > 8], k[k > 8].astype(np.int64)
+
+
+def _hot_grams(sets: DataFrame, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted grams that many classes have, and how many: above 16, or the least of 64, 256, ... that leaves `most` grams at most."""
+    counts = base.stored(_by_gram(sets, "grams", _frequent, "join-frequent").groupBy("a").agg(F.sum("b").alias("b")), "join-frequent")
+    limit = 16
+    while counts.where(F.col("b") > limit).count() > most:
+        limit *= 4
+    got = counts.where(F.col("b") > limit).orderBy("a").toArrow()
+    return got["a"].to_numpy(), got["b"].to_numpy()
+
+
+def _beginnings(percent: int, hot, counts):
+    """The first grams of each set in the order of frequency (that of the hot grams; others count alike), then of the hash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, k = hot.value, counts.value
+        for batch in batches:
+            first = []
+            for g in batch.column("grams"):
+                g = g.values.to_numpy()
+                often = np.zeros(len(g), np.int64)
+                if len(h):
+                    at = np.minimum(np.searchsorted(h, g), len(h) - 1)
+                    often = np.where(h[at] == g, k[at], 0)
+                first.append(g[np.lexsort((g, often))[: len(g) - needed(percent, len(g)) + 1]])
+            yield pa.RecordBatch.from_pydict({"c": batch.column("c"), "first": pa.array(first, pa.list_(pa.int64()))})
+
+    return run
+
+
 def _by_gram(table: DataFrame, column: str, found, name: str) -> DataFrame:
     """a, b: what `found` gives for grams of the lists in a column of table (c, column) that two classes have, in parts."""
     spark = table.sparkSession
@@ -358,10 +393,10 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFr
     sets = base.stored(sets if few else sets.dropDuplicates(["c"]), "join-sets")
     again = _by_gram(sets, "grams", _shared, "join-again").groupBy(F.col("a").alias("c")).agg(F.sum("b").alias("k"))
     again = sets.join(again, "c").where(100 * F.col("k") >= percent * F.size("grams"))
-    size = F.size("grams")
-    first = F.slice("grams", F.lit(1), size - F.ceil(size * percent / 100).cast("int") + 1 + F.floor(size / 10).cast("int"))
-    sets = base.stored(again.select("c", "grams", first.alias("first")).dropDuplicates(["c"]), "join-sets")
-    families = components(_by_gram(sets, "first", _to_least, "join-near")).select(F.col("node").alias("c"), F.col("label").alias("family"))
+    sets = base.stored(again.select("c", "grams").dropDuplicates(["c"]), "join-sets")
+    hot, counts = map(spark.sparkContext.broadcast, _hot_grams(sets))
+    first = sets.mapInArrow(_beginnings(percent, hot, counts), "c long, first array<long>")
+    families = components(_by_gram(base.stored(first, "join-first"), "first", _to_least, "join-near")).select(F.col("node").alias("c"), F.col("label").alias("family"))
     families = families.join(sets.select("c", F.size("grams").alias("n")), "c")
     large = families.groupBy("family").agg(F.count("*").alias("k"), F.sum("n").alias("m")).where((F.col("k") > FAMILY) | (F.col("m") > FAMILY_GRAMS)).select("family", F.lit(True).alias("large"))
     families = base.stored(families.join(large, "family", "left").select("c", "family", F.coalesce("large", F.lit(False)).alias("large")), "join-families")
