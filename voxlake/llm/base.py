@@ -50,7 +50,11 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of queries that have ended: it does so when the driver's JVM collects its garbage."""
+    """Let Spark drop the shuffle files of queries that have ended: it does so when the driver's JVM collects its garbage.
+
+    Listeners hold a query until they have heard of its end, so these go first.
+    """
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
     spark._jvm.System.gc()
 
 
