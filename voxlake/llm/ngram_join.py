@@ -29,7 +29,7 @@ from .components import components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Families that one task joins, in classes and in grams; pivots of a round, likewise.
-FAMILY, FAMILY_GRAMS, PIVOTS, PIVOT_GRAMS = 4000, 2_000_000, 256, 500_000
+FAMILY, FAMILY_GRAMS, PIVOTS, PIVOT_GRAMS = 4000, 2_000_000, 1024, 1_000_000
 #: Of a gram that a batch holds more often, two rows go to the bucket, so that no bucket receives it from each document.
 BATCH_MOST = 2
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)
