@@ -77,4 +77,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _escaped_sql(column: str) -> str:
+    """The SQL of chat.escape."""
+    out = f"replace(coalesce({column}, ''), '\\', '\\\\')"
+    for c in chat.CONTROL:
+        out = f"replace({out}, '{c}', '{c[0]}\\{c[1:]}')"
+    return out
+
+
+#: The other operators have no SQL form that runs on whole tables; tests hold them against brute force or held-out rows.
+ORACLE_SQL: dict[str, str] = {
+    "op9_chat_formatting": "with c as (select conv_id, turn, role, text from conversations union all select * from (values "
+    + ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in SPOILT)
+    + f""") v)
+select conv_id, count(*) as n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' order by turn, role, text)) as turns_sha256,
+ cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+ sha256(coalesce(string_agg(coalesce(text, ''), '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+ cast(sum({len(chat.TURN) + len(chat.SAYS) + len(chat.END)} + length({_escaped_sql("role")}) + length({_escaped_sql("text")})) as bigint) as formatted_chars
+ from c group by conv_id"""
+}
