@@ -147,6 +147,13 @@ def longest_common_substring(spark, sf_dir):
     return R.table(spark, sf_dir, "part").where("p_partkey <= 150").select("p_partkey", text.longest_common_substring(F.col("p_type"), F.col("p_name")).alias("lcs"))
 
 
+@query("""with s as (select p_partkey, i, n, substr(p_type, i, n) as t from part, lateral (select unnest(range(1, length(p_type) + 1)) as i) a, lateral (select unnest(range(1, length(p_type) - i + 2)) as n) b where contains(p_name, substr(p_type, i, n))),
+o as (select *, row_number() over (partition by p_partkey order by n desc, i) as rn from s) select part.p_partkey, coalesce(t, '') as lcs from part left join (select * from o where rn = 1) o on o.p_partkey = part.p_partkey""")
+def longest_common_substring_whole(spark, sf_dir):
+    """As longest_common_substring, which stops at part 150 as its SQL does, over the whole table."""
+    return R.table(spark, sf_dir, "part").select("p_partkey", text.longest_common_substring(F.col("p_type"), F.col("p_name")).alias("lcs"))
+
+
 @query("select * from (values ('v0', 0, 's0', 8.0::double, 100.0::double, 'v0'), ('v0', 1, 's1', 8.0, 100.0, 'v0'), ('v0', 2, 's2', 16.0, 104.0, 'v0'), ('v1', 0, 's0', 4.0, 0.0, 'v1'), ('v1', 1, 's1', 4.0, 0.0, 'v1'), ('v1', 2, 's2', 8.0, 2.0, 'v1')) t(volume_id, level, path, scale_z, origin_z, name)")
 def multiscale_metadata_roundtrip(spark, sf_dir):
     """Attributes as JSON with two added levels, parsed into levels again."""
