@@ -99,6 +99,18 @@ def test_sentencepiece_equals_the_library(spark, odd, none):
     assert ("1", 2, (1, 2)) in got and ("7", len(library.encode("a b")) + 2, (1, *library.encode("a b"), 2)) in got
 
 
+def test_sentencepiece_of_long_runs():
+    import sentencepiece
+
+    path = queries.tokenizer_path()
+    mine, library = sp_bpe.PieceModel(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    for x in "\t\0🙂Q□•\u00a0":
+        for t in (x * 3000, "word" + x * 3000, x * 3000 + "word", "a " + x * 3000 + "\n" + x * 3000 + " b", "  " + x * 3000):
+            coded = mine.encode(t)
+            assert memoryview(coded).cast("I").tolist() == library.encode(t)
+            assert mine.decode(coded) == library.decode(library.encode(t))
+
+
 def stats_by_force(text):
     words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
     grams = Counter(zip(words, words[1:], words[2:], strict=False))

@@ -115,8 +115,13 @@ class PieceModel:
         """A chunk's ids, kept in the younger of two tables; when it is full, it becomes the older one."""
         ids = self.known.get(key) or self.old.get(key)
         if ids is None:
-            if len(chunk) > 2 and chunk[-2:] not in self.beside:
-                ids = self._learn(key[:-1], chunk[:-1]) + self.encode_chunk(chunk[-1])
+            # The head ends where two characters may share a piece; a loop, as texts may end in any number of marks.
+            head = len(chunk)
+            while head > 2 and chunk[head - 2 : head] not in self.beside:
+                head -= 1
+            cut = len(chunk) - head
+            if cut:
+                ids = self._learn(key[:-cut], chunk[:head]) + b"".join(map(self.encode_chunk, chunk[head:]))
             else:
                 ids = self.encode_chunk(chunk)
         if len(chunk) <= 48:
