@@ -79,6 +79,17 @@ def test_fingerprints(spark, odd, none):
     assert len(got) == len(ODD) and {r["fingerprint"] for r in got if r["n_chars"] in (0, 4)} == {"-"}
 
 
+def test_error_of_fingerprints(spark):
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    ids, error = sorted(docs), []
+    for r in queries.op2_fingerprints(spark, SF).collect():
+        t, after = docs[r["doc_id"]], docs[ids[(ids.index(r["doc_id"]) + 1) % len(ids)]]
+        edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
+        error += [r["near_edited"] - weighted_jaccard(t, edited), r["near_next"] - weighted_jaccard(t, after)]
+        assert len(r["fingerprint"]) == len(r["edited_fingerprint"]) == 8 * 32
+    assert np.sqrt(np.mean(np.square(error))) < 0.07
+
+
 TEXTS = ["", "  a  b\n\nc ", " ", "   ", "▁a▁ b", "\n", "a\x00b", "<0x0A></s><s>", "aaaa" * 300, "漢字かな🙂é́", " \t x", "hello’s", "x" * 1000, "a.\n\n  b, c.\nD"]
 
 

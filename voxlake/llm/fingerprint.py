@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-SAMPLES = 24
+SAMPLES = 32
 #: Samples that one aggregate row takes; few enough for the compiled method to stay small.
 LANES = 8
 #: Entries of the quantile tables of r and of ln c, powers of two.
