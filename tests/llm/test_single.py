@@ -227,3 +227,12 @@ def test_toxicity(spark, odd, none):
     got = toxicity.score_toxicity(odd, model).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
     assert toxicity.score_toxicity(none, toxicity.fit_toxicity(none, labels.limit(0))).count() == 0
+
+
+def test_recall_of_toxicity(spark):
+    sf = "/root/testdata/sf0.1"
+    rows = {r["doc_id"]: r for r in queries.op10_toxicity(spark, sf).collect()}
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf}/labels.parquet").collect() if r["toxic"] is not None}
+    marks = [(truth[x], rows[x]["predicted"]) for x in truth if x in rows and rows[x]["held_out"]]
+    caught, false = [p for t, p in marks if t], [p for t, p in marks if not t]
+    assert np.mean(caught) > 0.7 and np.mean(false) < 0.01

@@ -57,7 +57,8 @@ class Ftrl:
         return {"index": self.index, "value": self.value, "bias": self.bias, "_dense": None}
 
     @staticmethod
-    def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 10.0, l2: float = 1.0, passes: int = 6, seed: int = 5) -> Ftrl:
+    def fit(rows: list[np.ndarray], labels: np.ndarray, alpha: float = 1.0, beta: float = 1.0, l1: float = 40.0, l2: float = 1.0, passes: int = 6, seed: int = 5, toxic_weight: float = 8.0) -> Ftrl:
+        """A toxic row, the rare label, counts toxic_weight times; l1 is on the scale of the weighted gradients."""
         z, n, w = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
         rng, bias = np.random.default_rng(seed), np.array([1 << BITS])
         for _ in range(passes if len(rows) else 0):
@@ -65,7 +66,7 @@ class Ftrl:
                 i = np.concatenate([rows[r], bias])
                 zi, ni = z[i], n[i]
                 wi = np.where(np.abs(zi) <= l1, 0.0, (np.sign(zi) * l1 - zi) / ((beta + np.sqrt(ni)) / alpha + l2))
-                g = 1 / (1 + np.exp(-np.clip(wi.sum(), -35, 35))) - labels[r]
+                g = (toxic_weight if labels[r] else 1.0) * (1 / (1 + np.exp(-np.clip(wi.sum(), -35, 35))) - labels[r])
                 z[i] = zi + g - (np.sqrt(ni + g * g) - np.sqrt(ni)) / alpha * wi
                 n[i] = ni + g * g
         w = np.where(np.abs(z) <= l1, 0.0, (np.sign(z) * l1 - z) / ((beta + np.sqrt(n)) / alpha + l2))
