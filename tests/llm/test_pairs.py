@@ -38,6 +38,18 @@ def linked_by_force(rows):
             return {i: (len(s), least[i]) for i, s in sets.items()}
 
 
+def test_join_of_null_and_repeated_ids(spark):
+    rng = random.Random(9)
+    pairs = [(t, edited(rng, t, 1)) for t in (prose(rng, 100 + i) for i in range(12))]
+    # near copies of an id or none; all ids but the partners' are shared by different texts
+    rows = [(None if i % 2 else 7, a) for i, (a, _) in enumerate(pairs)] + [(100 + i, b) for i, (_, b) in enumerate(pairs)]
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect() if r["doc_id"] and r["doc_id"] >= 100}
+    assert got == {100 + i: 100 + i if i % 2 else 7 for i in range(12)}
+    rows = [(None, a) for a, _ in pairs] + [(None, b) for _, b in pairs] + [(5, edited(rng, pairs[3][0], 1))]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == 25 and sorted(str(r["component_id"]) for r in got) == ["5"] * 3 + ["None"] * 22
+
+
 @pytest.mark.parametrize("limits", [(2, 2000, 256), (1, 6, 16)])
 def test_join_equals_brute_force(spark, monkeypatch, limits):
     for name, value in zip(("BATCH_MOST", "FAMILY", "PIVOTS"), limits, strict=True):

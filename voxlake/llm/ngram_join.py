@@ -284,8 +284,10 @@ def _by_gram(table: DataFrame, column: str, found, name: str) -> DataFrame:
 def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [grams(t.as_py(), n).view(np.int64) for t in batch.column("text")]
-            yield pa.RecordBatch.from_pydict({"c": batch.column("c"), "grams": pa.array(sets, pa.list_(pa.int64()))})
+            sets = [grams(t.as_py(), n) for t in batch.column("text")]
+            # ids may be null or repeat with other texts, whose sets are of other classes
+            own = [(c, g.view(np.int64)) for c, g in zip(batch.column("c").to_pylist(), sets, strict=True) if len(g) and class_of(g) == c]
+            yield pa.RecordBatch.from_pydict({"c": pa.array([c for c, _ in own], pa.int64()), "grams": pa.array([g for _, g in own], pa.list_(pa.int64()))})
 
     return run
 
