@@ -24,15 +24,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word Jaccard links of 0.8 or more: the one of least doc_id.
+    """One document of each component of five-word Jaccard links of 0.8 or more: the one of least doc_id (nulls last; then text hash).
 
     Texts without words are linked with nothing and stay. Rows that repeat a doc_id and its text are one document.
     """
-    found = base.stored(ngram_join.jaccard_components(docs), "pipeline-components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    total, n_gone, n_ids = found.count(), gone.count(), found.select("doc_id").distinct().count()
-    kept = docs.select(*COLUMNS).join(F.broadcast(gone) if n_gone <= 1_000_000 else gone, "doc_id", "left_anti")
-    return (kept.dropDuplicates(["doc_id", "text"]) if n_ids < total else kept).select(*COLUMNS)
+    return ngram_join.one_of_each(docs.select(*COLUMNS)).select(*COLUMNS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,7 +73,8 @@ def test_join_of_nothing_and_of_repeated_rows(spark):
 def test_trie_equals_pairs():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 40, rng.integers(1, 40))).astype(np.int64) for _ in range(80)]
-    got = ngram_join.local_components(sets, 60)
+    every, counts = np.unique(np.concatenate(sets), return_counts=True)
+    got = ngram_join.local_components([(s, counts[np.searchsorted(every, s)]) for s in sets], [len(s) for s in sets], 60)
     root = list(range(len(sets)))
     for _ in sets:
         for i, a in enumerate(sets):

@@ -1,15 +1,17 @@
 """Operator 3, n-gram Jaccard join over a prefix tree.
 
 Sets of word n-grams are linked when their Jaccard similarity reaches a threshold. Equal sets are one class. Two linked
-classes share l of the first |x| - ceil(t|x|) + l grams of a global order. So classes send these grams to buckets, as
-packed arrays, and a class stays if enough of them occur in a second class; the same is then asked of all grams of the
-classes that stay, of which the threshold's share must occur twice. Classes that still share a gram of their beginnings
-fall into one family, and each family's sets, in one global order, are joined over a trie: classes that share a
-beginning share its overlap, and a subtree ends where the grams left are too few. No pairs are made outside the trie.
-
-Families too large for a task form a pool. As long as grams of the pool occur under two labels, classes with enough such
-grams to be linked across labels remain; some of them are pivots, a bounded trie that every remaining class walks, and
-leave when all their links are known.
+classes share l of the first |x| - ceil(t|x|) + l grams of any global order; here first the order of the hashes, which
+needs no counts. So classes send these grams to buckets, as packed arrays, and a class stays if enough of them occur in
+a second class; the same is then asked of all grams of the classes that stay, of which the threshold's share must occur
+twice. What is left is a small part of the classes. Its grams are counted and put into one global order, by frequency;
+classes that share one of their rarest grams, as many as the threshold allows to be missing and one, fall into one
+family, and each family's sets are joined over a trie: classes that share a beginning share its overlap, and a subtree
+ends where the grams left are too few or where all its sets are of the component already. No pairs are made outside it.
+
+A family too large for a task is joined in rounds, all such families at once. As long as grams of it occur under two
+labels, classes with enough such grams to be linked across labels remain; some of them are pivots, a trie of bounded
+size that each chunk of the family walks, and leave when all their links are known.
 """
 
 from __future__ import annotations
@@ -21,39 +23,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import base
 from .components import components
 
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
-#: Families that one task joins, in classes and in grams; pivots of a round, likewise.
-FAMILY, FAMILY_GRAMS, PIVOTS, PIVOT_GRAMS = 4000, 2_000_000, 1024, 1_000_000
+#: Families that one task joins, in classes and in grams; a larger one is dealt in chunks of FAMILY classes. Pivots of a round, likewise.
+FAMILY, FAMILY_GRAMS, PIVOTS, PIVOT_GRAMS = 4000, 2_000_000, 256, 250_000
 #: Of a gram that a batch holds more often, two rows go to the bucket, so that no bucket receives it from each document.
 BATCH_MOST = 2
+#: (gram, class) rows that a bucket receives, and classes whose counts meet in one, about.
+BUCKET, COUNTED = 500_000, 1_000_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-HASHES = _Hashes()
-
-
 def grams(text: str | None, n: int = 5) -> np.ndarray:
     """Sorted distinct 64-bit hashes of a text's word n-grams; A to Z count as lower case; fewer words are one gram."""
     words = WORDS.findall((text or "").encode().lower())
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     m = min(n, len(h))
     out = np.full(len(h) - m + 1, np.uint64(m))
     for k in range(m):
@@ -63,11 +55,14 @@ def grams(text: str | None, n: int = 5) -> np.ndarray:
 
 
 def class_of(g: np.ndarray) -> int:
-    import xxhash
-
     return xxhash.xxh3_64_intdigest(g.tobytes()) - (1 << 63)
 
 
+def second_hash(g: np.ndarray) -> int:
+    """Tells apart unequal sets of one class_of()."""
+    return xxhash.xxh64_intdigest(g.tobytes(), 1) - (1 << 63)
+
+
 def needed(percent: int, x: int) -> int:
     """Grams that a set of x shares at least with any linked set."""
     return -(-percent * x // 100)
@@ -82,86 +77,144 @@ def linked(percent: int, shared: int, x: int, y: int) -> bool:
     return 100 * shared >= percent * (x + y - shared)
 
 
+class Groups:
+    """Numbers in disjoint groups, each known by its least."""
+
+    def __init__(self):
+        self.root: list[int] = []
+
+    def new(self) -> int:
+        self.root.append(len(self.root))
+        return len(self.root) - 1
+
+    def find(self, i: int) -> int:
+        root = self.root
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    def unite(self, i: int, j: int) -> None:
+        a, b = self.find(i), self.find(j)
+        self.root[max(a, b)] = min(a, b)
+
+
+#: Fields of a trie's node: ranks of its edge, children by first rank, (set, size) that end here, least and largest size
+#: below, one set below, whether those below were of several groups when last looked at.
+EDGE, CHILDREN, ENDS, LEAST, MOST, ONE, MIXED = range(7)
+
+
 class Trie:
-    """Sets as sorted lists of ranks. A node: (ranks of its edge, children by first rank, sets that end here, least size, largest size)."""
+    """Sets as sorted lists of ranks, and the groups that links between them make."""
 
     def __init__(self, percent: int):
-        self.percent, self.root = percent, [[], {}, [], 1 << 60, 0]
+        self.percent, self.groups = percent, Groups()
+        self.root = [[], {}, [], 1 << 60, 0, None, False]
 
     def add(self, ranks: list[int], size: int, name: int) -> None:
-        node, at = self.root, 0
+        node, at, find = self.root, 0, self.groups.find
         while True:
-            node[3], node[4] = min(node[3], size), max(node[4], size)
+            node[LEAST], node[MOST] = min(node[LEAST], size), max(node[MOST], size)
+            if node[ONE] is None:
+                node[ONE] = name
+            elif find(node[ONE]) != find(name):
+                node[MIXED] = True
             if at == len(ranks):
-                node[2].append((name, size))
+                node[ENDS].append((name, size))
                 return
-            child = node[1].get(ranks[at])
+            child = node[CHILDREN].get(ranks[at])
             if child is None:
-                node[1][ranks[at]] = [ranks[at:], {}, [(name, size)], size, size]
+                node[CHILDREN][ranks[at]] = [ranks[at:], {}, [(name, size)], size, size, name, False]
                 return
-            edge, k, most = child[0], 0, min(len(child[0]), len(ranks) - at)
+            edge, k, most = child[EDGE], 0, min(len(child[EDGE]), len(ranks) - at)
             while k < most and edge[k] == ranks[at + k]:
                 k += 1
             if k < len(edge):
-                node[1][ranks[at]] = [edge[:k], {edge[k]: [edge[k:], *child[1:]]}, [], child[3], child[4]]
-                child = node[1][ranks[at]]
+                node[CHILDREN][ranks[at]] = [edge[:k], {edge[k]: [edge[k:], *child[1:]]}, [], *child[LEAST:]]
+                child = node[CHILDREN][ranks[at]]
             node, at = child, at + k
 
-    def matches(self, ranks: list[int], size: int) -> Iterator[int]:
-        """Names of the sets linked with a set of `size` grams of which `ranks` are known to the order."""
-        have, p = frozenset(ranks), self.percent
+    def _of_group(self, node: list, group: int) -> bool:
+        """Whether all sets at and below a node are known to be of one group, and this is it."""
+        find = self.groups.find
+        if node[ONE] is None or find(node[ONE]) != group:
+            return False
+        if node[MIXED]:
+            node[MIXED] = any(c[MIXED] or find(c[ONE]) != group for c in node[CHILDREN].values()) or any(find(n) != group for n, _ in node[ENDS])
+        return not node[MIXED]
+
+    def join(self, ranks: list[int], size: int, name: int) -> Iterator[int]:
+        """Unites a set of `size` grams, of which `ranks` are known to the order, with the groups of the sets that it is linked
+        with; gives one such set of each group."""
+        have, p, groups = frozenset(ranks), self.percent, self.groups
+        group = groups.find(name)
         stack = [(self.root, 0, 0)]
         while stack:
             node, shared, passed = stack.pop()
-            edge = node[0]
+            if self._of_group(node, group):
+                continue
+            edge = node[EDGE]
             if edge:
                 shared += len(have.intersection(edge))
                 passed += len(edge)
-            yield from (name for name, other in node[2] if linked(p, shared, size, other))
-            for first, child in node[1].items():
-                least, most = max(child[3], -(-size * p // 100)), min(child[4], size * 100 // p)
+            for other, n in node[ENDS]:
+                if groups.find(other) != group and linked(p, shared, size, n):
+                    groups.unite(name, other)
+                    group = groups.find(name)
+                    yield other
+            likely = []
+            for first, child in node[CHILDREN].items():
+                least, most = max(child[LEAST], -(-size * p // 100)), min(child[MOST], size * 100 // p)
                 left = min(len(ranks) - bisect_right(ranks, first - 1), most - passed)
                 # of all sizes below, the least asks for the fewest shared grams
                 if least <= most and linked(p, shared + left, size, least):
-                    stack.append((child, shared, passed))
+                    (likely if first in have else stack).append((child, shared, passed))
+            stack += likely  # looked at first, so that the rest may be of the group by then
 
 
-def local_components(sets: list[np.ndarray], percent: int) -> list[int]:
-    """For each set the number of the first set that it is linked with, directly or over others."""
-    found, counts = np.unique(np.concatenate(sets), return_counts=True)
-    rank = np.empty(len(found), np.int64)
-    rank[np.lexsort((found, -counts))] = np.arange(len(found))  # common grams first, so beginnings are shared
-    trie, root = Trie(percent), list(range(len(sets)))
+class Order:
+    """Ranks of grams in the global order, the most common first, from (grams, counts) of some sets."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, np.ndarray]]):
+        self.found, at = np.unique(np.concatenate([g for g, _ in sets]), return_index=True)
+        counts = np.concatenate([k for _, k in sets])[at]
+        self.rank = np.empty(len(self.found), np.int64)
+        self.rank[np.lexsort((self.found, -counts))] = np.arange(len(self.found))
+
+    def __call__(self, g: np.ndarray) -> list[int]:
+        """Sorted ranks of those of the grams that the order knows."""
+        at = np.minimum(np.searchsorted(self.found, g), len(self.found) - 1)
+        return np.sort(self.rank[at[self.found[at] == g]]).tolist()
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = i = root[root[i]]
-        return i
 
-    for i, s in enumerate(sets):
-        ranks = np.sort(rank[np.searchsorted(found, s)]).tolist()
-        for j in trie.matches(ranks, len(ranks)):
-            a, b = find(i), find(j)
-            root[max(a, b)] = min(a, b)
-        trie.add(ranks, len(ranks), i)
-    return [find(i) for i in range(len(sets))]
+def local_components(sets: list[tuple[np.ndarray, np.ndarray]], sizes: list[int], percent: int) -> list[int]:
+    """For each set, given by its shared grams with their counts and its whole size, the number of the first set of its component."""
+    order, trie = Order(sets), Trie(percent)
+    for i, (g, _) in enumerate(sets):
+        ranks = order(g)
+        trie.groups.new()
+        for _ in trie.join(ranks, sizes[i], i):
+            pass
+        trie.add(ranks, sizes[i], i)
+    return [trie.groups.find(i) for i in range(len(sets))]
 
 
 def _classes(n: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            c, size, first = [], [], []
+            c, second, size, first = [], [], [], []
             for text in batch.column("text"):
                 g = grams(text.as_py(), n)
                 c.append(class_of(g))
+                second.append(second_hash(g))
                 size.append(len(g))
                 first.append(g[: len(g) - needed(percent, len(g)) + depth(len(g))].view(np.int64) if len(g) else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "c": pa.array(c, pa.int64()), "n": pa.array(size, pa.int32()), "first": pa.array(first, pa.list_(pa.int64()))})
+            cols = {"doc_id": batch.column("doc_id"), "th": batch.column("th"), "c": pa.array(c, pa.int64()), "second": pa.array(second, pa.int64()), "n": pa.array(size, pa.int32())}
+            yield pa.RecordBatch.from_pydict(cols | {"first": base.lists(first)})
 
     return run
 
 
-_ROW = np.dtype([("g", "<i8"), ("c", "<i8")])
+_ROW, _COUNT = np.dtype([("g", "<i8"), ("c", "<i8")]), np.dtype([("c", "<i8"), ("k", "<i8")])
 
 
 def _rows_of(batch: pa.RecordBatch, column: str) -> np.ndarray:
@@ -173,9 +226,28 @@ def _rows_of(batch: pa.RecordBatch, column: str) -> np.ndarray:
     return np.unique(rows)  # copies in one batch are one class
 
 
-def _packed(column: str, buckets: int, found):
-    """The rows of each batch as one binary for each bucket. Of a gram that a batch holds more than BATCH_MOST times,
-    the first two rows go there, so that its bucket knows of a second class, and `found` of all its rows goes out at once."""
+def _dealt(kind: int, rows: np.ndarray, key: str, buckets: int) -> pa.RecordBatch:
+    """Rows as one binary for each bucket of their key."""
+    bucket = (rows[key].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    rows, bucket = rows[order], bucket[order]
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
+    parts = [x.tobytes() for x in np.split(rows, cuts)] if len(rows) else []
+    at = bucket[np.concatenate([[0], cuts])] if len(rows) else bucket
+    return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(parts), pa.int32()), "bucket": pa.array(at, pa.int64()), "rows": pa.array(parts, pa.binary())})
+
+
+def _counted(rows: np.ndarray) -> np.ndarray:
+    """Each class with the number of its rows."""
+    c, k = np.unique(rows["c"], return_counts=True)
+    out = np.zeros(len(c), _COUNT)
+    out["c"], out["k"] = c, k
+    return out
+
+
+def _packed(column: str, buckets: int, parts: int):
+    """The rows of each batch dealt by gram (kind 0). Of a gram that a batch holds more than BATCH_MOST times, the first two
+    rows go, so that its bucket knows of a second class, and all its rows are counted by class at once (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,98 +258,66 @@ def _packed(column: str, buckets: int, found):
             count = np.diff(np.concatenate([np.flatnonzero(start), [len(rows)]]))
             often = np.repeat(count > BATCH_MOST, count)
             if often.any():
-                a, b = found(rows[often])
-                yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(len(a), pa.int64()), "rows": pa.nulls(len(a), pa.binary()), "a": pa.array(a), "b": pa.array(b)})
+                yield _dealt(1, _counted(rows[often]), "c", parts)
                 marks = np.concatenate([rows[often & start], rows[often & np.concatenate([[False], start[:-1]])]])
                 rows = np.concatenate([rows[~often], marks])
-            bucket = (rows["g"].view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rows, bucket = rows[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            k = len(cuts) + 1
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[np.concatenate([[0], cuts])]), "rows": pa.array([x.tobytes() for x in np.split(rows, cuts)], pa.binary()), "a": pa.nulls(k, pa.int64()), "b": pa.nulls(k, pa.int64())})
+            yield _dealt(0, rows, "g", buckets)
 
     return run
 
 
-def _met(found):
-    """`found` of the rows of a task's buckets whose gram occurs in a second class."""
+def _met(parts: int):
+    """By class, counts of the rows of a task's buckets whose gram occurs in a second class."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [np.frombuffer(x.as_buffer(), _ROW) for batch in batches for x in batch.column("rows")]
-        if parts:
-            rows = np.unique(np.concatenate(parts))
+        held = [np.frombuffer(x.as_buffer(), _ROW) for batch in batches for x in batch.column("rows")]
+        if held:
+            rows = np.unique(np.concatenate(held))
             same = rows["g"][1:] == rows["g"][:-1]
             twice = np.zeros(len(rows), bool)
             twice[1:] |= same
             twice[:-1] |= same
-            a, b = found(rows[twice])
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b)})
+            yield _dealt(1, _counted(rows[twice]), "c", parts)
 
     return run
 
 
-def _shared(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each class with the number of its rows."""
-    c, k = np.unique(rows["c"], return_counts=True)
-    return c, k.astype(np.int64)
-
-
-def _to_least(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each class with the least class of each of its grams, once."""
-    start = np.concatenate([[True], rows["g"][1:] != rows["g"][:-1]]) if len(rows) else np.zeros(0, bool)
-    links = np.zeros(len(rows), [("a", "<i8"), ("b", "<i8")])
-    links["a"] = rows["c"]
-    links["b"] = rows["c"][np.flatnonzero(start)][np.cumsum(start) - 1] if len(rows) else rows["c"]
-    links = np.unique(links[links["a"] != links["b"]])
-    return np.ascontiguousarray(links["a"]), np.ascontiguousarray(links["b"])
-
-
-def _frequent(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each gram of more than 8 rows with their number."""
-    g, k = np.unique(rows["g"], return_counts=True)
-    return g[k > 8], k[k > 8].astype(np.int64)
-
-
-def _hot_grams(sets: DataFrame, most: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted grams that many classes have, and how many: above 16, or the least of 64, 256, ... that leaves `most` grams at most."""
-    counts = base.stored(_by_gram(sets, "grams", _frequent, "join-frequent").groupBy("a").agg(F.sum("b").alias("b")), "join-frequent")
-    limit = 16
-    while counts.where(F.col("b") > limit).count() > most:
-        limit *= 4
-    got = counts.where(F.col("b") > limit).orderBy("a").toArrow()
-    return got["a"].to_numpy(), got["b"].to_numpy()
-
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """c, k: the counts of a task's classes, added as they come."""
+    total, waiting, n = np.zeros(0, _COUNT), [], 0
 
-def _beginnings(percent: int, hot, counts):
-    """The first grams of each set in the order of frequency (that of the hot grams; others count alike), then of the hash."""
+    def added():
+        rows = np.concatenate([total, *waiting])
+        c, at = np.unique(rows["c"], return_inverse=True)
+        out = np.zeros(len(c), _COUNT)
+        out["c"] = c
+        np.add.at(out["k"], at, rows["k"])
+        return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, k = hot.value, counts.value
-        for batch in batches:
-            first = []
-            for g in batch.column("grams"):
-                g = g.values.to_numpy()
-                often = np.zeros(len(g), np.int64)
-                if len(h):
-                    at = np.minimum(np.searchsorted(h, g), len(h) - 1)
-                    often = np.where(h[at] == g, k[at], 0)
-                first.append(g[np.lexsort((g, often))[: len(g) - needed(percent, len(g)) + 1]])
-            yield pa.RecordBatch.from_pydict({"c": batch.column("c"), "first": pa.array(first, pa.list_(pa.int64()))})
-
-    return run
+    for batch in batches:
+        for x in batch.column("rows"):
+            waiting.append(np.frombuffer(x.as_buffer(), _COUNT))
+            n += len(waiting[-1])
+            if n > max(BUCKET, len(total)):
+                total, waiting, n = added(), [], 0
+    total = added()
+    if len(total):
+        yield pa.RecordBatch.from_pydict({"c": pa.array(total["c"].copy()), "k": pa.array(total["k"].copy())})
 
 
-def _by_gram(table: DataFrame, column: str, found, name: str) -> DataFrame:
-    """a, b: what `found` gives for grams of the lists in a column of table (c, column) that two classes have, in parts."""
+def _shared_grams(table: DataFrame, column: str, name: str) -> DataFrame:
+    """c, k of each class in table (c, column): how many grams of its list another class has too; some may count twice."""
     spark = table.sparkSession
-    total = table.agg(F.sum(F.size(column))).first()[0] or 0
-    buckets = max(1, math.ceil(total / 500_000))
-    packed = base.stored(table.select("c", column).mapInArrow(_packed(column, buckets, found), "bucket long, rows binary, a long, b long"), f"{name}-packed")
-    parts = max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    met = packed.where("bucket is not null").select("bucket", "rows").repartition(parts, "bucket").mapInArrow(_met(found), "a long, b long")
-    out = base.stored(met.unionByName(packed.where("bucket is null").select("a", "b")), name)
+    total, classes = table.agg(F.sum(F.size(column)), F.count("*")).first()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets, counted = max(parts, math.ceil((total or 0) / BUCKET)), max(1, math.ceil(classes / COUNTED))
+    kinds = "kind int, bucket long, rows binary"
+    packed = base.stored(table.select("c", column).mapInArrow(_packed(column, buckets, counted), kinds), f"{name}-packed")
+    met = packed.where("kind = 0").repartition(buckets, "bucket").mapInArrow(_met(counted), kinds)
+    met = base.stored(met.unionByName(packed.where("kind = 1")), f"{name}-met")
     base.forget(packed)
+    out = base.stored(met.repartition(max(parts, counted), "bucket").mapInArrow(_summed, "c long, k long"), name)
+    base.forget(met)
     return out
 
 
@@ -285,9 +325,9 @@ def _sets(n: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [grams(t.as_py(), n) for t in batch.column("text")]
-            # ids may be null or repeat with other texts, whose sets are of other classes
-            own = [(c, g.view(np.int64)) for c, g in zip(batch.column("c").to_pylist(), sets, strict=True) if len(g) and class_of(g) == c]
-            yield pa.RecordBatch.from_pydict({"c": pa.array([c for c, _ in own], pa.int64()), "grams": pa.array([g for _, g in own], pa.list_(pa.int64()))})
+            # a text of the same id and text hash could be of another class
+            own = [(c, g) for c, old, g in zip(batch.column("c").to_pylist(), batch.column("old").to_pylist(), sets, strict=True) if len(g) and class_of(g) == old]
+            yield pa.RecordBatch.from_pydict({"c": pa.array([c for c, _ in own], pa.int64()), "grams": base.lists([g.view(np.int64) for _, g in own])})
 
     return run
 
@@ -296,46 +336,61 @@ def _families(percent: int):
     """Over rows in order of family: (a, b) from each class to the first of its component. One family is held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, names, sets = None, [], []
+        now, names, sizes, sets = None, [], [], []
 
         def done():
-            return [(names[i], names[j]) for i, j in enumerate(local_components(sets, percent)) if i != j] if len(sets) > 1 else []
+            return [(names[i], names[j]) for i, j in enumerate(local_components(sets, sizes, percent)) if i != j] if len(sets) > 1 else []
 
         for batch in batches:
             out = []
-            for family, c, g in zip(batch.column("family").to_pylist(), batch.column("c").to_pylist(), batch.column("grams"), strict=True):
+            for family, c, n, g, k in zip(*(batch.column(x).to_pylist() for x in ("family", "c", "n")), batch.column("grams"), batch.column("counts"), strict=True):
                 if family != now:
                     out += done()
-                    now, names, sets = family, [], []
+                    now, names, sizes, sets = family, [], [], []
                 names.append(c)
-                sets.append(g.values.to_numpy())
+                sizes.append(n)
+                sets.append((g.values.to_numpy(), k.values.to_numpy()))
             if out:
-                yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out]), "b": pa.array([x[1] for x in out])})
+                yield _links(out)
         if out := done():
-            yield pa.RecordBatch.from_pydict({"a": pa.array([x[0] for x in out]), "b": pa.array([x[1] for x in out])})
+            yield _links(out)
 
     return run
 
 
-def _against(pivots: list[tuple[int, np.ndarray]], percent: int):
-    found, counts = np.unique(np.concatenate([g for _, g in pivots]), return_counts=True)
-    rank = np.empty(len(found), np.int64)
-    rank[np.lexsort((found, -counts))] = np.arange(len(found))
+def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in pairs], pa.int64()), "b": pa.array([b for _, b in pairs], pa.int64())})
+
+
+def _against(percent: int):
+    """Over rows in order of family and chunk, pivots first: links (a, b) that join each class with the pivots that it is linked with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(percent)
-        for c, g in pivots:
-            trie.add(np.sort(rank[np.searchsorted(found, g)]).tolist(), len(g), c)
+        now, pivots, trie, order, names = None, [], None, None, []
         for batch in batches:
-            a, b = [], []
-            for c, g in zip(batch.column("c").to_pylist(), batch.column("grams"), strict=True):
-                g = g.values.to_numpy()
-                at = np.minimum(np.searchsorted(found, g), len(found) - 1)
-                for other in trie.matches(np.sort(rank[at[found[at] == g]]).tolist(), len(g)):
-                    if other != c:
-                        a.append(c)
-                        b.append(other)
-            yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            out = []
+            for family, chunk, pivot, c, n, g, k in zip(*(batch.column(x).to_pylist() for x in ("family", "chunk", "pivot", "c", "n")), batch.column("grams"), batch.column("counts"), strict=True):
+                if (family, chunk) != now:
+                    now, pivots, trie = (family, chunk), [], None
+                g, k = g.values.to_numpy(), k.values.to_numpy()
+                if pivot:
+                    pivots.append((c, n, g, k))
+                    continue
+                if trie is None:
+                    trie, order, names = Trie(percent), Order([(g, k) for _, _, g, k in pivots]), []
+                    for other, m, h, _ in pivots:
+                        trie.add(order(h), m, trie.groups.new())
+                        names.append(other)
+                    own = set(names)
+                if c in own:
+                    c = None  # a pivot is looked for among the others under a number of its own
+                names.append(c)
+                i = trie.groups.new()
+                found = [names[j] for j in trie.join(order(g), n, i)]
+                # a pivot's row has found itself: it links all that it found
+                out += [(x, found[0]) for x in found[1:]] if c is None else [(c, x) for x in found]
+            if out:
+                yield _links(out)
 
     return run
 
@@ -346,70 +401,114 @@ def _stars(links: DataFrame) -> DataFrame:
 
 
 def _pool_labels(pool: DataFrame, links: DataFrame, percent: int) -> DataFrame:
-    """c, label of linked classes: of links, which are stars, and of what links the classes of pool (c, grams) across components."""
-    spark = pool.sparkSession
-    label = _stars(links)
+    """c, label of linked classes: of links, which are stars, and of what links the classes of pool (family, c, n, grams, counts)."""
+    label = base.stored(_stars(links), "join-label")
+    columns = ["family", "c", "n", "grams", "counts"]
     while True:
-        pool = pool.select("c", "grams").join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
-        each = pool.select("c", "label", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-        open_grams = each.groupBy("g").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("g")
-        rest = each.join(open_grams, "g").groupBy("c", "n").agg(F.count("*").alias("k")).where(100 * F.col("k") >= percent * F.col("n"))
-        rest = rest.select("c", (F.col("k") / F.col("n")).alias("openness"), F.col("n").alias("size"))
-        pool = base.stored(pool.join(rest, "c"), "join-pool")
-        first = pool.select("c", "openness", "size").orderBy(F.desc("openness"), "size", "c").limit(PIVOTS).collect()
-        if len(first) < 2:
+        pool = pool.select(*columns).join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
+        each = pool.select("c", "label", "n", F.explode("grams").alias("g"))
+        spread = base.stored(each.groupBy("g").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("g"), "join-spread")
+        rest = each.join(spread, "g").groupBy("c").agg(F.count("*").alias("k"), F.first("n").alias("m")).where(100 * F.col("k") >= percent * F.col("m"))
+        pool = base.stored(pool.join(rest.select("c", (F.col("k") / F.col("m")).alias("openness")), "c").select(*columns, "openness"), "join-pool")
+        base.forget(spread)
+        sizes = base.stored(pool.groupBy("family").agg(F.ceil(F.count("*") / FAMILY).cast("int").alias("chunks")), "join-sizes")
+        if sizes.isEmpty():
             return label
-        chosen, total = [], 0
-        for r in first:
-            total += r["size"]
-            if chosen and total > PIVOT_GRAMS:
-                break
-            chosen.append(r["c"])
-        held = pool.where(F.col("c").isin(chosen)).select("c", "grams").toArrow()
-        pivots = [(c, g.values.to_numpy()) for c, g in zip(held["c"].to_pylist(), held["grams"], strict=True)]
-        met = pool.select("c", "grams").mapInArrow(_against(pivots, percent), "a long, b long")
+        best = Window.partitionBy("family").orderBy(F.desc("openness"), "n", "c")
+        first = pool.select("family", "openness", "n", "c").withColumn("i", F.row_number().over(best)).where(F.col("i") <= PIVOTS)
+        chosen = first.withColumn("sum", F.sum("n").over(best)).where((F.col("sum") <= PIVOT_GRAMS) | (F.col("i") == 1))
+        chosen = base.stored(chosen.select("c"), "join-chosen")
+        # families here are larger than FAMILY classes, so a million of them would hold billions of classes
+        dealt = pool.join(F.broadcast(sizes), "family")
+        rows = dealt.withColumns({"chunk": F.pmod(F.xxhash64("c"), "chunks").cast("int"), "pivot": F.lit(False)})
+        pivots = dealt.join(chosen, "c").withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "pivot": F.lit(True)})
+        both = rows.select(*columns, "chunk", "pivot").unionByName(pivots.select(*columns, "chunk", "pivot"))
+        met = both.repartition("family", "chunk").sortWithinPartitions("family", "chunk", F.desc("pivot"), "c").mapInArrow(_against(percent), "a long, b long")
         links = base.stored(links.unionByName(met), "join-links")
-        label = components(links).select(F.col("node").alias("c"), "label")
-        gone = spark.createDataFrame([(c,) for c in chosen], "c long")
-        pool = base.stored(pool.select("c", "grams").join(F.broadcast(gone), "c", "left_anti"), "join-pool")
+        label = base.stored(components(links).select(F.col("node").alias("c"), "label"), "join-label")
+        pool = base.stored(pool.select(*columns).join(chosen, "c", "left_anti"), "join-pool")
 
 
-def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs (doc_id, text): components of the links at percent / 100 or more.
+def labelled(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
+    """doc_id, th, n, label of each row of docs (doc_id, text): its text's hash, the size of its set, and what its component has in common.
 
-    The component's id is its least doc_id (nulls last). A text without words, or null, has no grams and is a component of its own;
-    so is any row of that kind, even if repeated. Rows with equal sets are linked. Extra columns are ignored.
+    Equal sets are told by two 64-bit hashes of all their grams, and grams by a 64-bit hash. Rows without words have n = 0.
     """
     spark = docs.sparkSession
     base.bounded_batches(spark)
-    table = base.stored(docs.select("doc_id", "text").mapInArrow(_classes(n, percent), "doc_id long, c long, n int, first array<long>"), "join-classes")
-    # a gram that a batch holds often counts its classes there and, marked, all others in its bucket; a class may count twice, never too little
-    shared = _by_gram(table, "first", _shared, "join-shared").groupBy(F.col("a").alias("c")).agg(F.sum("b").alias("k"))
-    classes = table.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("rep"), F.min("n").alias("n"))
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
+    table = base.stored(read.mapInArrow(_classes(n, percent), "doc_id long, th long, c long, second long, n int, first array<long>"), "join-classes")
+    classes = table.where("n > 0").groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("n").alias("n"), F.min("second").alias("s0"), F.max("second").alias("s1"))
+    classes = base.stored(classes.withColumn("old", F.col("c")), "join-reps")
+    clash = classes.where("s0 <> s1").select("c")
+    if not clash.isEmpty():  # unequal sets of one hash: as many rows as chance gives, about pairs of classes / 2 ** 64
+        own = table.join(F.broadcast(clash.withColumn("clash", F.lit(True))), "c", "left").withColumn("old", F.col("c"))
+        table = base.stored(own.withColumn("c", F.when(F.col("clash"), F.xxhash64("c", "second")).otherwise(F.col("c"))).drop("clash"), "join-classes")
+        classes = base.stored(table.where("n > 0").groupBy("c", "old").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("n").alias("n")), "join-reps")
+    shared = _shared_grams(table, "first", "join-shared")
     # the least linked partner has needed(n) grams, so its depth is the least that must be shared
-    wanted = base.stored(shared.join(classes, "c").where(F.col("k") >= 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 10)).select(F.col("c").alias("wc"), "rep"), "join-wanted")
-    few = wanted.count() <= 1_000_000
-    texts = docs.select("doc_id", "text").join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("rep")))
+    wanted = shared.join(classes, "c").where(F.col("k") >= 1 + F.floor(F.ceil(F.col("n") * percent / 100) / 10))
+    wanted = base.stored(wanted.select("c", "old", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("rep_th")), "join-wanted")
     # sets are made anew from the texts of the classes that are looked at
-    sets = texts.select(F.col("wc").alias("c"), "text").mapInArrow(_sets(n), "c long, grams array<long>")
-    sets = base.stored(sets if few else sets.dropDuplicates(["c"]), "join-sets")
-    again = _by_gram(sets, "grams", _shared, "join-again").groupBy(F.col("a").alias("c")).agg(F.sum("b").alias("k"))
+    texts = read.join(F.broadcast(wanted) if wanted.count() <= 500_000 else wanted, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep")))
+    sets = base.stored(texts.select("c", "old", "text").mapInArrow(_sets(n), "c long, grams array<long>"), "join-sets")
+    again = _shared_grams(sets, "grams", "join-again").where("k > 0")
     again = sets.join(again, "c").where(100 * F.col("k") >= percent * F.size("grams"))
-    sets = base.stored(again.select("c", "grams").dropDuplicates(["c"]), "join-sets")
-    hot, counts = map(spark.sparkContext.broadcast, _hot_grams(sets))
-    first = sets.mapInArrow(_beginnings(percent, hot, counts), "c long, first array<long>")
-    families = components(_by_gram(base.stored(first, "join-first"), "first", _to_least, "join-near")).select(F.col("node").alias("c"), F.col("label").alias("family"))
-    families = families.join(sets.select("c", F.size("grams").alias("n")), "c")
-    large = families.groupBy("family").agg(F.count("*").alias("k"), F.sum("n").alias("m")).where((F.col("k") > FAMILY) | (F.col("m") > FAMILY_GRAMS)).select("family", F.lit(True).alias("large"))
-    families = base.stored(families.join(large, "family", "left").select("c", "family", F.coalesce("large", F.lit(False)).alias("large")), "join-families")
-    inside = sets.select("c", "grams").join(families.where("not large"), "c")
-    links = inside.repartition("family").sortWithinPartitions("family", "c").mapInArrow(_families(percent), "a long, b long")
+    few = base.stored(again.select("c", "grams").dropDuplicates(["c"]), "join-sets")
+    base.forget(sets)
+    # the global order: grams by the number of classes, which those of one class cannot take part in
+    each = few.select("c", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    counts = base.stored(each.groupBy("g").agg(F.count("*").cast("int").alias("k")).where("k > 1"), "join-counts")
+    order = each.join(counts, "g").groupBy("c", "n").agg(F.sort_array(F.collect_list(F.struct((-F.col("k")).alias("k"), "g"))).alias("x")).where(100 * F.size("x") >= percent * F.col("n"))
+    sets = base.stored(order.select("c", "n", F.col("x.g").alias("grams"), F.transform("x.k", lambda k: -k).alias("counts")), "join-ordered")
+    base.forget(few)
+    base.forget(counts)
+    need = F.ceil(F.col("n") * percent / 100).cast("int")
+    rare = base.stored(sets.select("c", F.explode(F.slice("grams", need, F.size("grams") - need + 1)).alias("g")), "join-rare")
+    least = base.stored(rare.groupBy("g").agg(F.min("c").alias("b"), F.count("*").alias("k")).where("k > 1").select("g", "b"), "join-least")
+    families = components(rare.join(least, "g").select(F.col("c").alias("a"), "b")).select(F.col("node").alias("c"), F.col("label").alias("family"))
+    families = sets.select("c", F.size("grams").alias("m")).join(families, "c")
+    families = base.stored(families, "join-families")
+    large = families.groupBy("family").agg(F.count("*").alias("k"), F.sum("m").alias("m")).where((F.col("k") > FAMILY) | (F.col("m") > FAMILY_GRAMS)).select("family", F.lit(True).alias("large"))
+    large = base.stored(large, "join-large")
+    families = families.join(large, "family", "left").select("c", "family", F.coalesce("large", F.lit(False)).alias("large"))
+    inside = sets.join(families, "c")
+    links = inside.where("not large").repartition("family").sortWithinPartitions("family", "c").mapInArrow(_families(percent), "a long, b long")
     links = base.stored(links, "join-links")
-    pool = sets.select("c", "grams").join(families.where("large").select("c"), "c", "left_semi")
-    label = _pool_labels(pool, links, percent) if not families.where("large").isEmpty() else _stars(links)
-    out = table.select("doc_id", "c", "n").join(label, "c", "left").withColumn("label", F.coalesce("label", "c"))
-    out = base.stored(out, "join-labels")
-    least = out.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    least = least.select(F.col("label").alias("l"), "component_id")
-    joined = out.join(least, (F.col("label") == F.col("l")) & (F.col("n") > 0), "left")
-    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    label = _stars(links) if large.isEmpty() else _pool_labels(inside.where("large"), links, percent)
+    out = table.select("doc_id", "th", "c", "n").join(base.stored(label, "join-label"), "c", "left")
+    return base.stored(out.select("doc_id", "th", "n", F.coalesce("label", "c").alias("label")), "join-labels")
+
+
+def _first_rows(rows: DataFrame) -> DataFrame:
+    """l, first: for each component of several rows, doc_id and th of the row of least doc_id (nulls last)."""
+    first = F.min_by(F.struct("doc_id", "th"), F.struct(F.col("doc_id").isNull(), "doc_id", "th"))
+    found = rows.where("n > 0").groupBy(F.col("label").alias("l")).agg(first.alias("first"), F.count("*").alias("k"))
+    found = base.stored(found.where("k > 1").select("l", "first"), "join-first")
+    return F.broadcast(found) if found.count() <= 500_000 else found
+
+
+def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
+    """doc_id, n_shingles, component_id of each row of docs (doc_id, text): components of the links at percent / 100 or more.
+
+    The component's id is its least doc_id (nulls last). A text without words, or null, has no grams and is a component of its own;
+    so is any row of that kind, even if repeated. Rows with equal sets are linked, whatever their ids. Extra columns are ignored.
+    """
+    rows = labelled(docs, percent, n)
+    joined = rows.join(_first_rows(rows), (F.col("label") == F.col("l")) & (F.col("n") > 0), "left")
+    return joined.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
+    """The rows of docs (doc_id, text and others) without those that a row of less doc_id (nulls last; then text hash) is linked with,
+    directly or over others. Rows without words stay; of others that share doc_id and text one does.
+    """
+    rows = labelled(docs, percent, n)
+    joined = rows.join(_first_rows(rows), (F.col("label") == F.col("l")) & (F.col("n") > 0))
+    gone = base.stored(joined.where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th")))).select(F.col("doc_id").alias("gone"), F.col("th").alias("gone_th")).distinct(), "join-gone")
+    keyed = docs.withColumn("_th", F.xxhash64("text"))
+    stay = keyed.join(F.broadcast(gone) if gone.count() <= 500_000 else gone, (F.col("_th") == F.col("gone_th")) & F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    if not rows.where("n > 0").groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        worded = F.coalesce(F.col("text").rlike(base.WORD_SQL), F.lit(False))
+        stay = stay.where(worded).dropDuplicates(["doc_id", "_th"]).unionByName(stay.where(~worded))
+    return stay.drop("_th")
