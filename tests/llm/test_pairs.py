@@ -130,15 +130,18 @@ def test_dedup_of_nothing_repeated_rows_and_long_texts(spark):
     assert got == [("1", 300, 300, 1), ("1", 300, 300, 1), ("3", len(long.encode()), piece, 1), ("4", piece, piece, 1), ("None", 1, 0, 0)]
 
 
-def test_reach_equals_windows():
+@pytest.mark.parametrize("colliding", [False, True])
+def test_reach_equals_windows(monkeypatch, colliding):
+    if colliding:  # all strings of a length have one hash
+        monkeypatch.setattr(suffix_dedup, "_prefix_hashes", lambda x: np.zeros(len(x) + 1, np.uint64))
     rng = random.Random(2)
     core = bytes(rng.choice(b"ab") for _ in range(suffix_dedup.K))
-    left, right = [bytes(rng.choice(b"ab") for _ in range(150)) for _ in range(4)], [bytes(rng.choice(b"ab") for _ in range(200)) for _ in range(4)]
+    left, right = [bytes(rng.choice(b"ab") for _ in range(150)) for _ in range(4)], [bytes(rng.choice(b"ab") for _ in range(suffix_dedup.W - suffix_dedup.K)) for _ in range(4)]
     rows = []
     for _ in range(40):
         a, b, c = rng.choice(left), rng.choice(left), rng.randint(0, 150)
         before = a[: 150 - c] + b[150 - c :]
-        a, b, c = rng.choice(right), rng.choice(right), rng.randint(0, 200)
+        a, b, c = rng.choice(right), rng.choice(right), rng.randint(0, suffix_dedup.W - suffix_dedup.K)
         rows.append((before + core + a[:c] + b[c:], 150))
     want = []
     for i, (s, a) in enumerate(rows):

@@ -6,8 +6,11 @@ dropped by a count; occurrences with equal surroundings (the bytes of all window
 The classes of an anchor are put in suffix order by a mergesort whose comparisons find the common extension by binary
 search over prefix polynomial hashes, and check it byte by byte. The same order of what stands left of the anchor, read
 backwards, and a merge of neighbouring suffixes from long to short common extensions give, for each class, how far
-windows with a second occurrence reach to either side. An anchor with more classes than fit one task has its windows
-counted by hash instead, over all tasks.
+windows with a second occurrence reach to either side.
+
+An anchor with more classes than one task shall sort is split: its windows by quarters of the places that the anchor has
+in them, and these by the bytes that all windows of a quarter hold. Such a part has the classes of shorter surroundings,
+and is sorted like an anchor, or split again; a part of one place is one window, and so one class.
 """
 
 from __future__ import annotations
@@ -18,6 +21,7 @@ from functools import cmp_to_key
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,8 +29,10 @@ from . import base
 
 W, K = 200, 24
 SEGMENT = 1 << 19
-#: Classes of an anchor that one task sorts; above, its windows are counted.
+#: Classes of an anchor, or of a part of it, that one task sorts.
 MOST = 256
+#: Anchors that a bucket receives, about. Of an anchor that a batch holds more often than twice, the rest passes by.
+BUCKET = 400_000
 BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -61,7 +67,7 @@ def _prefix_hashes(data: np.ndarray) -> np.ndarray:
 
 
 def anchors(data: bytes) -> tuple[np.ndarray, ...]:
-    """Anchor hash, class hash, place, first and last window start of each anchor of a text."""
+    """Anchor hash, place, first and last window start of each anchor of a text; the anchor lies in all these windows."""
     parts = []
     for s in range(0, max(0, len(data) - W + 1), SEGMENT):
         x = np.frombuffer(data, np.uint8)[s : s + SEGMENT + W - 1]
@@ -78,9 +84,8 @@ def anchors(data: bytes) -> tuple[np.ndarray, ...]:
         first = np.concatenate([[0], np.flatnonzero(np.diff(place)) + 1])
         last = np.concatenate([first[1:] - 1, [len(place) - 1]])
         at = place[first]
-        around = _mixed((h[last + W] - h[first]) * down[first]) ^ _mixed(((last - first) * W + (at - first)).astype(_U) + _U(BASE))
-        parts.append((grams[at].view(np.int64), around.view(np.int64), at + s, first + s, last + s))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 5
+        parts.append((grams[at].view(np.int64), at + s, first + s, last + s))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
 
 
 class Strings:
@@ -115,7 +120,8 @@ class Strings:
 
 def reach(contexts: list[tuple[bytes, int]]) -> list[tuple[int, int]]:
     """For each (bytes, place of the anchor in them): how many bytes left of the anchor's start and right of it stand in
-    windows of W bytes that also occur around another of the contexts; (0, 0) for none."""
+    windows of W bytes that also occur around another of the contexts; (0, 0) for none. All windows hold the anchor's
+    start, so W bytes at most stand right of it."""
     right, left = Strings([c[a:] for c, a in contexts]), Strings([c[:a][::-1] for c, a in contexts])
     by_right, rank = right.order(), [0] * len(contexts)
     by_left = left.order()
@@ -148,19 +154,72 @@ def reach(contexts: list[tuple[bytes, int]]) -> list[tuple[int, int]]:
     return reached
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_ROW = np.dtype([("g", "<i8"), ("c", "<i8"), ("id", "<i8"), ("th", "<i8"), ("at", "<i4"), ("back", "u1"), ("fore", "u1")])
+
+
+def _rows(i: int, h: int, data: bytes) -> np.ndarray:
+    """The anchors of a text: hash, class (that of the surroundings), text, place, and its greatest and least distance from a window's start."""
+    g, at, first, last = anchors(data)
+    rows = np.zeros(len(g), _ROW)
+    rows["g"], rows["id"], rows["th"], rows["at"], rows["back"], rows["fore"] = g, i, h, at, at - first, at - last
+    around = (xxhash.xxh3_64_intdigest(data[f : t + W], a) for f, t, a in zip(first.tolist(), last.tolist(), (at - first).tolist(), strict=True))
+    rows["c"] = np.fromiter(around, _U, len(g)).view(np.int64)
+    return rows
+
+
+def _packed(buckets: int):
+    """The anchors of each batch as one binary for each bucket of their hashes (kind 0). Of an anchor that a batch holds more
+    than twice, two go there; the others are known to repeat, and pass by (kind 1)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = 0
+        for batch in batches:
+            texts = zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), strict=True)
+            rows = np.concatenate([_rows(i, h, (text.as_py() or "").encode()) for i, h, text in texts])
+            if not len(rows):
+                continue
+            rows = rows[np.argsort(rows["g"], kind="stable")]
+            third = np.zeros(len(rows), bool)
+            third[2:] = rows["g"][2:] == rows["g"][:-2]
+            over, rows = rows[third], rows[~third]
+            bucket = (rows["g"].view(_U) % _U(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rows, bucket = rows[order], bucket[order]
+            cuts = np.flatnonzero(np.diff(bucket)) + 1
+            parts, at = [x.tobytes() for x in np.split(rows, cuts)], bucket[np.concatenate([[0], cuts])].tolist()
+            kinds = [0] * len(parts)
+            if len(over):
+                turn += 1
+                parts.append(over.tobytes())
+                at.append(-1 - (int(over["th"].view(_U)[0]) + turn) % buckets)
+                kinds.append(1)
+            yield pa.RecordBatch.from_pydict({"kind": pa.array(kinds, pa.int32()), "bucket": pa.array(at, pa.int64()), "rows": pa.array(parts, pa.binary())})
+
+    return run
+
+
+def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of the anchors of a task's buckets those that occur twice."""
+
+    def out(rows):
+        return pa.RecordBatch.from_pydict({k: pa.array(rows[k].astype(np.int32) if k in ("at", "back", "fore") else rows[k].copy()) for k in _ROW.names})
+
+    held = []
     for batch in batches:
-        parts, ids, hashes = [], [], []
-        for i, h, text in zip(batch.column("id").to_pylist(), batch.column("th").to_pylist(), batch.column("text"), strict=True):
-            rows = anchors((text.as_py() or "").encode())
-            if len(rows[0]):
-                parts.append(rows)
-                ids.append(np.full(len(rows[0]), i))
-                hashes.append(np.full(len(rows[0]), h))
-        if parts:
-            g, c, at, first, last = (np.concatenate(x) for x in zip(*parts, strict=True))
-            cols = {"g": g, "c": c, "id": np.concatenate(ids), "th": np.concatenate(hashes), "at": at.astype(np.int32), "first": first.astype(np.int32), "last": last.astype(np.int32)}
-            yield pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in cols.items()})
+        for kind, x in zip(batch.column("kind").to_pylist(), batch.column("rows"), strict=True):
+            rows = np.frombuffer(x.as_buffer(), _ROW)
+            if kind:
+                yield out(rows)
+            else:
+                held.append(rows)
+    if held:
+        rows = np.concatenate(held)
+        rows = rows[np.argsort(rows["g"], kind="stable")]
+        same = rows["g"][1:] == rows["g"][:-1]
+        twice = np.zeros(len(rows), bool)
+        twice[1:] |= same
+        twice[:-1] |= same
+        yield out(rows[twice])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,130 +227,116 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text, wanted in zip(batch.column("text"), batch.column("wanted"), strict=True):
             data = (text.as_py() or "").encode()
-            rows += [(x["g"], x["c"], data[x["first"] : x["last"] + W], x["at"] - x["first"]) for x in wanted.as_py()]
+            rows += [(x["g"], x["c"], data[x["at"] - x["back"] : x["at"] - x["fore"] + W], x["back"]) for x in wanted.as_py()]
         g, c, b, a = zip(*rows, strict=True) if rows else [()] * 4
         yield pa.RecordBatch.from_pydict({"g": pa.array(g, pa.int64()), "c": pa.array(c, pa.int64()), "bytes": pa.array(b, pa.binary()), "a": pa.array(a, pa.int32())})
 
 
 def _reaches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows in order of g: the reach of each class. One anchor's classes, MOST at most, are held at a time."""
+    """Over rows in order of key: the reach of each class. One anchor's, or part's, classes, MOST at most, are held at a time."""
     now, held = None, []
 
     def done():
         if len(held) > 1:
-            for (c, _, _), (back, ahead) in zip(held, reach([x[1:] for x in held]), strict=True):
+            for (t, _, _), (back, ahead) in zip(held, reach([x[1:] for x in held]), strict=True):
                 if ahead:
-                    yield now, c, back, ahead
+                    yield now, t, back, ahead
 
     def out(rows):
-        g, c, b, a = zip(*rows, strict=True)
-        return pa.RecordBatch.from_pydict({"g": pa.array(g, pa.int64()), "c": pa.array(c, pa.int64()), "back": pa.array(b, pa.int32()), "ahead": pa.array(a, pa.int32())})
+        key, t, b, a = zip(*rows, strict=True)
+        return pa.RecordBatch.from_pydict({"key": pa.array(key, pa.int64()), "t": pa.array(t, pa.int64()), "back": pa.array(b, pa.int32()), "ahead": pa.array(a, pa.int32())})
 
     for batch in batches:
         rows = []
-        for g, c, b, a in zip(*(batch.column(k).to_pylist() for k in ("g", "c", "bytes", "a")), strict=True):
-            if g != now:
+        for key, t, b, a in zip(*(batch.column(k).to_pylist() for k in ("key", "t", "bytes", "a")), strict=True):
+            if key != now:
                 rows += done()
-                now, held = g, []
-            held.append((c, b, a))
+                now, held = key, []
+            held.append((t, b, a))
         if rows:
             yield out(rows)
     if rows := list(done()):
         yield out(rows)
 
 
-_ROW = np.dtype([("h0", "<u8"), ("h1", "<u8"), ("g", "<i8"), ("c", "<i8"), ("back", "<i4")])
-
-
-def _windows(buckets: int):
-    """128 bits of hash of every window of each class, as one binary for each bucket of a batch. Of a window that a batch
-    holds more than twice, two rows go on; the others are known to repeat and give their reach at once."""
-    import xxhash
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = []
-            for g, c, b, a in zip(*(batch.column(k).to_pylist() for k in ("g", "c", "bytes", "a")), strict=True):
-                n = len(b) - W + 1
-                rows = np.zeros(n, _ROW)
-                h = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b[s : s + W]) for s in range(n)), "<u8").reshape(n, 2)
-                rows["h0"], rows["h1"], rows["g"], rows["c"], rows["back"] = h[:, 0], h[:, 1], g, c, a - np.arange(n)
-                parts.append(rows)
-            if not parts:
-                continue
-            rows = np.unique(np.concatenate(parts))  # by hash, anchor, class
-            third = np.zeros(len(rows), bool)
-            third[2:] = (rows["h0"][2:] == rows["h0"][:-2]) & (rows["h1"][2:] == rows["h1"][:-2])
-            if third.any():
-                yield _reach_rows(rows[third], buckets=True)
-            rows = rows[~third]
-            bucket = (rows["h0"] % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rows, bucket = rows[order], bucket[order]
-            cuts = np.flatnonzero(np.diff(bucket)) + 1
-            k = len(cuts) + 1
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(bucket[np.concatenate([[0], cuts])], pa.int64()), "rows": pa.array([x.tobytes() for x in np.split(rows, cuts)], pa.binary()), "g": pa.nulls(k, pa.int64()), "c": pa.nulls(k, pa.int64()), "back": pa.nulls(k, pa.int32()), "ahead": pa.nulls(k, pa.int32())})
-
-    return run
-
-
-def _reach_rows(rows: np.ndarray, buckets: bool = False) -> pa.RecordBatch:
-    """The reach of each class over its windows in rows."""
-    order = np.lexsort((rows["back"], rows["c"], rows["g"]))
-    rows = rows[order]
-    first = np.concatenate([[True], (rows["g"][1:] != rows["g"][:-1]) | (rows["c"][1:] != rows["c"][:-1])]) if len(rows) else np.zeros(0, bool)
-    start = np.flatnonzero(first)
-    stop = np.concatenate([start[1:], [len(rows)]])[: len(start)]
-    cols = {"g": rows["g"][start], "c": rows["c"][start], "back": rows["back"][stop - 1], "ahead": (W - rows["back"][start]).astype(np.int32)}
-    none = {"bucket": pa.nulls(len(start), pa.int64()), "rows": pa.nulls(len(start), pa.binary())} if buckets else {}
-    return pa.RecordBatch.from_pydict(none | {k: pa.array(np.ascontiguousarray(v)) for k, v in cols.items()})
-
-
-def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of all rows of a task's buckets: the reach of classes by windows that another class has too."""
-    parts = [np.frombuffer(x.as_buffer(), _ROW) for batch in batches for x in batch.column("rows")]
-    if parts:
-        rows = np.unique(np.concatenate(parts))
-        same = (rows["h0"][1:] == rows["h0"][:-1]) & (rows["h1"][1:] == rows["h1"][:-1]) & (rows["g"][1:] == rows["g"][:-1])
-        twice = np.zeros(len(rows), bool)
-        twice[1:] |= same
-        twice[:-1] |= same
-        yield _reach_rows(rows[twice])
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each class once for each quarter of the places low to high that the anchor may have in a window, with the surroundings
+    that windows of these places take up; key: the bytes that all of them hold."""
+    for batch in batches:
+        out = []
+        for g, c, low, high, data, a in zip(*(batch.column(k).to_pylist() for k in ("g", "c", "low", "high", "bytes", "a")), strict=True):
+            least, step = a - (len(data) - W), -(-(high - low + 1) // 4)
+            for x in range(low, high + 1, step):
+                y = min(high, x + step - 1)
+                if a >= x and least <= y:
+                    most = min(y, a)
+                    part = data[a - most : a - max(x, least) + W]
+                    key = xxhash.xxh3_64_intdigest(data[a - x : a - y + W], x << 8 | y) - (1 << 63)
+                    out.append((g, c, key, xxhash.xxh3_64_intdigest(part, most) - (1 << 63), x, y, part, most))
+        kinds = {"g": pa.int64(), "c": pa.int64(), "key": pa.int64(), "t": pa.int64(), "low": pa.int32(), "high": pa.int32(), "bytes": pa.binary(), "a": pa.int32()}
+        cols = list(zip(*out, strict=True)) if out else [()] * len(kinds)
+        yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, t), v in zip(kinds.items(), cols, strict=True)})
+
+
+def _covers(contexts: DataFrame) -> DataFrame:
+    """g, c, back, ahead: reaches of the classes (g, c, bytes, a) of anchors of several classes; a class may have several rows."""
+    rows = contexts.withColumns({"key": F.col("g"), "t": F.col("c"), "low": F.lit(0), "high": F.lit(W - K)})
+    covers, level = None, 0
+    while True:
+        classes = rows.select("key", "t", "bytes", "a", F.lit(1).alias("m"))
+        if level:
+            classes = base.stored(rows.groupBy("key", "t").agg(F.count("*").alias("m"), F.min(F.struct("bytes", "a")).alias("x")).select("key", "t", "x.*", "m"), "dedup-parts")
+        large = base.stored(classes.groupBy("key").count().where(F.col("count") > MOST).select("key"), "dedup-large")
+        sorted_here = classes.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key", "t")
+        found = sorted_here.mapInArrow(_reaches, "key long, t long, back int, ahead int")
+        if level:
+            # surroundings of several classes, cut down to equal ones, repeat as they are
+            full = classes.where("m > 1").select("key", "t", F.col("a").alias("back"), (F.length("bytes") - F.col("a")).alias("ahead"))
+            found = base.stored(found.unionByName(full), "dedup-found")
+            found = rows.select("g", "c", "key", "t").join(found, ["key", "t"]).select("g", "c", "back", "ahead")
+        else:
+            found = found.select(F.col("key").alias("g"), F.col("t").alias("c"), "back", "ahead")
+        found = base.stored(found, "dedup-reaches")
+        covers = found if covers is None else covers.unionByName(found)
+        if large.isEmpty():
+            return covers
+        kinds = "g long, c long, key long, t long, low int, high int, bytes binary, a int"
+        before = rows
+        rows = base.stored(rows.join(large, "key").select("g", "c", "low", "high", "bytes", "a").mapInArrow(_split, kinds), "dedup-split")
+        if level:
+            base.forget(before)
+            base.forget(classes)
+        level += 1
 
 
 def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(docs with id and th, spans): spans holds for each id, th the array of byte ranges (start, stop) to remove, in no order.
 
     id is doc_id (null: -1) and th a hash of the text: rows that share both share their spans, which equal texts always do.
+    Classes are told apart by the anchor's hash and a hash of all bytes around it, together 128 bits.
     """
-    base.bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    base.bounded_batches(spark)
     keyed = docs.withColumns({"id": F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long"), "th": F.xxhash64("text")})
-    rows = keyed.select("id", "th", "text").mapInArrow(_anchor_rows, "g long, c long, id long, th long, at int, first int, last int")
-    rows = base.stored(rows, "dedup-anchors")
-    twice = rows.groupBy("g").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("g", (F.col("c0") != F.col("c1")).alias("mixed"))
-    again = base.stored(rows.join(twice, "g"), "dedup-repeated")
-    base.forget(rows)
-    mixed = again.where("mixed")
-    classes = mixed.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at", "first", "last")).alias("one"))
+    n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * n_bytes // ((W - K) * BUCKET)))
+    packed = keyed.select("id", "th", "text").mapInArrow(_packed(buckets), "kind int, bucket long, rows binary").repartition(buckets, "bucket")
+    again = base.stored(packed.mapInArrow(_repeated, "g long, c long, id long, th long, at int, back int, fore int"), "dedup-repeated")
+    classes = again.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at", "back", "fore")).alias("one"))
     classes = base.stored(classes.select("g", "c", "n", "one.*"), "dedup-classes")
-    large = classes.groupBy("g").agg(F.count("*").alias("k")).where(F.col("k") > MOST).select("g", F.lit(True).alias("large"))
-    wanted = classes.join(large, "g", "left").groupBy("id", "th").agg(
-        F.collect_list(F.when(F.col("large").isNull(), F.struct("g", "c", "at", "first", "last"))).alias("few"), F.collect_list(F.when(F.col("large"), F.struct("g", "c", "at", "first", "last"))).alias("many")
-    )
+    several = base.stored(classes.groupBy("g").count().where("count > 1").select("g"), "dedup-several")
+    wanted = classes.join(several, "g").groupBy("id", "th").agg(F.collect_list(F.struct("g", "c", "at", "back", "fore")).alias("wanted"))
     texts = keyed.select("id", "th", "text").join(wanted.hint("shuffle_hash"), ["id", "th"])
-    kinds = "g long, c long, bytes binary, a int"
-    contexts = lambda which: texts.select("text", F.col(which).alias("wanted")).where(F.size("wanted") > 0).mapInArrow(_contexts, kinds)
-    few = contexts("few").dropDuplicates(["g", "c"]).repartition("g").sortWithinPartitions("g").mapInArrow(_reaches, "g long, c long, back int, ahead int")
-    n_large = classes.join(large, "g").count()
-    buckets = max(1, -(-n_large * W // 1_000_000))
-    windows = base.stored(contexts("many").dropDuplicates(["g", "c"]).mapInArrow(_windows(buckets), "bucket long, rows binary, g long, c long, back int, ahead int"), "dedup-windows") if n_large else None
-    reaches = "g long, c long, back int, ahead int"
-    many = windows.where("bucket is not null").select("bucket", "rows").repartition(max(buckets, 8), "bucket").mapInArrow(_met, reaches).unionByName(windows.where("bucket is null").select("g", "c", "back", "ahead")) if n_large else few.limit(0)
-    covers = few.unionByName(many).unionByName(classes.where("n > 1").select("g", "c", (F.col("at") - F.col("first")).alias("back"), (F.col("last") + W - F.col("at")).alias("ahead")))
+    contexts = base.stored(texts.select("text", "wanted").mapInArrow(_contexts, "g long, c long, bytes binary, a int").dropDuplicates(["g", "c"]), "dedup-contexts")
+    covers = _covers(contexts).unionByName(classes.where("n > 1").select("g", "c", "back", (W - F.col("fore")).alias("ahead")))
     covers = base.stored(covers.groupBy("g", "c").agg(F.max("back").alias("back"), F.max("ahead").alias("ahead")), "dedup-covers")
-    spans = again.where("not mixed").select("id", "th", F.col("first").alias("start"), (F.col("last") + W).alias("stop"))
-    spans = spans.unionByName(mixed.join(covers, ["g", "c"]).select("id", "th", (F.col("at") - F.col("back")).alias("start"), (F.col("at") + F.col("ahead")).alias("stop")))
-    return keyed, spans.groupBy("id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    for done in (several, contexts, classes):
+        base.forget(done)
+    spans = again.select("g", "c", "id", "th", "at").join(covers, ["g", "c"]).select("id", "th", (F.col("at") - F.col("back")).alias("start"), (F.col("at") + F.col("ahead")).alias("stop"))
+    spans = base.stored(spans.groupBy("id", "th").agg(F.collect_set(F.struct("start", "stop")).alias("spans")), "dedup-spans")
+    for done in (again, covers):
+        base.forget(done)
+    return keyed, spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[list[int]]:
