@@ -86,8 +86,48 @@ def test_error_of_fingerprints(spark):
         t, after = docs[r["doc_id"]], docs[ids[(ids.index(r["doc_id"]) + 1) % len(ids)]]
         edited = t[: len(t) - len(t) // 4] + after[: len(t) // 4]
         error += [r["near_edited"] - weighted_jaccard(t, edited), r["near_next"] - weighted_jaccard(t, after)]
-        assert len(r["fingerprint"]) == len(r["edited_fingerprint"]) == 8 * 32
-    assert np.sqrt(np.mean(np.square(error))) < 0.07
+        assert len(r["fingerprint"]) == len(r["edited_fingerprint"]) == 8 * fingerprint.SAMPLES
+    assert np.sqrt(np.mean(np.square(error))) < 0.055
+
+
+def test_fingerprint_by_its_definition(spark):
+    import math
+
+    import xxhash
+
+    rng = random.Random(4)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 2) for _ in range(n)) for n in (1, 7, 80, 20_000)]
+    r_table, c_table = ([float(f"{v:.9g}") for v in t] for t in fingerprint.tables())
+
+    def print_of(text):
+        out = []
+        for k in range(fingerprint.SAMPLES):
+            best = []
+            for word, n in Counter(WORD.findall(text)).items():
+                h = xxhash.xxh64_intdigest(k.to_bytes(4, "little"), xxhash.xxh64_intdigest(xxhash.xxh64_digest(word, 42)[::-1], 42))
+                r, log_c, b = r_table[h & (fingerprint.R_STEPS - 1)], c_table[h >> 10 & (fingerprint.C_STEPS - 1)], (h >> 22 & (1 << 20) - 1) / (1 << 20)
+                t = math.floor(math.log(n) / r + b)
+                best.append((int((log_c - r * (t - b + 1) + 64) * (1 << 24)), (h >> 32 ^ t * 0x9E3779B1) & 0xFFFFFFFF))
+            out.append(f"{min(best)[1]:08x}")
+        return "".join(out)
+
+    ids = [-(2**63) + 5, 7, 8, 2**63 - 9]
+    got = {r["doc_id"]: r for r in fingerprint.fingerprint_documents(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string")).collect()}
+    assert [got[i]["fingerprint"] for i in ids] == list(map(print_of, texts))
+    for i, (x, text) in enumerate(zip(ids, texts, strict=True)):
+        after, k = texts[(i + 1) % 4], len(text) // 4
+        assert got[x]["edited_sha256"] == hashlib.sha256((text[: len(text) - k] + after[:k]).encode()).hexdigest()
+
+
+@pytest.mark.parametrize("quantiles", [1024, 4])
+def test_ranges_keep_the_order(spark, quantiles):
+    rng = random.Random(quantiles)
+    ids = [-(2**63), 2**63 - 1, None, None] + [rng.randint(0, 10**6) for _ in range(4000)] + [2**52 + i for i in range(500)]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    number, parts = fingerprint.ranges(df, 50, quantiles=quantiles)
+    rows = sorted((r["doc_id"] if r["doc_id"] is not None else -(2**64), r["b"]) for r in df.withColumn("b", number).collect())
+    assert parts == -(-len(ids) // 50) and [b for _, b in rows] == sorted(b for _, b in rows)
+    assert quantiles == 4 or max(Counter(b for _, b in rows).values()) < 250
 
 
 TEXTS = ["", "  a  b\n\nc ", " ", "   ", "▁a▁ b", "\n", "a\x00b", "<0x0A></s><s>", "aaaa" * 300, "漢字かな🙂é́", " \t x", "hello’s", "x" * 1000, "a.\n\n  b, c.\nD"]

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from . import base
 
-SAMPLES = 32
+SAMPLES = 64
 #: Samples that one aggregate row takes; few enough for the compiled method to stay small.
 LANES = 8
 #: Entries of the quantile tables of r and of ln c, powers of two.
@@ -90,25 +90,48 @@ def written(sig: Column) -> Column:
     return F.coalesce(F.array_join(F.transform(sig, lambda x: F.lower(F.lpad(F.hex(x), 8, "0"))), ""), F.lit("-"))
 
 
-def with_next(docs: DataFrame, per_bucket: int = 1000, most_buckets: int = 100_000) -> DataFrame:
+def ranges(docs: DataFrame, per_range: int, most: int = 100_000, quantiles: int = 1024) -> tuple[Column, int]:
+    """A column that numbers ranges of doc_id, in order, of about per_range rows, and about how many there are; null ids come first.
+
+    Up to `quantiles` bounds are quantiles of doc_id, so that ids may lie anywhere in a long; between them ranges are of equal width.
+    Spark finds quantiles as doubles: ids beyond 2 ** 53 are told apart as far as a double does, which ranges do not depend on otherwise.
+    """
+    parts = docs.agg(F.count("*")).first()[0]
+    parts = max(1, min(most, -(-parts // per_range)))
+    cuts = min(quantiles, parts)
+    found = docs.agg(F.percentile_approx("doc_id", [i / cuts for i in range(cuts)], 10 * quantiles)).first()[0]
+    bounds = sorted(set(found or [0]))
+    array = F.array(*[F.lit(x).cast("long") for x in bounds])
+    at = F.greatest(F.size(F.filter(array, lambda x: x <= F.col("doc_id"))), F.lit(1))
+    inner = -(-parts // cuts)
+    if inner == 1:
+        number = at.cast("long")
+    else:  # beyond quantiles * per_range rows; as doubles, which keep the order
+        high = docs.agg(F.max("doc_id")).first()[0]
+        widths = [max(1.0, (float(b) - float(a)) / inner) for a, b in zip(bounds, [*bounds[1:], high if high is not None else 0], strict=True)]
+        step = (F.col("doc_id").cast("double") - F.element_at(array, at).cast("double")) / F.element_at(F.array(*map(F.lit, widths)), at)
+        number = at.cast("long") * inner + F.least(F.greatest(F.floor(step), F.lit(0)), F.lit(inner - 1))
+    return F.when(F.col("doc_id").isNull(), F.lit(-1).cast("long")).otherwise(number), parts
+
+
+def with_next(docs: DataFrame, per_bucket: int = 1000) -> DataFrame:
     """bucket, at, ghost, doc_id, text, next_text: each row with its successor's text by (doc_id, text), the first after the last.
 
     Rows are dealt by ranges of doc_id, and each bucket also gets a ghost of the first row of the next bucket, so that no
     window spans the table. Null ids come first. The result is distributed by bucket, ordered in it by `at`.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = rows.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low if low is not None else 0, high if high is not None else 0
-    width = max(1, -(-(high - low + 1) // max(1, min(most_buckets, -(-n // per_bucket)))))
-    rows = rows.withColumn("bucket", F.coalesce(F.floor((F.col("doc_id") - F.lit(low)) / width), F.lit(-1)))
-    # most_buckets rows at most: one window, and a broadcast, of bounded size
-    firsts = rows.groupBy("bucket").agg(F.min("doc_id").alias("first"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    number, parts = ranges(rows.select("doc_id"), per_bucket)
+    rows = rows.withColumn("bucket", number)
+    # as many rows as ranges: one window, and a broadcast, of bounded size
+    firsts = base.stored(rows.groupBy("bucket").agg(F.min("doc_id").alias("first")), "print-firsts")
     order = Window.orderBy("bucket")
     final = firsts.agg(F.max("bucket")).first()[0]
     into = firsts.select("first", F.coalesce(F.lag("bucket").over(order), F.lit(final)).alias("into"))
     ghosts = rows.join(F.broadcast(into), F.col("doc_id").eqNullSafe(F.col("first"))).select("doc_id", "text", F.col("into").alias("bucket"), F.lit(True).alias("ghost"))
     inside = Window.partitionBy("bucket").orderBy("ghost", "doc_id", "text")
-    both = rows.withColumn("ghost", F.lit(False)).select("doc_id", "text", "bucket", "ghost").unionByName(ghosts)
+    # as many partitions as buckets: the terms of some thousand texts are counted in memory
+    both = rows.withColumn("ghost", F.lit(False)).select("doc_id", "text", "bucket", "ghost").unionByName(ghosts).repartition(parts, "bucket")
     return both.select("bucket", "ghost", "doc_id", "text", F.row_number().over(inside).alias("at"), F.lead("text").over(inside).alias("next_text"))
 
 
