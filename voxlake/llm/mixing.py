@@ -104,7 +104,7 @@ def mix(docs: DataFrame, keys: list[str], seed: int = 1) -> tuple[DataFrame, Dat
     )
     docs = docs.join(F.broadcast(table) if len(goals) <= 100_000 else table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     docs = docs.withColumn("_h", F.xxhash64(F.lit(seed), *keys))
-    docs = base.running_total(docs, ["src"], "_h", keys, "size", "at", n_rows)
+    docs = base.running_total(docs, ["src"], "_h", [*keys, "size"], "size", "at", n_rows)
     docs = docs.withColumn("_uid", F.struct(*[F.col(k) for k in keys], F.col("src"), F.col("at"), F.col("size")))
     # Where the target goes over the end of the stream, the second pass meets the same documents again.
     passes = docs.where("size > 0 and at < take").withColumn("pass", F.explode(F.expr("sequence(0L, (take - 1 - at) div source_size)")))
@@ -121,7 +121,10 @@ def mix(docs: DataFrame, keys: list[str], seed: int = 1) -> tuple[DataFrame, Dat
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each row of docs (doc_id, text, source); a null text has size 0."""
+    """doc_id, size, source_size, target, taken of each row of docs (doc_id, text, source).
+
+    A null text has size 0, and is taken 0 times; a null source is a source of its own, the last. An empty table gives no rows.
+    """
     slim = docs.select("doc_id", "source", F.coalesce(F.size(F.regexp_extract_all("text", F.lit(base.WORD_SQL), F.lit(0))), F.lit(0)).cast("long").alias("size"))
     slim = base.stored(slim.withColumn("size", F.greatest("size", F.lit(0))), "mix-input")
     return mix(slim, ["doc_id"])[1]
