@@ -62,10 +62,10 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def lists(arrays: list[np.ndarray]) -> pa.ListArray:
+def lists(arrays: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     """Arrays of one kind as the lists of an Arrow column."""
     ends = np.cumsum([0, *map(len, arrays)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, np.int64)))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, kind)))
 
 
 def forget(df: DataFrame) -> None:

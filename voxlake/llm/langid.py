@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import base
@@ -48,24 +48,6 @@ class Centroids:
     def __init__(self, langs: list[str], idf: np.ndarray, centres: np.ndarray, least: np.ndarray):
         self.langs, self.idf, self.centres, self.least = langs, idf, centres, least
 
-    @staticmethod
-    def fit(counts: np.ndarray, langs: list[str], per_language: int = 4, rounds: int = 12, seed: int = 7) -> Centroids:
-        idf = np.log((1 + len(langs)) / (1 + (counts > 0).sum(0))).astype(np.float32) + 1
-        x, names, centres, least = unit(np.log1p(counts) * idf), [], [], []
-        rng, of = np.random.default_rng(seed), np.array(langs)
-        for lang in sorted(set(langs)):
-            own = x[of == lang]
-            c = own[rng.permutation(len(own))[:per_language]]
-            for _ in range(rounds):
-                near = (own @ c.T).argmax(1)
-                c = unit(np.stack([own[near == j].sum(0) if (near == j).any() else c[j] for j in range(len(c))]))
-            best, near = (own @ c.T).max(1), (own @ c.T).argmax(1)
-            for j in range(len(c)):
-                names.append(lang)
-                centres.append(c[j])
-                least.append(0.8 * np.quantile(best[near == j], 0.01) if (near == j).any() else 0.0)
-        return Centroids(names, idf, np.array(centres, np.float32).reshape(-1, DIMS), np.array(least))
-
     def predict(self, text: str | None) -> tuple[str, float, bool]:
         if not text or not self.langs or not LETTER.search(text):
             return "und", 0.0, True
@@ -74,19 +56,34 @@ class Centroids:
         return self.langs[j], float(min(1.0, max(0.0, cosine[j]))), bool(cosine[j] < self.least[j])
 
 
+def centroids_of(x: np.ndarray, per_language: int = 4, rounds: int = 12, seed: int = 7) -> tuple[np.ndarray, list[float]]:
+    """Spherical k-means over unit vectors of one language: unit centroids, and the least usual cosine of each."""
+    c = x[np.random.default_rng(seed).permutation(len(x))[:per_language]]
+    for _ in range(rounds):
+        near = (x @ c.T).argmax(1)
+        c = unit(np.stack([x[near == j].sum(0) if (near == j).any() else c[j] for j in range(len(c))]))
+    best, near = (x @ c.T).max(1), (x @ c.T).argmax(1)
+    return c, [float(0.8 * np.quantile(best[near == j], 0.01)) if (near == j).any() else 0.0 for j in range(len(c))]
+
+
 def training_ids(labels: DataFrame, label: str, per_label: int) -> DataFrame:
-    """doc_id and label of at most per_label rows of each label, those of least hash of doc_id.
+    """doc_id and label of at most per_label rows of each label: all, if there are no more, or those whose hash of doc_id is below
+    a threshold that leaves per_label or fewer (but for a chance of one in a billion).
 
-    Texts take no part, and each task cuts its rows down before the shuffle. So the result may be broadcast: it has
-    per_label rows for each label at most.
+    No label meets in one task: each is counted, and rows are kept one by one. The result, per_label rows a label, may be broadcast.
     """
-    by = Window.partitionBy(label).orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = labels.select("doc_id", label).withColumn("_n", F.row_number().over(by)).where(F.col("_n") <= per_label)
-    return F.broadcast(chosen.drop("_n"))
+    few = max(1.0, per_label - 6 * per_label**0.5)
+    share = labels.groupBy(label).agg(F.count("*").alias("_n")).select(F.col(label).alias("_label"), F.when(F.col("_n") <= per_label, 1.0).otherwise(few / F.col("_n")).alias("_share"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 11) / float(1 << 53)
+    return F.broadcast(labels.join(share, F.col(label) == F.col("_label")).where(place < F.col("_share")).select("doc_id", label))
 
 
 def fit_languages(train: DataFrame, per_label: int = 1000, per_language: int = 4) -> Centroids:
-    """Fit on train (doc_id, text, lang), at most per_label rows of each language (the documented bound; null langs go)."""
+    """Fit on train (doc_id, text, lang), at most per_label rows of each language (the documented bound; null langs go).
+
+    Each language's sample is clustered in a task of its own; the driver gets its centroids. Of a doc_id with several texts the one
+    of least hash is learnt from.
+    """
     base.bounded_batches(train.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,15 +94,30 @@ def fit_languages(train: DataFrame, per_label: int = 1000, per_language: int = 4
                 some = np.flatnonzero(counts).astype(np.int32)
                 index.append(some)
                 value.append(counts[some])
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "i": pa.array(index, pa.list_(pa.int32())), "v": pa.array(value, pa.list_(pa.float32()))})
-
-    ids = training_ids(train.where("lang is not null").select("doc_id", "lang").distinct(), "lang", per_label)
-    rows = train.select("doc_id", "text", "lang").join(ids, ["doc_id", "lang"])
-    got = rows.mapInArrow(run, "doc_id long, lang string, i array<int>, v array<float>").toArrow().sort_by([("lang", "ascending"), ("doc_id", "ascending")])
-    counts = np.zeros((got.num_rows, DIMS), np.float32)
-    for n, (i, v) in enumerate(zip(got["i"], got["v"], strict=True)):
-        counts[n, i.values.to_numpy()] = v.values.to_numpy()
-    return Centroids.fit(counts, got["lang"].to_pylist(), per_language)
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "lang": batch.column("lang"), "i": base.lists(index, np.int32), "v": base.lists(value, np.float32)})
+
+    ids = training_ids(train.where("lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang").distinct(), "lang", per_label)
+    rows = train.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.xxhash64("text").alias("th")).join(ids, ["doc_id", "lang"])
+    rows = rows.groupBy("doc_id", "lang").agg(F.min_by("text", F.struct("th", "text")).alias("text"))
+    rows = base.stored(rows.mapInArrow(run, "doc_id long, lang string, i array<int>, v array<float>"), "lang-sample")
+    total = rows.count()
+    held = rows.select(F.explode("i").alias("i")).groupBy("i").count().toArrow()  # DIMS rows at most
+    df = np.zeros(DIMS)
+    df[held["i"].to_numpy()] = held["count"].to_numpy()
+    idf = np.log((1 + total) / (1 + df)).astype(np.float32) + 1
+
+    def cluster(table: pa.Table) -> pa.Table:
+        table = table.sort_by("doc_id")
+        counts = np.zeros((table.num_rows, DIMS), np.float32)
+        for n, (i, v) in enumerate(zip(table["i"], table["v"], strict=True)):
+            counts[n, i.values.to_numpy()] = v.values.to_numpy()
+        c, least = centroids_of(unit(np.log1p(counts) * idf), per_language)
+        return pa.table({"lang": pa.array([table["lang"][0].as_py()] * len(c), pa.string()), "j": pa.array(range(len(c)), pa.int32()), "centre": base.lists(list(c.astype(np.float32)), np.float32), "least": pa.array(least, pa.float64())})
+
+    got = rows.groupBy("lang").applyInArrow(cluster, "lang string, j int, centre array<float>, least double").toArrow().sort_by([("lang", "ascending"), ("j", "ascending")])
+    base.forget(rows)
+    centres = np.array([x.values.to_numpy() for x in got["centre"]], np.float32).reshape(-1, DIMS)
+    return Centroids(got["lang"].to_pylist(), idf, centres, got["least"].to_numpy())
 
 
 def predict_languages(docs: DataFrame, model: Centroids) -> DataFrame:

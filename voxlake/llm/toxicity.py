@@ -11,7 +11,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import base
@@ -22,23 +23,10 @@ TOKEN = re.compile(r"\w+")
 THRESHOLD = 0.7
 
 
-class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
-        import xxhash
-
-        if len(self) > 500_000:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-HASHES = _Hashes()
-
-
 def features(text: str | None) -> np.ndarray:
     """Sorted distinct feature numbers of a text: words, pairs, and pairs with one word left out; the bias stands apart."""
     words = TOKEN.findall((text or "").lower())
-    h = np.fromiter(map(HASHES.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     grams = [h]
     for skip, salt in ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F)):
         if len(h) > skip:
@@ -80,20 +68,26 @@ class Ftrl:
         return float(1 / (1 + np.exp(-np.clip(self._dense[features(text)].sum() + self.bias, -35, 35))))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 6000, **options) -> Ftrl:
-    """Fit on docs (doc_id, text) with labels (doc_id, toxic), at most per_label ids of each label (the documented bound).
+def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 6000, per_label_features: int = 6_000_000, **options) -> Ftrl:
+    """Fit on docs (doc_id, text) with labels (doc_id, toxic): of each label per_label ids about, and rows of per_label_features features at most.
 
-    Null labels and held-out ids are not learnt from. Of several labels for an id the largest counts.
+    Both are documented bounds of the sample: the driver receives four bytes for each feature. Rows are taken in order of a hash of
+    their id. Null labels and held-out ids are not learnt from. Of several labels for an id the largest counts.
     """
     base.bounded_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "i": pa.array([features(t.as_py()) for t in batch.column("text")], pa.list_(pa.int32()))})
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "toxic": batch.column("toxic"), "th": batch.column("th"), "i": base.lists([features(t.as_py()) for t in batch.column("text")], np.int32)})
 
     marks = labels.where("toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = docs.select("doc_id", "text").join(training_ids(marks, "toxic", per_label), "doc_id")
-    got = rows.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, i array<int>").toArrow().sort_by([("doc_id", "ascending"), ("toxic", "ascending")])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).join(training_ids(marks, "toxic", per_label), "doc_id").dropDuplicates(["doc_id", "th"])
+    rows = base.stored(rows.select("doc_id", "text", "toxic", "th").mapInArrow(run, "doc_id long, toxic int, th long, i array<int>"), "toxic-sample")
+    # per_label rows a label: a window over their sizes alone
+    so_far = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "th")
+    chosen = rows.select("doc_id", "toxic", "th", F.size("i").alias("n")).withColumn("sum", F.sum("n").over(so_far)).where(F.col("sum") <= per_label_features)
+    got = rows.join(F.broadcast(chosen.select("doc_id", "th")), ["doc_id", "th"]).select("doc_id", "th", "toxic", "i").toArrow().sort_by([("doc_id", "ascending"), ("th", "ascending")])
+    base.forget(rows)
     return Ftrl.fit([i.values.to_numpy() for i in got["i"]], got["toxic"].to_numpy(), **options)
 
 
