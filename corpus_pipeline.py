@@ -67,7 +67,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lists = passes.groupBy("doc_id", "th").agg(F.array_sort(F.collect_list(F.struct("pass", "start", "stop", "size"))).alias("passes"))
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), "lang", "source", F.col("text").alias("_text"))
     both = texts.join(lists.hint("shuffle_hash"), ["doc_id", "th"]).select("doc_id", "lang", "source", "_text", "passes")
-    return both.mapInArrow(_passages, "doc_id long, text string, lang string, source string, n_chars long")
+    return both.mapInArrow(base.lean(_passages), "doc_id long, text string, lang string, source string, n_chars long")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

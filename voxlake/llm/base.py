@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import math
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +21,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 #: Arrow batches are bounded by bytes, not only by rows, as texts differ by four orders of magnitude.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -68,6 +70,21 @@ def lists(arrays: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, kind)))
 
 
+def lean(run: Callable) -> Callable:
+    """run over Arrow batches, then what the worker has freed goes back to the system: workers live on from stage to stage."""
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return over
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that stored() wrote, once nothing reads it any more."""
     spark = df.sparkSession

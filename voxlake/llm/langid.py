@@ -99,7 +99,7 @@ def fit_languages(train: DataFrame, per_label: int = 1000, per_language: int = 4
     ids = training_ids(train.where("lang is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "lang").distinct(), "lang", per_label)
     rows = train.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang", F.xxhash64("text").alias("th")).join(ids, ["doc_id", "lang"])
     rows = rows.groupBy("doc_id", "lang").agg(F.min_by("text", F.struct("th", "text")).alias("text"))
-    rows = base.stored(rows.mapInArrow(run, "doc_id long, lang string, i array<int>, v array<float>"), "lang-sample")
+    rows = base.stored(rows.mapInArrow(base.lean(run), "doc_id long, lang string, i array<int>, v array<float>"), "lang-sample")
     total = rows.count()
     held = rows.select(F.explode("i").alias("i")).groupBy("i").count().toArrow()  # DIMS rows at most
     df = np.zeros(DIMS)
@@ -136,7 +136,7 @@ def predict_languages(docs: DataFrame, model: Centroids) -> DataFrame:
                 "score": pa.array([r[1] for r in rows], pa.float64()), "rejected": pa.array([r[2] for r in rows], pa.bool_()),
             })
 
-    return docs.select("doc_id", "text", held_out("doc_id").alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return docs.select("doc_id", "text", held_out("doc_id").alias("held_out")).mapInArrow(base.lean(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id: str):

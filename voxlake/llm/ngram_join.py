@@ -36,7 +36,7 @@ FAMILY, FAMILY_GRAMS, PIVOTS, PIVOT_GRAMS = 4000, 2_000_000, 256, 250_000
 #: Of a gram that a batch holds more often, two rows go to the bucket, so that no bucket receives it from each document.
 BATCH_MOST = 2
 #: (gram, class) rows that a bucket receives, and classes whose counts meet in one, about.
-BUCKET, COUNTED = 500_000, 1_000_000
+BUCKET, COUNTED = 250_000, 500_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)
 
 
@@ -312,11 +312,11 @@ def _shared_grams(table: DataFrame, column: str, name: str) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets, counted = max(parts, math.ceil((total or 0) / BUCKET)), max(1, math.ceil(classes / COUNTED))
     kinds = "kind int, bucket long, rows binary"
-    packed = base.stored(table.select("c", column).mapInArrow(_packed(column, buckets, counted), kinds), f"{name}-packed")
-    met = packed.where("kind = 0").repartition(buckets, "bucket").mapInArrow(_met(counted), kinds)
+    packed = base.stored(table.select("c", column).mapInArrow(base.lean(_packed(column, buckets, counted)), kinds), f"{name}-packed")
+    met = packed.where("kind = 0").repartition(buckets, "bucket").mapInArrow(base.lean(_met(counted)), kinds)
     met = base.stored(met.unionByName(packed.where("kind = 1")), f"{name}-met")
     base.forget(packed)
-    out = base.stored(met.repartition(max(parts, counted), "bucket").mapInArrow(_summed, "c long, k long"), name)
+    out = base.stored(met.repartition(max(parts, counted), "bucket").mapInArrow(base.lean(_summed), "c long, k long"), name)
     base.forget(met)
     return out
 
@@ -423,7 +423,7 @@ def _pool_labels(pool: DataFrame, links: DataFrame, percent: int) -> DataFrame:
         rows = dealt.withColumns({"chunk": F.pmod(F.xxhash64("c"), "chunks").cast("int"), "pivot": F.lit(False)})
         pivots = dealt.join(chosen, "c").withColumns({"chunk": F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)), "pivot": F.lit(True)})
         both = rows.select(*columns, "chunk", "pivot").unionByName(pivots.select(*columns, "chunk", "pivot"))
-        met = both.repartition("family", "chunk").sortWithinPartitions("family", "chunk", F.desc("pivot"), "c").mapInArrow(_against(percent), "a long, b long")
+        met = both.repartition("family", "chunk").sortWithinPartitions("family", "chunk", F.desc("pivot"), "c").mapInArrow(base.lean(_against(percent)), "a long, b long")
         links = base.stored(links.unionByName(met), "join-links")
         label = base.stored(components(links).select(F.col("node").alias("c"), "label"), "join-label")
         pool = base.stored(pool.select(*columns).join(chosen, "c", "left_anti"), "join-pool")
@@ -437,7 +437,7 @@ def labelled(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
     spark = docs.sparkSession
     base.bounded_batches(spark)
     read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    table = base.stored(read.mapInArrow(_classes(n, percent), "doc_id long, th long, c long, second long, n int, first array<long>"), "join-classes")
+    table = base.stored(read.mapInArrow(base.lean(_classes(n, percent)), "doc_id long, th long, c long, second long, n int, first array<long>"), "join-classes")
     classes = table.where("n > 0").groupBy("c").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("n").alias("n"), F.min("second").alias("s0"), F.max("second").alias("s1"))
     classes = base.stored(classes.withColumn("old", F.col("c")), "join-reps")
     clash = classes.where("s0 <> s1").select("c")
@@ -451,7 +451,7 @@ def labelled(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
     wanted = base.stored(wanted.select("c", "old", F.col("rep.doc_id").alias("rep"), F.col("rep.th").alias("rep_th")), "join-wanted")
     # sets are made anew from the texts of the classes that are looked at
     texts = read.join(F.broadcast(wanted) if wanted.count() <= 500_000 else wanted, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-    sets = base.stored(texts.select("c", "old", "text").mapInArrow(_sets(n), "c long, grams array<long>"), "join-sets")
+    sets = base.stored(texts.select("c", "old", "text").mapInArrow(base.lean(_sets(n)), "c long, grams array<long>"), "join-sets")
     again = _shared_grams(sets, "grams", "join-again").where("k > 0")
     again = sets.join(again, "c").where(100 * F.col("k") >= percent * F.size("grams"))
     few = base.stored(again.select("c", "grams").dropDuplicates(["c"]), "join-sets")
@@ -473,7 +473,7 @@ def labelled(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
     large = base.stored(large, "join-large")
     families = families.join(large, "family", "left").select("c", "family", F.coalesce("large", F.lit(False)).alias("large"))
     inside = sets.join(families, "c")
-    links = inside.where("not large").repartition("family").sortWithinPartitions("family", "c").mapInArrow(_families(percent), "a long, b long")
+    links = inside.where("not large").repartition("family").sortWithinPartitions("family", "c").mapInArrow(base.lean(_families(percent)), "a long, b long")
     links = base.stored(links, "join-links")
     label = _stars(links) if large.isEmpty() else _pool_labels(inside.where("large"), links, percent)
     out = table.select("doc_id", "th", "c", "n").join(base.stored(label, "join-label"), "c", "left")

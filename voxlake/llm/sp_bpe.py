@@ -19,6 +19,8 @@ from itertools import accumulate
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from . import base
+
 SPACE = "▁"
 
 
@@ -130,6 +132,12 @@ class PieceModel:
             self.known[key] = ids
         return ids
 
+    def forget(self) -> None:
+        """Empty the tables that grow with what is met."""
+        self.known, self.old, self.n_pairs = {}, {}, 0
+        for row in self.rows[:-1]:
+            row.clear()
+
     def decode(self, ids: bytes) -> str:
         """The text of little-endian 32-bit ids; the dummy prefix goes, begin and end give nothing."""
         said = b"".join(map(self.output.__getitem__, memoryview(ids).cast("I")))
@@ -173,5 +181,6 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame
                 ends = pa.array([0, *accumulate(n)], pa.int32())
                 cols["ids"] = pa.ListArray.from_arrays(ends, pa.Array.from_buffers(pa.int32(), sum(n), [None, pa.py_buffer(b"".join(kept))]))
             yield pa.RecordBatch.from_pydict(cols)
+        m.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)
+    return docs.select("doc_id", "text").mapInArrow(base.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)

@@ -32,7 +32,7 @@ SEGMENT = 1 << 19
 #: Classes of an anchor, or of a part of it, that one task sorts.
 MOST = 256
 #: Anchors that a bucket receives, about. Of an anchor that a batch holds more often than twice, the rest passes by.
-BUCKET = 400_000
+BUCKET = 150_000
 BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
 
@@ -288,7 +288,7 @@ def _covers(contexts: DataFrame) -> DataFrame:
             classes = base.stored(rows.groupBy("key", "t").agg(F.count("*").alias("m"), F.min(F.struct("bytes", "a")).alias("x")).select("key", "t", "x.*", "m"), "dedup-parts")
         large = base.stored(classes.groupBy("key").count().where(F.col("count") > MOST).select("key"), "dedup-large")
         sorted_here = classes.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key", "t")
-        found = sorted_here.mapInArrow(_reaches, "key long, t long, back int, ahead int")
+        found = sorted_here.mapInArrow(base.lean(_reaches), "key long, t long, back int, ahead int")
         if level:
             # surroundings of several classes, cut down to equal ones, repeat as they are
             full = classes.where("m > 1").select("key", "t", F.col("a").alias("back"), (F.length("bytes") - F.col("a")).alias("ahead"))
@@ -302,7 +302,7 @@ def _covers(contexts: DataFrame) -> DataFrame:
             return covers
         kinds = "g long, c long, key long, t long, low int, high int, bytes binary, a int"
         before = rows
-        rows = base.stored(rows.join(large, "key").select("g", "c", "low", "high", "bytes", "a").mapInArrow(_split, kinds), "dedup-split")
+        rows = base.stored(rows.join(large, "key").select("g", "c", "low", "high", "bytes", "a").mapInArrow(base.lean(_split), kinds), "dedup-split")
         if level:
             base.forget(before)
             base.forget(classes)
@@ -320,14 +320,14 @@ def removed_spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     keyed = docs.withColumns({"id": F.coalesce(F.col("doc_id"), F.lit(-1)).cast("long"), "th": F.xxhash64("text")})
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-2 * n_bytes // ((W - K) * BUCKET)))
-    packed = keyed.select("id", "th", "text").mapInArrow(_packed(buckets), "kind int, bucket long, rows binary").repartition(buckets, "bucket")
-    again = base.stored(packed.mapInArrow(_repeated, "g long, c long, id long, th long, at int, back int, fore int"), "dedup-repeated")
+    packed = keyed.select("id", "th", "text").mapInArrow(base.lean(_packed(buckets)), "kind int, bucket long, rows binary").repartition(buckets, "bucket")
+    again = base.stored(packed.mapInArrow(base.lean(_repeated), "g long, c long, id long, th long, at int, back int, fore int"), "dedup-repeated")
     classes = again.groupBy("g", "c").agg(F.count("*").alias("n"), F.min(F.struct("id", "th", "at", "back", "fore")).alias("one"))
     classes = base.stored(classes.select("g", "c", "n", "one.*"), "dedup-classes")
     several = base.stored(classes.groupBy("g").count().where("count > 1").select("g"), "dedup-several")
     wanted = classes.join(several, "g").groupBy("id", "th").agg(F.collect_list(F.struct("g", "c", "at", "back", "fore")).alias("wanted"))
     texts = keyed.select("id", "th", "text").join(wanted.hint("shuffle_hash"), ["id", "th"])
-    contexts = base.stored(texts.select("text", "wanted").mapInArrow(_contexts, "g long, c long, bytes binary, a int").dropDuplicates(["g", "c"]), "dedup-contexts")
+    contexts = base.stored(texts.select("text", "wanted").mapInArrow(base.lean(_contexts), "g long, c long, bytes binary, a int").dropDuplicates(["g", "c"]), "dedup-contexts")
     covers = _covers(contexts).unionByName(classes.where("n > 1").select("g", "c", "back", (W - F.col("fore")).alias("ahead")))
     covers = base.stored(covers.groupBy("g", "c").agg(F.max("back").alias("back"), F.max("ahead").alias("ahead")), "dedup-covers")
     for done in (several, contexts, classes):
@@ -384,4 +384,4 @@ def dedup_documents(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text:
                 cols["kept_text"] = pa.array([r[3].decode("utf-8", "ignore") for r in rows], pa.string())
             yield pa.RecordBatch.from_pydict(cols)
 
-    return asked.mapInArrow(run, fields)
+    return asked.mapInArrow(base.lean(run), fields)

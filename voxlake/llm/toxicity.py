@@ -82,7 +82,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 6000, per_
 
     marks = labels.where("toxic is not null").where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("th")).join(training_ids(marks, "toxic", per_label), "doc_id").dropDuplicates(["doc_id", "th"])
-    rows = base.stored(rows.select("doc_id", "text", "toxic", "th").mapInArrow(run, "doc_id long, toxic int, th long, i array<int>"), "toxic-sample")
+    rows = base.stored(rows.select("doc_id", "text", "toxic", "th").mapInArrow(base.lean(run), "doc_id long, toxic int, th long, i array<int>"), "toxic-sample")
     # per_label rows a label: a window over their sizes alone
     so_far = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id", "th")
     chosen = rows.select("doc_id", "toxic", "th", F.size("i").alias("n")).withColumn("sum", F.sum("n").over(so_far)).where(F.col("sum") <= per_label_features)
@@ -103,4 +103,4 @@ def score_toxicity(docs: DataFrame, model: Ftrl, keep: tuple[str, ...] = ("doc_i
             cols = {k: batch.column(k) for k in keep}
             yield pa.RecordBatch.from_pydict(cols | {"score": pa.array(s, pa.float64()), "predicted": pa.array([int(x >= THRESHOLD) for x in s], pa.int32())})
 
-    return scored.mapInArrow(run, fields)
+    return scored.mapInArrow(base.lean(run), fields)
