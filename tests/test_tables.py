@@ -12,8 +12,8 @@ from voxlake.streaming import patches
 
 
 def test_longest_common_substring(spark):
-    rows = spark.createDataFrame([("raw_input", "raw_target"), ("in_key", "target_key"), ("abc", "xyz"), ("", "a")], "a string, b string")
-    assert [r[0] for r in rows.select(text.longest_common_substring(F.col("a"), F.col("b"))).collect()] == ["raw_", "_key", "", ""]
+    rows = spark.createDataFrame([("blue whale", "blunt"), ("north sea", "deep sea"), ("fog", "tin"), ("", "a"), ("abab", "ba ab")], "a string, b string")
+    assert [r[0] for r in rows.select(text.longest_common_substring(F.col("a"), F.col("b"))).collect()] == ["blu", " sea", "", "", "ab"]
 
 
 def test_longest_common_substring_of_all_parts(spark):
@@ -96,3 +96,26 @@ def test_stream_of_patches(spark, tmp_path):
         stream = spark.readStream.schema("z0 int, dz int, v double, seq int").parquet(source)
         patches.write_patches(stream, out, f"{tmp_path}/ck", ["z"], "seq", {"z": 4}).awaitTermination()
     assert {(r["z"], r["v"]) for r in patches.last_state(spark, out, ["z"]).collect()} == {(0, 2.0), (1, 2.0)}
+
+
+def test_ngff_reads_only_the_chunks_of_a_window(spark, tmp_path):
+    ngff.register(spark)
+    path, data = f"{tmp_path}/w.zarr", np.arange(12 * 12 * 12, dtype=np.float32).reshape(12, 12, 12)
+    at = [(z, y, x) for z in range(4) for y in range(4) for x in range(4)]
+    rows = [("v", "s0", z, y, x, 3 * z, 3 * y, 3 * x, [3, 3, 3], data[3 * z : 3 * z + 3, 3 * y : 3 * y + 3, 3 * x : 3 * x + 3].ravel().tolist()) for z, y, x in at]
+    save = lambda rows, mode, **more: spark.createDataFrame(rows, ngff.SCHEMA).write.format("ngff").mode(mode).options(**({"path": path, "shape": "12,12,12", "chunks": "3,3,3"} | more)).save()
+    save(rows, "append")
+    windows = [[[-2, 2], [4, 8], [6, 9]], [[11, 15], [0, 1], [0, 12]], [[20, 24], [0, 3], [0, 3]]]
+    reader = ngff.NgffReader({"path": path, "window": json.dumps(windows)})
+    assert sum(len(p.ids) for p in reader.partitions()) == 2 + 4
+    got = {(r["cz"], r["cy"], r["cx"]): r["data"] for r in spark.read.format("ngff").options(path=path, window=json.dumps(windows)).load().collect()}
+    assert set(got) == {(0, 1, 2), (0, 2, 2), (3, 0, 0), (3, 0, 1), (3, 0, 2), (3, 0, 3)} and all(got[z, y, x] == data[3 * z : 3 * z + 3, 3 * y : 3 * y + 3, 3 * x : 3 * x + 3].ravel().tolist() for z, y, x in got)
+    # a part of a chunk leaves the rest; another form is refused, or replaces what was there
+    save([("v", "s0", 0, 1, 2, 0, 3, 6, [1, 1, 2], [-1.0, -2.0])], "append")
+    part = {(r["cz"], r["cy"], r["cx"]): r["data"] for r in spark.read.format("ngff").options(path=path).load().collect()}
+    assert part[0, 1, 2] == [-1.0, -2.0, *got[0, 1, 2][2:]] and len(part) == 64
+    with pytest.raises(Exception, match="overwrite"):
+        save(rows[:1], "append", shape="6,6,6")
+    save(rows[:1], "overwrite", shape="6,6,6")
+    last = {(r["cz"], r["cy"], r["cx"]): r["data"] for r in spark.read.format("ngff").options(path=path).load().collect()}
+    assert len(last) == 8 and last[0, 0, 0] == rows[0][-1] and not any(any(v) for k, v in last.items() if k != (0, 0, 0))

@@ -6,6 +6,7 @@ unknown: out of bounds, or a class that nobody annotated.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
@@ -39,6 +40,9 @@ class Image:
         self.rows, self.shape, self.spec, self.pad, self.pad_value, self.interpolation, self.volume_id, self.transform = voxels, tuple(shape), spec, pad, pad_value, interpolation, volume_id, transform
         self.voxel_size, self.origin = dict(zip(AXES, map(float, voxel_size), strict=True)), dict(zip(AXES, map(float, origin), strict=True))
 
+    #: Of a stored volume: the voxels of the chunks that windows of stored voxels touch, and no others.
+    within = None
+
     @staticmethod
     def open(spark: SparkSession, path: str, spec: Spec, **options) -> Image:
         """A group's level nearest to the scale asked for; its chunks become voxels when read."""
@@ -47,8 +51,10 @@ class Image:
         best = catalog.nearest_level(table, F.array(*[F.lit(spec.scale[a]) for a in AXES]), ["volume_id"]).first()["level"]
         level = table.where(F.col("level") == best).first()
         shape = ngff.read_json(f"{path.removeprefix('file://')}/{level['path']}/.zarray")["shape"][-3:]
-        chunks = spark.read.format("ngff").options(path=path, level=level["path"], volume_id="0").load()
-        return Image(voxels_of(chunks), shape, level["voxel_size"] or list(spec.scale.values()), level["origin"], spec, **options)
+        chunks = spark.read.format("ngff").options(path=path, level=level["path"], volume_id="0")
+        image = Image(voxels_of(chunks.load()), shape, level["voxel_size"] or list(spec.scale.values()), level["origin"], spec, **options)
+        image.within = lambda windows: voxels_of(spark.read.format("ngff").options(path=path, level=level["path"], volume_id="0", window=json.dumps(windows)).load())
+        return image
 
     @property
     def bounding_box(self) -> boxes.Box:
@@ -81,7 +87,8 @@ class Image:
         starts = [(self.volume_id, i, *[math.floor((c[a] - self.origin[a]) / self.voxel_size[a] - n / 2) for a, n in zip(AXES, read, strict=True)]) for i, c in enumerate(centres)]
         kind = self.rows.schema["volume_id"].dataType.simpleString()
         asked = spark.createDataFrame(starts, f"volume_id {kind}, patch_id int, z0 int, y0 int, x0 int")
-        inside = self.rows.where(" and ".join(f"{a} >= {min(s[2 + i] for s in starts)} and {a} < {max(s[2 + i] for s in starts) + read[i]}" for i, a in enumerate(AXES)))
+        rows = self.within([[[s[2 + i], s[2 + i] + n] for i, n in enumerate(read)] for s in starts]) if self.within else self.rows
+        inside = rows.where(" and ".join(f"{a} >= {min(s[2 + i] for s in starts)} and {a} < {max(s[2 + i] for s in starts) + read[i]}" for i, a in enumerate(AXES)))
         patch, shape = scan.read_voxels(asked, inside, tuple(read), self.pad_value).select(F.col("patch_id").alias("idx"), "dz", "dy", "dx", "v"), tuple(read)
         if any(abs(self.voxel_size[a] - self.spec.scale[a]) / max(self.spec.scale[a], 1e-9) > 0.01 for a in AXES):
             patch, shape = (spatial.resample_nearest if self.interpolation == "nearest" else spatial.resample_linear)(patch, ["idx"], shape, out), out

@@ -80,7 +80,21 @@ def active_classes(spark, sf_dir):
     return R.crops(spark, sf_dir).groupBy("class").agg(F.count("*").alias("n_crops"), F.min("crop").alias("first_crop"))
 
 
-@query()
+#: The draws as a recursion over (draw, counts of the active classes, row): the least seen class, one of its crops, its classes counted.
+BALANCED = f"""with recursive mat as (select crop, [{", ".join(f"cast(c{k} as int)" for k in range(10))}] as has, row_number() over (order by crop) as r from ({SQL["crop_class_matrix"]})),
+k as (select list(has order by crop) as has, list(crop order by crop) as crops from mat),
+o as (select list(c order by c) as active, list(rows order by c) as rows from (select c, list(r order by r) as rows from mat, (select unnest(range(1, 11)) as c) x where has[c] = 1 group by c)),
+run(i, seen, r) as (select -1, list_transform(active, lambda c: 0), cast(0 as bigint) from o
+ union all select i + 1, list_transform(range(1, len(seen) + 1), lambda j: seen[j] + k.has[drawn][o.active[j]]), drawn from (
+  select i, seen, o.rows[c][1 + cast(floor(u2 * len(o.rows[c])) as bigint)] as drawn from (
+   select i, seen, tied[1 + cast(floor(u1 * len(tied)) as bigint)] as c, u2 from (
+    select i, seen, list_filter(range(1, len(seen) + 1), lambda j: seen[j] = list_min(seen)) as tied,
+     cast(('0x' || substr(md5('42:0:' || (i + 1) || ':class'), 1, 8)) as bigint) / 4294967296.0 as u1, cast(('0x' || substr(md5('42:0:' || (i + 1) || ':crop'), 1, 8)) as bigint) / 4294967296.0 as u2
+    from run where i < 199) a) b, o) d, o, k)
+select cast(i as int) as pos, cast(k.crops[r] as int) as crop from run, k where i >= 0"""
+
+
+@query(BALANCED)
 def balanced_sampler(spark, sf_dir):
     """200 draws over the 50 crops; the matrix has 50 rows whatever the table's size."""
     rows = {r["crop"]: [r[f"c{k}"] for k in range(10)] for r in crop_class_matrix(spark, sf_dir).collect()}
@@ -141,17 +155,20 @@ def split_target_path(spark, sf_dir):
     return rows.withColumn("s", catalog.split_target(F.col("path"))).select("path", "s.template", F.array_join("s.classes", "|").alias("classes"))
 
 
-@query("""with p as (select p_partkey, p_type as a, p_name as b from part where p_partkey <= 150), s as (select p_partkey, i, n, substr(a, cast(i as bigint), cast(n as bigint)) as t from p, range(1, 30) r(i), range(1, 30) q(n) where i + n - 1 <= length(a) and contains(b, substr(a, cast(i as bigint), cast(n as bigint)))),
-o as (select *, row_number() over (partition by p_partkey order by n desc, i) as rn from s) select p.p_partkey, coalesce(t, '') as lcs from p left join (select * from o where rn = 1) o on o.p_partkey = p.p_partkey""")
+#: Every substring of p_type that p_name holds; the longest, then the first, of each part.
+LONGEST = """with s as (select p_partkey, i, n, substr(p_type, i, n) as t from part, lateral (select unnest(range(1, length(p_type) + 1)) as i) a, lateral (select unnest(range(1, length(p_type) - i + 2)) as n) b where contains(p_name, substr(p_type, i, n))),
+o as (select *, row_number() over (partition by p_partkey order by n desc, i) as rn from s) select part.p_partkey, coalesce(t, '') as lcs from part left join (select * from o where rn = 1) o on o.p_partkey = part.p_partkey"""
+
+
+@query(LONGEST)
 def longest_common_substring(spark, sf_dir):
-    return R.table(spark, sf_dir, "part").where("p_partkey <= 150").select("p_partkey", text.longest_common_substring(F.col("p_type"), F.col("p_name")).alias("lcs"))
+    return R.table(spark, sf_dir, "part").select("p_partkey", text.longest_common_substring(F.col("p_type"), F.col("p_name")).alias("lcs"))
 
 
-@query("""with s as (select p_partkey, i, n, substr(p_type, i, n) as t from part, lateral (select unnest(range(1, length(p_type) + 1)) as i) a, lateral (select unnest(range(1, length(p_type) - i + 2)) as n) b where contains(p_name, substr(p_type, i, n))),
-o as (select *, row_number() over (partition by p_partkey order by n desc, i) as rn from s) select part.p_partkey, coalesce(t, '') as lcs from part left join (select * from o where rn = 1) o on o.p_partkey = part.p_partkey""")
+@query(LONGEST)
 def longest_common_substring_whole(spark, sf_dir):
-    """As longest_common_substring, which stops at part 150 as its SQL does, over the whole table."""
-    return R.table(spark, sf_dir, "part").select("p_partkey", text.longest_common_substring(F.col("p_type"), F.col("p_name")).alias("lcs"))
+    """Another name of longest_common_substring, from when that one had a limit."""
+    return longest_common_substring(spark, sf_dir)
 
 
 @query("select * from (values ('v0', 0, 's0', 8.0::double, 100.0::double, 'v0'), ('v0', 1, 's1', 8.0, 100.0, 'v0'), ('v0', 2, 's2', 16.0, 104.0, 'v0'), ('v1', 0, 's0', 4.0, 0.0, 'v1'), ('v1', 1, 's1', 4.0, 0.0, 'v1'), ('v1', 2, 's2', 8.0, 2.0, 'v1')) t(volume_id, level, path, scale_z, origin_z, name)")

@@ -1,11 +1,13 @@
 """A Python data source `ngff` for zarr v2 arrays with multiscale attributes: chunks as rows, and volumes written from rows.
 
 Reading: options path (a group or array folder), level (a dataset's path, or nothing for all), volume_id. Each partition is
-a run of chunk ids, so a large array is read by many tasks. Rows: volume_id, level, cz, cy, cx, z0, y0, x0, shape, data.
+a run of chunk ids, so a large array is read by many tasks; the option window (lists of [start, stop) by axis for each window, as
+JSON) leaves the chunks that a window touches. Rows: volume_id, level, cz, cy, cx, z0, y0, x0, shape, data.
 Supported compressors: none, zlib, gzip, bz2, lzma and zstd; others raise an error that names them.
 
 Writing: rows of that form (level `s0`), each a whole chunk; metadata goes out when all tasks have succeeded. Paths are on a
-file system that driver and executors share.
+file system that driver and executors share. Mode overwrite removes the old array; append wants one of the same form, and a row
+smaller than its chunk leaves the rest of the chunk as it is.
 """
 
 from __future__ import annotations
@@ -16,10 +18,12 @@ import itertools
 import json
 import lzma
 import os
+import shutil
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
@@ -66,39 +70,57 @@ def read_chunk(folder: str, meta: dict, at: tuple[int, ...]) -> np.ndarray:
     return np.frombuffer(raw, dtype).reshape(meta["chunks"], order=meta.get("order", "C"))
 
 
-class ChunkRange(InputPartition):
-    def __init__(self, folder: str, level: str, first: int, stop: int):
-        self.folder, self.level, self.first, self.stop = folder, level, first, stop
+def touched(shape: list[int], chunks: list[int], windows: list[list[list[int]]]) -> list[int]:
+    """Flat ids, in order, of the chunks that windows over the last axes touch; leading axes are taken whole."""
+    grid, found = [-(-n // c) for n, c in zip(shape, chunks, strict=True)], set()
+    for window in windows:
+        ranges = [range(g) for g in grid[: len(grid) - len(window)]]
+        for (start, stop), n, c in zip(window, shape[-len(window) :], chunks[-len(window) :], strict=True):
+            ranges.append(range(max(0, start) // c, -(-min(stop, n) // c) if stop > 0 else 0))
+        found.update(int(np.ravel_multi_index(at, grid)) for at in itertools.product(*ranges))
+    return sorted(found)
+
+
+class Chunks(InputPartition):
+    def __init__(self, folder: str, level: str, ids: range | list[int]):
+        self.folder, self.level, self.ids = folder, level, ids
 
 
 class NgffReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path = options["path"].removeprefix("file://").rstrip("/")
         self.level, self.volume, self.run = options.get("level"), options.get("volume_id") or os.path.basename(self.path), int(options.get("chunksperpartition", 64))
+        self.windows = json.loads(options["window"]) if options.get("window") else None
 
-    def partitions(self) -> list[ChunkRange]:
+    def partitions(self) -> list[Chunks]:
         out = []
         for level in level_paths(self.path):
             if self.level in (None, level):
                 folder = f"{self.path}/{level}".rstrip("/")
                 meta = read_json(f"{folder}/.zarray")
-                total = int(np.prod([-(-n // c) for n, c in zip(meta["shape"], meta["chunks"], strict=True)]))
-                out += [ChunkRange(folder, level, i, min(i + self.run, total)) for i in range(0, total, self.run)]
+                ids = range(int(np.prod([-(-n // c) for n, c in zip(meta["shape"], meta["chunks"], strict=True)])))
+                if self.windows is not None:
+                    ids = touched(meta["shape"], meta["chunks"], self.windows)
+                out += [Chunks(folder, level, ids[i : i + self.run]) for i in range(0, len(ids), self.run)]
         return out
 
-    def read(self, part: ChunkRange) -> Iterator[tuple]:
+    def read(self, part: Chunks) -> Iterator[pa.RecordBatch]:
         meta = read_json(f"{part.folder}/.zarray")
         shape, chunks = meta["shape"], meta["chunks"]
         grid = [-(-n // c) for n, c in zip(shape, chunks, strict=True)]
         lead = len(shape) - 3
-        for flat in range(part.first, part.stop):
+        for flat in part.ids:
             at = tuple(int(i) for i in np.unravel_index(flat, grid))
             start = [i * c for i, c in zip(at, chunks, strict=True)]
             data = read_chunk(part.folder, meta, at)[tuple(slice(0, min(c, n - s)) for c, n, s in zip(chunks, shape, start, strict=True))]
             pad = [0] * max(0, -lead)
-            cz, cy, cx = (pad + list(at))[-3:]
-            z, y, x = (pad + start)[-3:]
-            yield (self.volume, part.level, cz, cy, cx, z, y, x, [int(n) for n in data.shape], data.astype(np.float32).ravel().tolist())
+            places = [*(pad + list(at))[-3:], *(pad + start)[-3:]]
+            values = np.ascontiguousarray(data, np.float32).ravel()
+            cols = {"volume_id": pa.array([self.volume], pa.string()), "level": pa.array([part.level], pa.string())}
+            cols |= {k: pa.array([v], pa.int32()) for k, v in zip(("cz", "cy", "cx", "z0", "y0", "x0"), places, strict=True)}
+            cols["shape"] = pa.array([[int(n) for n in data.shape]], pa.list_(pa.int32()))
+            cols["data"] = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values))
+            yield pa.RecordBatch.from_pydict(cols)
 
 
 class Written(WriterCommitMessage):
@@ -117,15 +139,22 @@ class NgffWriter(DataSourceWriter):
         self.shape, self.chunks = [int(x) for x in nums("shape", "")], [int(x) for x in nums("chunks", "")]
         self.voxel_size, self.origin = nums("voxel_size", "1,1,1"), nums("origin", "0,0,0")
         self.dtype, self.unit, self.overwrite = options.get("dtype", "float32"), options.get("unit", "nanometer"), overwrite
+        old = f"{self.path}/s0"
+        if overwrite:
+            shutil.rmtree(old, ignore_errors=True)
+        elif os.path.exists(f"{old}/.zarray"):
+            meta = read_json(f"{old}/.zarray")
+            if (meta["shape"], meta["chunks"], np.dtype(meta["dtype"])) != (self.shape, self.chunks, np.dtype(self.dtype)) or meta.get("compressor"):
+                raise ValueError("what is there differs in shape, chunks, dtype or compressor; overwrite it")
 
     def write(self, rows: Iterator) -> Written:
         folder, n = f"{self.path}/s0", 0
         os.makedirs(folder, exist_ok=True)
         for row in rows:
-            whole = np.zeros(self.chunks, self.dtype)
+            name = f"{folder}/{row['cz']}.{row['cy']}.{row['cx']}"
+            whole = np.fromfile(name, self.dtype).reshape(self.chunks) if os.path.exists(name) else np.zeros(self.chunks, self.dtype)
             data = np.asarray(row["data"], np.float32).reshape(row["shape"])
             whole[tuple(slice(0, k) for k in data.shape)] = data.astype(self.dtype)
-            name = f"{folder}/{row['cz']}.{row['cy']}.{row['cx']}"
             with open(f"{name}.{os.getpid()}.tmp", "wb") as f:
                 f.write(whole.tobytes())
             os.replace(f.name, name)  # a task that runs twice leaves one whole chunk
