@@ -87,8 +87,37 @@ def _escaped_sql(column: str) -> str:
     return out
 
 
+#: Shingles as texts, pairs that share one, and what is reached over links.
+JOIN_SQL = """with recursive w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end) as g from w),
+n as (select doc_id, count(*) as n from s group by doc_id),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as k from s a join s b on a.g = b.g and a.doc_id <> b.doc_id group by a.doc_id, b.doc_id),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * k >= 80 * (x.n + y.n - k)),
+r(a, b) as (select distinct a, a from l union select r.a, l.b from r join l on r.b = l.a),
+c as (select a, min(b) as b from r group by a)
+select d.doc_id, coalesce(n.n, 0) as n_shingles, coalesce(c.b, d.doc_id) as component_id from documents d left join n on n.doc_id = d.doc_id left join c on c.a = d.doc_id"""
+
+#: Base figures by windows over words and lines; lines in more than 50 and 1 % of a host's distinct texts are taken out.
+RULES_SQL = """with w as (select doc_id, source as host, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as w from documents),
+t as (select doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] as g from (select doc_id, w, unnest(range(1, len(w) - 1)) as i from w)),
+again as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as n from t) where n > 1),
+repeated as (select doc_id, count(distinct i + j) as n from again, (select unnest([0, 1, 2]) as j) x group by doc_id),
+l as (select doc_id, host, text, unnest(string_split(text, chr(10))) as line from w),
+e as (select doc_id, host, text, line, regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+') as lw from l),
+dup as (select doc_id, count(*) - count(distinct line) as n from e where len(lw) > 0 group by doc_id),
+norm as (select doc_id, host, text, regexp_replace(lower(array_to_string(lw, ' ')), '[0-9]', '0', 'g') as line, len(lw) as k from e where len(lw) > 0),
+hosts as (select host, count(distinct text) as n from w group by host),
+over as (select c.host, line from (select host, line, count(distinct text) as n from norm group by host, line) c join hosts h on h.host is not distinct from c.host where c.n > greatest(50, h.n * 0.01)),
+gone as (select doc_id, sum(k) as n from norm join over on over.line = norm.line and over.host is not distinct from norm.host group by doc_id),
+f as (select w.doc_id, len(w) as n_words, length(regexp_replace(w.text, '[\\x20\\x09-\\x0D]+', '', 'g')) as word_chars, length(w.text) - length(regexp_replace(w.text, '[#*$%&|<>]', '', 'g')) as n_symbols,
+ coalesce(dup.n, 0) as n_dup_lines, coalesce(repeated.n, 0) as n_repeat_words, coalesce(gone.n, 0) as gone from w left join dup on dup.doc_id = w.doc_id left join repeated on repeated.doc_id = w.doc_id left join gone on gone.doc_id = w.doc_id)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
+ n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_words - gone >= 0.5 * n_words as kept, cast(gone as bigint) as n_line_words_removed from f"""
+
 #: The other operators have no SQL form that runs on whole tables; tests hold them against brute force or held-out rows.
 ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_join": JOIN_SQL,
+    "op6_quality_rules": RULES_SQL,
     "op9_chat_formatting": "with c as (select conv_id, turn, role, text from conversations union all select * from (values "
     + ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in SPOILT)
     + f""") v)
