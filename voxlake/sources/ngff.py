@@ -3,7 +3,7 @@
 Reading: options path (a group or array folder), level (a dataset's path, or nothing for all), volume_id. Each partition is
 a run of chunk ids, so a large array is read by many tasks; the option window (lists of [start, stop) by axis for each window, as
 JSON) leaves the chunks that a window touches. Rows: volume_id, level, cz, cy, cx, z0, y0, x0, shape, data.
-Supported compressors: none, zlib, gzip, bz2, lzma and zstd; others raise an error that names them.
+Supported compressors: none, blosc, zlib, gzip, bz2, lzma and zstd; others raise an error that names them.
 
 Writing: rows of that form (level `s0`), each a whole chunk; metadata goes out when all tasks have succeeded. Paths are on a
 file system that driver and executors share. Mode overwrite removes the old array; append wants one of the same form, and a row
@@ -28,6 +28,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from pyspark.sql.types import StructType
 
 from ..session import importable
+from . import blosc
 
 SCHEMA = "volume_id string, level string, cz int, cy int, cx int, z0 int, y0 int, x0 int, shape array<int>, data array<float>"
 
@@ -38,7 +39,7 @@ def _zstd(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompressobj().decompress(data)
 
 
-DECODERS = {"zlib": zlib.decompress, "gzip": gzip.decompress, "bz2": bz2.decompress, "lzma": lzma.decompress, "zstd": _zstd}
+DECODERS = {"blosc": blosc.decode, "zlib": zlib.decompress, "gzip": gzip.decompress, "bz2": bz2.decompress, "lzma": lzma.decompress, "zstd": _zstd}
 
 
 def read_json(path: str) -> dict:
