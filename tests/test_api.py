@@ -2,8 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from voxlake import boxes
-from voxlake.api import Dataset, Image, Loader, MultiDataset, Spec, Split, Writer
+from voxlake.api import Dataset, DatasetWriter, Image, Loader, MultiDataset, Spec, Split, Writer
+from voxlake.functions import shapes
 from voxlake.functions import values as V
+from voxlake.operators import spatial, stats
 from voxlake.sources import ngff
 
 
@@ -93,3 +95,103 @@ def test_split_open_and_write(spark, tmp_path):
         out[r["z"], r["y"], r["x"]] = r["v"]
     np.testing.assert_array_equal(out, data)
     assert writer.shape == {"z": 4, "y": 4, "x": 4} and len(writer.centres()) == 1
+
+
+def test_targets_are_stacked_in_class_order_under_each_name(spark):
+    spec, one = Spec((2, 2, 2), (8, 8, 8)), np.ones((6, 6, 6))
+    d = Dataset({"raw": image(spark, one, spec)}, {"b": image(spark, 3 * one, spec), "gap": None, "a": image(spark, 5 * one, spec)}, spec, ("near", "far"), {"a": lambda v: v * 2, "gap": lambda v: v * 0})
+    got = {(r["target"], r["channel"]): (r["n"], r["v"]) for r in d.read_targets([0, 1]).groupBy("target", "channel").agg(F.count("*").alias("n"), F.max("v").alias("v")).collect()}
+    assert set(got) == {(t, c) for t in ("near", "far") for c in range(3)} and {n for n, _ in got.values()} == {16}
+    assert got["far", 0][1] == 3 and np.isnan(got["near", 1][1]) and got["near", 2][1] == 10
+    assert "classes=['b', 'gap', 'a']" in repr(d)
+
+
+def test_split_sources_and_views(spark):
+    d = dataset(spark)
+
+    def build(raw, template, classes, train):
+        if raw == "broken":
+            raise OSError("no such volume")
+        return d
+
+    paths = {"Train_1": [("a", "t"), ("broken", "t"), ("", "t")], "validate": [("b", "t")]}
+    with pytest.warns(UserWarning, match="broken"):
+        split = Split.of(spark, build, paths=paths, csv="unused")
+    assert (len(split.train), len(split.validate), [p for p, _ in split.failed]) == (1, 1, ["broken"])
+    assert len(split.train_combined) == 216 and split.validate_blocks.indices == MultiDataset([d]).validation_indices() and repr(split) == "Split(train=1, validate=1, failed=1)"
+    assert len(split.validate_blocks.loader(4)) == -(-len(split.validate_blocks) // 4)
+    small = Dataset({}, {"a": None}, Spec((2, 2, 2), (8, 8, 8)))
+    assert Split.of(spark, build, prebuilt={"train": [small]}, paths=paths).train == [small]  # as it is, though it has no sample
+    with pytest.warns(UserWarning, match="broken"):
+        assert split.rebuilt(spark, lambda *row: small if row[0] != "broken" else build(*row)).train == [] and len(split.train) == 1
+    assert Split.of(spark).train == []
+
+
+def test_loader_orders(spark):
+    m = MultiDataset([dataset(spark), dataset(spark)])
+    given = Loader(m, 2, order=lambda epoch: [epoch, 216, epoch], balanced=True)
+    assert len(given) == 2
+    rows = given.epoch_rows()
+    assert {(r["batch_id"], r["pos"], r["dataset"], r["idx"]) for r in rows.select("batch_id", "pos", "dataset", "idx").distinct().collect()} == {(0, 0, 0, 0), (0, 1, 1, 0), (1, 2, 0, 0)}
+    assert rows.count() == 3 * 3 * 64
+    balanced = Loader(m, 4, balanced=True, per_epoch=6)
+    assert len(balanced) == 2 and balanced._order() == m.balanced(6, 0, 0)
+    assert Loader(m, 4, balanced=True, train=False)._order() == list(range(432))
+    none = MultiDataset([Dataset({}, {"a": None}, Spec((2, 2, 2), (8, 8, 8)))])
+    with pytest.warns(UserWarning, match="no dataset"):
+        assert Loader(none, balanced=True)._order() == []
+
+
+def test_writer_by_name_inputs_and_read_back(spark):
+    spec = Spec((2, 2, 2), (8, 8, 8))
+    data = np.arange(64.0).reshape(4, 4, 4) + 1
+    w = DatasetWriter({a: (0.0, 32.0) for a in "zyx"}, spec, ["mito", "er", "nuc"], ["out"], ["er", "golgi", "mito"])
+    centres = [{"z": 0.0, "y": 8.0, "x": 8.0}, {"z": 24.0, "y": 24.0, "x": 24.0}]
+    inputs = w.inputs(image(spark, data, spec), centres)
+    first = array(inputs.where("idx = 0"), (2, 2, 2))
+    assert (first[0] == 0).all() and (first[1] == data[0, :2, :2]).all()  # padded with 0
+    channels = inputs.withColumn("channel", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2)))).withColumn("v", F.col("v") + 100 * F.col("channel"))
+    got = {(r["class"], r["z"], r["y"], r["x"]): r["v"] for r in w.write({"idx": inputs, "other": inputs, "out": channels, "nuc": inputs}, centres).collect()}
+    assert {k[0] for k in got} == {"mito", "er", "nuc"} and len(got) == 3 * (4 + 8)
+    assert got["er", 0, 1, 1] == data[0, 1, 1] and got["mito", 3, 3, 3] == 264 and got["nuc", 2, 2, 2] == data[2, 2, 2]
+    whole = w.write({"out": inputs}, centres)
+    assert whole.groupBy("class").count().where("count = 12").count() == 3
+    voxels = image(spark, data, spec).rows
+    assert {(r["z"], r["y"], r["x"]) for r in w.read_back(voxels, {"z": 0.0, "y": 8.0, "x": 30.0}).collect()} == {(0, y, x) for y in (0, 1) for x in (3,)}
+    with pytest.raises(TypeError, match="dz"):
+        w.write({"mito": spark.createDataFrame([(0, 1.0)], "idx int, v double")}, centres)
+    with pytest.raises(ValueError, match="no array"):
+        w.write({"other": inputs}, centres)
+    assert [len(c) for c, _ in w.blocks(image(spark, data, spec), 3)] == [len(w.centres())]
+
+
+def test_draws(spark):
+    ids = spark.range(400)
+    rows = spatial.drawn(ids, "id", {"mirror": {"x": 1.0, "y": 0.0}, "transpose": True, "rotate": {"axes": {"z": (10, 20), "x": 5}}}).collect()
+    assert all(r["mirror_x"] and not r["mirror_y"] and 10 <= r["angle_z"] <= 20 and abs(r["angle_x"]) <= 5 for r in rows)
+    assert len({tuple(r["perm"]) for r in rows}) == 6 and all(sorted(r["perm"]) == [0, 1, 2] for r in rows)
+    assert spatial.drawn(ids, "id", {"mirror": True}).columns == ["id", "mirror_z", "mirror_y", "mirror_x"] and spatial.drawn(ids, "id", {}).columns == ["id"]
+
+
+def test_remembered_counts(spark, tmp_path):
+    asked, calls = spark.createDataFrame([("v", "a"), ("v", "b")], "volume_id string, class string"), []
+
+    def count(lacking):
+        calls.append(lacking.count())
+        return lacking.withColumn("n", F.length("class"))
+
+    path = f"{tmp_path}/counts"
+    more = asked.union(spark.createDataFrame([("w", "long")], asked.schema))
+    assert stats.remembered(asked, path, count).count() == 2 and stats.remembered(asked, path, count).count() == 2
+    assert {(r["class"], r["n"]) for r in stats.remembered(more, path, count).collect()} == {("a", 1), ("b", 1), ("long", 4)} and calls == [2, 1]
+
+
+def test_singleton_moves_at_any_depth():
+    got = shapes.singleton_moved({"raw": {"shape": (4, 1, 5), "scale": (8, 4)}, "more": {"gt": {"shape": [3, 3], "scale": [1, 2, 3]}}}, 0)
+    assert got == {"raw": {"shape": [1, 4, 5], "scale": [8, 8, 4]}, "more": {"gt": {"shape": [1, 3, 3], "scale": [1, 2, 3]}}}
+
+
+def test_default_chains(spark):
+    rows = spark.createDataFrame([(float("nan"),), (300.0,), (0.0,)], "v double")
+    got = rows.select(V.raw_default()(F.col("v")).alias("r"), V.target_default()(F.col("v")).alias("t")).collect()
+    assert [r["r"] for r in got] == [0.0, 300.0, 0.0] and np.isnan(got[0]["t"]) and [r["t"] for r in got[1:]] == [1.0, 0.0]

@@ -74,7 +74,7 @@ def test_rotation():
     assert spatial.rotation_matrix({"z": 360.0}) is None
     m = spatial.rotation_matrix({"z": 90.0})
     data = np.random.default_rng(1).normal(size=(3, 5, 5)).astype(np.float32)
-    np.testing.assert_allclose(spatial.rotate(data, m, convention="world"), np.rot90(data, 1, (1, 2)) if np.allclose(spatial.rotate(data, m, convention="world"), np.rot90(data, 1, (1, 2))) else np.rot90(data, -1, (1, 2)))
+    np.testing.assert_allclose(spatial.rotate(data, m, convention="world"), np.rot90(data, 1, (1, 2)))
     np.testing.assert_allclose(spatial.rotate(data, m, "linear", convention="world"), spatial.rotate(data, m, "nearest", convention="world"), atol=1e-5)
     turned = spatial.rotate(data, spatial.rotation_matrix({"z": 45.0}), convention="world")
     assert np.isnan(turned).any() and turned.shape == data.shape

@@ -6,8 +6,10 @@ unknown: out of bounds, or a class that nobody annotated.
 
 from __future__ import annotations
 
+import copy
 import json
 import math
+import warnings
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 
@@ -32,6 +34,9 @@ class Spec:
         self.scale = dict(zip(AXES, [float(s) for s in [scale[0]] * (3 - len(scale)) + scale], strict=True))
         self.size = {a: n * self.scale[a] for a, n in zip(AXES, self.shape, strict=True)}
 
+    def __repr__(self) -> str:
+        return f"Spec({self.shape}, {self.scale})"
+
 
 class Image:
     """One level of a volume as voxels (volume_id, z, y, x, v), read about world centres."""
@@ -56,6 +61,9 @@ class Image:
         image.within = lambda windows: voxels_of(spark.read.format("ngff").options(path=path, level=level["path"], volume_id="0", window=json.dumps(windows)).load())
         return image
 
+    def __repr__(self) -> str:
+        return f"Image({self.volume_id}, shape={self.shape}, voxel_size={self.voxel_size}, spec={self.spec})"
+
     @property
     def bounding_box(self) -> boxes.Box:
         return {a: (self.origin[a], self.origin[a] + n * self.voxel_size[a]) for a, n in zip(AXES, self.shape, strict=True)}
@@ -115,10 +123,17 @@ def voxels_of(chunks: DataFrame) -> DataFrame:
 
 
 class Dataset:
-    """Inputs by name, and an image for each class (None: not annotated there, which reads as NaN)."""
+    """Inputs by name, and an image for each class (None: not annotated there, which reads as NaN).
+
+    target_names are the names under which a model asks for the classes; transforms gives a class's values a transform, or all
+    classes one; unannotated classes get none.
+    """
 
-    def __init__(self, inputs: dict[str, Image], targets: dict[str, Image | None], target_spec: Spec):
-        self.inputs, self.targets, self.spec, self.classes = inputs, targets, target_spec, list(targets)
+    def __init__(self, inputs: dict[str, Image], targets: dict[str, Image | None], target_spec: Spec, target_names: Iterable[str] = ("target",), transforms: Callable[[Column], Column] | dict[str, Callable[[Column], Column]] | None = None):
+        self.inputs, self.targets, self.spec, self.classes, self.target_names, self.transforms = inputs, targets, target_spec, list(targets), tuple(target_names), transforms
+
+    def __repr__(self) -> str:
+        return f"Dataset(inputs={list(self.inputs)}, classes={self.classes}, spec={self.spec}, samples={len(self)})"
 
     def _images(self) -> list[Image]:
         return [*self.inputs.values(), *(t for t in self.targets.values() if t)]
@@ -154,11 +169,18 @@ class Dataset:
         centres = [boxes.centre(box, self.spec.scale, i) for i in indices]
         spark = self._images()[0].rows.sparkSession
         ids = F.array(*[F.lit(int(i)) for i in indices])
-        parts = [image.read(centres, **transforms).withColumn("source", F.lit(name)) for name, image in [*self.inputs.items(), *self.targets.items()] if image]
+        of = self.transforms.get if isinstance(self.transforms, dict) else lambda _: self.transforms
+        valued = lambda rows, f: rows.withColumn("v", f(F.col("v"))) if f else rows
+        parts = [image.read(centres, **transforms).withColumn("source", F.lit(name)) for name, image in self.inputs.items()]
+        parts += [valued(image.read(centres, **transforms), of(name)).withColumn("source", F.lit(name)) for name, image in self.targets.items() if image]
         empty = spark.range(len(indices)).select(F.col("id").cast("int").alias("idx"), F.explode(scan.offsets(self.spec.shape)).alias("o")).select("idx", "o.*").withColumn("v", F.lit(NAN))
         parts += [empty.withColumn("source", F.lit(name)) for name, image in self.targets.items() if image is None]
         return reduce(DataFrame.unionByName, parts).withColumn("idx", F.get(ids, F.col("idx")))
 
+    def read_targets(self, indices: list[int], **transforms) -> DataFrame:
+        """idx, target, channel, dz, dy, dx, v: the classes in their order as channels, the same under each target name."""
+        return sink.stacked(self.read(indices, **transforms), "source", self.classes, self.target_names)
+
     @property
     def class_counts(self) -> dict[str, int]:
         return {c: i.foreground() if i else 0 for c, i in self.targets.items()}
@@ -212,45 +234,145 @@ class MultiDataset:
         return out
 
 
-class Split:
-    """Training and validation datasets of a split file: a row's name begins with `train`, in any case, or it validates."""
+class Blocks:
+    """Tiles of a MultiDataset that cover each of its datasets once: what validation reads."""
+
+    def __init__(self, data: MultiDataset):
+        self.data, self.indices = data, data.validation_indices()
+
+    def __len__(self) -> int:
+        return len(self.indices)
 
-    def __init__(self, spark: SparkSession, rows: DataFrame, build: Callable[[str, str, list[str], bool], Dataset], force: bool = False):
+    def loader(self, batch_size: int = 1) -> Loader:
+        return Loader(self.data, batch_size, self.indices)
+
+
+class Split:
+    """Training and validation datasets. They are prebuilt, or built from rows (split, raw_path, gt_path) by `build(raw, template,
+    classes, train)`: a row's name begins with `train`, in any case, or it validates.
+
+    A row without a raw path goes. A dataset that cannot be built is kept in `failed` with its error, and one without samples goes
+    unless `force` is set. Prebuilt datasets are taken as they are.
+    """
+
+    def __init__(self, spark: SparkSession | None = None, rows: DataFrame | None = None, build: Callable[[str, str, list[str], bool], Dataset] | None = None, force: bool = False, prebuilt: dict[str, list[Dataset]] | None = None):
+        self.rows, self.build, self.force, self.failed = rows, build, force, []
+        self.train, self.validate = (list((prebuilt or {}).get(k, [])) for k in ("train", "validate"))
+        if prebuilt is not None or rows is None:
+            return
         rows = rows.where("raw_path <> ''").withColumns({"t": catalog.split_target(F.col("gt_path")), "train": catalog.is_training(F.col("split"))})
-        self.train, self.validate = [], []
         for r in rows.collect():  # a catalogue of volumes: small by nature
-            dataset = build(r["raw_path"], r["t"]["template"], list(r["t"]["classes"]), r["train"])
-            if force or dataset.verify():
+            try:
+                dataset = build(r["raw_path"], r["t"]["template"], list(r["t"]["classes"]), r["train"])
+                good = force or dataset.verify()
+            except Exception as error:  # one volume that cannot be opened does not stop the others
+                warnings.warn(f"{r['raw_path']} is left out: {error}", stacklevel=2)
+                self.failed.append((r["raw_path"], error))
+                continue
+            if good:
                 (self.train if r["train"] else self.validate).append(dataset)
 
     @staticmethod
     def from_csv(spark: SparkSession, path: str, build, force: bool = False) -> Split:
         return Split(spark, catalog.read_splits(spark, path), build, force)
 
+    @staticmethod
+    def from_dict(spark: SparkSession, paths: dict[str, list[tuple[str, str]]], build, force: bool = False) -> Split:
+        """From (raw path, target path) pairs by split name."""
+        rows = [(name, raw, target) for name, pairs in paths.items() for raw, target in pairs]
+        return Split(spark, spark.createDataFrame(rows, "split string, raw_path string, gt_path string"), build, force)
+
+    @staticmethod
+    def of(spark: SparkSession, build=None, prebuilt=None, paths=None, csv: str | None = None, force: bool = False) -> Split:
+        """From what is given: prebuilt datasets before paths by split before a file; from nothing, an empty split."""
+        if prebuilt is not None:
+            return Split(prebuilt=prebuilt)
+        if paths is not None:
+            return Split.from_dict(spark, paths, build, force)
+        return Split.from_csv(spark, csv, build, force) if csv is not None else Split()
+
+    def rebuilt(self, spark: SparkSession, build=None, force: bool | None = None) -> Split:
+        """A split of the same rows with other arrays, transforms or force; this one stays as it is."""
+        return Split(spark, self.rows, build or self.build, self.force if force is None else force)
+
+    @property
+    def train_combined(self) -> MultiDataset:
+        return MultiDataset(self.train)
+
+    @property
+    def validate_combined(self) -> MultiDataset:
+        return MultiDataset(self.validate)
+
+    @property
+    def train_blocks(self) -> Blocks:
+        return Blocks(self.train_combined)
+
+    @property
+    def validate_blocks(self) -> Blocks:
+        return Blocks(self.validate_combined)
+
     @property
     def class_counts(self) -> dict[str, dict[str, int]]:
-        return {"train": MultiDataset(self.train).class_counts, "validate": MultiDataset(self.validate).class_counts}
+        return {"train": self.train_combined.class_counts, "validate": self.validate_combined.class_counts}
+
+    def __repr__(self) -> str:
+        return f"Split(train={len(self.train)}, validate={len(self.validate)}, failed={len(self.failed)})"
 
 
 class Loader:
-    """Batches of samples in an order given or shuffled by hash; the last batch may be short."""
+    """Batches of samples in an order that is given (a list, or a function of the epoch), balanced over classes, or shuffled by hash.
 
-    def __init__(self, data: MultiDataset, batch_size: int = 1, indices: list[int] | None = None, shuffle: bool = False, seed: int = 0):
+    An order that is given comes before `balanced`, which is for training and wants a class that some dataset holds; without one a
+    warning says so and the order is plain. The last batch may be short.
+    """
+
+    def __init__(self, data: MultiDataset, batch_size: int = 1, indices: list[int] | None = None, shuffle: bool = False, seed: int = 0, order: Callable[[int], list[int]] | None = None, balanced: bool = False, train: bool = True, per_epoch: int | None = None):
         self.data, self.batch_size, self.shuffle, self.seed, self.epoch = data, batch_size, shuffle, seed, 0
-        self.indices = list(range(len(data))) if indices is None else indices
+        self.indices, self.given = list(range(len(data))) if indices is None else indices, order
+        if order is None and balanced and train:
+            if any(map(any, data.crop_class_matrix())):
+                self.given = lambda epoch: data.balanced(per_epoch, seed, epoch)
+                self.indices = range(per_epoch or len(data))
+            else:
+                warnings.warn("no dataset holds a class, so samples are not balanced", stacklevel=2)
 
     def __len__(self) -> int:
-        return -(-len(self.indices) // self.batch_size)
+        return -(-len(self.given(self.epoch) if self.given and not isinstance(self.indices, range) else self.indices) // self.batch_size)
+
+    def __repr__(self) -> str:
+        return f"Loader({self.data}, batch_size={self.batch_size}, epoch={self.epoch})"
+
+    def _order(self) -> list[int]:
+        order = self.given(self.epoch) if self.given else list(self.indices)
+        if self.shuffle and not self.given:
+            order = sorted(order, key=lambda i: sampling.unit(self.seed, self.epoch, i))
+        return order
+
+    def _samples(self, order: list[int]) -> DataFrame:
+        """dataset, pos, idx, source, dz, dy, dx, v: each dataset read once, for all positions of the order that fall into it."""
+        by: dict[int, list[tuple[int, int]]] = {}
+        for pos, i in enumerate(order):
+            d, local = self.data.place(i)
+            by.setdefault(d, []).append((pos, local))
+        parts = []
+        for d, met in by.items():
+            once = sorted({local for _, local in met})
+            rows = self.data.datasets[d].read(once)
+            at = rows.sparkSession.createDataFrame(met, "pos int, idx int")
+            parts.append(rows.join(F.broadcast(at) if len(met) < 100_000 else at, "idx").withColumn("dataset", F.lit(d)))
+        return reduce(DataFrame.unionByName, parts)
+
+    def epoch_rows(self) -> DataFrame:
+        """All batches of the next epoch in one plan, with their batch_id: what is written out or fed on by partition."""
+        order = self._order()
+        self.epoch += 1
+        return self._samples(order).withColumn("batch_id", F.floor(F.col("pos") / self.batch_size).cast("int"))
 
     def __iter__(self) -> Iterator[DataFrame]:
-        order = sorted(self.indices, key=lambda i: sampling.unit(self.seed, self.epoch, i)) if self.shuffle else self.indices
+        order = self._order()
         self.epoch += 1
         for at in range(0, len(order), self.batch_size):
-            by: dict[int, list[int]] = {}
-            for i in order[at : at + self.batch_size]:
-                d, local = self.data.place(i)
-                by.setdefault(d, []).append(local)
-            yield reduce(DataFrame.unionByName, [self.data.datasets[d].read(ids).withColumn("dataset", F.lit(d)) for d, ids in by.items()])
+            yield self._samples(order[at : at + self.batch_size])
 
 
 class Writer:
@@ -264,10 +386,51 @@ class Writer:
         inner = {a: ((lo + self.spec.size[a] / 2, hi - self.spec.size[a] / 2) if hi - lo > self.spec.size[a] else ((lo + hi) / 2,) * 2) for a, (lo, hi) in self.box.items()}
         return [boxes.centre(inner, self.spec.scale, i) for i in boxes.tiles(inner, self.spec.scale, self.spec.size)]
 
-    def placed(self, patches: DataFrame, centres: list[dict[str, float]]) -> DataFrame:
+    def blocks(self, image: Image, batch_size: int = 1) -> Iterator[tuple[list[dict[str, float]], DataFrame]]:
+        """The tiles in batches: their centres, and the input patches (idx, dz, dy, dx, v) about them."""
+        centres = self.centres()
+        for at in range(0, len(centres), batch_size):
+            yield centres[at : at + batch_size], self.inputs(image, centres[at : at + batch_size])
+
+    def inputs(self, image: Image, centres: list[dict[str, float]]) -> DataFrame:
+        """Input patches about the writer's centres: padded with 0 and resampled linearly, whatever the image is set to."""
+        padded = copy.copy(image)
+        padded.pad, padded.pad_value, padded.interpolation = True, 0.0, "linear"
+        return padded.read(centres)
+
+    def read_back(self, voxels: DataFrame, centre: dict[str, float]) -> DataFrame:
+        """Of the output's voxels (z, y, x, v) the window about a centre, clamped to the output and not padded."""
+        starts = {a: round((centre[a] - self.spec.size[a] / 2 - self.box[a][0]) / self.spec.scale[a]) for a in AXES}
+        return sink.window(voxels, {a: (max(0, starts[a]), min(starts[a] + n, self.shape[a])) for a, n in zip(AXES, self.spec.shape, strict=True)})
+
+    def __repr__(self) -> str:
+        return f"Writer(box={self.box}, spec={self.spec})"
+
+    def placed(self, patches: DataFrame, centres: list[dict[str, float]], keys: Iterable[str] = ()) -> DataFrame:
         """z, y, x, v of patches (idx, dz, dy, dx, v) written about centres[idx], in order of idx."""
+        sink.checked(patches)
         spark = patches.sparkSession
         starts = [(i, *[round((c[a] - self.spec.size[a] / 2 - self.box[a][0]) / self.spec.scale[a]) for a in AXES]) for i, c in enumerate(centres)]
         at = spark.createDataFrame(starts, "idx int, z0 int, y0 int, x0 int")
         rows = patches.join(at, "idx").withColumns({f"size_{a}": F.lit(n) for a, n in zip(AXES, self.spec.shape, strict=True)})
-        return sink.last_write(sink.placed(rows, dict(self.shape)), ["z", "y", "x"], "idx")
+        return sink.last_write(sink.placed(rows, dict(self.shape)), [*keys, "z", "y", "x"], "idx")
+
+
+class DatasetWriter(Writer):
+    """An output volume for each class. model_classes name the channels of what a model gives, in their order."""
+
+    def __init__(self, box: boxes.Box, spec: Spec, classes: list[str], arrays: Iterable[str], model_classes: list[str] | None = None):
+        super().__init__(box, spec)
+        self.classes, self.arrays, self.model_classes = list(classes), tuple(arrays), list(model_classes or classes)
+
+    def write(self, arrays: dict[str, DataFrame], centres: list[dict[str, float]]) -> DataFrame:
+        """class, z, y, x, v of patches by name: an array's name has rows (idx, class or channel, dz, dy, dx, v), a class's name
+        has rows (idx, dz, dy, dx, v); `idx`, `__metadata__` and names of neither kind are left out. idx is a place in centres.
+
+        Rows with neither class nor channel under an array's name are written to all classes, as a patch without channels is.
+        """
+        parts = [sink.by_class(rows, name, self.arrays, self.classes, self.model_classes) for name, rows in arrays.items() if name not in ("idx", "__metadata__")]
+        parts = [p for p in parts if p is not None]
+        if not parts:
+            raise ValueError(f"no array is named like one of {self.arrays} or {self.classes}")
+        return self.placed(reduce(DataFrame.unionByName, parts), centres, ["class"])

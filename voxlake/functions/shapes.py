@@ -34,3 +34,13 @@ def sliced(shape: Column, axis: Column) -> Column:
 def expanded_scale(scale: Column) -> Column:
     """Two scales become three: the first is repeated."""
     return F.when(F.size(scale) == 2, F.concat(F.slice(scale, 1, 1), scale)).otherwise(scale)
+
+
+def singleton_moved(arrays: dict, axis: int) -> dict:
+    """Array specifications (shape, scale), at any depth of a dict, with the axis of size 1 at `axis` and three scales; the input stays."""
+    if "shape" in arrays and "scale" in arrays:
+        shape, scale = list(arrays["shape"]), list(arrays["scale"])
+        if 1 in shape:
+            shape.remove(1)
+        return arrays | {"shape": shape[:axis] + [1] + shape[axis:], "scale": scale[:1] + scale if len(scale) == 2 else scale}
+    return {name: singleton_moved(inner, axis) for name, inner in arrays.items()}

@@ -42,6 +42,27 @@ def finite(v: Column) -> Column:
     return F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(0.0)).otherwise(v)
 
 
+def chained(*steps: Callable[[Column], Column]) -> Callable[[Column], Column]:
+    """The steps one after another, as one transform."""
+
+    def run(v: Column) -> Column:
+        for step in steps:
+            v = step(v)
+        return v
+
+    return run
+
+
+def raw_default() -> Callable[[Column], Column]:
+    """What raw arrays get unless told otherwise: doubles, which are not rescaled as they are no integers, and NaN as 0."""
+    return chained(lambda v: v.cast("double"), nan_to_num(0.0))
+
+
+def target_default() -> Callable[[Column], Column]:
+    """What targets get unless told otherwise: 1 above 0, NaN kept."""
+    return chained(lambda v: v.cast("double"), binarize(0.0))
+
+
 def add_noise(v: Column, z: Column, mean: float = 0.0, std: float = 0.1) -> Column:
     return v + mean + std * z
 

@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.rng import uniform
+
 NAN = float("nan")
 
 
@@ -96,6 +98,29 @@ def rotation_matrix(degrees: dict[str, float], axes: str = "zyx") -> np.ndarray
     return None if np.allclose(out, np.eye(len(axes))) else out
 
 
+def drawn(samples: DataFrame, key: str, config: dict, seed: int = 0, epoch: int = 0, axes: str = "zyx") -> DataFrame:
+    """samples with mirror_<axis> (boolean), perm (an order of the axes) and angle_<axis> (degrees), as far as config asks for them.
+
+    config: mirror, a probability by axis (or {"axes": ..}; anything else that is true is 0.5 for all); transpose; rotate, a pair
+    or a largest angle by axis. All sources of a sample share its row, and hash draws make reruns agree.
+    """
+    u = lambda *parts: uniform(seed, epoch, key, *map(F.lit, parts))
+    of = lambda c: c.get("axes", c) if isinstance(c, dict) else None
+    out = samples
+    if config.get("mirror"):
+        odds = of(config["mirror"])
+        for a, p in (odds if isinstance(odds, dict) else dict.fromkeys(axes, 0.5)).items():
+            out = out.withColumn(f"mirror_{a}", u("mirror", a) < float(p))
+    if config.get("transpose"):
+        order = F.array_sort(F.array(*[F.struct(u("transpose", a).alias("u"), F.lit(i).alias("i")) for i, a in enumerate(axes)]))
+        out = out.withColumn("perm", F.transform(order, lambda x: x["i"]))
+    angles = of(config.get("rotate"))
+    for a, most in (angles if isinstance(angles, dict) else {}).items():
+        low, high = most if isinstance(most, list | tuple) else (-most, most)
+        out = out.withColumn(f"angle_{a}", F.lit(float(low)) + (float(high) - float(low)) * u("rotate", a))
+    return out
+
+
 def rotate(data: np.ndarray, matrix: np.ndarray, mode: str = "nearest", pad_value: float = NAN, convention: str = "reference") -> np.ndarray:
     """Sample a patch (z, y, x) at the rotated places of its voxels in coordinates that run from -1 to 1 along each axis.
 

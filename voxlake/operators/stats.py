@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 
 def foreground(voxels: DataFrame, keys: list[str]) -> DataFrame:
@@ -30,3 +34,22 @@ def class_weight(total: Column, fg: Column) -> Column:
 def crop_class_matrix(pairs: DataFrame, crop: str, label: str, labels: list) -> DataFrame:
     """crop, a boolean for each label: whether the crop holds it. The labels are given, so the pivot needs no pass of its own."""
     return pairs.groupBy(crop).agg(*[F.bool_or(F.col(label) == v).alias(f"c{v}") for v in labels])
+
+
+def remembered(asked: DataFrame, path: str, count: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """asked (volume_id, class) with n, from the table at `path`; count() is called on what that lacks, and its rows are added to it.
+
+    The statistics lie beside the volumes, which stay as they are.
+    """
+    spark = asked.sparkSession
+    schema = StructType([*asked.select("volume_id", "class").schema.fields, StructField("n", LongType())])
+    try:
+        known = spark.read.schema(schema).parquet(path)
+        lacking = asked.join(known, ["volume_id", "class"], "left_anti")
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        lacking = asked
+    if not lacking.isEmpty():
+        count(lacking).select("volume_id", "class", F.col("n").cast("long")).write.mode("append").parquet(path)
+    return asked.join(spark.read.schema(schema).parquet(path), ["volume_id", "class"], "left")

@@ -183,9 +183,8 @@ def mid_slice_fov(spark, sf_dir):
 @query("with " + R.CUBES + ", u as (select distinct volume_id, " + _U.format("concat_ws(':', 1, 0, volume_id, 'mirror', 'z')") + " as uz, " + _U.format("concat_ws(':', 1, 0, volume_id, 'mirror', 'x')") + " as ux, " + _U.format("concat_ws(':', 1, 0, volume_id, 'rotate', 'z')") + " as r from cubes) select volume_id, uz < 0.5 as mirror_z, ux < 0.3 as mirror_x, round(-20 + 40 * r, 6) as angle_z from u")
 def transform_draw(spark, sf_dir):
     """Parameters of mirror and rotation, drawn once for each sample and shared by all of its sources."""
-    ids = _requests(spark, sf_dir)
-    u = lambda *p: uniform(1, 0, "volume_id", *map(F.lit, p))
-    return ids.select("volume_id", (u("mirror", "z") < 0.5).alias("mirror_z"), (u("mirror", "x") < 0.3).alias("mirror_x"), F.round(u("rotate", "z") * 40 - 20, 6).alias("angle_z"))
+    ids = spatial.drawn(_requests(spark, sf_dir).select("volume_id"), "volume_id", {"mirror": {"axes": {"z": 0.5, "x": 0.3}}, "rotate": {"z": 20}}, seed=1)
+    return ids.withColumn("angle_z", F.round("angle_z", 6))
 
 
 @query("select * from (values ('[4, 4]', true, false, '[4, 4]', '[1, 4, 4]', '[1, 4, 4]'), ('[1, 4, 4]', false, true, '[4, 4]', '[1, 4, 4]', '[1, 4, 4]'), ('[4, 1, 5]', false, true, '[4, 5]', '[1, 4, 5]', '[1, 4, 5]'), ('[1, 1]', true, true, '[1]', '[1]', '[1, 1]'), ('[2, 3, 4]', false, false, '[2, 3, 4]', '[1, 2, 3, 4]', '[1, 2, 3, 4]')) t(shape, is_2d, singleton, squeezed, channel, sliced)")
@@ -194,3 +193,46 @@ def shape_functions(spark, sf_dir):
     text = lambda c: F.concat(F.lit("["), F.array_join(c.cast("array<string>"), ", "), F.lit("]"))
     s = F.col("shape")
     return rows.select(text(s).alias("shape"), shapes.is_2d(s).alias("is_2d"), shapes.has_singleton(s).alias("singleton"), text(shapes.squeezed(s)).alias("squeezed"), text(shapes.with_channel(s)).alias("channel"), text(shapes.sliced(s, F.lit(0))).alias("sliced"))
+
+
+@query("with " + R.CUBES + ", u as (select distinct volume_id, " + ", ".join(_U.format(f"concat_ws(':', 3, 2, volume_id, 'transpose', '{a}')") + f" as u{a}" for a in "zyx") + " from cubes) select volume_id, array_to_string(list_transform(list_sort([{'u': uz, 'i': 0}, {'u': uy, 'i': 1}, {'u': ux, 'i': 2}]), lambda s: s.i), ',') as perm from u")
+def transpose_draw(spark, sf_dir):
+    """A random order of the axes for each sample."""
+    ids = spatial.drawn(_requests(spark, sf_dir).select("volume_id"), "volume_id", {"transpose": True}, seed=3, epoch=2)
+    return ids.select("volume_id", F.array_join(F.col("perm").cast("array<string>"), ",").alias("perm"))
+
+
+def _turned_sql(gx: str, gy: str, gz: str, linear: bool) -> str:
+    """A rotation as SQL: places g of output voxels from coordinates qx, qy, qz, and the voxels about each place with their weights."""
+    at = ", ".join(f"((g{a} + 1) * 4 - 1) / 2 as {a}" for a in "zyx")
+    head = "with " + R.CUBES + ", " + R.grid(4, 4, 4) + ", b as (select dz, dy, dx, (2 * dz + 1) / 4.0::double - 1 as qz, (2 * dy + 1) / 4.0::double - 1 as qy, (2 * dx + 1) / 4.0::double - 1 as qx from grid)"
+    head += f", g as (select dz, dy, dx, {gx} as gx, {gy} as gy, {gz} as gz from b), p as (select dz, dy, dx, greatest(abs(gz), abs(gy), abs(gx)) > 1 as rim, {at} from g)"
+    if linear:
+        taps = "select unnest([0, 1]) as k"
+        weight = lambda a: f"case when {a}k.k = 1 then {a} - floor({a}) else 1 - ({a} - floor({a})) end"
+        head += f", t as (select dz, dy, dx, rim, " + ", ".join(f"cast(floor({a}) as int) + {a}k.k as s{a}" for a in "zyx") + ", " + " * ".join(f"({weight(a)})" for a in "zyx") + f" as w from p, ({taps}) zk, ({taps}) yk, ({taps}) xk)"
+    else:
+        head += ", t as (select dz, dy, dx, rim, " + ", ".join(f"cast(round_even({a}, 0) as int) as s{a}" for a in "zyx") + ", 1.0::double as w from p)"
+    ids = "(select distinct volume_id from cubes) i"
+    summed = "select i.volume_id, dz, dy, dx, case when bool_or(rim) then 'NaN'::double else cast(cast(coalesce(sum(c.v * w), 0) as float) as double) end as v"
+    return head + f", o as ({summed} from {ids} cross join t left join cubes c on c.volume_id = i.volume_id and c.z = sz and c.y = sy and c.x = sx group by all) select volume_id, dz, dy, dx, {TOLD} from o"
+
+
+def _turned(spark, sf_dir, degrees, mode):
+    matrix = spatial.rotation_matrix(degrees)
+    patches = scan.as_patches(_whole(spark, sf_dir), ["volume_id"], (4, 4, 4))
+    cells = patches.mapInPandas(lambda f: scan.stream_patches(f, lambda d: spatial.rotate(d, matrix, mode)), "volume_id long, shape array<int>, data array<double>").select("volume_id", F.posexplode("data").alias("i", "v"))
+    at = cells.select("volume_id", F.floor(F.col("i") / 16).cast("int").alias("dz"), (F.floor(F.col("i") / 4) % 4).cast("int").alias("dy"), (F.col("i") % 4).alias("dx"), "v")
+    return _told(at, "volume_id", "dz", "dy", "dx")
+
+
+@query(_turned_sql("qx * cos(radians(45)) + qy * cos(radians(30)) * sin(radians(45)) + qz * sin(radians(30)) * sin(radians(45))", "-qx * sin(radians(45)) + qy * cos(radians(30)) * cos(radians(45)) + qz * sin(radians(30)) * cos(radians(45))", "-qy * sin(radians(30)) + qz * cos(radians(30))", True))
+def rotate_linear_two_axes(spark, sf_dir):
+    """30 degrees about z, then 45 about x, in the default convention, with the padded rim."""
+    return _turned(spark, sf_dir, {"z": 30.0, "x": 45.0}, "linear")
+
+
+@query(_turned_sql("qx", "qy * cos(radians(30)) + qz * sin(radians(30))", "-qy * sin(radians(30)) + qz * cos(radians(30))", False))
+def rotate_nearest_default(spark, sf_dir):
+    """30 degrees about z in the default convention: as the matrix is applied to x, y, z, it turns the plane of y and z."""
+    return _turned(spark, sf_dir, {"z": 30.0}, "nearest")

@@ -183,14 +183,15 @@ def multiscale_metadata_roundtrip(spark, sf_dir):
     return catalog.levels(made).join(names, "volume_id").select("volume_id", "level", "path", F.get("voxel_size", F.lit(0)).alias("scale_z"), F.get("origin", F.lit(0)).alias("origin_z"), "name")
 
 
-#: Patches of 2 x 2 x 2 written over a 4 x 4 x 4 output, with starts that overlap and leave it.
-WRITES = "with " + R.CUBES + ", p as (select volume_id % 20 as out_id, volume_id as seq, cast(volume_id % 5 as int) - 1 as z0, cast((volume_id // 5) % 4 as int) as y0, cast((volume_id // 3) % 3 as int) as x0, z as dz, y as dy, x as dx, v from cubes where z < 2 and y < 2 and x < 2), w as (select out_id, seq, greatest(z0, 0) + dz as z, greatest(y0, 0) + dy as y, greatest(x0, 0) + dx as x, v from p where greatest(z0, 0) + dz < least(z0 + 2, 4) and y0 + dy < 4 and x0 + dx < 4) "
+#: The whole volumes as patches of 4 x 4 x 4 written over 6 x 6 x 6 outputs, with starts that overlap and leave them on both sides.
+WRITES = "with " + R.CUBES + ", p as (select volume_id % 20 as out_id, volume_id as seq, cast(volume_id % 9 as int) - 3 as z0, cast((volume_id // 5) % 4 as int) as y0, cast((volume_id // 3) % 5 as int) - 1 as x0, z as dz, y as dy, x as dx, v from cubes), w as (select out_id, seq, z0 + dz as z, y0 + dy as y, x0 + dx as x, v from p where z0 + dz >= 0 and z0 + dz < 6 and y0 + dy < 6 and x0 + dx >= 0 and x0 + dx < 6) "
 
 
 def _writes(spark, sf_dir):
-    c = R.cubes(spark, sf_dir).where("z < 2 and y < 2 and x < 2")
-    p = c.select((F.col("volume_id") % 20).alias("out_id"), F.col("volume_id").alias("seq"), ((F.col("volume_id") % 5).cast("int") - 1).alias("z0"), (F.floor(F.col("volume_id") / 5) % 4).cast("int").alias("y0"), (F.floor(F.col("volume_id") / 3) % 3).cast("int").alias("x0"), F.col("z").alias("dz"), F.col("y").alias("dy"), F.col("x").alias("dx"), "v")
-    return sink.placed(p.withColumns({f"size_{a}": F.lit(2) for a in "zyx"}), {"z": 4, "y": 4, "x": 4})
+    n = F.col("volume_id")
+    starts = [((n % 9).cast("int") - 3).alias("z0"), (F.floor(n / 5) % 4).cast("int").alias("y0"), ((F.floor(n / 3) % 5).cast("int") - 1).alias("x0")]
+    p = R.cubes(spark, sf_dir).select((n % 20).alias("out_id"), n.alias("seq"), *starts, *[F.col(a).alias(f"d{a}") for a in "zyx"], "v")
+    return sink.placed(p, {a: 6 for a in "zyx"})
 
 
 @query(WRITES + "select out_id, seq, z, y, x, round(v, 6) as v from w")
@@ -218,8 +219,9 @@ def writer_output_shape(spark, sf_dir):
 @query("with " + R.CUBES + " select volume_id, cast(min(z) as int) as z, cast(count(*) as bigint) as n, round(sum(v), 5) as total from cubes where z >= volume_id % 4 and z < volume_id % 4 + 2 and y < 2 and x < 2 group by 1")
 def writer_read_back(spark, sf_dir):
     """A clamped window without padding."""
-    c = R.cubes(spark, sf_dir)
-    return c.where((F.col("z") >= F.col("volume_id") % 4) & (F.col("z") < F.col("volume_id") % 4 + 2) & (F.col("y") < 2) & (F.col("x") < 2)).groupBy("volume_id").agg(F.min("z").alias("z"), F.count("*").alias("n"), F.round(F.sum("v"), 5).alias("total"))
+    first = F.col("volume_id") % 4
+    c = sink.window(R.cubes(spark, sf_dir), {"z": (first, F.least(first + 2, F.lit(4))), "y": (0, 2), "x": (0, 2)})
+    return c.groupBy("volume_id").agg(F.min("z").alias("z"), F.count("*").alias("n"), F.round(F.sum("v"), 5).alias("total"))
 
 
 @query("select * from (values ('uint8', 255::bigint), ('int8', 127), ('int16', 32767), ('int32', 2147483647), ('int64', 9223372036854775807), ('float32', 1)) t(dtype, most)")
@@ -233,3 +235,21 @@ def verified_datasets(spark, sf_dir):
     """Datasets with samples, or forced."""
     k = R.table(spark, sf_dir, "embeddings").groupBy((F.col("vec_id") % 50).cast("int").alias("dataset")).agg(F.count("*").alias("n"))
     return k.where((F.col("n") > 9) | (F.col("dataset") < 3))
+
+
+@query("with " + R.CUBES + ", p as (select volume_id % 20 as out_id, volume_id as seq, case z when 0 then 'mito' when 2 then 'nuc' else null end as class, cast(volume_id % 5 as int) - 2 + y as y, cast((volume_id // 5) % 5 as int) + x as x, v from cubes) select out_id, class, cast(0 as int) as z, y, x, round(max_by(v, seq), 6) as v from p where class is not null and y >= 0 and y < 6 and x < 6 group by all")
+def writer_by_class(spark, sf_dir):
+    """Slices as channels of four model classes, written about places that leave the output; two of its three classes are met."""
+    n = F.col("volume_id")
+    p = R.cubes(spark, sf_dir).select(n.alias("idx"), F.col("z").alias("channel"), F.lit(0).alias("dz"), F.col("y").alias("dy"), F.col("x").alias("dx"), "v")
+    rows = sink.by_class(p, "out", ("out",), ["mito", "nuc", "golgi"], ["mito", "er", "nuc", "ld"])
+    rows = rows.select((F.col("idx") % 20).alias("out_id"), F.col("idx").alias("seq"), "class", F.lit(0).alias("z0"), ((F.col("idx") % 5).cast("int") - 2).alias("y0"), (F.floor(F.col("idx") / 5) % 5).cast("int").alias("x0"), "dz", "dy", "dx", "v")
+    return sink.last_write(sink.placed(rows, {"z": 1, "y": 6, "x": 6}), ["out_id", "class", "z", "y", "x"], "seq").withColumn("v", F.round("v", 6))
+
+
+@query("with " + R.CUBES + " select volume_id, target, cast(case label when 3 then 0 when 0 then 1 else 2 end as int) as channel, cast(count(*) as bigint) as n, round(sum(v), 5) as total from cubes cross join (select unnest(['near', 'far']) as target) where label in (3, 0, 7) group by all")
+def target_stack(spark, sf_dir):
+    """Classes 3, 0 and 7 as channels of two targets, in that order."""
+    rows = R.cubes(spark, sf_dir).select("volume_id", F.col("label").cast("string").alias("source"), F.col("z").alias("dz"), F.col("y").alias("dy"), F.col("x").alias("dx"), "v")
+    s = sink.stacked(rows, "source", ["3", "0", "7"], ("near", "far"))
+    return s.groupBy("volume_id", "target", "channel").agg(F.count("*").alias("n"), F.round(F.sum("v"), 5).alias("total"))
