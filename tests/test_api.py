@@ -195,3 +195,21 @@ def test_default_chains(spark):
     rows = spark.createDataFrame([(float("nan"),), (300.0,), (0.0,)], "v double")
     got = rows.select(V.raw_default()(F.col("v")).alias("r"), V.target_default()(F.col("v")).alias("t")).collect()
     assert [r["r"] for r in got] == [0.0, 300.0, 0.0] and np.isnan(got[0]["t"]) and [r["t"] for r in got[1:]] == [1.0, 0.0]
+
+
+def test_stored_volume_reads_as_its_voxels_do(spark, tmp_path):
+    ngff.register(spark)
+    data = np.random.default_rng(4).normal(size=(7, 6, 5)).astype(np.float32)
+    path, rows = f"{tmp_path}/c.zarr", []
+    for z, y, x in np.ndindex(3, 2, 2):
+        part = data[3 * z : 3 * z + 3, 4 * y : 4 * y + 4, 3 * x : 3 * x + 3]
+        rows.append(("v", "s0", z, y, x, 3 * z, 4 * y, 3 * x, list(part.shape), part.ravel().tolist()))
+    spark.createDataFrame(rows, ngff.SCHEMA).write.format("ngff").mode("append").options(path=path, shape="7,6,5", chunks="3,4,3", voxel_size="8,8,8").save()
+    spec = Spec((4, 5, 3), (8, 8, 8))
+    stored, plain = Image.open(spark, path, spec), image(spark, data, spec)
+    assert stored.chunk == (3, 4, 3)
+    centres = [{"z": z, "y": y, "x": x} for z in (0.0, 24.0, 56.0, 900.0) for y, x in ((8.0, 40.0), (24.0, 12.0))]
+    keyed = lambda im: {(r["idx"], r["dz"], r["dy"], r["dx"]): r["v"] for r in im.read(centres).collect()}
+    got, want = keyed(stored), keyed(plain)
+    assert set(got) == set(want) and len(got) == 8 * 60
+    np.testing.assert_array_equal([got[k] for k in sorted(got)], [want[k] for k in sorted(got)])

@@ -45,8 +45,8 @@ class Image:
         self.rows, self.shape, self.spec, self.pad, self.pad_value, self.interpolation, self.volume_id, self.transform = voxels, tuple(shape), spec, pad, pad_value, interpolation, volume_id, transform
         self.voxel_size, self.origin = dict(zip(AXES, map(float, voxel_size), strict=True)), dict(zip(AXES, map(float, origin), strict=True))
 
-    #: Of a stored volume: the voxels of the chunks that windows of stored voxels touch, and no others.
-    within = None
+    #: Of a stored volume: its chunk shape, and the chunks that windows of stored voxels touch, and no others.
+    chunk, within = None, None
 
     @staticmethod
     def open(spark: SparkSession, path: str, spec: Spec, **options) -> Image:
@@ -55,10 +55,12 @@ class Image:
         table = catalog.levels(spark.createDataFrame([("0", ngff.read_attrs(path))], "volume_id string, attrs string"))
         best = catalog.nearest_level(table, F.array(*[F.lit(spec.scale[a]) for a in AXES]), ["volume_id"]).first()["level"]
         level = table.where(F.col("level") == best).first()
-        shape = ngff.read_json(f"{path.removeprefix('file://')}/{level['path']}/.zarray")["shape"][-3:]
+        stored = ngff.read_json(f"{path.removeprefix('file://')}/{level['path']}/.zarray")
         chunks = spark.read.format("ngff").options(path=path, level=level["path"], volume_id="0")
-        image = Image(voxels_of(chunks.load()), shape, level["voxel_size"] or list(spec.scale.values()), level["origin"], spec, **options)
-        image.within = lambda windows: voxels_of(spark.read.format("ngff").options(path=path, level=level["path"], volume_id="0", window=json.dumps(windows)).load())
+        image = Image(voxels_of(chunks.load()), stored["shape"][-3:], level["voxel_size"] or list(spec.scale.values()), level["origin"], spec, **options)
+        if len(stored["shape"]) == 3:
+            image.chunk = tuple(stored["chunks"])
+            image.within = lambda windows: spark.read.format("ngff").options(path=path, level=level["path"], volume_id="0", window=json.dumps(windows)).load().withColumn("at", F.lit(None).cast("array<int>"))
         return image
 
     def __repr__(self) -> str:
@@ -95,16 +97,20 @@ class Image:
         starts = [(self.volume_id, i, *[math.floor((c[a] - self.origin[a]) / self.voxel_size[a] - n / 2) for a, n in zip(AXES, read, strict=True)]) for i, c in enumerate(centres)]
         kind = self.rows.schema["volume_id"].dataType.simpleString()
         asked = spark.createDataFrame(starts, f"volume_id {kind}, patch_id int, z0 int, y0 int, x0 int")
-        rows = self.within([[[s[2 + i], s[2 + i] + n] for i, n in enumerate(read)] for s in starts]) if self.within else self.rows
-        inside = rows.where(" and ".join(f"{a} >= {min(s[2 + i] for s in starts)} and {a} < {max(s[2 + i] for s in starts) + read[i]}" for i, a in enumerate(AXES)))
-        patch, shape = scan.read_voxels(asked, inside, tuple(read), self.pad_value).select(F.col("patch_id").alias("idx"), "dz", "dy", "dx", "v"), tuple(read)
+        if self.within:
+            windows = [[[s[2 + i], s[2 + i] + n] for i, n in enumerate(read)] for s in starts]
+            sized = asked.withColumns({f"n{a}": F.lit(n) for a, n in zip(AXES, self.shape, strict=True)})
+            patch = scan.as_voxels(scan.read_chunks(sized, self.within(windows), tuple(read), self.chunk, self.pad_value), ["patch_id"], tuple(read))
+        else:
+            inside = self.rows.where(" and ".join(f"{a} >= {min(s[2 + i] for s in starts)} and {a} < {max(s[2 + i] for s in starts) + read[i]}" for i, a in enumerate(AXES)))
+            patch = scan.read_voxels(asked, inside, tuple(read), self.pad_value)
+        patch, shape = patch.select(F.col("patch_id").alias("idx"), "dz", "dy", "dx", "v"), tuple(read)
         if any(abs(self.voxel_size[a] - self.spec.scale[a]) / max(self.spec.scale[a], 1e-9) > 0.01 for a in AXES):
             patch, shape = (spatial.resample_nearest if self.interpolation == "nearest" else spatial.resample_linear)(patch, ["idx"], shape, out), out
         if rotation is not None:
             mode, value, whole = "nearest" if self.interpolation == "nearest" else "linear", self.pad_value, shape
             turned = scan.as_patches(patch, ["idx"], shape).mapInPandas(lambda f: scan.stream_patches(f, lambda d: spatial.rotate(d, rotation, mode, value)), "idx int, shape array<int>, data array<double>")
-            cells = turned.select("idx", F.posexplode("data").alias("i", "v"))
-            patch = cells.select("idx", F.floor(F.col("i") / (whole[1] * whole[2])).cast("int").alias("dz"), (F.floor(F.col("i") / whole[2]) % whole[1]).cast("int").alias("dy"), (F.col("i") % whole[2]).alias("dx"), "v")
+            patch = scan.as_voxels(turned, ["idx"], whole)
             patch, shape = spatial.centre_crop(patch, shape, out), tuple(min(a, b) for a, b in zip(shape, out, strict=True))
         if mirror:
             patch = spatial.mirror(patch, shape, mirror)

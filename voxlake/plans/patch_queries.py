@@ -54,9 +54,7 @@ def patch_read_chunked(spark, sf_dir):
     """The same reads over 2 x 2 x 2 chunks, joined on chunk ids and assembled with NumPy."""
     req = _requests(spark, sf_dir).withColumns({a: F.lit(4) for a in ("nz", "ny", "nx")})
     got = scan.read_chunks(req, scan.chunked(R.cubes(spark, sf_dir), (2, 2, 2)), (3, 3, 3), (2, 2, 2))
-    cells = got.select("volume_id", F.posexplode("data").alias("i", "v")).withColumn("v", F.col("v").cast("double"))
-    at = cells.select("volume_id", F.floor(F.col("i") / 9).cast("int").alias("dz"), (F.floor(F.col("i") / 3) % 3).cast("int").alias("dy"), (F.col("i") % 3).alias("dx"), "v")
-    return _told(at, "volume_id", "dz", "dy", "dx")
+    return _told(scan.as_voxels(got, ["volume_id"], (3, 3, 3)), "volume_id", "dz", "dy", "dx")
 
 
 @query("with " + R.CUBES + ", req as (select distinct volume_id, cast(volume_id % 9 as int) * 2 - 6 as z0 from cubes) select volume_id, z0, z0 >= 4 or z0 + 3 <= 0 as oob, cast(27 - (select count(*) from cubes c where c.volume_id = r.volume_id and c.z >= z0 and c.z < z0 + 3 and c.y < 3 and c.x < 3) as bigint) as n_nan from req r")
@@ -124,9 +122,8 @@ def rotate_nearest(spark, sf_dir):
     def turn(frames):
         return scan.stream_patches(frames, lambda d: spatial.rotate(d, matrix, "nearest", convention="world"))
 
-    cells = patches.mapInPandas(turn, "volume_id long, shape array<int>, data array<double>").select("volume_id", F.posexplode("data").alias("i", "v"))
-    at = cells.select("volume_id", F.floor(F.col("i") / 16).cast("int").alias("dz"), (F.floor(F.col("i") / 4) % 4).cast("int").alias("dy"), (F.col("i") % 4).alias("dx"), "v")
-    return _told(at, "volume_id", "dz", "dy", "dx")
+    turned = patches.mapInPandas(turn, "volume_id long, shape array<int>, data array<double>")
+    return _told(scan.as_voxels(turned, ["volume_id"], (4, 4, 4)), "volume_id", "dz", "dy", "dx")
 
 
 @query(READ + "select volume_id, dz, dy, dx, isnan(v) as is_nan, case when isnan(v) then 0.0::double when v > 0.25 then 1.0::double else 0.0::double end as v from read")
@@ -221,9 +218,8 @@ def _turned_sql(gx: str, gy: str, gz: str, linear: bool) -> str:
 def _turned(spark, sf_dir, degrees, mode):
     matrix = spatial.rotation_matrix(degrees)
     patches = scan.as_patches(_whole(spark, sf_dir), ["volume_id"], (4, 4, 4))
-    cells = patches.mapInPandas(lambda f: scan.stream_patches(f, lambda d: spatial.rotate(d, matrix, mode)), "volume_id long, shape array<int>, data array<double>").select("volume_id", F.posexplode("data").alias("i", "v"))
-    at = cells.select("volume_id", F.floor(F.col("i") / 16).cast("int").alias("dz"), (F.floor(F.col("i") / 4) % 4).cast("int").alias("dy"), (F.col("i") % 4).alias("dx"), "v")
-    return _told(at, "volume_id", "dz", "dy", "dx")
+    turned = patches.mapInPandas(lambda f: scan.stream_patches(f, lambda d: spatial.rotate(d, matrix, mode)), "volume_id long, shape array<int>, data array<double>")
+    return _told(scan.as_voxels(turned, ["volume_id"], (4, 4, 4)), "volume_id", "dz", "dy", "dx")
 
 
 @query(_turned_sql("qx * cos(radians(45)) + qy * cos(radians(30)) * sin(radians(45)) + qz * sin(radians(30)) * sin(radians(45))", "-qx * sin(radians(45)) + qy * cos(radians(30)) * cos(radians(45)) + qz * sin(radians(30)) * cos(radians(45))", "-qy * sin(radians(30)) + qz * cos(radians(30))", True))
