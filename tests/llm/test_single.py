@@ -276,3 +276,80 @@ def test_recall_of_toxicity(spark):
     marks = [(truth[x], rows[x]["predicted"]) for x in truth if x in rows and rows[x]["held_out"]]
     caught, false = [p for t, p in marks if t], [p for t, p in marks if not t]
     assert np.mean(caught) > 0.7 and np.mean(false) < 0.01
+
+
+def test_line_rules_by_counting(spark):
+    """kept against plain counts: boilerplate on either side of the limit, two hosts, copies and texts that fail the base rules."""
+    rng, rows = np.random.default_rng(8), []
+    body = lambda: " ".join(f"w{k}" for k in rng.integers(0, 9999, 60))
+    for i in range(160):
+        lines = [body()] + (["shared footer " * 40] if i < 70 else []) + (["rare footer " * 40] if i % 4 == 0 else [])
+        rows.append((i, "\n".join(lines), "a" if i < 120 else "b"))
+    rows += [(200 + i, rows[i][1], "a") for i in range(5)] + [(300, "few words", "a"), (301, "same " * 80, "b"), (302, None, "a")]
+    got = {r["doc_id"]: r for r in line_quality.line_rules(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    seen = {}
+    for _, text, host in rows:
+        for line in {" ".join(WORD.findall(x)) for x in (text or "").split("\n")} - {""}:
+            seen.setdefault((host, line), set()).add(text)
+    hosts = {h: len({t for _, t, k in rows if k == h}) for h in ("a", "b")}
+    for i, text, host in rows:
+        lines = [" ".join(WORD.findall(x)) for x in (text or "").split("\n")]
+        gone = sum(len(x.split()) for x in lines if x and len(seen[host, x]) > max(50, 0.01 * hosts[host]))
+        words = len(WORD.findall(text or ""))
+        assert got[i]["n_line_words_removed"] == gone and got[i]["kept"] == (not got[i]["base_failed"] and 2 * (words - gone) >= words), i
+    assert got[0]["n_line_words_removed"] == 80 and not got[0]["kept"] and got[159]["kept"] and got[301]["base_failed"]
+
+
+def test_nearest_centroid_by_its_definition(spark):
+    """Each prediction against plain loops over the fitted centroids, and the inverse document frequencies against counts."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    train = docs.where(~langid.held_out("doc_id"))
+    model = langid.fit_languages(train, 1000)
+    texts = [r["text"] for r in train.where("lang is not null").collect()]
+    met = np.zeros(langid.DIMS)
+    for t in texts:
+        met += langid.ngram_counts(t or "") > 0
+    np.testing.assert_allclose(model.idf, 1 + np.log((1 + len(texts)) / (1 + met)), rtol=1e-5)
+    assert sorted(set(model.langs)) == sorted({r["lang"] for r in train.where("lang is not null").select("lang").distinct().collect()}) and max(map(model.langs.count, model.langs)) > 1
+    got = {r["doc_id"]: r for r in langid.predict_languages(docs, model).collect()}
+    for r in docs.collect():
+        v = [np.log1p(float(c)) * float(w) for c, w in zip(langid.ngram_counts(r["text"] or ""), model.idf, strict=True)]
+        size = sum(x * x for x in v) ** 0.5
+        cosine = [sum(a * float(b) for a, b in zip(v, c, strict=True) if a) / size for c in model.centres]
+        best = max(range(len(cosine)), key=cosine.__getitem__)
+        assert abs(got[r["doc_id"]]["score"] - min(1, max(0, cosine[best]))) < 1e-4
+        if sorted(cosine)[-2] < cosine[best] - 1e-4:
+            assert got[r["doc_id"]]["lang_pred"] == model.langs[best] and got[r["doc_id"]]["rejected"] == (cosine[best] < model.least[best]) or abs(cosine[best] - model.least[best]) < 1e-4
+
+
+def test_ftrl_by_its_definition():
+    """Weights and scores against a plain loop, coordinate by coordinate."""
+    texts = ["you are a fool", "a kind day to you", "fool of a fool", "the day is kind", "such a fool you are", "kind words"] * 5
+    labels = np.array([1, 0, 1, 0, 1, 0] * 5)
+    rows = [toxicity.features(t) for t in texts]
+    l1 = 3.0  # leaves some features out and some in
+    options = {"alpha": 0.5, "beta": 1.0, "l1": l1, "l2": 1.0, "passes": 3, "seed": 5, "toxic_weight": 2.0}
+    z, n, order = {}, {}, np.random.default_rng(5)
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - (l1 if z[i] > 0 else -l1)) / ((1.0 + n[i] ** 0.5) / 0.5 + 1.0)
+
+    for _ in range(3):
+        for r in order.permutation(len(rows)):
+            coordinates = [*rows[r].tolist(), "bias"]
+            w = {i: weight(i) for i in coordinates}
+            p = 1 / (1 + np.exp(-sum(w.values())))
+            g = (p - labels[r]) * (2.0 if labels[r] else 1.0)
+            for i in coordinates:
+                rate = ((n.get(i, 0.0) + g * g) ** 0.5 - n.get(i, 0.0) ** 0.5) / 0.5
+                z[i], n[i] = z.get(i, 0.0) + g - rate * w[i], n.get(i, 0.0) + g * g
+    model = toxicity.Ftrl.fit(rows, labels, **options)
+    want = {i: weight(i) for i in z if i != "bias" and weight(i)}
+    assert set(model.index.tolist()) == set(want) and 0 < len(want) < len(z) - 1
+    np.testing.assert_allclose(model.value, [want[i] for i in model.index.tolist()])
+    assert abs(model.bias - weight("bias")) < 1e-9
+    for t in ["a fool", "kind", "", None]:
+        s = sum(want.get(i, 0.0) for i in toxicity.features(t).tolist()) + model.bias
+        assert abs(model.score(t) - 1 / (1 + np.exp(-s))) < 1e-9
