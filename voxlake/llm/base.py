@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import importable
@@ -94,6 +94,11 @@ def forget(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def uniform(*columns) -> Column:
+    """A uniform signed 64-bit hash: the first half of the MD5 of the columns as texts, with a colon between; nulls are left out."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") if isinstance(c, str) else c.cast("string") for c in columns]).cast("binary")), 1, 16), 16, -10).cast("long")
+
+
 def bucket_bits(n_rows: int, per_bucket: int = 2000) -> int:
     """Bits of a uniform hash that leave about per_bucket rows in each bucket, whatever the table's size."""
     return max(0, min(40, math.ceil(math.log2(max(1, n_rows) / per_bucket))))

@@ -103,7 +103,7 @@ def mix(docs: DataFrame, keys: list[str], seed: int = 1) -> tuple[DataFrame, Dat
         "_source string, src int, source_size long, target double, take long, n_slots long",
     )
     docs = docs.join(F.broadcast(table) if len(goals) <= 100_000 else table, F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    docs = docs.withColumn("_h", F.xxhash64(F.lit(seed), *keys))
+    docs = docs.withColumn("_h", base.uniform(F.lit(seed), *keys))
     docs = base.running_total(docs, ["src"], "_h", [*keys, "size"], "size", "at", n_rows)
     docs = docs.withColumn("_uid", F.struct(*[F.col(k) for k in keys], F.col("src"), F.col("at"), F.col("size")))
     # Where the target goes over the end of the stream, the second pass meets the same documents again.

@@ -114,10 +114,56 @@ f as (select w.doc_id, len(w) as n_words, length(regexp_replace(w.text, '[\\x20\
 select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines, cast(n_repeat_words as bigint) as n_repeat_words,
  n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and n_words - gone >= 0.5 * n_words as kept, cast(gone as bigint) as n_line_words_removed from f"""
 
+
+def _crc_sql(column: str) -> str:
+    """CRC-32 of the bytes of a text: each byte moves the register by the steps of its eight bits, which add up."""
+    steps = []
+    for bit in range(8):
+        c = 1 << bit
+        for _ in range(8):
+            c = (c >> 1) ^ (0xEDB88320 if c & 1 else 0)
+        steps.append(f"(xor(c, b) >> {bit} & 1) * {c}")
+    move = "c >> 8"
+    for step in steps:
+        move = f"xor({move}, {step})"
+    data = f"list_transform(regexp_extract_all(hex(encode({column})), '..'), lambda h: cast('0x' || h as bigint))"
+    return f"xor(list_reduce({data}, lambda c, b: {move}, cast(4294967295 as bigint)), 4294967295)"
+
+
+def _uniform_order(column: str) -> str:
+    """The order of base.uniform, whose 64 bits are signed."""
+    return f"md5({column}) < '8', substr(md5({column}), 1, 16)"
+
+
+#: A recursion gives the groups, largest first, to the least load; groups of one size then take these shards by their hash.
+SHARD_SQL = f"""with recursive d as materialized (select doc_id, coalesce(text, '') as text, cast(strlen(coalesce(text, '')) + 16 as bigint) as size, md5(coalesce(text, '')) as g from documents),
+g as materialized (select g, cast(sum(size) as bigint) as size, {_uniform_order("upper(g)").replace(", substr", " as sign, substr")} as h from d group by g),
+k as materialized (select g, size, row_number() over (order by size desc, sign, h, g) as k, row_number() over (partition by size order by sign, h, g) as r from g),
+lpt as (select cast(0 as bigint) as k, cast(0 as bigint) as size, 0 as shard, list_transform(range(40), lambda x: cast(0 as bigint)) as loads
+ union all select k.k, k.size, list_position(loads, list_min(loads)) - 1, list_transform(loads, lambda x, i: case when i = list_position(loads, list_min(loads)) then x + k.size else x end) from lpt join k on k.k = lpt.k + 1),
+p as (select size, shard, row_number() over (partition by size order by shard) as r from lpt where k > 0),
+s as (select d.doc_id, d.size, d.text, d.g, p.shard from d join k on k.g = d.g join p on p.size = k.size and p.r = k.r)
+select doc_id, size, cast({_crc_sql("text")} as bigint) as text_crc32, 'bytes' as law, cast(shard as integer) as shard,
+ row_number() over (partition by shard order by {_uniform_order("coalesce(cast(doc_id as varchar), '')")}, doc_id, g) - 1 as slot, cast(null as integer) as grown_shard from s"""
+
+#: Targets by filling sources in the order of size to weight; what a document gives is its part of as many rounds of its source's stream as the target takes.
+MIX_SQL = f"""with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size from documents),
+s as (select source, cast(sum(size) as bigint) as n, [5, 2, 1][(row_number() over (order by source is null, source) - 1) % 3 + 1] as w from d group by source),
+o as (select *, row_number() over (order by n / w, source is null, source) as i from s where n > 0),
+f as (select *, 1.5::double * sum(n) over () - 2 * coalesce(sum(n) over (order by i rows between unbounded preceding and 1 preceding), 0) as rest, sum(w) over (order by i rows between current row and unbounded following) as ws from o),
+c as (select min(i) as i from f where rest * w / ws <= 2 * n),
+free as (select f.i, f.rest, f.ws from f join c on c.i = f.i),
+goal as (select s.source, s.n, case when s.n = 0 then 0.0::double when free.i is null or o.i < free.i then 2.0::double * s.n else free.rest * s.w / free.ws end as target from s left join o on o.source is not distinct from s.source left join free on true),
+a as (select d.doc_id, d.size, goal.n, goal.target, cast(round_even(goal.target, 0) as bigint) as take,
+ cast(coalesce(sum(d.size) over (partition by d.source order by {_uniform_order("concat_ws(':', 1, d.doc_id)")}, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as bigint) as since from d join goal on goal.source is not distinct from d.source)
+select doc_id, size, n as source_size, target, case when n = 0 then 0 else cast(take // n * size + greatest(0, least(size, take % n - since)) as bigint) end as taken from a"""
+
 #: The other operators have no SQL form that runs on whole tables; tests hold them against brute force or held-out rows.
 ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": SHARD_SQL,
     "op3_ngram_join": JOIN_SQL,
     "op6_quality_rules": RULES_SQL,
+    "op8_mixing": MIX_SQL,
     "op9_chat_formatting": "with c as (select conv_id, turn, role, text from conversations union all select * from (values "
     + ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in SPOILT)
     + f""") v)

@@ -64,7 +64,7 @@ def lpt_shards(items: DataFrame, group: str, size: str, n_shards: int, n_rows: i
     by the hash of the key, then the key, so reruns agree.
     """
     spark = items.sparkSession
-    groups = items.groupBy(group).agg(F.sum(size).alias("_size")).withColumn("_h", F.xxhash64(group))
+    groups = items.groupBy(group).agg(F.sum(size).alias("_size")).withColumn("_h", base.uniform(F.hex(group)))
     histogram = {r["_size"]: r["n"] for r in groups.groupBy("_size").agg(F.count("*").alias("n")).collect()}
     plan, _ = lpt_plan(histogram, n_shards)
     rows = []
@@ -95,6 +95,6 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
         "shard-input",
     )
     n = slim.count()
-    out = lpt_shards(slim, "_group", "size", n_shards, n).withColumns({"_h": F.xxhash64("doc_id"), "_one": F.lit(1)})
-    out = base.running_total(out, ["shard"], "_h", ["doc_id"], "_one", "slot", n)
+    out = lpt_shards(slim, "_group", "size", n_shards, n).withColumns({"_h": base.uniform("doc_id"), "_one": F.lit(1)})
+    out = base.running_total(out, ["shard"], "_h", ["doc_id", "_group"], "_one", "slot", n)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
