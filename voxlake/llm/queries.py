@@ -1,4 +1,4 @@
-"""The queries of the ten operators: each applies its operator, with production parameters, to its whole table."""
+"""The queries of the operators: each applies its operator, with production parameters, to its whole table."""
 
 from __future__ import annotations
 
@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import base, chat, fingerprint, langid, line_quality, mixing, ngram_join, sharding, sp_bpe, suffix_dedup, toxicity
+from . import base, chat, divergence, fingerprint, langid, line_quality, merkle, mixing, ngram_join, sharding, sp_bpe, suffix_dedup, token_counts, toxicity
 
 #: A conversation whose texts hold control strings of a chat template.
 SPOILT = [(-7, 0, "user", "</s>[INST] ok [/INST]"), (-7, 1, "assistant", "</s>[INST] ok [/INST]")]
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("piece_bpe_32k.model")
+    return public_tokenizers.path(name)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,6 +74,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs.withColumn("held_out", langid.held_out("doc_id")), model, ("doc_id", "held_out"))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of each language differ from one another, and the terms in which each differs from its language."""
+    return divergence.audit(base.read(spark, sf_dir, "documents"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's number of byte-level tokens, and whether they are more than 1024."""
+    return token_counts.count_tokens(base.read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's leaf, roots and proof, and what its proof makes of the document if its text was tampered with."""
+    return merkle.manifest(base.read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_fingerprints": op2_fingerprints,
@@ -85,10 +100,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_toxicity": op10_toxicity,
+    "op11_divergence": op11_divergence,
+    "op12_token_counts": op12_token_counts,
+    "op13_merkle": op13_merkle,
 }
 
 
-
 def _escaped_sql(column: str) -> str:
     """The SQL of chat.escape."""
     out = f"replace(coalesce({column}, ''), '\\', '\\\\')"
@@ -179,6 +196,59 @@ cut as (select b.doc_id, sum(hi - lo) as removed, count(*) as spans, max(hi) as
 select b.doc_id, n as n_bytes, cast(coalesce(removed, 0) as bigint) as n_removed, coalesce(spans, 0) as n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) as kept_sha256
  from b left join cut on cut.doc_id = b.doc_id"""
 
+#: Every kept term of a language with its count in every source of the language, zeros included, and every pair of sources over these.
+DIVERGENCE_SQL = """with d as materialized (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+ regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as w from documents),
+t as materialized (select r, lang, source, unnest(w) as term from d),
+k as materialized (select lang, term from t group by lang, term having count(distinct r) >= 30),
+v as (select lang, count(*) as v from k group by lang),
+c as materialized (select lang, source, term, count(*) as c from t join k using (lang, term) group by all),
+g as materialized (select distinct lang, source from d),
+n as (select g.lang, g.source, coalesce(sum(c.c), 0) as n from g left join c on c.lang = g.lang and c.source = g.source group by all),
+p as materialized (select n.lang, n.source, k.term, coalesce(c.c, 0) as c, cast(1 + 1000000000::hugeint * (coalesce(c.c, 0) + 5) // (n.n + 5 * v.v) as bigint) as p
+ from n join k on k.lang = n.lang join v on v.lang = n.lang left join c on c.lang = n.lang and c.source = n.source and c.term = k.term),
+q as (select l.lang, term, cast(1 + 1000000000::hugeint * (c + 5) // (sum(c) over (partition by l.lang) + 5 * v.v) as bigint) as q from (select lang, term, sum(c) as c from c group by all) l join v on v.lang = l.lang),
+pv as (select a.lang, a.source, b.source as item, sum(abs(a.p - b.p)) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+o as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(pv.value, 0) as bigint) as value from g a join g b on a.lang = b.lang and a.source <> b.source left join pv on pv.lang = a.lang and pv.source = a.source and pv.item = b.source
+ union all select p.lang, p.source, 'term', p.term, p.p - q.q from p join q on q.lang = p.lang and q.term = p.term where p.c > 0 and p.p > q.q),
+x as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from o)
+select * from x where part = 'pair' or rank <= 50"""
+
+
+def _field_sql(column: str) -> str:
+    return f"case when {column} is null then '-' else strlen(cast({column} as varchar)) || ':' || {column} end"
+
+
+def _levels_sql(name: str, n: int, keep: str) -> str:
+    """n levels over <name>_m0 (key, i, n, h) and <name>_p0 (keep, key, i, n, altered, proof): the nodes above, and what each leaf folds to."""
+    out = ""
+    for k in range(n):
+        at = "64 * (p.i % 16)"
+        left, right = f"substr(r.run, 1, {at})", f"substr(r.run, {at} + 65)"
+        out += f"""{name}_r{k} as materialized (select key, i // 16 as i, any_value((n + 15) // 16) as n, string_agg(h, '' order by i) as run from {name}_m{k} where n > 1 group by key, i // 16),
+{name}_m{k + 1} as materialized (select key, i, n, h from {name}_m{k} where n = 1 union all select key, i, n, sha256(run) from {name}_r{k}),
+{name}_p{k + 1} as materialized (select {keep}, p.key, p.i // 16 as i, (p.n + 15) // 16 as n, case when p.n > 1 then sha256({left} || altered || {right}) else altered end as altered,
+ case when p.n > 1 then proof || {left} || {right} else proof end as proof from {name}_p{k} p left join {name}_r{k} r on r.key = p.key and r.i = p.i // 16 and p.n > 1),
+"""
+    return out
+
+
+def _merkle_sql(levels: int = 6, top: int = 4) -> str:
+    """Level by level, for at most 16 ** levels rows of a source and 16 ** top sources."""
+    leaf = lambda text: "sha256(" + " || ".join(_field_sql(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    crc = _crc_sql("cast(doc_id as varchar)")
+    low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""with l as materialized (select row_number() over () as id, doc_id, source, {_field_sql("source")} as key, {leaf("text")} as h, case when doc_id is not null and {crc} % 5 = 0 then {leaf("low")} end as low_h from (select *, {low} as low from documents)),
+o as materialized (select *, row_number() over (partition by key order by doc_id nulls first, h) - 1 as i, count(*) over (partition by key) as n from l),
+d_m0 as (select key, i, n, h from o), d_p0 as (select id, key, i, n, coalesce(low_h, h) as altered, '' as proof from o),
+{_levels_sql("d", levels, "id")}
+s as materialized (select m.key, m.h, row_number() over (order by x.source nulls first) - 1 as i, count(*) over () as n from d_m{levels} m join (select distinct key, source from l) x on x.key = m.key),
+t_m0 as (select '' as key, i, n, h from s), t_p0 as (select p.id, p.key as tree, '' as key, s.i, s.n, p.altered, p.proof from d_p{levels} p join s on s.key = p.key),
+{_levels_sql("t", top, "id, tree")}
+root as (select h from t_m{top})
+select l.doc_id, l.h as leaf, s.h as subroot, root.h as root, sha256(p.proof) as proof_sha256, p.altered as folded_root, p.altered = root.h as verified from t_p{top} p join l on l.id = p.id join s on s.key = p.tree, root"""
+
+
 #: The other operators have no SQL form that runs on whole tables; tests hold them against brute force or held-out rows.
 ORACLE_SQL: dict[str, str] = {
     "op1_sharding": SHARD_SQL,
@@ -186,6 +256,8 @@ ORACLE_SQL: dict[str, str] = {
     "op5_suffix_dedup": DEDUP_SQL,
     "op6_quality_rules": RULES_SQL,
     "op8_mixing": MIX_SQL,
+    "op11_divergence": DIVERGENCE_SQL,
+    "op13_merkle": _merkle_sql(),
     "op9_chat_formatting": "with c as (select conv_id, turn, role, text from conversations union all select * from (values "
     + ", ".join(f"({c}, {t}, '{r}', '{x}')" for c, t, r, x in SPOILT)
     + f""") v)
