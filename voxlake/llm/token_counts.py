@@ -9,7 +9,10 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
+import unicodedata
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -52,45 +55,55 @@ def unknown_characters(path: str) -> str:
 
 
 class Merges:
-    """Pairs of token numbers with their rank and what they become."""
+    """Pairs of token numbers, as one number, with their rank; and by rank what a pair becomes."""
 
     def __init__(self, vocab: dict[str, int], pairs: list[list[str]]):
         of = byte_characters()
         if lacking := [b for b, c in of.items() if c not in vocab]:
             raise ValueError(f"the vocabulary lacks the bytes {lacking[:5]}")
         self.first = [vocab[of[b]] for b in range(256)]
-        self.pairs = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.rank = {vocab[a] << 32 | vocab[b]: rank for rank, (a, b) in enumerate(pairs)}
+        self.become, self.none = [vocab[a + b] for a, b in pairs], len(pairs)
 
     def count(self, data: bytes) -> int:
         """Tokens after all merges: the pair of least rank first, the leftmost of equal ones."""
-        ids, get = [self.first[b] for b in data], self.pairs.get
-        n = len(ids)
-        if n <= 24:
-            while n > 1:
-                best = min(((*found, i) for i in range(n - 1) if (found := get((ids[i], ids[i + 1])))), key=lambda x: (x[0], x[2]), default=None)
-                if best is None:
-                    return n
-                ids[best[2] : best[2] + 2] = [best[1]]
-                n -= 1
-            return n
-        after, before = [*range(1, n), -1], range(-1, n - 1)
-        before = list(before)
-        heap = [(found[0], i, ids[i], ids[i + 1]) for i in range(n - 1) if (found := get((ids[i], ids[i + 1])))]
+        if len(data) > 64:
+            return self._count_long(data)
+        get, none, ids = self.rank.get, self.none, [self.first[b] for b in data]
+        ranks = [get(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == none:
+                break
+            i = ranks.index(best)
+            ids[i] = self.become[best]
+            del ids[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(ids[i - 1] << 32 | ids[i], none)
+            if i < len(ranks):
+                ranks[i] = get(ids[i] << 32 | ids[i + 1], none)
+        return len(ids)
+
+    def _count_long(self, data: bytes) -> int:
+        """The same in n log n steps: a heap of pairs, those that a merge has broken up being skipped."""
+        ids, get = [self.first[b] for b in data], self.rank.get
+        n = left = len(ids)
+        after, before = [*range(1, n), -1], list(range(-1, n - 1))
+        heap = [(found, i) for i in range(n - 1) if (found := get(ids[i] << 32 | ids[i + 1])) is not None]
         heapq.heapify(heap)
-        left = n
         while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = after[i] if ids[i] == a else -1
-            if j < 0 or ids[j] != b:
-                continue  # one of the two has been merged with another
-            ids[i], ids[j] = self.pairs[a, b][1], -1
+            rank, i = heapq.heappop(heap)
+            j = after[i] if ids[i] >= 0 else -1
+            if j < 0 or get(ids[i] << 32 | ids[j]) != rank:
+                continue
+            ids[i], ids[j] = self.become[rank], -1
             left -= 1
             after[i] = after[j]
             if after[j] >= 0:
                 before[after[j]] = i
             for x, y in ((before[i], i), (i, after[i])):
-                if x >= 0 and y >= 0 and (found := get((ids[x], ids[y]))):
-                    heapq.heappush(heap, (found[0], x, ids[x], ids[y]))
+                if x >= 0 and y >= 0 and (found := get(ids[x] << 32 | ids[y])) is not None:
+                    heapq.heappush(heap, (found, x))
         return left
 
 
@@ -127,33 +140,47 @@ class Vocabulary:
         return out
 
 
+def narrow_pattern() -> str:
+    """The pattern for texts of the first 256 characters, with their letters and digits spelt out: the quicker `re` takes it."""
+    of = {k: "".join(chr(i) for i in range(256) if unicodedata.category(chr(i))[0] == k) for k in "LN"}
+    white = r"\t-\r \x85\xa0"
+    other = f"[^{white}{of['L']}{of['N']}]"
+    return PATTERN.replace("{L}", f"[{of['L']}]").replace("{N}", f"[{of['N']}]").replace("{O}", other).replace(r"(?!\S)", f"(?![^{white}])").replace(r"\s", f"[{white}]")
+
+
 class Counting(dict):
-    """Tokens of a pre-token: 1 from the proved table, else by merging, kept while there is room."""
+    """Tokens of a pre-token: 1 from the proved table, else by merging, kept in the younger of two tables while there is room."""
 
     def __init__(self, vocabulary: Vocabulary, whole: dict[str, int]):
         super().__init__(whole)
-        self.vocabulary, self.proved = vocabulary, len(whole)
+        self.vocabulary, self.proved, self.old = vocabulary, len(whole), {}
         new = vocabulary.unknown
         usual = {"{L}": r"\p{L}", "{N}": r"\p{N}", "{O}": r"[^\s\p{L}\p{N}]"}
         older = {"{L}": rf"[\p{{L}}--[{new}]]", "{N}": rf"[\p{{N}}--[{new}]]", "{O}": rf"(?:[^\s\p{{L}}\p{{N}}]|[{new}])"} if new else usual
         of = lambda names: regex.compile(regex.sub(r"\{[LNO]\}", lambda m: names[m[0]], PATTERN), regex.V1).findall
         self.usual, self.older, self.holds_new = of(usual), of(older), regex.compile(f"[{new}]").search if new else lambda text: None
+        self.narrow = re.compile(narrow_pattern()).findall
         self.added = regex.compile("|".join(map(regex.escape, vocabulary.added))) if vocabulary.added else None
 
     def __missing__(self, word: str) -> int:
-        n = self.vocabulary.merges.count(word.encode())
+        n = self.old.get(word) or self.vocabulary.merges.count(word.encode())
         if len(word) <= KEPT_CHARS:
             if len(self) - self.proved >= KEPT:
-                for old in list(self)[self.proved :]:
-                    del self[old]
+                self.old = {w: self[w] for w in islice(self, self.proved, None)}
+                for w in self.old:
+                    del self[w]
             self[word] = n
         return n
 
     def pre_tokens(self, text: str) -> list[str]:
-        return (self.usual if text.isascii() or not self.holds_new(text) else self.older)(text)
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return (self.older if self.holds_new(text) else self.usual)(text)
+        return self.narrow(text)
 
     def tokens(self, text: str) -> int:
-        parts = self.added.split(text) if self.added else [text]
+        parts = self.added.split(text) if self.added and self.added.search(text) else [text]
         return len(parts) - 1 + sum(sum(map(self.__getitem__, self.pre_tokens(part))) for part in parts)
 
 
