@@ -60,6 +60,11 @@ def write_start(centre: Column, offset: Column, scale: Column, size: Column) ->
     return half_even((centre - size / 2 - offset) / scale)
 
 
+def whole(a: Column, b: Column) -> Column:
+    """The quotient of whole numbers, none of them negative, exact beyond the 53 bits of a double."""
+    return F.call_function("div", a.cast("bigint"), b.cast("bigint"))
+
+
 def unravel(index: Column, shape: list[Column]) -> list[Column]:
     """C-order indices of a flat index; negative and large ones wrap."""
     total = shape[0]
@@ -68,7 +73,7 @@ def unravel(index: Column, shape: list[Column]) -> list[Column]:
     rest, out = F.pmod(index, total), []
     for s in reversed(shape):
         out.append(F.pmod(rest, s))
-        rest = F.floor(rest / s)
+        rest = whole(rest, s)
     return out[::-1]
 
 
@@ -81,7 +86,7 @@ def tile_count(lo: Column, hi: Column, tile: Column) -> Column:
 
 
 def tile_voxel(k: Column, grid: Column, tiles: Column) -> Column:
-    return F.floor(k * grid / tiles)
+    return whole(k * grid, tiles)
 
 
 def intersect_boxes(boxes: DataFrame, key: str, source: str) -> DataFrame:
@@ -89,11 +94,14 @@ def intersect_boxes(boxes: DataFrame, key: str, source: str) -> DataFrame:
 
     Axes that a source lacks are dropped; a key whose sources touch or miss each other along a shared axis, or share none, has no row.
     """
-    n = boxes.groupBy(key).agg(F.countDistinct(source).alias("_sources"))
-    shared = boxes.groupBy(key, "axis").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"), F.countDistinct(source).alias("_with"))
-    shared = shared.join(n, key).where("_with = _sources").drop("_with", "_sources")
-    empty = shared.where("lo >= hi").select(key).distinct()
-    return shared.join(empty, key, "left_anti")
+    of_source = boxes.groupBy(key, source, "axis").agg(F.max("lo").alias("lo"), F.min("hi").alias("hi"))
+    # A source's axes become one row for each, and one without an axis that counts the source: sums go up by key before they meet.
+    axes = of_source.groupBy(key, source).agg(F.collect_list(F.struct("axis", *[F.col(c).cast("double").alias(c) for c in ("lo", "hi")])).alias("a"))
+    none = F.array(F.struct(F.lit(None).cast("string").alias("axis"), F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi")))
+    each = axes.select(key, F.explode(F.concat("a", none)).alias("a")).groupBy(key, "a.axis").agg(F.max("a.lo").alias("lo"), F.min("a.hi").alias("hi"), F.count("*").alias("with"))
+    rows = each.groupBy(key).agg(F.max(F.when(F.col("axis").isNull(), F.col("with"))).alias("n"), F.collect_list(F.when(F.col("axis").isNotNull(), F.struct("axis", "lo", "hi", "with"))).alias("a"))
+    shared = rows.withColumn("a", F.filter("a", lambda x: x["with"] == F.col("n"))).where(~F.exists("a", lambda x: x["lo"] >= x["hi"]))
+    return shared.select(key, F.explode("a").alias("a")).select(key, "a.axis", "a.lo", "a.hi")
 
 
 def unite_boxes(boxes: DataFrame, key: str) -> DataFrame:

@@ -18,3 +18,37 @@ def normal(*parts: Column | str | int) -> Column:
     """A standard normal by Box and Muller from two uniforms."""
     u = F.greatest(uniform(*parts, F.lit("a")), F.lit(1e-12))
     return F.sqrt(-2 * F.log(u)) * F.cos(2 * math.pi * uniform(*parts, F.lit("b")))
+
+
+def rounds(n: int) -> int:
+    """Rounds after which an order of n looks drawn: some six for each bit of n, and a few for small n."""
+    return 6 * max(1, (n - 1).bit_length()) + 6
+
+
+def permuted(index: Column, n: int, *parts: Column | str | int) -> Column:
+    """A bijection of [0, n) that the parts (columns or constants) choose: index to index, without a sort, a list or a window.
+
+    Swap or not (Hoang, Morris and Rogaway, 2012): in each round an index has a partner, key - index modulo n, and both move to each
+    other's place or both stay, by one hash bit that is the same for both. So each round is a bijection for any n, and all are.
+    """
+    name = F.concat_ws(":", *[p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    key = lambda i: F.conv(F.substring(F.md5(F.concat_ws(":", name, i.cast("string"), F.lit("key")).cast("binary")), 1, 12), 16, 10).cast("bigint") % n
+
+    def step(x: Column, i: Column) -> Column:
+        partner = F.pmod(key(i) - x, F.lit(n))
+        told = F.md5(F.concat_ws(":", name, i.cast("string"), F.greatest(x, partner).cast("string")).cast("binary"))
+        return F.when(told >= "8", partner).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(0), F.lit(rounds(n) - 1)), index.cast("bigint"), step)
+
+
+def permuted_index(index: int, n: int, *parts: str | int) -> int:
+    """The driver's form of permuted."""
+    import hashlib
+
+    md5 = lambda *x: hashlib.md5(":".join(map(str, (*parts, *x))).encode()).hexdigest()
+    for i in range(rounds(n)):
+        partner = (int(md5(i, "key")[:12], 16) % n - index) % n
+        if md5(i, max(index, partner)) >= "8":
+            index = partner
+    return index

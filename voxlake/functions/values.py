@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +43,41 @@ def finite(v: Column) -> Column:
     return F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(0.0)).otherwise(v)
 
 
+class OfPatch:
+    """A NumPy function of a whole patch (its leading axes, then z, y, x) where a transform wants more than one value at a time.
+
+    It runs in the Arrow pass that makes the patch, or over patches by operators.patches.applied.
+    """
+
+    def __init__(self, f: Callable[[np.ndarray], np.ndarray]):
+        self.f = f
+
+    def __call__(self, patch: np.ndarray) -> np.ndarray:
+        return self.f(patch)
+
+
+def patch_contrast(ratio: float, bound: float = 1.0) -> OfPatch:
+    """contrast() of a patch: the mean runs along its first spatial axis."""
+
+    def run(x: np.ndarray) -> np.ndarray:
+        y = ratio * x + (1 - ratio) * x.mean(axis=-3, keepdims=True)
+        return np.clip(np.nan_to_num(y, nan=0.0, posinf=bound, neginf=0.0), 0.0, bound)
+
+    return OfPatch(run)
+
+
+def patch_blur(size: int = 3, sigma: float = 0.1, dim: int = 2) -> OfPatch:
+    """A Gaussian blur of a patch's last axes with replicated borders."""
+    kernel, arm = gaussian_kernel(size, sigma, dim), size // 2
+
+    def run(x: np.ndarray) -> np.ndarray:
+        wide = np.pad(x, [(0, 0)] * (x.ndim - dim) + [(arm, arm)] * dim, mode="edge")
+        parts = (w * wide[(..., *(slice(arm + o, arm + o + n) for o, n in zip(at, x.shape[-dim:], strict=True)))] for at, w in kernel)
+        return sum(parts, np.zeros_like(x, dtype=float))
+
+    return OfPatch(run)
+
+
 def chained(*steps: Callable[[Column], Column]) -> Callable[[Column], Column]:
     """The steps one after another, as one transform."""
 

@@ -5,22 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ATTRS = "multiscales array<struct<axes:array<struct<name:string,type:string,unit:string>>,datasets:array<struct<path:string,coordinateTransformations:array<struct<type:string,scale:array<double>,translation:array<double>>>>>,name:string,version:string>>"
+from ..sources import ngff
 
+ATTRS = "multiscales array<struct<axes:array<string>,datasets:array<struct<path:string,coordinateTransformations:array<struct<type:string,scale:array<double>,translation:array<double>>>>>,name:string,version:string>>"
 
-def levels(attrs: DataFrame, text: str = "attrs") -> DataFrame:
-    """volume_id, level, path, axes, voxel_size, origin of each level of JSON attributes (volume_id, text).
 
-    Axes are those of type space (the default type). Scale and translation are the last entries, one for each axis; without a
-    translation the origin is 0, without a scale voxel_size is NULL.
+def levels(attrs: DataFrame, text: str = "attrs", *more: str, configured: str = "zyx", outer: bool = False) -> DataFrame:
+    """volume_id, level, path, axes, voxel_size, origin of each level of JSON attributes (volume_id, text), and the columns `more`.
+    outer keeps attributes without levels, as one row.
+
+    Axes are those of type space (the default type), given as objects or as plain names; where none is given, the configured ones.
+    Scale and translation are the last entries, one for each axis; without a translation the origin is 0, without a scale
+    voxel_size is NULL.
     """
     m = attrs.withColumn("m", F.get(F.from_json(text, ATTRS)["multiscales"], F.lit(0)))
-    axes = F.transform(F.filter("m.axes", lambda a: F.coalesce(a["type"], F.lit("space")) == "space"), lambda a: a["name"])
-    m = m.withColumn("axes", axes).select("volume_id", "axes", F.posexplode("m.datasets").alias("level", "d"))
+    object_of = lambda a: a.startswith("{")
+    space = F.filter("m.axes", lambda a: ~object_of(a) | (F.coalesce(F.get_json_object(a, "$.type"), F.lit("space")) == "space"))
+    named = F.transform(space, lambda a: F.when(object_of(a), F.get_json_object(a, "$.name")).otherwise(a))
+    axes = F.when(F.size(named) > 0, named).otherwise(F.array(*map(F.lit, configured)))
+    m = m.withColumn("axes", axes).select("volume_id", *more, "axes", (F.posexplode_outer if outer else F.posexplode)("m.datasets").alias("level", "d"))
     pick = lambda kind: F.get(F.transform(F.filter("d.coordinateTransformations", lambda t: t["type"] == kind), lambda t: t[kind]), F.lit(0))
     last = lambda x: F.when(F.size(x) >= F.size("axes"), F.slice(x, -F.size("axes"), F.size("axes")))
     zero = F.transform("axes", lambda a: F.lit(0.0))
-    return m.select("volume_id", "level", F.col("d.path").alias("path"), "axes", last(pick("scale")).alias("voxel_size"), F.coalesce(last(pick("translation")), zero).alias("origin"))
+    return m.select("volume_id", "level", F.col("d.path").alias("path"), "axes", last(pick("scale")).alias("voxel_size"), F.coalesce(last(pick("translation")), zero).alias("origin"), *more)
 
 
 def level_score(voxel_size: Column, target: Column) -> Column:
@@ -34,6 +41,24 @@ def nearest_level(table: DataFrame, target: Column, keys: list[str]) -> DataFram
     return table.groupBy(*keys).agg(F.min(F.struct(level_score(F.col("voxel_size"), target).alias("s"), "level")).alias("b")).select(*keys, F.col("b.level").alias("level"))
 
 
+def opened(asked: DataFrame, configured: str = "zyx") -> DataFrame:
+    """asked (volume_id, path, target: scales by axis, and more) with `best`, the level nearest to the target, and `first`, the finest: level,
+    folder, meta, voxel_size, origin, counts (kept class counts). Their meta is NULL where there is no group or no array.
+
+    One pass over the groups, on executors, and one shuffle of its rows. volume_id tells the rows of asked apart.
+    """
+    rest = [c for c in asked.columns if c != "volume_id"]
+    found = ngff.groups(asked).withColumnRenamed("path", "group")
+    carried = ["group" if c == "path" else c for c in rest]
+    table = levels(found, "attrs", *carried, "arrays", "counts", configured=configured, outer=True).withColumnRenamed("path", "array")
+    prefix = F.concat("array", F.lit("\t"))
+    counts = F.transform_keys(F.map_filter("counts", lambda k, v: k.startswith(prefix)), lambda k, v: F.substr(k, F.length("array") + 2))
+    row = F.struct("level", F.rtrim(F.concat_ws("/", "group", "array"), F.lit("/")).alias("folder"), F.col("arrays")[F.col("array")].alias("meta"), "voxel_size", "origin", counts.alias("counts"))
+    score = F.struct(level_score(F.col("voxel_size"), F.col("target")), "level")
+    kept = [F.first(c).alias("path" if c == "group" else c) for c in carried]
+    return table.groupBy("volume_id").agg(*kept, F.min_by(row, score).alias("best"), F.min_by(row, F.coalesce("level", F.lit(0))).alias("first"))
+
+
 def coarsest_not_exceeding(table: DataFrame, target: Column, keys: list[str]) -> DataFrame:
     """keys, level: the one before the first level with an axis coarser than the target, or the first, or the last."""
     over = F.exists(F.zip_with("voxel_size", target, lambda v, t: v > t), lambda x: x)
@@ -46,8 +71,8 @@ def joined_path(left: Column, right: Column) -> Column:
     return F.when(right.startswith("/"), right).when(left.endswith("/") | (left == ""), F.concat(left, right)).otherwise(F.concat(left, F.lit("/"), right))
 
 
-def split_rows(lines: DataFrame) -> DataFrame:
-    """split, raw_path, gt_path from CSV lines (value): blank and # lines go, as do those with fewer than three cells; three or
+def split_rows(lines: DataFrame, *more: str) -> DataFrame:
+    """split, raw_path, gt_path, and the columns `more`, from CSV lines (value): blank and # lines go, as do those with fewer than three cells; three or
     four cells give columns 1 and 2, five or more join 1 with 2 and 3 with 4. Quoted cells may hold commas."""
     cells = F.transform(F.regexp_extract_all("value", F.lit(r'("(?:[^"]|"")*"|[^,]*)(?:,|$)'), F.lit(1)), lambda c: F.when(c.startswith('"'), F.replace(F.substr(c, F.lit(2), F.length(c) - 2), F.lit('""'), F.lit('"'))).otherwise(c))
     rows = lines.where((F.trim("value") != "") & ~F.ltrim("value").startswith("#")).withColumn("c", cells)
@@ -55,7 +80,7 @@ def split_rows(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("c", F.when(F.col("value").endswith(","), F.col("c")).otherwise(F.slice("c", 1, F.size("c") - 1))).where(F.size("c") >= 3)
     cell = lambda i: F.get("c", F.lit(i))
     wide = F.size("c") >= 5
-    return rows.select(cell(0).alias("split"), F.when(wide, joined_path(cell(1), cell(2))).otherwise(cell(1)).alias("raw_path"), F.when(wide, joined_path(cell(3), cell(4))).otherwise(cell(2)).alias("gt_path"))
+    return rows.select(*more, cell(0).alias("split"), F.when(wide, joined_path(cell(1), cell(2))).otherwise(cell(1)).alias("raw_path"), F.when(wide, joined_path(cell(3), cell(4))).otherwise(cell(2)).alias("gt_path"))
 
 
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
@@ -76,19 +101,24 @@ def is_training(split: Column) -> Column:
     return F.startswith(F.lower(split), F.lit("train"))
 
 
-def annotated(requested: DataFrame, volumes: DataFrame) -> DataFrame:
-    """requested (dataset_id, class) with volume_id of volumes (dataset_id, class, volume_id), NULL if the class has none there."""
-    return requested.join(volumes, ["dataset_id", "class"], "left")
+def verified(datasets: DataFrame, n: Column, forced: Column | bool = False) -> DataFrame:
+    """Datasets that have samples, and those that are forced to stay."""
+    return datasets.where((n > 0) | (forced if isinstance(forced, Column) else F.lit(forced)))
+
+
+def annotated(requested: DataFrame, template: str = "template", label: str = "class") -> DataFrame:
+    """requested with `path`, the template's for its class, and `present`: whether a volume lies there. One pass on executors."""
+    return ngff.present(requested.withColumn("path", F.replace(F.col(template), F.lit("{label}"), F.col(label))))
 
 
-def multiscale_attrs(name: Column, voxel_size: list[float], origin: list[float], unit: str = "nanometer", axes: str = "zyx", base_level: int = 0, more_levels: int = 0, corrected: bool = False) -> Column:
+def multiscale_attrs(name: Column, voxel_size: list[float | Column], origin: list[float | Column], unit: str = "nanometer", axes: str = "zyx", base_level: int = 0, more_levels: int = 0, corrected: bool = False) -> Column:
     """OME-NGFF 0.4 attributes as JSON. Added levels take scale and origin by 2 ** level and the name of the next level, as
     readers of such files are used to; corrected=True gives each level the scale of its own name."""
     sets = [(base_level, voxel_size, origin)]
     for k in range(base_level, base_level + more_levels):
         p = k + 1 - base_level if corrected else k
         sets.append((k + 1, [v * 2**p for v in voxel_size], [v * (2 ** (p - 1) - 0.5) + o for v, o in zip(voxel_size, origin, strict=True)]))
-    nums = lambda xs: F.array(*[F.lit(float(x)) for x in xs])
+    nums = lambda xs: F.array(*[x.cast("double") if isinstance(x, Column) else F.lit(float(x)) for x in xs])
     one = lambda k, s, t: F.struct(F.array(F.struct(F.lit("scale").alias("type"), nums(s).alias("scale"), F.lit(None).cast("array<double>").alias("translation")), F.struct(F.lit("translation").alias("type"), F.lit(None).cast("array<double>").alias("scale"), nums(t).alias("translation"))).alias("coordinateTransformations"), F.lit(f"s{k}").alias("path"))
     image = F.struct(
         F.array(*[F.struct(F.lit(a).alias("name"), F.lit("space").alias("type"), F.lit(unit).alias("unit")) for a in axes]).alias("axes"),

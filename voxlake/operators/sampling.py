@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rng import uniform
+from ..functions import geometry, rng
+from ..session import importable
 
 
 def unit(*parts) -> float:
@@ -15,25 +18,79 @@ def unit(*parts) -> float:
     return int(hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()[:8], 16) / 4294967296.0
 
 
+class Balancer:
+    """Rows of a crop-class matrix, each a random crop of a class least seen so far; the crop's classes are all counted.
+
+    What it has seen is its state, so it can go on where it stopped.
+    """
+
+    def __init__(self, matrix: list[list[bool]], seed: int = 42, seen: list[int] | None = None, drawn: int = 0):
+        crops = {c: [r for r, row in enumerate(matrix) if row[c]] for c in range(len(matrix[0]) if matrix else 0)}
+        self.crops = {c: rows for c, rows in crops.items() if rows}
+        if not self.crops:
+            raise ValueError("no active classes")
+        self.matrix, self.seed, self.drawn = matrix, seed, drawn
+        self.seen = dict.fromkeys(self.crops, 0) if seen is None else dict(zip(self.crops, seen, strict=True))
+
+    def draw(self, epoch: int = 0) -> int:
+        least, i = min(self.seen.values()), self.drawn
+        tied = [c for c in self.crops if self.seen[c] == least]
+        rows = self.crops[tied[int(unit(self.seed, epoch, i, "class") * len(tied))]]
+        row = rows[int(unit(self.seed, epoch, i, "crop") * len(rows))]
+        for c in self.seen:
+            self.seen[c] += bool(self.matrix[row][c])
+        self.drawn += 1
+        return row
+
+
 def balanced_rows(matrix: list[list[bool]], n: int, seed: int = 42, epoch: int = 0) -> list[int]:
-    """n rows of a crop-class matrix, each a random crop of a class least seen so far; the crop's classes are all counted.
+    """n draws of a Balancer, for a matrix that the driver holds."""
+    balancer = Balancer(matrix, seed)
+    return [balancer.draw(epoch) for _ in range(n)]
+
+
+def balanced(matrix: DataFrame, crop: str, classes: list[str], n: int, seed: int = 42, epochs: Iterable[int] = (0,)) -> DataFrame:
+    """epoch, pos, crop: n draws of each epoch over matrix (crop, a boolean for each class).
+
+    Draws depend on one another, so an epoch is one task and epochs are spread; each gets the matrix, whose rows are crops and not
+    samples, and sends its draws on as it makes them. Crops are taken in their order.
+    """
+    importable(matrix.sparkSession)
+    rows = matrix.select(F.explode(F.array(*[F.lit(int(e)) for e in epochs])).alias("epoch"), F.col(crop).alias("crop"), F.array(*classes).alias("has"))
+
+    def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches)).sort_by("crop")
+        epoch, crops = table["epoch"][0].as_py(), table["crop"]
+        balancer = Balancer(table["has"].to_pylist(), seed)
+        for first in range(0, n, 10_000):
+            picks = [balancer.draw(epoch) for _ in range(min(10_000, n - first))]
+            yield pa.RecordBatch.from_pydict({"epoch": pa.array([epoch] * len(picks), pa.int32()), "pos": pa.array(range(first, first + len(picks)), pa.int32()), "crop": crops.take(picks).combine_chunks()})
+
+    return rows.groupBy("epoch").applyInArrow(drawn, f"epoch int, pos int, crop {matrix.schema[crop].dataType.simpleString()}")
 
-    The loop is sequential over a matrix of a few crops and classes, so it runs on the driver and only its rows are joined.
+
+def balanced_stream(requests: DataFrame, matrix: list[list[bool]], seed: int = 42) -> DataFrame:
+    """epoch, pos, row for a stream of requests (epoch, wanted: how many draws): each epoch's draws go on from batch to batch.
+
+    The state of an epoch is how often each class has been seen and how many draws there were, so a restarted stream goes on as if
+    it had not stopped, and all draws of an epoch together are those of one balanced_rows() call.
     """
-    crops = {c: [r for r, row in enumerate(matrix) if row[c]] for c in range(len(matrix[0]) if matrix else 0)}
-    crops = {c: rows for c, rows in crops.items() if rows}
-    if not crops:
-        raise ValueError("no active classes")
-    seen, out = dict.fromkeys(crops, 0), []
-    for i in range(n):
-        least = min(seen.values())
-        tied = [c for c in crops if seen[c] == least]
-        c = tied[int(unit(seed, epoch, i, "class") * len(tied))]
-        row = crops[c][int(unit(seed, epoch, i, "crop") * len(crops[c]))]
-        out.append(row)
-        for k in seen:
-            seen[k] += bool(matrix[row][k])
-    return out
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    importable(requests.sparkSession)
+
+    def drawn(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, before = state.get if state.exists else (None, 0)
+        balancer = Balancer(matrix, seed, list(seen) if seen is not None else None, before)
+        for frame in frames:
+            n = int(frame["wanted"].sum())
+            first = balancer.drawn
+            rows = [balancer.draw(int(key[0])) for _ in range(n)]
+            yield pd.DataFrame({"epoch": [int(key[0])] * n, "pos": range(first, first + n), "row": rows}).astype("int32")
+        state.update((list(balancer.seen.values()), balancer.drawn))
+
+    return requests.groupBy("epoch").applyInPandasWithState(drawn, "epoch int, pos int, row int", "seen array<long>, drawn long", "append", GroupStateTimeout.NoTimeout)
 
 
 def sample_range(row: Column, n_rows: Column, n_samples: Column) -> Column:
@@ -43,16 +100,16 @@ def sample_range(row: Column, n_rows: Column, n_samples: Column) -> Column:
     return F.struct(start.alias("start"), F.when(row < rest, base + 1).otherwise(base).alias("width"))
 
 
-def shuffled(df: DataFrame, key: str, seed: int, epoch: int) -> DataFrame:
-    return df.withColumn("u", uniform(F.lit(seed), F.lit(epoch), F.col(key))).orderBy("u", key).drop("u")
+def shuffled(df: DataFrame, index: str, n: int, seed: int, epoch: int, out: str = "pos") -> DataFrame:
+    """df with the place of each index of [0, n) in an epoch's order: a column expression, so nothing moves."""
+    return df.withColumn(out, rng.permuted(F.col(index), n, seed, epoch))
 
 
-def few_repeats(df: DataFrame, key: str, k: int, n: int, seed: int = 0) -> DataFrame:
-    """pos, key: k of n rows; each block of n positions is a permutation of its own, so nothing repeats sooner than it must."""
-    blocks = -(-k // n)
-    rows = df.select(key, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    by = Window.partitionBy("block").orderBy(uniform(F.lit(seed), F.col("block"), F.col(key)), key)
-    return rows.withColumn("pos", F.col("block") * n + F.row_number().over(by) - 1).where(F.col("pos") < k).select("pos", key)
+def few_repeats(df: DataFrame, pos: str, n: int, seed: int = 0, out: str = "idx") -> DataFrame:
+    """df with an index of [0, n) for each position: each block of n positions is a permutation of its own, so nothing repeats sooner than it must."""
+    block = F.floor(F.col(pos) / n).cast("bigint")
+    chosen = F.pmod(F.col(pos).cast("bigint"), F.lit(n))
+    return df.withColumn(out, rng.permuted(chosen, n, seed, block))
 
 
 def with_offsets(datasets: DataFrame, order: str, n: str) -> DataFrame:
@@ -64,3 +121,21 @@ def batches(df: DataFrame, pos: str, size: int, *cols: str) -> DataFrame:
     """batch_id, items: structs of cols in order of pos; the last batch may be short."""
     items = F.array_sort(F.collect_list(F.struct(pos, *cols)))
     return df.groupBy(F.floor(F.col(pos) / size).alias("batch_id")).agg(items.alias("items"))
+
+
+def runs_of(datasets: DataFrame, width: int) -> DataFrame:
+    """datasets (dataset, first, n) as the runs of `width` global indices that each touches: _run, dataset, first, n."""
+    last = F.col("first") + F.col("n") - 1
+    run = lambda c: geometry.whole(c, F.lit(width))
+    return datasets.where("n > 0").select(F.explode(F.sequence(run(F.col("first")), run(last))).alias("_run"), "dataset", "first", "n")
+
+
+def placed(rows: DataFrame, datasets: DataFrame, total: int, n_datasets: int, index: str = "index") -> DataFrame:
+    """rows with the dataset and the local index (in `index`) of a global one, over datasets (dataset, first, n) that follow one another.
+
+    A range join by equality: indices and datasets meet on runs as wide as a dataset is on average, so there are at most twice as
+    many runs as datasets, and an index meets those that begin or end in its run.
+    """
+    width = max(1, total // max(1, n_datasets))
+    met = rows.withColumn("_run", geometry.whole(F.col(index), F.lit(width))).join(runs_of(datasets, width), "_run")
+    return met.where((F.col(index) >= F.col("first")) & (F.col(index) < F.col("first") + F.col("n"))).withColumn(index, F.col(index) - F.col("first")).drop("_run", "first", "n")

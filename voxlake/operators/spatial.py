@@ -121,6 +121,23 @@ def drawn(samples: DataFrame, key: str, config: dict, seed: int = 0, epoch: int
     return out
 
 
+def turn_of(samples: DataFrame, axes: str = "zyx") -> Column:
+    """What drawn() has given a sample, as patches.TURN: the matrix of its angles in their order, its flags and its order of axes."""
+    null = lambda kind: F.lit(None).cast(f"array<{kind}>")
+    have = samples.columns
+    product = None
+    for axis in [c[6:] for c in have if c.startswith("angle_")]:
+        i, j = (k for k, a in enumerate(axes) if a != axis)
+        c, s = F.cos(F.radians(f"angle_{axis}")), F.sin(F.radians(f"angle_{axis}"))
+        one = [[F.lit(1.0 if a == b else 0.0) for b in range(3)] for a in range(3)]
+        one[i][i], one[i][j], one[j][i], one[j][j] = c, -s, s, c
+        product = one if product is None else [[product[a][0] * one[0][b] + product[a][1] * one[1][b] + product[a][2] * one[2][b] for b in range(3)] for a in range(3)]
+    matrix = null("double") if product is None else F.array(*[x for row in product for x in row])
+    flags = F.array(*[F.coalesce(F.col(f"mirror_{a}"), F.lit(False)) if f"mirror_{a}" in have else F.lit(False) for a in axes])
+    mirror = flags if any(c.startswith("mirror_") for c in have) else null("boolean")
+    return F.struct(matrix.alias("matrix"), mirror.alias("mirror"), (F.col("perm") if "perm" in have else null("int")).alias("perm"))
+
+
 def rotate(data: np.ndarray, matrix: np.ndarray, mode: str = "nearest", pad_value: float = NAN, convention: str = "reference") -> np.ndarray:
     """Sample a patch (z, y, x) at the rotated places of its voxels in coordinates that run from -1 to 1 along each axis.
 

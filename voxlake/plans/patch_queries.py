@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import shapes
 from ..functions import values as V
 from ..functions.rng import normal, uniform
-from ..operators import scan, spatial
+from ..operators import patches, scan, spatial
 from . import relations as R
 
 QUERIES: dict = {}
@@ -57,6 +57,56 @@ def patch_read_chunked(spark, sf_dir):
     return _told(scan.as_voxels(got, ["volume_id"], (3, 3, 3)), "volume_id", "dz", "dy", "dx")
 
 
+def _asked(spark, sf_dir, stored, out, pad, start, read=None):
+    """A window of each volume as a request of operators.patches."""
+    ids = R.cube_patches(spark, sf_dir).select("sample", "source", F.col("sample").alias("volume_id"))
+    return ids.select("*", F.array(*map(F.lit, stored)).alias("stored"), F.array(*start).cast("array<bigint>").alias("start"), F.array(*map(F.lit, read or out)).alias("read"), patches.form(out, False, "nearest", pad, float("nan")).alias("form"))
+
+
+_VALID = ", ".join(f"greatest(0, -{a}0) as l{a}, least(3, 4 - {a}0) - greatest(0, -{a}0) as n{a}" for a in "zyx")
+_MIDDLE = " and ".join(f"d{a} - (3 - n{a}) // 2 >= 0 and d{a} - (3 - n{a}) // 2 < n{a} and c.{a} = {a}0 + l{a} + d{a} - (3 - n{a}) // 2" for a in "zyx")
+
+
+@query(READ.split("read as (")[0] + f"u as (select *, {_VALID} from req), got as (select u.volume_id, dz, dy, dx, coalesce(c.v, 'NaN'::double) as v from u cross join grid left join cubes c on c.volume_id = u.volume_id and {_MIDDLE}) select volume_id, dz, dy, dx, " + TOLD + " from got")
+def patch_read_unpadded(spark, sf_dir):
+    """The same windows without padding: what is there is put in the middle of the patch."""
+    n = F.col("volume_id")
+    asked = _asked(spark, sf_dir, (4, 4, 4), (3, 3, 3), False, [n % 5 - 2, n % 4, n % 3 - 1])
+    got = patches.read_relation(asked, R.whole_chunks(spark, sf_dir, 4, 4, 4), (4, 4, 4))
+    return _told(patches.as_voxels(got, ["sample"]).withColumnRenamed("sample", "volume_id"), "volume_id", "dz", "dy", "dx")
+
+
+@query("with e as (select vec_id as volume_id, v, i from (select vec_id, unnest(embedding) as v, generate_subscripts(embedding, 1) - 1 as i from embeddings) where i < 64), c as (select volume_id, i // 32 as channel, i // 16 % 2 as z, i // 4 % 4 as y, i % 4 as x, cast(v as double) as v from e), " + R.grid(2, 3, 3) + ", got as (select r.volume_id, k.channel, dz, dy, dx, coalesce(c.v, 'NaN'::double) as v from (select distinct volume_id from e) r cross join grid cross join (select unnest([0, 1]) as channel) k left join c on c.volume_id = r.volume_id and c.channel = k.channel and c.z = r.volume_id % 3 - 1 + dz and c.y = r.volume_id % 4 - 1 + dy and c.x = r.volume_id % 5 - 2 + dx) select volume_id, cast(channel as int) as channel, dz, dy, dx, " + TOLD + " from got")
+def patch_read_leading_axes(spark, sf_dir):
+    """Windows of volumes with four axes: the first is taken whole."""
+    n = F.col("volume_id")
+    asked = _asked(spark, sf_dir, (2, 2, 4, 4), (2, 3, 3), True, [n % 3 - 1, n % 4 - 1, n % 5 - 2])
+    got = patches.read_relation(asked, R.whole_chunks(spark, sf_dir, 2, 2, 4, 4), (2, 4, 4))
+    return _told(patches.as_voxels(got, ["sample"]).withColumnRenamed("sample", "volume_id"), "volume_id", "channel", "dz", "dy", "dx")
+
+
+#: Three arrays of each volume about one centre: at the stored scale, at twice and at half of it, the nearest voxels of what covers them.
+SOURCES = "with " + R.CUBES + ", " + R.grid(2, 2, 2) + """, s as (select * from (values ('fine', 8.0), ('wide', 16.0), ('near', 4.0)) t(source, scale)),
+q as (select distinct volume_id, (volume_id % 9) * 4.0 as cz, (volume_id % 7) * 5.0 as cy, 16.0 as cx from cubes),
+w as (select volume_id, source, n, cast(floor(cz / 8 - n / 2.0) as bigint) as z0, cast(floor(cy / 8 - n / 2.0) as bigint) as y0, cast(floor(cx / 8 - n / 2.0) as bigint) as x0 from q cross join (select source, greatest(1, cast(round_even(2 * scale / 8, 0) as int)) as n from s) s),
+got as (select w.volume_id, source, dz, dy, dx, coalesce(c.v, 'NaN'::double) as v from w cross join grid left join cubes c on c.volume_id = w.volume_id and c.z = z0 + dz * n // 2 and c.y = y0 + dy * n // 2 and c.x = x0 + dx * n // 2) """
+
+
+@query(SOURCES + "select volume_id, source, dz, dy, dx, " + TOLD + " from got")
+def co_registered_read(spark, sf_dir):
+    """Samples meet the sources of their dataset, and every source is read about the sample's centre at its own scale."""
+    ids = R.cube_patches(spark, sf_dir).select(F.col("sample").alias("dataset"))
+    array = lambda x: patches.vector([x] * 3)
+    scales = F.explode(F.map_from_arrays(F.array(*map(F.lit, ("fine", "wide", "near"))), F.array(array(16.0 / 2), array(16.0), array(4.0)))).alias("source", "scale")
+    sources = ids.select("dataset", scales).withColumns({"voxel": array(8.0), "origin": array(0.0), "volume_id": F.col("dataset"), "stored": F.array(*map(F.lit, (4, 4, 4)))})
+    sources = sources.withColumn("form", patches.form((2, 2, 2), patches.differs(F.col("voxel"), F.col("scale")), "nearest", True, float("nan")))
+    samples = ids.select(F.col("dataset").alias("sample"), "dataset", F.array((F.col("dataset") % 9) * 4.0, (F.col("dataset") % 7) * 5.0, F.lit(16.0)).alias("centre"))
+    met = samples.join(sources, "dataset").withColumn("read", patches.read_sizes(F.col("form.out"), F.col("scale"), F.col("voxel")))
+    met = met.withColumn("start", patches.starts(F.col("centre"), F.col("origin"), F.col("voxel"), F.col("read")))
+    got = patches.read_relation(met, R.whole_chunks(spark, sf_dir, 4, 4, 4), (4, 4, 4))
+    return _told(patches.as_voxels(got, ["sample", "source"]).withColumnRenamed("sample", "volume_id"), "volume_id", "source", "dz", "dy", "dx")
+
+
 @query("with " + R.CUBES + ", req as (select distinct volume_id, cast(volume_id % 9 as int) * 2 - 6 as z0 from cubes) select volume_id, z0, z0 >= 4 or z0 + 3 <= 0 as oob, cast(27 - (select count(*) from cubes c where c.volume_id = r.volume_id and c.z >= z0 and c.z < z0 + 3 and c.y < 3 and c.x < 3) as bigint) as n_nan from req r")
 def patch_read_fully_oob(spark, sf_dir):
     req = _requests(spark, sf_dir).select("volume_id", "patch_id", ((F.col("volume_id") % 9).cast("int") * 2 - 6).alias("z0"), F.lit(0).alias("y0"), F.lit(0).alias("x0"))
@@ -88,8 +138,15 @@ def patch_transpose(spark, sf_dir):
 
 @query("with " + R.CUBES + ", " + R.grid(6, 2, 5) + " select v.volume_id, dz, dy, dx, isnan(coalesce(c.v, 'NaN'::double)) as is_nan, round(coalesce(c.v, 0), 6) as v from (select distinct volume_id from cubes) v cross join grid left join cubes c on c.volume_id = v.volume_id and c.z = dz - 1 and c.y = dy + 1 and c.x = dx")
 def patch_enforce_shape(spark, sf_dir):
-    whole = R.cubes(spark, sf_dir).select("volume_id", F.col("z").alias("dz"), F.col("y").alias("dy"), F.col("x").alias("dx"), "v")
-    return _told(spatial.enforce_shape(whole, ["volume_id"], (4, 4, 4), (6, 2, 5)), "volume_id", "dz", "dy", "dx")
+    return _finished(R.cube_patches(spark, sf_dir), (6, 2, 5))
+
+
+def _finished(rows, out, resample=False, mode="nearest", turn=None):
+    """Windows in the form asked for, in one Arrow pass, as voxels."""
+    rows = rows.withColumn("form", patches.form(out, resample, mode, True, float("nan")))
+    rows = rows.withColumn("turn", turn) if turn is not None else rows
+    voxels = patches.as_voxels(patches.finish(rows, double=True), ["sample"])
+    return _told(voxels.withColumnRenamed("sample", "volume_id"), "volume_id", "dz", "dy", "dx")
 
 
 def _whole(spark, sf_dir):
@@ -98,7 +155,7 @@ def _whole(spark, sf_dir):
 
 @query("with " + R.CUBES + ", " + R.grid(3, 6, 2) + " select c.volume_id, dz, dy, dx, isnan(v) as is_nan, round(v, 6) as v from grid join cubes c on c.z = least(dz * 4 // 3, 3) and c.y = least(dy * 4 // 6, 3) and c.x = least(dx * 4 // 2, 3)")
 def resample_nearest(spark, sf_dir):
-    return _told(spatial.resample_nearest(_whole(spark, sf_dir), ["volume_id"], (4, 4, 4), (3, 6, 2)), "volume_id", "dz", "dy", "dx")
+    return _finished(R.cube_patches(spark, sf_dir), (3, 6, 2), True)
 
 
 def _taps(a: str, o: int) -> str:
@@ -108,6 +165,18 @@ def _taps(a: str, o: int) -> str:
 
 @query("with " + R.CUBES + ", " + ", ".join(_taps(a, o) for a, o in (("z", 3), ("y", 6), ("x", 2))) + " select volume_id, cast(tz.o as int) as dz, cast(ty.o as int) as dy, cast(tx.o as int) as dx, false as is_nan, round(sum(v * tz.w * ty.w * tx.w), 6) as v from cubes join tz on tz.i = z join ty on ty.i = y join tx on tx.i = x group by all")
 def resample_linear(spark, sf_dir):
+    return _finished(R.cube_patches(spark, sf_dir), (3, 6, 2), True, "linear")
+
+
+@query(SQL["resample_nearest"])
+def resample_nearest_voxels(spark, sf_dir):
+    """The same in voxel form, for plans that go on relationally."""
+    return _told(spatial.resample_nearest(_whole(spark, sf_dir), ["volume_id"], (4, 4, 4), (3, 6, 2)), "volume_id", "dz", "dy", "dx")
+
+
+@query(SQL["resample_linear"])
+def resample_linear_voxels(spark, sf_dir):
+    """The same in voxel form, for plans that go on relationally."""
     return _told(spatial.resample_linear(_whole(spark, sf_dir), ["volume_id"], (4, 4, 4), (3, 6, 2)), "volume_id", "dz", "dy", "dx")
 
 
@@ -117,12 +186,12 @@ def resample_linear(spark, sf_dir):
 def rotate_nearest(spark, sf_dir):
     """A quarter turn about y of whole volumes, as arrays in Arrow batches."""
     matrix = spatial.rotation_matrix({"y": 90.0})
-    patches = scan.as_patches(_whole(spark, sf_dir), ["volume_id"], (4, 4, 4))
+    rows = R.cube_patches(spark, sf_dir).withColumnRenamed("sample", "volume_id").select("volume_id", "shape", "data")
 
     def turn(frames):
         return scan.stream_patches(frames, lambda d: spatial.rotate(d, matrix, "nearest", convention="world"))
 
-    turned = patches.mapInPandas(turn, "volume_id long, shape array<int>, data array<double>")
+    turned = rows.mapInPandas(turn, "volume_id long, shape array<int>, data array<double>")
     return _told(scan.as_voxels(turned, ["volume_id"], (4, 4, 4)), "volume_id", "dz", "dy", "dx")
 
 
@@ -184,12 +253,27 @@ def transform_draw(spark, sf_dir):
     return ids.withColumn("angle_z", F.round("angle_z", 6))
 
 
-@query("select * from (values ('[4, 4]', true, false, '[4, 4]', '[1, 4, 4]', '[1, 4, 4]'), ('[1, 4, 4]', false, true, '[4, 4]', '[1, 4, 4]', '[1, 4, 4]'), ('[4, 1, 5]', false, true, '[4, 5]', '[1, 4, 5]', '[1, 4, 5]'), ('[1, 1]', true, true, '[1]', '[1]', '[1, 1]'), ('[2, 3, 4]', false, false, '[2, 3, 4]', '[1, 2, 3, 4]', '[1, 2, 3, 4]')) t(shape, is_2d, singleton, squeezed, channel, sliced)")
+_SHAPES = """with s as (select p_partkey, case p_partkey % 5 when 0 then [p_size, 4] when 1 then [1, p_size, 4] when 2 then [p_size, 1, 5] when 3 then [1, 1] else [2, 3, p_size] end as s from part),
+q as (select *, list_filter(s, lambda d: d <> 1) as q, coalesce(list_position(s, 1), 0) as one from s),
+r as (select *, case when one > 0 then s[:one - 1] || s[one + 1:] else s end as r from q)
+"""
+
+
+def _text_sql(x: str) -> str:
+    return f"'[' || array_to_string({x}, ', ') || ']'"
+
+
+@query(_SHAPES + f"select p_partkey, {_text_sql('s')} as shape, len(s) = 2 as is_2d, one > 0 as singleton, {_text_sql('case when len(q) = 0 then [1] else q end')} as squeezed, {_text_sql('[1] || q')} as channel, {_text_sql('[1] || r')} as sliced, {_text_sql('r[:1] || [1] || r[2:]')} as sliced_1 from r")
 def shape_functions(spark, sf_dir):
-    rows = spark.createDataFrame([([4, 4],), ([1, 4, 4],), ([4, 1, 5],), ([1, 1],), ([2, 3, 4],)], "shape array<int>")
+    """Shapes made of the parts' sizes."""
+    n, size = F.col("p_partkey") % 5, F.col("p_size")
+    of = lambda *xs: F.array(*[x if not isinstance(x, int) else F.lit(x) for x in xs])
+    shape = F.when(n == 0, of(size, 4)).when(n == 1, of(1, size, 4)).when(n == 2, of(size, 1, 5)).when(n == 3, of(1, 1)).otherwise(of(2, 3, size))
+    rows = R.table(spark, sf_dir, "part").select("p_partkey", shape.alias("shape"))
     text = lambda c: F.concat(F.lit("["), F.array_join(c.cast("array<string>"), ", "), F.lit("]"))
     s = F.col("shape")
-    return rows.select(text(s).alias("shape"), shapes.is_2d(s).alias("is_2d"), shapes.has_singleton(s).alias("singleton"), text(shapes.squeezed(s)).alias("squeezed"), text(shapes.with_channel(s)).alias("channel"), text(shapes.sliced(s, F.lit(0))).alias("sliced"))
+    columns = {"shape": text(s), "is_2d": shapes.is_2d(s), "singleton": shapes.has_singleton(s), "squeezed": text(shapes.squeezed(s)), "channel": text(shapes.with_channel(s)), "sliced": text(shapes.sliced(s, F.lit(0))), "sliced_1": text(shapes.sliced(s, F.lit(1)))}
+    return rows.select("p_partkey", *[c.alias(k) for k, c in columns.items()])
 
 
 @query("with " + R.CUBES + ", u as (select distinct volume_id, " + ", ".join(_U.format(f"concat_ws(':', 3, 2, volume_id, 'transpose', '{a}')") + f" as u{a}" for a in "zyx") + " from cubes) select volume_id, array_to_string(list_transform(list_sort([{'u': uz, 'i': 0}, {'u': uy, 'i': 1}, {'u': ux, 'i': 2}]), lambda s: s.i), ',') as perm from u")
@@ -217,9 +301,8 @@ def _turned_sql(gx: str, gy: str, gz: str, linear: bool) -> str:
 
 def _turned(spark, sf_dir, degrees, mode):
     matrix = spatial.rotation_matrix(degrees)
-    patches = scan.as_patches(_whole(spark, sf_dir), ["volume_id"], (4, 4, 4))
-    turned = patches.mapInPandas(lambda f: scan.stream_patches(f, lambda d: spatial.rotate(d, matrix, mode)), "volume_id long, shape array<int>, data array<double>")
-    return _told(scan.as_voxels(turned, ["volume_id"], (4, 4, 4)), "volume_id", "dz", "dy", "dx")
+    turn = F.struct(patches.vector(matrix.ravel().tolist()).alias("matrix"), F.lit(None).cast("array<boolean>").alias("mirror"), F.lit(None).cast("array<int>").alias("perm"))
+    return _finished(R.cube_patches(spark, sf_dir), (4, 4, 4), mode=mode, turn=turn)
 
 
 @query(_turned_sql("qx * cos(radians(45)) + qy * cos(radians(30)) * sin(radians(45)) + qz * sin(radians(30)) * sin(radians(45))", "-qx * sin(radians(45)) + qy * cos(radians(30)) * cos(radians(45)) + qz * sin(radians(30)) * cos(radians(45))", "-qy * sin(radians(30)) + qz * cos(radians(30))", True))

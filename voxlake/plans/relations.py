@@ -19,6 +19,18 @@ def cubes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("volume_id"), "label", F.floor(F.col("i") / 16).cast("int").alias("z"), (F.floor(F.col("i") / 4) % 4).cast("int").alias("y"), (F.col("i") % 4).cast("int").alias("x"), F.col("v").cast("double").alias("v"))
 
 
+def cube_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same volumes as patches: sample, source, shape, data. A vector is its volume in C order, so nothing moves."""
+    e = table(spark, sf_dir, "embeddings").where(F.size("embedding") >= 64)
+    return e.select(F.col("vec_id").alias("sample"), F.lit("").alias("source"), F.array(*map(F.lit, (4, 4, 4))).alias("shape"), F.slice("embedding", 1, 64).alias("data"))
+
+
+def whole_chunks(spark: SparkSession, sf_dir: str, *shape: int) -> DataFrame:
+    """The vectors as volumes of some shape and of one chunk each, in the form of operators.scan.chunked."""
+    of = cube_patches(spark, sf_dir)
+    return of.select(F.col("sample").alias("volume_id"), *[F.lit(0).alias(c) for c in ("cz", "cy", "cx")], F.array(*map(F.lit, shape)).alias("shape"), F.lit(None).cast("array<int>").alias("at"), "data")
+
+
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A 7 x 11 x 50 raster of line items for each return flag: volume_id, z, y, x, v (a count; absent cells are 0)."""
     li = table(spark, sf_dir, "lineitem")
@@ -53,3 +65,10 @@ GRID = "grid as (select cast(a.i as int) as dz, cast(b.i as int) as dy, cast(c.i
 
 def grid(*shape: int) -> str:
     return GRID.format(*shape)
+
+
+def permuted_sql(index: str, n: str, name: str) -> str:
+    """functions.rng.permuted as SQL: index and n are bigint expressions, name a text expression."""
+    key = f"cast('0x' || substr(md5({name} || ':' || i || ':key'), 1, 12) as bigint) % {n}"
+    partner = f"((({key} - x) % {n} + {n}) % {n})"
+    return f"list_reduce(list_prepend({index}, range(0, cast(6 * length(bin({n} - 1)) + 6 as bigint))), lambda x, i: case when md5({name} || ':' || i || ':' || greatest(x, {partner})) >= '8' then {partner} else x end)"

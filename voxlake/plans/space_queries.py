@@ -190,10 +190,10 @@ def find_level(spark, sf_dir):
 
 @query(
     """with a as (select p_partkey as volume_id, radians(p_size) as t, cast(p_size as double) as n from part)
-select volume_id, round(cos(t), 9) as r11, round(-sin(t), 9) as r12, cast(ceil(round(n * (abs(cos(t)) + abs(sin(t))), 9)) as bigint) as read_y from a"""
+select volume_id, round(cos(t), 9) as r11, round(-sin(t), 9) as r12, cast(ceil(n) as bigint) as read_z, cast(ceil(n * (abs(cos(t)) + abs(sin(t)))) as bigint) as read_y from a"""
 )
 def rotated_read_shape(spark, sf_dir):
     p = R.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("volume_id"), F.radians("p_size").alias("t"), F.col("p_size").cast("double").alias("n"))
     m = [[F.lit(1.0), F.lit(0.0), F.lit(0.0)], [F.lit(0.0), F.cos("t"), -F.sin("t")], [F.lit(0.0), F.sin("t"), F.cos("t")]]
-    turned = F.ceil(F.round(F.col("n") * (F.abs(m[1][1]) + F.abs(m[1][2])), 9))
-    return p.select("volume_id", F.round(m[1][1], 9).alias("r11"), F.round(m[1][2], 9).alias("r12"), turned.alias("read_y"))
+    z, y, _ = G.rotated_voxels([F.col("n")] * 3, m)
+    return p.select("volume_id", F.round(m[1][1], 9).alias("r11"), F.round(m[1][2], 9).alias("r12"), z.alias("read_z"), y.alias("read_y"))

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions import values as V
-from ..functions.rng import uniform
 from ..operators import catalog, sampling, sink, stats
 from . import relations as R
 
@@ -96,11 +95,9 @@ select cast(i as int) as pos, cast(k.crops[r] as int) as crop from run, k where
 
 @query(BALANCED)
 def balanced_sampler(spark, sf_dir):
-    """200 draws over the 50 crops; the matrix has 50 rows whatever the table's size."""
-    rows = {r["crop"]: [r[f"c{k}"] for k in range(10)] for r in crop_class_matrix(spark, sf_dir).collect()}
-    crops = sorted(rows)
-    drawn = sampling.balanced_rows([rows[c] for c in crops], 200)
-    return spark.createDataFrame([(i, crops[r]) for i, r in enumerate(drawn)], "pos int, crop int")
+    """200 draws over the 50 crops, made by a task; the matrix has 50 rows whatever the table's size."""
+    drawn = sampling.balanced(crop_class_matrix(spark, sf_dir), "crop", [f"c{k}" for k in range(10)], 200)
+    return drawn.select("pos", "crop")
 
 
 @query("select cast(r as int) as row, cast(case when r < o % 7 then r * (o // 7 + 1) else (o % 7) * (o // 7 + 1) + (r - o % 7) * (o // 7) end as bigint) as start, cast(case when r < o % 7 then o // 7 + 1 else o // 7 end as bigint) as width from (select count(*) as o from orders), (select unnest(range(7)) as r)")
@@ -110,25 +107,36 @@ def row_to_sample(spark, sf_dir):
     return s.select("row", F.col("s.start").cast("long").alias("start"), F.col("s.width").cast("long").alias("width"))
 
 
-_U = "(('0x' || substr(md5({0}), 1, 8))::bigint / 4294967296.0)"
+_COUNTED = "with c as (select c_custkey as i, c_nationkey, count(*) over () as n from customer) "
 
 
-@query("select cast(b * 25 + rn - 1 as int) as pos, n_nationkey as idx from (select n_nationkey, b, row_number() over (partition by b order by " + _U.format("concat_ws(':', 9, b, n_nationkey)") + ", n_nationkey) as rn from nation, (select unnest(range(3)) as b)) where b * 25 + rn - 1 < 60")
+def _n(spark, sf_dir):
+    return R.table(spark, sf_dir, "customer").count()
+
+
+@query(_COUNTED + ", p as (select b * n + i as pos, n, b from c, (select unnest(range(3)) as b)) select pos, " + R.permuted_sql("pos % n", "n", "('9:' || b)") + " as idx from p where pos < 2 * n + n // 3")
 def min_redundant_inds(spark, sf_dir):
-    return sampling.few_repeats(R.table(spark, sf_dir, "nation").select("n_nationkey"), "n_nationkey", 60, 25, 9).select("pos", F.col("n_nationkey").alias("idx"))
+    """Two and a third times as many positions as there are customers: each block of positions is a permutation of its own."""
+    n = _n(spark, sf_dir)
+    blocks = F.explode(F.sequence(F.lit(0), F.lit(2)))
+    pos = R.table(spark, sf_dir, "customer").select("c_custkey", blocks.alias("b")).select((F.col("b") * n + F.col("c_custkey")).alias("pos"))
+    return sampling.few_repeats(pos.where(F.col("pos") < 2 * n + n // 3), "pos", n, 9)
 
 
-@query("select c_custkey, cast(row_number() over (order by " + _U.format("concat_ws(':', 4, 2, c_custkey)") + ", c_custkey) - 1 as int) as pos from customer")
+@query(_COUNTED + "select i as c_custkey, " + R.permuted_sql("i", "n", "'4:2'") + " as pos from c")
 def epoch_shuffle(spark, sf_dir):
-    """An epoch's order as positions. Ranks come from counts of ordered hash ranges, so no window spans the table."""
-    c = R.table(spark, sf_dir, "customer").select("c_custkey", uniform(4, 2, "c_custkey").alias("u"))
-    c = c.withColumn("b", F.floor(F.col("u") * 256).cast("int"))
-    from pyspark.sql import Window
+    """An epoch's order as positions: a bijection of the index, so no row meets another."""
+    return sampling.shuffled(R.table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", _n(spark, sf_dir), 4, 2)
+
 
-    n = c.groupBy("b").agg(F.count("*").alias("n"))
-    n = n.select("b", F.coalesce(F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("b").orderBy("u", "c_custkey")) - 1
-    return c.withColumn("r", rank).join(n, "b").select("c_custkey", (F.col("before") + F.col("r")).cast("int").alias("pos"))
+@query(_COUNTED + ", p as (select i as pos, " + R.permuted_sql("i", "n", "'6:1'") + " as g from c), d as (select c_nationkey as dataset, count(*) as k from customer group by 1), o as (select dataset, k, coalesce(sum(k) over (order by dataset rows between unbounded preceding and 1 preceding), 0) as first from d) select pos, dataset, cast(g - first as bigint) as index from p join o on g >= first and g < first + k")
+def loader_places(spark, sf_dir):
+    """An epoch's order over datasets that follow one another, one for each nation, and the place of each sample in its own."""
+    rows = R.table(spark, sf_dir, "customer")
+    n = _n(spark, sf_dir)
+    counts = sampling.with_offsets(rows.groupBy(F.col("c_nationkey").alias("dataset")).agg(F.count("*").alias("n")), "dataset", "n")
+    order = sampling.shuffled(rows.select(F.col("c_custkey").alias("pos")), "pos", n, 6, 1, "index")
+    return sampling.placed(order, counts, n, 25).select("pos", "dataset", "index")
 
 
 @query("with " + R.CUBES + ", p as (select volume_id, label, sum(case when v > 0 then 1 else 0 end) as fg from cubes group by all) select cast(volume_id // 8 as bigint) as batch_id, count(*) as n, cast(sum(fg) as bigint) as fg, string_agg(cast(label as varchar), ',' order by volume_id) as labels from p group by 1")
@@ -139,20 +147,33 @@ def collate_batches(spark, sf_dir):
     return b.select("batch_id", F.size("items").cast("long").alias("n"), total.alias("fg"), F.array_join(F.transform("items", lambda x: x["label"].cast("string")), ",").alias("labels"))
 
 
-LINES = ["train,/raw/a.zarr,/gt/a.zarr", "", "# note,x,y", "validate,/d,raw/s0,/g,\"gt/[mito,er]\"", "short,row", "Training2,/d/,raw,/g,/abs/gt", "test,r,g,extra", "train,,/gt/b.zarr"]
+#: Lines of split files made of customers' names: two kinds of rows, another split, and what is left out.
+_LINES = ["'train,/raw/' || c_name || '.zarr,/gt/' || c_name || '.zarr'", "''", "'# note,' || c_name || ',y'", "'validate,/d,raw/' || c_name || ',/g,\"gt/[' || c_mktsegment || ',er]\"'", "'short,' || c_name", "'Training2,/d/,' || c_name || ',/g,/abs/' || c_mktsegment", "'test,r' || c_custkey || ',g,extra'", "'train,,/gt/' || c_name"]
 
 
-@query("select * from (values ('train', '/raw/a.zarr', '/gt/a.zarr', true), ('validate', '/d/raw/s0', '/g/gt/[mito,er]', false), ('Training2', '/d/raw', '/abs/gt', true), ('test', 'r', 'g', false)) t(split, raw_path, gt_path, is_training)")
+@query("""select c_custkey, case k when 0 then 'train' when 3 then 'validate' when 5 then 'Training2' else 'test' end as split,
+ case k when 0 then '/raw/' || c_name || '.zarr' when 3 then '/d/raw/' || c_name when 5 then '/d/' || c_name else 'r' || c_custkey end as raw_path,
+ case k when 0 then '/gt/' || c_name || '.zarr' when 3 then '/g/gt/[' || c_mktsegment || ',er]' when 5 then '/abs/' || c_mktsegment else 'g' end as gt_path, k in (0, 5) as is_training
+ from (select *, c_custkey % 8 as k from customer) where k in (0, 3, 5, 6)""")
 def parse_split_csv(spark, sf_dir):
-    """Rows of a split file; those without a raw path are skipped."""
-    rows = catalog.split_rows(spark.createDataFrame([(x,) for x in LINES], "value string")).where("raw_path <> ''")
-    return rows.select("split", "raw_path", "gt_path", catalog.is_training(F.col("split")).alias("is_training"))
+    """Rows of split files; those without a raw path are skipped."""
+    cases = " ".join(f"when {i} then {line}" for i, line in enumerate(_LINES))
+    lines = R.table(spark, sf_dir, "customer").select("c_custkey", F.expr(f"case c_custkey % 8 {cases} end").alias("value"))
+    rows = catalog.split_rows(lines, "c_custkey").where("raw_path <> ''")
+    return rows.select("c_custkey", "split", "raw_path", "gt_path", catalog.is_training(F.col("split")).alias("is_training"))
+
+
+_TARGETS = ["'/g/[' || p_type || ',' || p_brand || ']/s0'", "'/g/[' || p_brand || ']'", "'/g/' || p_brand", "'/g/[' || p_brand || '/b'", "'/g/[a]/[' || p_brand || ']'", "'/g/[ ' || p_brand || ', b ]'"]
 
 
-@query("select * from (values ('/g/[mito,er]/s0', '/g/{label}/s0', 'mito|er'), ('/g/[mito]', '/g/{label}', 'mito'), ('/g/nuc', '/g/nuc', 'nuc'), ('/g/[a/b', '/g/[a/b', 'b'), ('/g/[a]/[b]', '/g/[a]/[b]', '[b]'), ('/g/[ a, b ]', '/g/{label}', ' a| b ')) t(path, template, classes)")
+@query("with p as (select *, case p_partkey % 6 " + " ".join(f"when {i} then {t}" for i, t in enumerate(_TARGETS)) + """ end as path from part)
+select p_partkey, path, case p_partkey % 6 when 0 then '/g/{label}/s0' when 1 then '/g/{label}' when 5 then '/g/{label}' else path end as template,
+ case p_partkey % 6 when 0 then p_type || '|' || p_brand when 1 then p_brand when 2 then p_brand when 3 then 'b' when 4 then '[' || p_brand || ']' else ' ' || p_brand || '| b ' end as classes from p""")
 def split_target_path(spark, sf_dir):
-    rows = spark.createDataFrame([(p,) for p in ("/g/[mito,er]/s0", "/g/[mito]", "/g/nuc", "/g/[a/b", "/g/[a]/[b]", "/g/[ a, b ]")], "path string")
-    return rows.withColumn("s", catalog.split_target(F.col("path"))).select("path", "s.template", F.array_join("s.classes", "|").alias("classes"))
+    """Target paths made of the parts' names, with one list of classes in brackets or without."""
+    cases = " ".join(f"when {i} then {t}" for i, t in enumerate(_TARGETS))
+    rows = R.table(spark, sf_dir, "part").select("p_partkey", F.expr(f"case p_partkey % 6 {cases} end").alias("path"))
+    return rows.withColumn("s", catalog.split_target(F.col("path"))).select("p_partkey", "path", "s.template", F.array_join("s.classes", "|").alias("classes"))
 
 
 #: Every substring of p_type that p_name holds; the longest, then the first, of each part.
@@ -165,22 +186,14 @@ def longest_common_substring(spark, sf_dir):
     return R.table(spark, sf_dir, "part").select("p_partkey", text.longest_common_substring(F.col("p_type"), F.col("p_name")).alias("lcs"))
 
 
-@query(LONGEST)
-def longest_common_substring_whole(spark, sf_dir):
-    """Another name of longest_common_substring, from when that one had a limit."""
-    return longest_common_substring(spark, sf_dir)
-
-
-@query("select * from (values ('v0', 0, 's0', 8.0::double, 100.0::double, 'v0'), ('v0', 1, 's1', 8.0, 100.0, 'v0'), ('v0', 2, 's2', 16.0, 104.0, 'v0'), ('v1', 0, 's0', 4.0, 0.0, 'v1'), ('v1', 1, 's1', 4.0, 0.0, 'v1'), ('v1', 2, 's2', 8.0, 2.0, 'v1')) t(volume_id, level, path, scale_z, origin_z, name)")
+@query("""with l as (select p_partkey, p_brand, cast(p_size as double) as s, p_retailprice as o from part)
+select p_partkey as volume_id, cast(k as int) as level, 's' || k as path, case k when 2 then 2 * s else s end as scale_z, case k when 2 then s * 0.5 + o else o end as origin_z, '/' || p_brand as name from l, (select unnest([0, 1, 2]) as k)""")
 def multiscale_metadata_roundtrip(spark, sf_dir):
-    """Attributes as JSON with two added levels, parsed into levels again."""
-    rows = spark.createDataFrame([("v0", 8.0, 100.0), ("v1", 4.0, 0.0)], "volume_id string, s double, o double")
-    made = None
-    for v, s, o in (("v0", 8.0, 100.0), ("v1", 4.0, 0.0)):
-        one = rows.where(F.col("volume_id") == v).select("volume_id", catalog.multiscale_attrs(F.concat(F.lit("/a/b.zarr"), F.col("volume_id")), [s] * 3, [o] * 3, more_levels=2).alias("attrs"))
-        made = one if made is None else made.unionByName(one)
-    names = made.select("volume_id", F.get_json_object("attrs", "$.multiscales[0].name").alias("name"))
-    return catalog.levels(made).join(names, "volume_id").select("volume_id", "level", "path", F.get("voxel_size", F.lit(0)).alias("scale_z"), F.get("origin", F.lit(0)).alias("origin_z"), "name")
+    """Attributes as JSON of a volume for each part, with two added levels, parsed into levels again."""
+    name = F.concat(F.lit("/a/b.zarr/"), F.col("p_brand"))
+    made = R.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("volume_id"), catalog.multiscale_attrs(name, [F.col("p_size")] * 3, [F.col("p_retailprice")] * 3, more_levels=2).alias("attrs"))
+    found = catalog.levels(made.withColumn("name", F.get_json_object("attrs", "$.multiscales[0].name")), "attrs", "name")
+    return found.select("volume_id", "level", "path", F.get("voxel_size", F.lit(0)).alias("scale_z"), F.get("origin", F.lit(0)).alias("origin_z"), "name")
 
 
 #: The whole volumes as patches of 4 x 4 x 4 written over 6 x 6 x 6 outputs, with starts that overlap and leave them on both sides.
@@ -224,17 +237,21 @@ def writer_read_back(spark, sf_dir):
     return c.groupBy("volume_id").agg(F.min("z").alias("z"), F.count("*").alias("n"), F.round(F.sum("v"), 5).alias("total"))
 
 
-@query("select * from (values ('uint8', 255::bigint), ('int8', 127), ('int16', 32767), ('int32', 2147483647), ('int64', 9223372036854775807), ('float32', 1)) t(dtype, most)")
+_TYPES = ("uint8", "int8", "int16", "int32", "int64", "float32")
+
+
+@query("select p_partkey, " + str(list(_TYPES)) + "[p_partkey % 6 + 1] as dtype, cast([255, 127, 32767, 2147483647, 9223372036854775807, 1][p_partkey % 6 + 1] as bigint) as most from part")
 def type_max_value(spark, sf_dir):
-    rows = spark.createDataFrame([(x,) for x in ("uint8", "int8", "int16", "int32", "int64", "float32")], "dtype string")
-    return rows.select("dtype", V.type_max(F.col("dtype")).alias("most"))
+    """The largest value of a stored type for each part."""
+    rows = R.table(spark, sf_dir, "part").select("p_partkey", F.get(F.array(*map(F.lit, _TYPES)), (F.col("p_partkey") % 6).cast("int")).alias("dtype"))
+    return rows.select("p_partkey", "dtype", V.type_max(F.col("dtype")).alias("most"))
 
 
 @query("with b as (select vec_id % 50 as dataset, vec_id as n from embeddings), k as (select dataset, count(*) as n from b group by 1) select cast(dataset as int) as dataset, n from k where n > 9 or dataset < 3")
 def verified_datasets(spark, sf_dir):
     """Datasets with samples, or forced."""
     k = R.table(spark, sf_dir, "embeddings").groupBy((F.col("vec_id") % 50).cast("int").alias("dataset")).agg(F.count("*").alias("n"))
-    return k.where((F.col("n") > 9) | (F.col("dataset") < 3))
+    return catalog.verified(k, F.col("n") - 9, F.col("dataset") < 3)
 
 
 @query("with " + R.CUBES + ", p as (select volume_id % 20 as out_id, volume_id as seq, case z when 0 then 'mito' when 2 then 'nuc' else null end as class, cast(volume_id % 5 as int) - 2 + y as y, cast((volume_id // 5) % 5 as int) + x as x, v from cubes) select out_id, class, cast(0 as int) as z, y, x, round(max_by(v, seq), 6) as v from p where class is not null and y >= 0 and y < 6 and x < 6 group by all")
