@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import datasource as D
 from pyspark.sql import functions as F
-from voxlake.api import Dataset, Image, Loader, MultiDataset, Spec, Split, foregrounds
+from voxlake.api import Dataset, DatasetWriter, Image, Loader, MultiDataset, Spec, Split, Writer, foregrounds
 from voxlake.functions import rng
 from voxlake.functions import values as V
 from voxlake.operators import catalog, patches, sampling, spatial, stats
@@ -327,3 +327,23 @@ def test_balanced_draws_go_on_in_a_stream(spark, tmp_path):
         query.awaitTermination()
     rows = spark.read.parquet(out).collect()
     assert {e: [r["row"] for r in sorted(rows, key=lambda r: r["pos"]) if r["epoch"] == e] for e in (0, 1)} == want
+
+
+def test_written_patches_become_a_volume(spark, tmp_path):
+    """Patches about centres, saved, read again; a second save changes only its own voxels."""
+    spec = Spec((2, 2, 2), (8, 8, 8))
+    writer = Writer({"z": (16.0, 48.0), "y": (0.0, 40.0), "x": (0.0, 32.0)}, spec)
+    centres = [{"z": z, "y": y, "x": x} for z in (24.0, 40.0) for y in (8.0, 24.0) for x in (8.0, 24.0)]
+    rows = spark.createDataFrame([(i, z, y, x, 100.0 * i + 4 * z + 2 * y + x) for i in range(8) for z, y, x in np.ndindex(2, 2, 2)], "idx int, dz int, dy int, dx int, v double")
+    path = f"{tmp_path}/out.zarr/pred"
+    writer.save(writer.placed(rows, centres), path, chunk=(3, 2, 4))
+    out = read(spark, path)
+    assert out.shape == (4, 5, 4) and (out[:, 4] == 0).all() and out[2, 2, 3] == 701 and Image.open(spark, path, spec).origin["z"] == 16.0
+    one = spark.createDataFrame([(0, 0, 0, 0, -1.0)], "idx int, dz int, dy int, dx int, v double")
+    writer.save(writer.placed(one, [{"z": 24.0, "y": 8.0, "x": 8.0}]), path, chunk=(3, 2, 4))
+    want = out.copy()
+    want[0, 0, 0] = -1
+    np.testing.assert_array_equal(read(spark, path), want)
+    classes = DatasetWriter(writer.box, spec, ["a", "b"], ["out"])
+    classes.save_classes(classes.write({"out": rows, "b": one}, centres), f"{tmp_path}/more.zarr", "overwrite")
+    assert read(spark, f"{tmp_path}/more.zarr/a")[2, 2, 3] == 701 and (read(spark, f"{tmp_path}/more.zarr/b") == -1).sum() <= 1

@@ -643,6 +643,19 @@ class Writer:
         return sink.last_write(sink.placed(rows, dict(self.shape)), [*keys, "z", "y", "x"], "idx")
 
 
+    def save(self, voxels: DataFrame, path: str, mode: str = "append", chunk: Iterable[int] | None = None, dtype: str = "float32") -> None:
+        """Voxels (z, y, x, v) of placed() as a stored volume at the path; chunks are as large as patches unless told otherwise.
+
+        append changes the voxels that it is given and no others; overwrite leaves 0 elsewhere.
+        """
+        spark = voxels.sparkSession
+        ngff.register(spark)
+        chunk = tuple(chunk or self.spec.shape)
+        text = lambda x: ",".join(map(str, x))
+        options = {"path": path, "shape": text(self.shape[a] for a in AXES), "chunks": text(chunk), "voxel_size": text(self.spec.scale[a] for a in AXES), "origin": text(self.box[a][0] for a in AXES), "dtype": dtype}
+        sink.chunk_rows(voxels.select(F.lit(path).alias("volume_id"), *AXES, "v"), chunk).write.format("ngff").mode(mode).options(**options).save()
+
+
 class DatasetWriter(Writer):
     """An output volume for each class. model_classes name the channels of what a model gives, in their order."""
 
@@ -661,3 +674,8 @@ class DatasetWriter(Writer):
         if not parts:
             raise ValueError(f"no array is named like one of {self.arrays} or {self.classes}")
         return self.placed(reduce(DataFrame.unionByName, parts), centres, ["class"])
+
+    def save_classes(self, voxels: DataFrame, folder: str, mode: str = "append", **options) -> None:
+        """Voxels (class, z, y, x, v) of write() as a volume for each class, under the folder and the class's name."""
+        for name in self.classes:
+            self.save(voxels.where(F.col("class") == name), f"{folder}/{name}", mode, **options)

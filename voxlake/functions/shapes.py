@@ -31,11 +31,6 @@ def sliced(shape: Column, axis: Column) -> Column:
     return F.concat(F.slice(rest, F.lit(1), axis), F.array(F.lit(1)), F.slice(rest, axis + 1, F.size(rest)))
 
 
-def expanded_scale(scale: Column) -> Column:
-    """Two scales become three: the first is repeated."""
-    return F.when(F.size(scale) == 2, F.concat(F.slice(scale, 1, 1), scale)).otherwise(scale)
-
-
 def singleton_moved(arrays: dict, axis: int) -> dict:
     """Array specifications (shape, scale), at any depth of a dict, with the axis of size 1 at `axis` and three scales; the input stays."""
     if "shape" in arrays and "scale" in arrays:

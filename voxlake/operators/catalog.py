@@ -106,11 +106,6 @@ def verified(datasets: DataFrame, n: Column, forced: Column | bool = False) -> D
     return datasets.where((n > 0) | (forced if isinstance(forced, Column) else F.lit(forced)))
 
 
-def annotated(requested: DataFrame, template: str = "template", label: str = "class") -> DataFrame:
-    """requested with `path`, the template's for its class, and `present`: whether a volume lies there. One pass on executors."""
-    return ngff.present(requested.withColumn("path", F.replace(F.col(template), F.lit("{label}"), F.col(label))))
-
-
 def multiscale_attrs(name: Column, voxel_size: list[float | Column], origin: list[float | Column], unit: str = "nanometer", axes: str = "zyx", base_level: int = 0, more_levels: int = 0, corrected: bool = False) -> Column:
     """OME-NGFF 0.4 attributes as JSON. Added levels take scale and origin by 2 ** level and the name of the next level, as
     readers of such files are used to; corrected=True gives each level the scale of its own name."""

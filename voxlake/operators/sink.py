@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import scan
+
 
 def output_voxels(lo: Column, hi: Column, scale: Column) -> Column:
     return F.ceil((hi - lo) / scale)
@@ -71,7 +73,12 @@ def stacked(rows: DataFrame, source: str, classes: list[str], names: tuple[str,
     return out.select(*[c for c in rows.columns if c not in (source, "dz", "dy", "dx", "v")], "target", "channel", "dz", "dy", "dx", "v")
 
 
-def aligned(patches: DataFrame, volume: list[str], chunk: tuple[int, int, int], partitions: int) -> DataFrame:
-    """Rows with their chunk id, all of a chunk in one partition, so that each chunk has one writer."""
-    ids = [F.floor(F.col(a) / c).cast("int").alias(f"c{a}") for a, c in zip("zyx", chunk, strict=True)]
-    return patches.select("*", *ids).repartition(partitions, *volume, "cz", "cy", "cx")
+def chunk_rows(voxels: DataFrame, chunk: tuple[int, ...], level: str = "s0") -> DataFrame:
+    """Voxels (volume_id, z, y, x, v) as rows of sources.ngff: a row for each chunk that some voxel falls into, with the places of its voxels.
+
+    One shuffle by chunk, so each chunk has one writer; what its other places hold is the writer's business.
+    """
+    size = (1,) * (3 - len(chunk)) + tuple(chunk)
+    held = scan.chunked(voxels, size)
+    first = [(F.col(f"c{a}") * n).alias(f"{a}0") for a, n in zip("zyx", size, strict=True)]
+    return held.select(F.col("volume_id").cast("string").alias("volume_id"), F.lit(level).alias("level"), "cz", "cy", "cx", *first, "shape", "data", F.array().cast("array<int>").alias("lead"), "at")

@@ -212,6 +212,15 @@ def writer_scatter(spark, sf_dir):
     return _writes(spark, sf_dir).select("out_id", "seq", "z", "y", "x", F.round("v", 6).alias("v"))
 
 
+@query(WRITES + ", l as (select out_id, z, y, x, max_by(v, seq) as v from w group by all) select cast(out_id as varchar) as volume_id, cast(z // 4 as int) as cz, cast(y // 3 as int) as cy, cast(x // 2 as int) as cx, count(*) as n, cast(sum(z % 4 * 6 + y % 3 * 2 + x % 2) as bigint) as places, round(sum(cast(v as float)), 4) as total from l group by all")
+def writer_chunks(spark, sf_dir):
+    """The written voxels as the chunk rows that go to a stored volume."""
+    last = sink.last_write(_writes(spark, sf_dir), ["out_id", "z", "y", "x"], "seq").withColumnRenamed("out_id", "volume_id")
+    rows = sink.chunk_rows(last, (4, 3, 2))
+    add = lambda c, kind: F.aggregate(c, F.lit(0).cast(kind), lambda a, x: a + x.cast(kind))
+    return rows.select("volume_id", "cz", "cy", "cx", F.size("data").cast("long").alias("n"), add("at", "bigint").alias("places"), F.round(add("data", "double"), 4).alias("total"))
+
+
 @query(WRITES + "select out_id, z, y, x, round(max_by(v, seq), 6) as v from w group by all")
 def writer_last_write_wins(spark, sf_dir):
     return sink.last_write(_writes(spark, sf_dir), ["out_id", "z", "y", "x"], "seq").withColumn("v", F.round("v", 6))

@@ -7,7 +7,7 @@ Reading: options path (a group or array folder), level (a dataset's path, or not
 chunk keys. Comparisons of level, cz, cy and cx with constants are pushed down: chunks that they rule out are not opened.
 Supported compressors: none, blosc, zlib, gzip, bz2, lzma and zstd; others raise an error that names them.
 
-Writing: rows of that form, each a whole chunk, or its first corner. Options path, shape, chunks, voxel_size and origin
+Writing: rows of that form, each a whole chunk, or its first corner, or, with a column `at`, the values of those places of it. Options path, shape, chunks, voxel_size and origin
 as comma-separated numbers, dtype (float32), unit, level (s0). Chunks go to a staging folder; when all tasks have succeeded, they take the
 place of the old array (overwrite) or of single chunks of it (append, which wants an array of the same form); when one
 fails, the staging folder goes and the old array stays as it was. Paths are on a file system that driver and executors share.
@@ -192,19 +192,28 @@ class NgffWriter(D.DataSourceWriter):
             lead = [0] * (len(self.shape) - 3 - len(lead)) + lead
             name = chunk_name(self.array, lead, [row[k] for k in KEY])
             whole = np.zeros(self.chunks, self.dtype) if self.overwrite else read_chunk(self.final, self.array, name).copy()
+            if "at" in row and row["at"] is not None:
+                whole.reshape(-1)[np.asarray(row["at"], np.int64)] = np.asarray(row["data"], np.float32).astype(self.dtype)
+                self._put(name, whole)
+                n += 1
+                continue
             data = np.asarray(row["data"], np.float32).reshape(row["shape"])
             data = data.reshape(data.shape[-len(self.shape) :] if data.ndim > len(self.shape) else (1,) * (len(self.shape) - data.ndim) + data.shape)
             if any(a > b for a, b in zip(data.shape, self.chunks, strict=True)):
                 raise ValueError(f"a row of shape {data.shape} is larger than a chunk of {self.chunks}")
             whole[tuple(slice(0, k) for k in data.shape)] = data.astype(self.dtype)
-            place = f"{self.staging}/{name}"
-            os.makedirs(os.path.dirname(place), exist_ok=True)
-            with open(f"{place}.{uuid.uuid4().hex}.tmp", "wb") as f:
-                f.write(whole.tobytes())
-            os.replace(f.name, place)  # a task that runs twice leaves one whole chunk
+            self._put(name, whole)
             n += 1
         return Written(n)
 
+    def _put(self, name: str, whole: np.ndarray) -> None:
+        """A chunk's file; a task that runs twice leaves one whole chunk."""
+        place = f"{self.staging}/{name}"
+        os.makedirs(os.path.dirname(place), exist_ok=True)
+        with open(f"{place}.{uuid.uuid4().hex}.tmp", "wb") as f:
+            f.write(whole.tobytes())
+        os.replace(f.name, place)
+
     def commit(self, messages: list) -> None:
         os.makedirs(self.staging, exist_ok=True)
         for folder, _, names in os.walk(self.staging):
