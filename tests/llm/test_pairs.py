@@ -52,6 +52,7 @@ def test_join_of_null_and_repeated_ids(spark):
 
 @pytest.mark.parametrize("limits", [(2, 2000, 256), (1, 6, 16)])
 def test_join_equals_brute_force(spark, monkeypatch, limits):
+    """Also where a family of copies with edits is too large for a task."""
     for name, value in zip(("BATCH_MOST", "FAMILY", "PIVOTS"), limits, strict=True):
         monkeypatch.setattr(ngram_join, name, value)
     rng = random.Random(5)
@@ -64,6 +65,22 @@ def test_join_equals_brute_force(spark, monkeypatch, limits):
     assert {r[0]: (r[1], r[2]) for r in got} == linked_by_force(rows)
 
 
+def test_classes_just_below_the_threshold_are_no_family(spark, monkeypatch):
+    """A passage that hundreds of texts share, each with a tail of its own just too long for links: nothing is left to be joined in rounds."""
+    rng = random.Random(3)
+    core = prose(rng, 84)
+    rows = [(i, f"{core} t{i} {prose(rng, 10)}") for i in range(300)]  # 80 of 102 shingles are shared
+    rows += [(1000 + i, edited(rng, rows[i][1], 1)) for i in range(0, 300, 50)] + [(2000, core)]
+    monkeypatch.setattr(ngram_join, "FAMILY", 20)
+    monkeypatch.setattr(ngram_join, "_pool_labels", lambda *a: pytest.fail("a large family"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.jaccard_components(docs.where("doc_id < 2000")).collect()}
+    assert got == linked_by_force([r for r in rows if r[0] < 2000]) and sum(i != c for i, (_, c) in got.items()) == 6
+    monkeypatch.undo()  # the bare passage is linked with all
+    got = {r[0]: (r[1], r[2]) for r in ngram_join.jaccard_components(docs).collect()}
+    assert got == linked_by_force(rows) and {c for _, c in got.values()} == {0}
+
+
 def test_join_of_nothing_and_of_repeated_rows(spark):
     assert ngram_join.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     got = ngram_join.jaccard_components(spark.createDataFrame([(4, "a b c"), (4, "a b c"), (None, "a b c"), (2, "z")], "doc_id long, text string")).collect()

@@ -20,8 +20,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        before = told
+        before, last = told, e
         e, told = _kept(small.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), told[0])
+        base.forget(last)
         if told == before:
             break
     stars = e.select(F.col("a").alias("node"), F.col("b").alias("label"))

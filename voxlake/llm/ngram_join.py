@@ -4,9 +4,10 @@ Sets of word n-grams are linked when their Jaccard similarity reaches a threshol
 classes share l of the first |x| - ceil(t|x|) + l grams of any global order; here first the order of the hashes, which
 needs no counts. So classes send these grams to buckets, as packed arrays, and a class stays if enough of them occur in
 a second class; the same is then asked of all grams of the classes that stay, of which the threshold's share must occur
-twice. What is left is a small part of the classes. Its grams are counted and put into one global order, by frequency;
-classes that share one of their rarest grams, as many as the threshold allows to be missing and one, fall into one
-family, and each family's sets are joined over a trie: classes that share a beginning share its overlap, and a subtree
+twice. What is left is a small part of the classes. Its grams are counted and put into one global order, by frequency.
+Of two linked classes the smaller has one of its shortest beginning, the rarest grams that it can miss in a set of its own size and one
+more, among the rarest grams that the larger can miss in a smaller set and one more; so only such gram's classes fall into
+one family. Each family's sets are joined over a trie: classes that share a beginning share its overlap, and a subtree
 ends where the grams left are too few or where all its sets are of the component already. No pairs are made outside it.
 
 A family too large for a task is joined in rounds, all such families at once. As long as grams of it occur under two
@@ -452,8 +453,8 @@ def labelled(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
     # sets are made anew from the texts of the classes that are looked at
     texts = read.join(F.broadcast(wanted) if wanted.count() <= 500_000 else wanted, (F.col("th") == F.col("rep_th")) & F.col("doc_id").eqNullSafe(F.col("rep")))
     sets = base.stored(texts.select("c", "old", "text").mapInArrow(base.lean(_sets(n)), "c long, grams array<long>"), "join-sets")
-    again = _shared_grams(sets, "grams", "join-again").where("k > 0")
-    again = sets.join(again, "c").where(100 * F.col("k") >= percent * F.size("grams"))
+    again_counts = _shared_grams(sets, "grams", "join-again")
+    again = sets.join(again_counts.where("k > 0"), "c").where(100 * F.col("k") >= percent * F.size("grams"))
     few = base.stored(again.select("c", "grams").dropDuplicates(["c"]), "join-sets")
     base.forget(sets)
     # the global order: grams by the number of classes, which those of one class cannot take part in
@@ -463,12 +464,19 @@ def labelled(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
     sets = base.stored(order.select("c", "n", F.col("x.g").alias("grams"), F.transform("x.k", lambda k: -k).alias("counts")), "join-ordered")
     base.forget(few)
     base.forget(counts)
+    # Sets of x and y >= x grams that are linked share as many as any set of x shares with an equal one of its size, at least, and
+    # percent of y: so one gram is among those that each may miss and one more. Grams of one class stand first and are not listed.
     need = F.ceil(F.col("n") * percent / 100).cast("int")
-    rare = base.stored(sets.select("c", F.explode(F.slice("grams", need, F.size("grams") - need + 1)).alias("g")), "join-rare")
-    least = base.stored(rare.groupBy("g").agg(F.min("c").alias("b"), F.count("*").alias("k")).where("k > 1").select("g", "b"), "join-least")
+    need_equal = F.expr(f"cast((2 * {percent} * cast(n as bigint) + {99 + percent}) div {100 + percent} as int)")
+    spots = F.transform(F.slice("grams", need, F.size("grams") - need + 1), lambda g, i: F.struct(g.alias("g"), (i + need >= need_equal).alias("short")))
+    rare = base.stored(sets.select("c", F.explode(spots).alias("x")).select("c", "x.*"), "join-rare")
+    least = rare.groupBy("g").agg(F.min(F.when(F.col("short"), F.col("c"))).alias("b"), F.count("*").alias("k"))
+    least = base.stored(least.where("k > 1 and b is not null").select("g", "b"), "join-least")
     families = components(rare.join(least, "g").select(F.col("c").alias("a"), "b")).select(F.col("node").alias("c"), F.col("label").alias("family"))
     families = sets.select("c", F.size("grams").alias("m")).join(families, "c")
     families = base.stored(families, "join-families")
+    for done in (rare, least, shared, wanted, again_counts):
+        base.forget(done)
     large = families.groupBy("family").agg(F.count("*").alias("k"), F.sum("m").alias("m")).where((F.col("k") > FAMILY) | (F.col("m") > FAMILY_GRAMS)).select("family", F.lit(True).alias("large"))
     large = base.stored(large, "join-large")
     families = families.join(large, "family", "left").select("c", "family", F.coalesce("large", F.lit(False)).alias("large"))
@@ -476,8 +484,12 @@ def labelled(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFrame:
     links = inside.where("not large").repartition("family").sortWithinPartitions("family", "c").mapInArrow(base.lean(_families(percent)), "a long, b long")
     links = base.stored(links, "join-links")
     label = _stars(links) if large.isEmpty() else _pool_labels(inside.where("large"), links, percent)
-    out = table.select("doc_id", "th", "c", "n").join(base.stored(label, "join-label"), "c", "left")
-    return base.stored(out.select("doc_id", "th", "n", F.coalesce("label", "c").alias("label")), "join-labels")
+    label = base.stored(label, "join-label")
+    out = table.select("doc_id", "th", "c", "n").join(label, "c", "left")
+    out = base.stored(out.select("doc_id", "th", "n", F.coalesce("label", "c").alias("label")), "join-labels")
+    for done in (table, classes, sets, families, large, links, label):
+        base.forget(done)
+    return out
 
 
 def _first_rows(rows: DataFrame) -> DataFrame:
