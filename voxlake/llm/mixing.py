@@ -81,7 +81,8 @@ def schedule(spark, goals: list[tuple], block: int) -> DataFrame:
 def mix(docs: DataFrame, keys: list[str], seed: int = 1) -> tuple[DataFrame, DataFrame]:
     """(segments, per-document rows) of the mix over docs (keys, source, size).
 
-    Per document: keys, size, source_size, target, taken. Segments: keys, pass, size, slot, start, stop: words
+    Per document: keys, size, source_size, target, taken, and where the schedule puts it: first_slot, last_slot (null if nothing is
+    taken), n_segments. Segments: keys, pass, size, slot, start, stop: words
     [start, stop) of the document stand in that slot. Null sizes count as 0; a document of size 0 is taken 0 times and has no segment.
     Documents of one source with equal keys are told apart by nothing and take part each on its own. Empty table: no rows.
     """
@@ -114,14 +115,15 @@ def mix(docs: DataFrame, keys: list[str], seed: int = 1) -> tuple[DataFrame, Dat
     parts = spans.withColumn("rank", F.explode(F.sequence(F.greatest(F.lit(0), first.cast("long") - 1), F.least(F.col("n_slots") - 1, final.cast("long") + 1))))
     edge = lambda j: F.expr(f"cast((cast({j} as decimal(38, 0)) * take) div n_slots as long)")
     parts = parts.withColumns({"from": F.greatest(F.col("lo"), edge("rank")), "to": F.least(F.col("hi"), edge("(rank + 1)"))}).where("to > from")
-    segments = parts.join(plan, ["src", "rank"]).select(*keys, "_uid", "pass", "size", "slot", (F.col("from") - F.expr("at + pass * source_size")).alias("start"), (F.col("to") - F.expr("at + pass * source_size")).alias("stop"))
-    taken = segments.groupBy("_uid").agg(F.sum(F.col("stop") - F.col("start")).alias("taken"))
-    per_doc = docs.join(taken, "_uid", "left").select(*keys, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    segments = parts.join(plan.hint("merge"), ["src", "rank"]).select(*keys, "_uid", "pass", "size", "slot", (F.col("from") - F.expr("at + pass * source_size")).alias("start"), (F.col("to") - F.expr("at + pass * source_size")).alias("stop"))
+    taken = segments.groupBy("_uid").agg(F.sum(F.col("stop") - F.col("start")).alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count("*").alias("n_segments"))
+    whole = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("taken", "n_segments")]
+    per_doc = docs.join(taken, "_uid", "left").select(*keys, "size", "source_size", "target", whole[0], "first_slot", "last_slot", whole[1])
     return segments.drop("_uid"), per_doc
 
 
 def mix_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, size, source_size, target, taken of each row of docs (doc_id, text, source).
+    """doc_id, size, source_size, target, taken, first_slot, last_slot, n_segments of each row of docs (doc_id, text, source).
 
     A null text has size 0, and is taken 0 times; a null source is a source of its own, the last. An empty table gives no rows.
     """

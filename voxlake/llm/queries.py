@@ -56,7 +56,7 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the mix of all sources takes of each document."""
+    """What the mix of all sources takes of each document, and the slots of the schedule in which it stands."""
     return mixing.mix_documents(base.read(spark, sf_dir, "documents"))
 
 
@@ -173,17 +173,28 @@ s as (select d.doc_id, d.size, d.text, d.g, p.shard from d join k on k.g = d.g j
 select doc_id, size, cast({_crc_sql("text")} as bigint) as text_crc32, 'bytes' as law, cast(shard as integer) as shard,
  row_number() over (partition by shard order by {_uniform_order("coalesce(cast(doc_id as varchar), '')")}, doc_id, g) - 1 as slot, cast(null as integer) as grown_shard from s"""
 
-#: Targets by filling sources in the order of size to weight; what a document gives is its part of as many rounds of its source's stream as the target takes.
-MIX_SQL = f"""with d as (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size from documents),
-s as (select source, cast(sum(size) as bigint) as n, [5, 2, 1][(row_number() over (order by source is null, source) - 1) % 3 + 1] as w from d group by source),
+#: Targets by filling sources in the order of size to weight; a document gives its part of each round of its source's stream that the target
+#: takes, cut at the edges of its source's blocks. Block j stands in the j-th slot whose golden-ratio point falls into the source's share.
+MIX_SQL = f"""with d as (select row_number() over () as uid, doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) as bigint) as size from documents),
+s as (select source, cast(sum(size) as bigint) as n, row_number() over (order by source is null, source) as k, [5, 2, 1][(row_number() over (order by source is null, source) - 1) % 3 + 1] as w from d group by source),
 o as (select *, row_number() over (order by n / w, source is null, source) as i from s where n > 0),
 f as (select *, 1.5::double * sum(n) over () - 2 * coalesce(sum(n) over (order by i rows between unbounded preceding and 1 preceding), 0) as rest, sum(w) over (order by i rows between current row and unbounded following) as ws from o),
 c as (select min(i) as i from f where rest * w / ws <= 2 * n),
 free as (select f.i, f.rest, f.ws from f join c on c.i = f.i),
-goal as (select s.source, s.n, case when s.n = 0 then 0.0::double when free.i is null or o.i < free.i then 2.0::double * s.n else free.rest * s.w / free.ws end as target from s left join o on o.source is not distinct from s.source left join free on true),
-a as (select d.doc_id, d.size, goal.n, goal.target, cast(round_even(goal.target, 0) as bigint) as take,
- cast(coalesce(sum(d.size) over (partition by d.source order by {_uniform_order("concat_ws(':', 1, d.doc_id)")}, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as bigint) as since from d join goal on goal.source is not distinct from d.source)
-select doc_id, size, n as source_size, target, case when n = 0 then 0 else cast(take // n * size + greatest(0, least(size, take % n - since)) as bigint) end as taken from a"""
+goal as materialized (select s.source, s.k, s.n, case when s.n = 0 then 0.0::double when free.i is null or o.i < free.i then 2.0::double * s.n else free.rest * s.w / free.ws end as target from s left join o on o.source is not distinct from s.source left join free on true),
+plan as (select sum(target) as total, cast(greatest(1, least(4096, floor(sum(target) / (500 * count(*))))) as bigint) as block from goal),
+ends as (select k, sum(target) over (order by k) / total as hi, coalesce(sum(target) over (order by k rows between unbounded preceding and 1 preceding), 0) / total as lo, k = max(k) filter (where target > 0) over () as last from goal, plan),
+points as (select slot, cast((slot + 1)::hugeint * {round(mixing.PHI * 2**64) | 1} % 18446744073709551616::hugeint as double) / 18446744073709551616.0::double as x from (select unnest(range(cast(greatest(1, round_even(total / block, 0)) as bigint))) as slot from plan where total > 0)),
+drawn as (select slot, k from points join ends on x >= lo and (x < hi or last)),
+slots as materialized (select slot, k from drawn union all select (select count(*) from drawn) + row_number() over (order by k) - 1, k from goal where target > 0 and k not in (select k from drawn)),
+ranks as materialized (select slot, k, row_number() over (partition by k order by slot) - 1 as j, count(*) over (partition by k) as m from slots),
+a as materialized (select d.uid, d.doc_id, d.size, goal.k, goal.n, goal.target, cast(round_even(goal.target, 0) as bigint) as take,
+ cast(coalesce(sum(d.size) over (partition by d.source order by {_uniform_order("concat_ws(':', 1, d.doc_id)")}, d.doc_id, d.size rows between unbounded preceding and 1 preceding), 0) as bigint) as since from d join goal on goal.source is not distinct from d.source),
+spans as (select uid, k, take, since + p * n as lo, least(since + p * n + size, take) as hi from (select *, unnest(range((take - 1 - since) // n + 1)) as p from a where size > 0 and since < take)),
+edges as (select r.k, r.slot, cast(r.j::hugeint * t.take // r.m as bigint) as lo, cast((r.j + 1)::hugeint * t.take // r.m as bigint) as hi from ranks r join (select distinct k, take from a) t on t.k = r.k),
+met as (select uid, slot, least(s.hi, e.hi) - greatest(s.lo, e.lo) as part from spans s join edges e on e.k = s.k and e.lo < s.hi and e.hi > s.lo),
+got as (select uid, sum(part) as taken, min(slot) as first_slot, max(slot) as last_slot, count(*) as n_segments from met group by uid)
+select doc_id, size, n as source_size, target, cast(coalesce(taken, 0) as bigint) as taken, first_slot, last_slot, coalesce(n_segments, 0) as n_segments from a left join got on got.uid = a.uid"""
 
 #: Every string of 200 bytes (400 hex digits) of every document, those that start twice, and the runs that these cover.
 DEDUP_SQL = """with b as materialized (select doc_id, hex(encode(coalesce(text, ''))) as h, cast(strlen(coalesce(text, '')) as bigint) as n from documents),
