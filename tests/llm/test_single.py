@@ -57,6 +57,23 @@ def test_shards(spark, odd, none):
     assert len(got) == len(ODD) and len({r["shard"] for r in got if r["size"] == 16}) == 1
 
 
+def test_another_schedule_is_another_mix(spark, monkeypatch):
+    rows = {r["doc_id"]: r for r in queries.op8_mixing(spark, SF).collect()}
+    monkeypatch.setattr(mixing, "PHI", 2**0.5 - 1)
+    other = {r["doc_id"]: r for r in queries.op8_mixing(spark, SF).collect()}
+    assert {i: r["taken"] for i, r in rows.items()} == {i: r["taken"] for i, r in other.items()}
+    assert sum(r["first_slot"] != other[i]["first_slot"] for i, r in rows.items()) > len(rows) / 2
+
+
+@pytest.mark.parametrize("name", ["op4_sentencepiece", "op6_quality_rules", "op7_language_id"])
+def test_ids_of_another_type(spark, name, tmp_path):
+    path = f"{tmp_path}/ints"
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    docs.withColumn("doc_id", docs["doc_id"].cast("int")).write.parquet(f"{path}/documents.parquet")
+    same = lambda d: sorted(map(str, queries.QUERIES[name](spark, d).select("doc_id", *queries.QUERIES[name](spark, d).columns[1:]).collect()))
+    assert same(path) == same(SF)
+
+
 def weighted_jaccard(a, b):
     a, b = Counter(WORD.findall(a)), Counter(WORD.findall(b))
     return sum((a & b).values()) / max(1, sum((a | b).values()))
@@ -212,6 +229,7 @@ def test_mixing(spark, odd, none):
         taken[docs[r["doc_id"]]["source"]] += r["taken"]
     assert len(rows) == len(docs) and all(abs(taken[n] - goal[n]) <= 1 for n in names)
     assert sorted(map(tuple, rows)) == sorted(map(tuple, queries.op8_mixing(spark, "/root/testdata/sf0.01").collect()))
+    assert all((r["n_segments"] > 0) == (r["taken"] > 0) == (r["first_slot"] is not None) and (r["first_slot"] or 0) <= (r["last_slot"] or 0) for r in rows)
     assert mixing.mix_documents(none).count() == 0
     assert len(mixing.mix_documents(odd).collect()) == len(ODD)
 

@@ -136,7 +136,7 @@ def predict_languages(docs: DataFrame, model: Centroids) -> DataFrame:
                 "score": pa.array([r[1] for r in rows], pa.float64()), "rejected": pa.array([r[2] for r in rows], pa.bool_()),
             })
 
-    return docs.select("doc_id", "text", held_out("doc_id").alias("held_out")).mapInArrow(base.lean(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out("doc_id").alias("held_out")).mapInArrow(base.lean(run), "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
 def held_out(doc_id: str):

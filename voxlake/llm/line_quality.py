@@ -84,7 +84,7 @@ def line_rules(docs: DataFrame, host: str = "source", min_documents: int = 50, h
             names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "text_hash", "lines", "line_words"]
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "host": batch.column("host")} | {k: pa.array(v, t) for k, v, t in zip(names, cols, kinds, strict=True)})
 
-    read = docs.select("doc_id", F.col(host).alias("host"), "text").mapInArrow(base.lean(run), fields)
+    read = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(host).alias("host"), "text").mapInArrow(base.lean(run), fields)
     table = base.stored(read.withColumn("row", F.monotonically_increasing_id()), "line-rules")
     hosts = table.select("host", "text_hash").distinct().groupBy("host").agg(F.count("*").alias("n")).select(F.col("host").alias("h"), F.greatest(F.lit(min_documents), F.col("n") * host_share).alias("most"))
     counts = table.select("host", "text_hash", F.explode("lines").alias("line")).distinct().groupBy("host", "line").agg(F.count("*").alias("n"))

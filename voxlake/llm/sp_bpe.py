@@ -18,6 +18,7 @@ from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from . import base
 
@@ -183,4 +184,4 @@ def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame
             yield pa.RecordBatch.from_pydict(cols)
         m.forget()
 
-    return docs.select("doc_id", "text").mapInArrow(base.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(base.lean(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + more)
