@@ -9,9 +9,10 @@ its blocks cut what the target takes of that stream into as many equal parts as
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,15 +61,16 @@ def schedule(spark, goals: list[tuple], block: int) -> DataFrame:
     ends = np.cumsum([t for _, _, t in goals]) / total if total > 0 else np.zeros(0)
     last = max((i for i, g in enumerate(goals) if g[2] > 0), default=0)
 
-    def pick(batches):
-        for pdf in batches:
-            i = pdf["id"].to_numpy()
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            i = batch.column("id").to_numpy()
             # the product is reduced in integers, as a double has too few digits for far slots
             points = ((i.astype(np.uint64) + np.uint64(1)) * np.uint64(round(PHI * 2**64) | 1)).astype(np.float64) / 2.0**64
-            yield pd.DataFrame({"slot": i, "src": np.minimum(np.searchsorted(ends, points, side="right"), last).astype(np.int32)})
+            src = np.minimum(np.searchsorted(ends, points, side="right"), last).astype(np.int32)
+            yield pa.RecordBatch.from_pydict({"slot": batch.column("id"), "src": pa.array(src)})
 
     parts = max(1, min(4000, n_slots // 50_000 + 1))
-    slots = spark.range(0, n_slots, 1, parts).mapInPandas(pick, "slot long, src int")
+    slots = spark.range(0, n_slots, 1, parts).mapInArrow(pick, "slot long, src int")
     chunk = slots.withColumn("chunk", F.expr("slot div 4096"))
     counts = chunk.groupBy("src", "chunk").agg(F.count("*").alias("n"))
     before = Window.partitionBy("src").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
