@@ -85,5 +85,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = base.read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = base.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        done = base.stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        base.forget(docs)  # of the tables that stored() wrote: the input stays
+        docs = done
     return STAGES[-1][1](spark, docs, sf_dir)
