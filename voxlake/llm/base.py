@@ -64,6 +64,15 @@ def stored(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def rows_of(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table that the driver holds, by way of Arrow: rows given as lists start Python workers of another kind beside those of the plans."""
+    names = [f.split(" ")[0] for f in schema.split(", ")]
+    kinds = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+    columns = list(zip(*rows, strict=True)) or [[]] * len(names)
+    arrays = [pa.array(c, kinds[f.split(" ")[1]]) for c, f in zip(columns, schema.split(", "), strict=True)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names))
+
+
 def lists(arrays: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     """Arrays of one kind as the lists of an Arrow column."""
     ends = np.cumsum([0, *map(len, arrays)])

@@ -99,9 +99,10 @@ def mix(docs: DataFrame, keys: list[str], seed: int = 1) -> tuple[DataFrame, Dat
     # a source whose share is below one slot still gets one, after all others
     missing = [(sum(n_slots.values()) + j, i, 0) for j, i in enumerate(i for i, g in enumerate(goals) if g[2] > 0 and not n_slots.get(i))]
     if missing:
-        plan = plan.unionByName(spark.createDataFrame(missing, "slot long, src int, rank long"))
+        plan = plan.unionByName(base.rows_of(spark, missing, "slot long, src int, rank long"))
         n_slots |= {i: 1 for _, i, _ in missing}
-    table = spark.createDataFrame(
+    table = base.rows_of(
+        spark,
         [(s, i, n, t, round(t), n_slots.get(i, 0)) for i, (s, n, t) in enumerate(goals)],
         "_source string, src int, source_size long, target double, take long, n_slots long",
     )
