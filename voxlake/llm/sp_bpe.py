@@ -28,7 +28,7 @@ SPACE = "▁"
 class PieceModel:
     """A merge-type SentencePiece model with byte fallback, identity normalisation and a dummy prefix."""
 
-    def __init__(self, path: str, cached: int = 150_000):
+    def __init__(self, path: str, cached: int = 80_000):
         import ahocorasick
         import sentencepiece
 
@@ -68,7 +68,7 @@ class PieceModel:
         return parts
 
     def _may_follow(self, left: int, right: int) -> bool:
-        if self.n_pairs > 600_000:
+        if self.n_pairs > 300_000:
             self.n_pairs = 0
             for row in self.rows[:-1]:
                 row.clear()
