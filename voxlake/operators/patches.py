@@ -219,12 +219,6 @@ def partitions_for(n_patches: int, shape: tuple[int, ...]) -> int:
     return max(1, math.ceil(n_patches * math.prod(shape) * 4 / TASK_BYTES))
 
 
-def arrays_of(column: pa.ListArray) -> list[np.ndarray | None]:
-    """The lists of an Arrow column as arrays that share its memory; None for null."""
-    values, ends, there = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_valid().to_pylist()
-    return [values[a:b] if ok else None for a, b, ok in zip(ends[:-1], ends[1:], there, strict=True)]
-
-
 def batched(made: Iterator[tuple[int, str, np.ndarray]], kind: type = np.float32, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Patches as batches of some bytes."""
     out, size = [], 0
@@ -259,7 +253,7 @@ def read_relation(requests: DataFrame, chunks: DataFrame, chunk: tuple[int, int,
     def patches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray]]:
         last, patch, part, how = None, None, None, None
         for batch in batches:
-            blocks, places = arrays_of(batch.column("data")), arrays_of(batch.column("at"))
+            blocks, places = ngff.arrays_of(batch.column("data")), ngff.arrays_of(batch.column("at"))
             for r, block, places_of in zip(batch.drop_columns(["data", "at"]).to_pylist(), blocks, places, strict=True):
                 if (r["sample"], r["source"]) != last:
                     if last is not None:
@@ -290,7 +284,7 @@ def finish(rows: DataFrame, double: bool = False) -> DataFrame:
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray]]:
         for batch in batches:
-            for r, data in zip(batch.drop_columns(["data"]).to_pylist(), arrays_of(batch.column("data")), strict=True):
+            for r, data in zip(batch.drop_columns(["data"]).to_pylist(), ngff.arrays_of(batch.column("data")), strict=True):
                 yield r["sample"], r["source"], finished(data.astype(kind).reshape(r["shape"]), r["form"], r.get("turn"), kind)
 
     return rows.select("sample", "source", "shape", "data", "form", *more).mapInArrow(lambda b: batched(made(b), kind), PATCH.replace("array<float>", "array<double>") if double else PATCH)
@@ -310,7 +304,7 @@ def applied(patches: DataFrame, transform: Transform) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray]]:
         for batch in batches:
-            for sample, source, shape, data in zip(*(batch.column(c).to_pylist() for c in ("sample", "source", "shape")), arrays_of(batch.column("data")), strict=True):
+            for sample, source, shape, data in zip(*(batch.column(c).to_pylist() for c in ("sample", "source", "shape")), ngff.arrays_of(batch.column("data")), strict=True):
                 yield sample, source, transformed(data.astype(np.float32).reshape(shape), source, transform)
 
     return patches.select("sample", "source", "shape", "data").mapInArrow(lambda batches: batched(run(batches)), PATCH)

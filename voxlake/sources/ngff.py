@@ -39,6 +39,8 @@ from . import blosc
 
 SCHEMA = "volume_id string, level string, cz int, cy int, cx int, z0 int, y0 int, x0 int, shape array<int>, data array<float>, lead array<int>"
 KEY = ("cz", "cy", "cx")
+#: Arrow batches are bounded by bytes, as a row holds a chunk.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 
 
 def _zstd(data: bytes) -> bytes:
@@ -71,6 +73,12 @@ def spatial(xs: list[int], absent: int) -> list[int]:
     return [absent] * (3 - len(xs)) + list(xs[-3:])
 
 
+def arrays_of(column: pa.Array) -> list[np.ndarray | None]:
+    """The lists of an Arrow column as arrays that share its memory; None for null."""
+    values, ends, there = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy(), column.is_valid().to_pylist()
+    return [values[a:b] if ok else None for a, b, ok in zip(ends[:-1], ends[1:], there, strict=True)]
+
+
 def chunk_name(meta: dict, lead: Iterable[int], key: Iterable[int]) -> str:
     n = len(meta["shape"])
     return meta.get("dimension_separator", ".").join(str(int(i)) for i in [*lead, *[*key][-min(3, n) :]])
@@ -163,7 +171,7 @@ class Written(D.WriterCommitMessage):
         self.chunks = chunks
 
 
-class NgffWriter(D.DataSourceWriter):
+class NgffWriter(D.DataSourceArrowWriter):
     def __init__(self, options: dict, overwrite: bool):
         nums = lambda k, d: [float(x) for x in options.get(k, d).split(",")]
         self.path, self.level = local(options["path"]), options.get("level", "s0")
@@ -183,28 +191,32 @@ class NgffWriter(D.DataSourceWriter):
                 raise ValueError("what is there differs in shape, chunks, dtype or compressor; overwrite it")
             self.array["dimension_separator"] = meta.get("dimension_separator", ".")
 
-    def write(self, rows: Iterator) -> Written:
+    def write(self, batches: Iterator[pa.RecordBatch]) -> Written:
         """Whole chunks in the staging folder: where a row is smaller than its chunk, the rest is what an append finds there, or 0."""
         n = 0
         os.makedirs(self.staging, exist_ok=True)
-        for row in rows:
-            lead = list(row["lead"] or []) if "lead" in row else []
-            lead = [0] * (len(self.shape) - 3 - len(lead)) + lead
-            name = chunk_name(self.array, lead, [row[k] for k in KEY])
-            whole = np.zeros(self.chunks, self.dtype) if self.overwrite else read_chunk(self.final, self.array, name).copy()
-            if "at" in row and row["at"] is not None:
-                whole.reshape(-1)[np.asarray(row["at"], np.int64)] = np.asarray(row["data"], np.float32).astype(self.dtype)
-                self._put(name, whole)
+        for batch in batches:
+            values = arrays_of(batch.column("data"))
+            places = arrays_of(batch.column("at")) if "at" in batch.schema.names else [None] * len(values)
+            rest = batch.select([c for c in batch.schema.names if c not in ("data", "at")]).to_pylist()
+            for row, data, at in zip(rest, values, places, strict=True):
+                self._write(row, data, at)
                 n += 1
-                continue
-            data = np.asarray(row["data"], np.float32).reshape(row["shape"])
+        return Written(n)
+
+    def _write(self, row: dict, data: np.ndarray, at: np.ndarray | None) -> None:
+        lead = list(row.get("lead") or [])
+        name = chunk_name(self.array, [0] * (len(self.shape) - 3 - len(lead)) + lead, [row[k] for k in KEY])
+        whole = np.zeros(self.chunks, self.dtype) if self.overwrite else read_chunk(self.final, self.array, name).copy()
+        if at is not None:
+            whole.reshape(-1)[at] = data.astype(self.dtype)
+        else:
+            data = data.reshape(row["shape"])
             data = data.reshape(data.shape[-len(self.shape) :] if data.ndim > len(self.shape) else (1,) * (len(self.shape) - data.ndim) + data.shape)
             if any(a > b for a, b in zip(data.shape, self.chunks, strict=True)):
                 raise ValueError(f"a row of shape {data.shape} is larger than a chunk of {self.chunks}")
             whole[tuple(slice(0, k) for k in data.shape)] = data.astype(self.dtype)
-            self._put(name, whole)
-            n += 1
-        return Written(n)
+        self._put(name, whole)
 
     def _put(self, name: str, whole: np.ndarray) -> None:
         """A chunk's file; a task that runs twice leaves one whole chunk."""
@@ -273,6 +285,9 @@ class NgffSource(D.DataSource):
 def register(spark) -> None:
     importable(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    size = spark.conf.get(BATCH, None) or ""
+    if not size.isdigit() or not 0 < int(size) <= BATCH_BYTES:  # chunks are large rows
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     spark.dataSource.register(NgffSource)
 
 
