@@ -22,13 +22,12 @@ def array(df, shape):
 
 
 def test_boxes():
-    a, b = {"x": (0, 100)}, {"x": (50, 150)}
-    assert boxes.intersect(a, b) == {"x": (50, 100)} and boxes.intersect(a, {"x": (100, 150)}) is None and boxes.intersect(a, {"y": (0, 1)}) is None
-    assert boxes.unite({"x": (0, 50)}, {"x": (70, 120), "y": (0, 1)}) == {"x": (0, 120), "y": (0, 1)}
-    assert boxes.voxels({"x": (0, 12)}, {"x": 8}) == {"x": 2}
-    tiles = boxes.tiles({"x": (16.0, 240.0)}, {"x": 8.0}, {"x": 32.0})
-    assert tiles == [0, 4, 8, 12, 16, 20, 24]
-    assert [c["x"] for c in boxes.cover({"x": (0.0, 80.0)}, {"x": 8.0}, {"x": 32.0})] == [16.0, 48.0, 64.0]
+    a, b = {"x": (-10, 70)}, {"x": (30, 95)}
+    assert boxes.intersect(a, b) == {"x": (30, 70)} and boxes.intersect(a, {"x": (70, 71)}) is None and boxes.intersect(a, {"y": (0, 1)}) is None
+    assert boxes.unite({"x": (2, 9)}, {"x": (11, 13), "y": (0, 1)}) == {"x": (2, 13), "y": (0, 1)}
+    assert boxes.voxels({"x": (0, 10)}, {"x": 4}) == {"x": 2}
+    assert boxes.tiles({"x": (5.0, 65.0)}, {"x": 4.0}, {"x": 20.0}) == [0, 5, 10]
+    assert [c["x"] for c in boxes.cover({"x": (0.0, 50.0)}, {"x": 5.0}, {"x": 20.0})] == [10.0, 30.0, 40.0]
 
 
 def test_read_mirror_rotate(spark):
@@ -50,19 +49,19 @@ def test_read_mirror_rotate(spark):
 def dataset(spark):
     raw = np.arange(1000.0).reshape(10, 10, 10)
     label = np.zeros((10, 10, 10))
-    label[2:5, 2:5, 2:5] = 1
+    label[1:5, 2:5, 3:6] = 1
     spec = Spec((4, 4, 4), (8, 8, 8))
     return Dataset({"raw": image(spark, raw, spec)}, {"mito": image(spark, label, spec, transform=V.binarize()), "er": None}, spec)
 
 
 def test_dataset(spark):
     d = dataset(spark)
-    assert len(d) == 6**3 and d.class_counts == {"mito": 27, "er": 0} and d.crop_class_matrix() == [[True, False]]
+    assert len(d) == 6**3 and d.class_counts == {"mito": 36, "er": 0} and d.crop_class_matrix() == [[True, False]]
     rows = d.read([0, -1])
     assert rows.count() == 2 * 3 * 64 and {r["idx"] for r in rows.select("idx").distinct().collect()} == {0, -1}
     assert rows.where("source = 'er'").where(~F.isnan("v")).count() == 0
     m = MultiDataset([d, d])
-    assert len(m) == 432 and m.place(216) == (1, 0) and m.class_weights == {"mito": (2000 - 54) / 54, "er": 0.0}
+    assert len(m) == 432 and m.place(216) == (1, 0) and m.class_weights == {"mito": (2000 - 72) / 72, "er": 0.0}
     assert all(0 <= i < len(m) for i in m.validation_indices()) and m.balanced(5) == m.balanced(5)
     loader = Loader(m, 5, m.balanced(12))
     assert len(loader) == 3 and next(iter(loader)).select("dataset", "idx").distinct().count() <= 5
@@ -70,8 +69,8 @@ def test_dataset(spark):
 
 def test_small_label_crop(spark):
     spec = Spec((4, 4, 4), (8, 8, 8))
-    raw, label = np.ones((20, 20, 20)), np.ones((2, 2, 2))
-    make = lambda pad: Dataset({"raw": image(spark, raw, spec, pad=pad)}, {"a": image(spark, label, spec, origin=(50, 50, 50), pad=pad)}, spec)
+    raw, label = np.ones((14, 15, 16)), np.ones((3, 2, 3))
+    make = lambda pad: Dataset({"raw": image(spark, raw, spec, pad=pad)}, {"a": image(spark, label, spec, origin=(44, 36, 52), pad=pad)}, spec)
     assert len(make(True)) == 1 and len(make(False)) == 0 and not make(False).verify()
     with pytest.raises(IndexError):
         make(False).read([0])
