@@ -127,7 +127,7 @@ class Image:
     def patches(self, samples: DataFrame, name: str = "") -> DataFrame:
         """sample, source, shape, data of the patch about each centre of samples (sample, centre, and turn if there are transforms)."""
         sources = self.spark.createDataFrame([(0, *self.source_row(name))], SOURCES)
-        return valued(read(samples.withColumn("dataset", F.lit(0)), sources, {(0, name): self}), {name: self.transform})
+        return valued(read(samples.withColumn("dataset", F.lit(0)), sources, {(0, name): self}), {name: self.transform}).drop("dataset")
 
     def read(self, centres: list[dict[str, float]], rotation: np.ndarray | None = None, mirror: dict[str, bool] | None = None, transpose: tuple[int, int, int] | None = None) -> DataFrame:
         """idx, dz, dy, dx, v of the patch about each centre, and channel where there are leading axes; NaN where the volume has nothing."""
@@ -345,7 +345,7 @@ class MultiDataset:
         return sampling.placed(rows, table, len(self), len(self.datasets), index)
 
     def patches(self, samples: DataFrame) -> DataFrame:
-        """sample, source, shape, data of all sources for samples (sample, dataset, local index `index`, turn): one plan, whose size does not
+        """sample, source, shape, data, dataset, index of all sources for samples (sample, dataset, local index `index`, turn): one plan, whose size does not
         grow with the number of stored datasets. Indices wrap, so -1 is a dataset's last sample."""
         spark, rows, images, transforms, grids = samples.sparkSession, [], {}, {}, []
         for number, data in enumerate(self.datasets):
@@ -356,7 +356,7 @@ class MultiDataset:
         grid = spark.createDataFrame(grids, "dataset int, lo array<double>, step array<double>, grid array<bigint>")
         at = geometry.unravel(F.col("index"), [F.get("grid", F.lit(i)) for i in range(3)])
         centre = F.array(*[F.get("lo", F.lit(i)) + (k + 0.5) * F.get("step", F.lit(i)) for i, k in enumerate(at)])
-        placed = samples.join(grid, "dataset").withColumn("centre", centre).drop("lo", "step", "grid", "index")
+        placed = samples.join(grid, "dataset").withColumn("centre", centre).drop("lo", "step", "grid")
         return valued(read(placed, spark.createDataFrame(rows, SOURCES), images), transforms)
 
     def counts(self, kept: str | None = None) -> dict[str, int]:
@@ -583,9 +583,8 @@ class Loader:
             drawn = spatial.drawn(at, "pos", self.turns, self.seed, epoch)
             at = drawn.withColumn("turn", spatial.turn_of(drawn)).select(*at.columns, "turn")
         met = self.data.patches(at.withColumn("sample", F.col("pos")).drop("pos"))
-        of = at.select(F.col("pos").alias("sample"), "dataset", F.col("index").cast("int").alias("idx"))
-        rows = met.join(of, "sample").withColumnRenamed("sample", "pos")
-        return rows.select(F.floor(F.col("pos") / self.batch_size).cast("int").alias("batch_id"), F.col("pos").cast("int").alias("pos"), "dataset", "idx", "source", "shape", "data")
+        batch = F.floor(F.col("sample") / self.batch_size).cast("int")
+        return met.select(batch.alias("batch_id"), F.col("sample").cast("int").alias("pos"), "dataset", F.col("index").cast("int").alias("idx"), "source", "shape", "data")
 
     def epoch_rows(self) -> DataFrame:
         """All batches of the next epoch in one plan, a row for each voxel: what is written out or fed on by partition."""

@@ -32,6 +32,8 @@ FORM = "struct<out:array<int>,resample:boolean,mode:string,pad:boolean,fill:floa
 #: Transforms of a sample, NULL for none: a matrix row by row, a flag and a place for each axis.
 TURN = "struct<matrix:array<double>,mirror:array<boolean>,perm:array<int>>"
 PATCH = "sample bigint, source string, shape array<int>, data array<float>"
+#: What a sample may carry to its patches, so that no patch has to meet its sample again.
+CARRIED = {"dataset": ("int", pa.int32()), "index": ("bigint", pa.int64())}
 #: Bytes of decoded chunks that a task keeps, and of patches that it makes, about.
 CACHE_BYTES, TASK_BYTES = 64 << 20, 256 << 20
 
@@ -169,11 +171,17 @@ class Stored:
         return patch
 
 
-def rows_of(made: list[tuple[int, str, np.ndarray]], kind: type = np.float32) -> pa.RecordBatch:
-    ends = np.cumsum([0, *(p.size for _, _, p in made)])
-    values = pa.array(np.concatenate([p.ravel() for _, _, p in made]) if made else np.zeros(0, kind), pa.from_numpy_dtype(kind))
-    shapes = pa.array([[int(n) for n in p.shape] for _, _, p in made], pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string()), shapes, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)], ["sample", "source", "shape", "data"])
+def rows_of(made: list[tuple], kind: type = np.float32, carried: tuple[str, ...] = ()) -> pa.RecordBatch:
+    """(sample, source, patch, what else is carried) as rows."""
+    ends = np.cumsum([0, *(m[2].size for m in made)])
+    values = pa.array(np.concatenate([m[2].ravel() for m in made]) if made else np.zeros(0, kind), pa.from_numpy_dtype(kind))
+    shapes = pa.array([[int(n) for n in m[2].shape] for m in made], pa.list_(pa.int32()))
+    more = [pa.array([m[3 + i] for m in made], CARRIED[c][1]) for i, c in enumerate(carried)]
+    return pa.RecordBatch.from_arrays([pa.array([m[0] for m in made], pa.int64()), pa.array([m[1] for m in made], pa.string()), shapes, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values), *more], ["sample", "source", "shape", "data", *carried])
+
+
+def schema_of(carried: tuple[str, ...]) -> str:
+    return ", ".join([PATCH, *(f"{c} {CARRIED[c][0]}" for c in carried)])
 
 
 Transform = Callable[[np.ndarray], np.ndarray] | dict[str, Callable[[np.ndarray], np.ndarray]] | None
@@ -188,30 +196,31 @@ def transformed(patch: np.ndarray, source: str, transform: Transform) -> np.ndar
 def read_stored(requests: DataFrame, n_partitions: int = 0, transform: Transform = None) -> DataFrame:
     """requests (sample, source, folder, meta, start, read, form, turn) of stored arrays to patches (sample, source, shape, data).
 
-    A request without a folder is one of a class that nobody annotated: NaN, under no transform. n_partitions 0 leaves the layout to the session's shuffle partitions. transform: a function of a whole patch, or one by source.
+    Columns of CARRIED go along. A request without a folder is one of a class that nobody annotated: NaN, under no transform. n_partitions 0 leaves the layout to the session's shuffle partitions. transform: a function of a whole patch, or one by source.
     """
     importable(requests.sparkSession)
     kind = requests.schema["turn"].dataType.simpleString() if "turn" in requests.columns else TURN
+    carried = tuple(c for c in CARRIED if c in requests.columns)
     rows = requests if "turn" in requests.columns else requests.withColumn("turn", F.lit(None).cast(TURN))
     begin = ngff.array_of(F.col("meta"))["chunks"]
     first = [F.floor(F.greatest(F.get("start", F.lit(i)), F.lit(0)) / F.greatest(F.coalesce(F.try_element_at(begin, F.lit(i - 3)), F.lit(1)), F.lit(1))).alias(f"_{a}") for i, a in enumerate(AXES)]
-    rows = rows.select("sample", "source", "folder", "meta", "start", "read", "form", F.col("turn").cast(kind).alias("turn"), *first)
+    rows = rows.select("sample", "source", "folder", "meta", "start", "read", "form", F.col("turn").cast(kind).alias("turn"), *carried, *first)
     order = ["folder", "_z", "_y", "_x", "sample"]
     rows = (rows.repartitionByRange(n_partitions, *order) if n_partitions else rows.repartitionByRange(*order)).sortWithinPartitions(*order).drop("_z", "_y", "_x")
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray]]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         stored, metas = Stored(), {}
         for batch in batches:
             for r in batch.to_pylist():
                 if r["folder"] is None:  # nobody annotated it
-                    yield r["sample"], r["source"], np.full(r["form"]["out"], NAN, np.float32)
+                    yield r["sample"], r["source"], np.full(r["form"]["out"], NAN, np.float32), *(r[c] for c in carried)
                     continue
                 if r["meta"] not in metas:
                     metas[r["meta"]] = json.loads(r["meta"])
                 window = stored.window(r["folder"], metas[r["meta"]], r["form"], r["start"], r["read"])
-                yield r["sample"], r["source"], transformed(finished(window, r["form"], r["turn"]), r["source"], transform)
+                yield r["sample"], r["source"], transformed(finished(window, r["form"], r["turn"]), r["source"], transform), *(r[c] for c in carried)
 
-    return rows.mapInArrow(lambda batches: batched(made(batches)), PATCH)
+    return rows.mapInArrow(lambda batches: batched(made(batches), carried=carried), schema_of(carried))
 
 
 def partitions_for(n_patches: int, shape: tuple[int, ...]) -> int:
@@ -219,17 +228,17 @@ def partitions_for(n_patches: int, shape: tuple[int, ...]) -> int:
     return max(1, math.ceil(n_patches * math.prod(shape) * 4 / TASK_BYTES))
 
 
-def batched(made: Iterator[tuple[int, str, np.ndarray]], kind: type = np.float32, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def batched(made: Iterator[tuple], kind: type = np.float32, carried: tuple[str, ...] = (), most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Patches as batches of some bytes."""
     out, size = [], 0
     for one in made:
         out.append(one)
         size += one[2].nbytes
         if size > most:
-            yield rows_of(out, kind)
+            yield rows_of(out, kind, carried)
             out, size = [], 0
     if out:
-        yield rows_of(out, kind)
+        yield rows_of(out, kind, carried)
 
 
 def read_relation(requests: DataFrame, chunks: DataFrame, chunk: tuple[int, int, int], transform: Transform = None) -> DataFrame:
@@ -240,24 +249,25 @@ def read_relation(requests: DataFrame, chunks: DataFrame, chunk: tuple[int, int,
     """
     importable(requests.sparkSession)
     rows = requests if "turn" in requests.columns else requests.withColumn("turn", F.lit(None).cast(TURN))
-    ids = rows.select("sample", "source", "volume_id", "stored", "start", "read", "form", "turn")
+    carried = tuple(c for c in CARRIED if c in requests.columns)
+    ids = rows.select("sample", "source", "volume_id", "stored", "start", "read", "form", "turn", *carried)
     for i, (a, c) in enumerate(zip(AXES, chunk, strict=True)):
         at, n, m = F.get("start", F.lit(i)), F.get("read", F.lit(i)), F.element_at("stored", i - 3)
         low, high = F.floor(F.greatest(at, F.lit(0)) / c), F.floor((F.least(at + n, m) - 1) / c)
         ids = ids.withColumn(f"c{a}", F.explode_outer(F.when(high >= low, F.sequence(low, high)))).withColumn(f"c{a}", F.col(f"c{a}").cast("int"))
     met = ids.join(chunks.select("volume_id", "cz", "cy", "cx", "shape", "at", "data"), ["volume_id", "cz", "cy", "cx"], "left")
     key = ["sample", "source"]
-    rest = ["cz", "cy", "cx", "stored", "start", "read", "form", "turn", "shape", "at", "data"]
+    rest = ["cz", "cy", "cx", "stored", "start", "read", "form", "turn", *carried, "shape", "at", "data"]
     met = met.repartition(*key).sortWithinPartitions(*key).select(*key, *rest)
 
-    def patches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray]]:
+    def patches_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         last, patch, part, how = None, None, None, None
         for batch in batches:
             blocks, places = ngff.arrays_of(batch.column("data")), ngff.arrays_of(batch.column("at"))
             for r, block, places_of in zip(batch.drop_columns(["data", "at"]).to_pylist(), blocks, places, strict=True):
                 if (r["sample"], r["source"]) != last:
                     if last is not None:
-                        yield *last, transformed(finished(patch, how["form"], how["turn"]), last[1], transform)
+                        yield *last, transformed(finished(patch, how["form"], how["turn"]), last[1], transform), *(how[c] for c in carried)
                     last, how = (r["sample"], r["source"]), r
                     patch, part = window_of(r["form"], r["start"], r["read"], r["stored"][-3:], tuple(r["stored"][:-3]))
                 if block is None:
@@ -268,9 +278,9 @@ def read_relation(requests: DataFrame, chunks: DataFrame, chunk: tuple[int, int,
                 low = [k * c - s for k, c, s in zip((r["cz"], r["cy"], r["cx"]), chunk, r["start"], strict=True)]
                 copied(patch, part, block.reshape(r["shape"]), low, (0,) * (patch.ndim - 3))
         if last is not None:
-            yield *last, transformed(finished(patch, how["form"], how["turn"]), last[1], transform)
+            yield *last, transformed(finished(patch, how["form"], how["turn"]), last[1], transform), *(how[c] for c in carried)
 
-    return met.mapInArrow(lambda batches: batched(patches_of(batches)), PATCH)
+    return met.mapInArrow(lambda batches: batched(patches_of(batches), carried=carried), schema_of(carried))
 
 
 def finish(rows: DataFrame, double: bool = False) -> DataFrame:
@@ -282,7 +292,7 @@ def finish(rows: DataFrame, double: bool = False) -> DataFrame:
     kind = np.float64 if double else np.float32
     more = ["turn"] if "turn" in rows.columns else []
 
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray]]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for r, data in zip(batch.drop_columns(["data"]).to_pylist(), ngff.arrays_of(batch.column("data")), strict=True):
                 yield r["sample"], r["source"], finished(data.astype(kind).reshape(r["shape"]), r["form"], r.get("turn"), kind)
@@ -302,7 +312,7 @@ def applied(patches: DataFrame, transform: Transform) -> DataFrame:
     """A function of whole patches, or one by source, over patches (sample, source, shape, data) in Arrow batches."""
     importable(patches.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, np.ndarray]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         for batch in batches:
             for sample, source, shape, data in zip(*(batch.column(c).to_pylist() for c in ("sample", "source", "shape")), ngff.arrays_of(batch.column("data")), strict=True):
                 yield sample, source, transformed(data.astype(np.float32).reshape(shape), source, transform)
