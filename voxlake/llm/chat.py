@@ -89,6 +89,8 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
 
     conversations: conv_id, turn, role, text. Each turn replies to the one before it (ties of turn fall by role, then
     text; nulls first), so a conversation is a tree with one branch. Longer texts score higher. A null conv_id is a key like others.
+    Repeated rows are turns of their own, side by side. Null roles and texts are empty. Texts of any length are formatted whole; one
+    conversation's output is one text, so its turns meet in one task. An empty table gives none; extra columns are ignored.
     """
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
     key = F.when(F.col("conv_id").isNull(), F.lit("null")).otherwise(F.concat(F.lit("c"), F.col("conv_id").cast("string")))

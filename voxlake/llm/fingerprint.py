@@ -140,6 +140,8 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
 
     edited: the last floor(n_chars / 4) code points give way to the first as many, or all, of the next row's text. A null
     text counts as empty. Rows that share a doc_id follow each other by text; each keeps its own result.
+    Rows of one id, or without one, are one bucket and so one task, which a table whose ids are keys does not have. Texts of any
+    length are taken whole; one task holds one text's terms. An empty table gives none; extra columns are ignored.
     """
     rows = with_next(docs)
     n = F.length("text")

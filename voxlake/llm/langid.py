@@ -125,6 +125,7 @@ def predict_languages(docs: DataFrame, model: Centroids) -> DataFrame:
 
     lang_pred is `und` for a null text and for one without a letter (and for all, had the fit no row). rejected: farther from its
     centroid than usual; lang_pred still names it. Of equal cosines the first centroid in order of languages counts.
+    Texts of any length are taken whole; repeated rows each get their row; an empty table gives none; extra columns are ignored.
     """
     base.bounded_batches(docs.sparkSession)
 

@@ -64,7 +64,8 @@ def line_rules(docs: DataFrame, host: str = "source", min_documents: int = 50, h
 
     A line is removed above max(min_documents, host_share * the host's distinct documents). kept: not base_failed, and
     at least keep_share of the words remain. A null text counts as one without words; a null host is a host of its
-    own; repeated rows are one document to the counts and keep their rows.
+    own; repeated rows are one document to the counts and keep their rows. Texts of any length are taken whole; an empty table
+    gives none; extra columns are ignored.
     """
     import xxhash
 

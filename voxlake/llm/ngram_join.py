@@ -505,6 +505,7 @@ def jaccard_components(docs: DataFrame, percent: int = 80, n: int = 5) -> DataFr
 
     The component's id is its least doc_id (nulls last). A text without words, or null, has no grams and is a component of its own;
     so is any row of that kind, even if repeated. Rows with equal sets are linked, whatever their ids. Extra columns are ignored.
+    Texts of any length are taken whole: a task holds the set of one at a time, and the sets of a family; an empty table gives none.
     """
     rows = labelled(docs, percent, n)
     joined = rows.join(_first_rows(rows), (F.col("label") == F.col("l")) & (F.col("n") > 0), "left")

@@ -87,7 +87,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 40) -> DataFrame:
 
     Law `bytes`: shards hold near equal bytes, as far as groups of equal texts, which are never parted, allow. A null
     text counts as an empty one (size 16, crc32 0, same group). Slots follow the hash of doc_id, then doc_id. Repeated
-    rows keep their number; extra columns are ignored.
+    rows keep their number; extra columns are ignored. Texts of any length count whole; an empty table gives none.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     slim = base.stored(

@@ -158,7 +158,8 @@ def model(path: str) -> PieceModel:
 def encode_documents(docs: DataFrame, path: str, ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row of docs (doc_id, text), and with ids=True also ids.
 
-    Ids have begin and end. A null text counts as empty. Rows stay apart even if repeated; extra columns are ignored.
+    Ids have begin and end. A null text counts as empty. Rows stay apart even if repeated; extra columns are ignored. A text of any
+    length is encoded whole, in time in proportion to it; an empty table gives none.
     """
     import hashlib
 

@@ -92,7 +92,10 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_label: int = 6000, per_
 
 
 def score_toxicity(docs: DataFrame, model: Ftrl, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The kept columns of each row of docs with its text's score and predicted (1 from THRESHOLD on). A null text scores as an empty one."""
+    """The kept columns of each row of docs with its text's score and predicted (1 from THRESHOLD on). A null text scores as an empty one.
+
+    Texts of any length are scored whole; repeated rows each get their row; an empty table gives none.
+    """
     base.bounded_batches(docs.sparkSession)
     scored = docs.select(*keep, F.col("text").alias("_text"))
     fields = scored.drop("_text").schema.add("score", "double").add("predicted", "integer")
