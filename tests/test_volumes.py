@@ -232,6 +232,13 @@ def test_functions_of_whole_patches(spark, tmp_path):
     assert later["sample"] == 7 and np.allclose(np.reshape(later["data"], later["shape"]), 2 * x)
 
 
+def test_transforms_of_two_kinds_do_not_mix():
+    twice = V.chained(V.OfPatch(lambda p: p + 1), V.OfPatch(lambda p: p * 2))
+    assert isinstance(twice, V.OfPatch) and twice(np.array([1.0]))[0] == 4
+    with pytest.raises(ValueError, match="do not mix"):
+        V.chained(V.binarize(), V.patch_blur())
+
+
 def test_catalogue_of_many_groups(spark, tmp_path):
     for i in range(30):
         folder = tmp_path / f"g{i}.zarr"

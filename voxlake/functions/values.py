@@ -7,6 +7,7 @@ so each comparison guards it.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column
@@ -79,7 +80,12 @@ def patch_blur(size: int = 3, sigma: float = 0.1, dim: int = 2) -> OfPatch:
 
 
 def chained(*steps: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    """The steps one after another, as one transform."""
+    """The steps one after another, as one transform; steps of whole patches make one of whole patches, and do not mix with others."""
+    whole = [isinstance(step, OfPatch) for step in steps]
+    if any(whole):
+        if not all(whole):
+            raise ValueError("transforms of values and of whole patches do not mix in one source")
+        return OfPatch(lambda patch: reduce(lambda x, step: step(x), steps, patch))
 
     def run(v: Column) -> Column:
         for step in steps:
