@@ -155,7 +155,7 @@ def turn(rotation=None, mirror: dict[str, bool] | None = None, transpose: Iterab
     return F.struct(*[p.alias(n) for p, n in zip(parts, ("matrix", "mirror", "perm"), strict=True)]).cast(patches.TURN)
 
 
-def read(samples: DataFrame, sources: DataFrame, images: dict[tuple[int, str], Image | None]) -> DataFrame:
+def read(samples: DataFrame, sources: DataFrame, images: dict[tuple[int, str], Image | None], n_samples: int = 0) -> DataFrame:
     """sample, source, shape, data for samples (sample, dataset, centre, turn) over SOURCES: one plan for all stored volumes and all classes
     without a volume, and one more for each relation of voxels."""
     met = samples.join(sources, "dataset")
@@ -167,7 +167,9 @@ def read(samples: DataFrame, sources: DataFrame, images: dict[tuple[int, str], I
     if len(plain) < len(images):
         whole = {n: i.transform.f for (_, n), i in images.items() if i is not None and i.voxels is None and isinstance(i.transform, V.OfPatch)}
         stored = met.where("meta is not null or volume_id is null") if plain else met
-        parts.append(patches.read_stored(stored, transform=whole or None))
+        largest = max((i.spec.shape for i in images.values() if i is not None), key=math.prod, default=(1, 1, 1))
+        names = len({n for _, n in images})
+        parts.append(patches.read_stored(stored, patches.partitions_for(samples.sparkSession, n_samples * names, largest), whole or None))
     for (d, name), image in images.items():
         if image is None or image.voxels is None:
             continue
@@ -344,7 +346,7 @@ class MultiDataset:
         table = rows.sparkSession.createDataFrame([(d, first, len(x)) for d, (x, first) in enumerate(zip(self.datasets, self.offsets, strict=True))], "dataset int, first bigint, n bigint")
         return sampling.placed(rows, table, len(self), len(self.datasets), index)
 
-    def patches(self, samples: DataFrame) -> DataFrame:
+    def patches(self, samples: DataFrame, n_samples: int = 0) -> DataFrame:
         """sample, source, shape, data, dataset, index of all sources for samples (sample, dataset, local index `index`, turn): one plan, whose size does not
         grow with the number of stored datasets. Indices wrap, so -1 is a dataset's last sample."""
         spark, rows, images, transforms, grids = samples.sparkSession, [], {}, {}, []
@@ -357,7 +359,7 @@ class MultiDataset:
         at = geometry.unravel(F.col("index"), [F.get("grid", F.lit(i)) for i in range(3)])
         centre = F.array(*[F.get("lo", F.lit(i)) + (k + 0.5) * F.get("step", F.lit(i)) for i, k in enumerate(at)])
         placed = samples.join(grid, "dataset").withColumn("centre", centre).drop("lo", "step", "grid")
-        return valued(read(placed, spark.createDataFrame(rows, SOURCES), images), transforms)
+        return valued(read(placed, spark.createDataFrame(rows, SOURCES), images, n_samples), transforms)
 
     def counts(self, kept: str | None = None) -> dict[str, int]:
         """Foreground by class over all datasets, in one job; kept as in foregrounds()."""
@@ -575,14 +577,14 @@ class Loader:
     def epoch_patches(self, epoch: int | None = None) -> DataFrame:
         """batch_id, pos, dataset, idx, source, shape, data of an epoch: each position's patches, its transforms shared by its sources."""
         spark, epoch = SparkSession.active(), self.epoch if epoch is None else epoch
-        return self._patches(self.order(spark, epoch), epoch)
+        return self._patches(self.order(spark, epoch), epoch, self._size())
 
-    def _patches(self, order: DataFrame, epoch: int) -> DataFrame:
+    def _patches(self, order: DataFrame, epoch: int, n: int) -> DataFrame:
         at = self.data.places(order)
         if self.turns:
             drawn = spatial.drawn(at, "pos", self.turns, self.seed, epoch)
             at = drawn.withColumn("turn", spatial.turn_of(drawn)).select(*at.columns, "turn")
-        met = self.data.patches(at.withColumn("sample", F.col("pos")).drop("pos"))
+        met = self.data.patches(at.withColumn("sample", F.col("pos")).drop("pos"), n)
         batch = F.floor(F.col("sample") / self.batch_size).cast("int")
         return met.select(batch.alias("batch_id"), F.col("sample").cast("int").alias("pos"), "dataset", F.col("index").cast("int").alias("idx"), "source", "shape", "data")
 
@@ -597,7 +599,7 @@ class Loader:
         order, n = self.order(spark, epoch), self._size()
         self.epoch += 1
         for at in range(0, n, self.batch_size):
-            rows = self._patches(order.where((F.col("pos") >= at) & (F.col("pos") < at + self.batch_size)), epoch)
+            rows = self._patches(order.where((F.col("pos") >= at) & (F.col("pos") < at + self.batch_size)), epoch, self.batch_size)
             yield patches.as_voxels(rows, ["pos", "dataset", "idx", "source"]).drop("channel")
 
 

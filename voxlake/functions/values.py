@@ -39,11 +39,6 @@ def nan_to_num(nan: float = 0.0, posinf: float | None = None, neginf: float | No
     return lambda v: F.when(F.isnan(v), F.lit(nan)).when(v == float("inf"), F.lit(hi)).when(v == float("-inf"), F.lit(lo)).otherwise(v)
 
 
-def finite(v: Column) -> Column:
-    """NaN and infinities as 0."""
-    return F.when(F.isnan(v) | (F.abs(v) == float("inf")), F.lit(0.0)).otherwise(v)
-
-
 class OfPatch:
     """A NumPy function of a whole patch (its leading axes, then z, y, x) where a transform wants more than one value at a time.
 

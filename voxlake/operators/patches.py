@@ -19,7 +19,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import importable
@@ -196,7 +196,9 @@ def transformed(patch: np.ndarray, source: str, transform: Transform) -> np.ndar
 def read_stored(requests: DataFrame, n_partitions: int = 0, transform: Transform = None) -> DataFrame:
     """requests (sample, source, folder, meta, start, read, form, turn) of stored arrays to patches (sample, source, shape, data).
 
-    Columns of CARRIED go along. A request without a folder is one of a class that nobody annotated: NaN, under no transform. n_partitions 0 leaves the layout to the session's shuffle partitions. transform: a function of a whole patch, or one by source.
+    Columns of CARRIED go along. A request without a folder is one of a class that nobody annotated: NaN, under no transform. transform: a function of a whole patch, or
+    one by source. The layout has n_partitions, or as many as the session's shuffles: always a number, as adaptive execution would put these
+    short rows into one task and not see that each becomes a patch.
     """
     importable(requests.sparkSession)
     kind = requests.schema["turn"].dataType.simpleString() if "turn" in requests.columns else TURN
@@ -206,7 +208,8 @@ def read_stored(requests: DataFrame, n_partitions: int = 0, transform: Transform
     first = [F.floor(F.greatest(F.get("start", F.lit(i)), F.lit(0)) / F.greatest(F.coalesce(F.try_element_at(begin, F.lit(i - 3)), F.lit(1)), F.lit(1))).alias(f"_{a}") for i, a in enumerate(AXES)]
     rows = rows.select("sample", "source", "folder", "meta", "start", "read", "form", F.col("turn").cast(kind).alias("turn"), *carried, *first)
     order = ["folder", "_z", "_y", "_x", "sample"]
-    rows = (rows.repartitionByRange(n_partitions, *order) if n_partitions else rows.repartitionByRange(*order)).sortWithinPartitions(*order).drop("_z", "_y", "_x")
+    n_partitions = n_partitions or int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = rows.repartitionByRange(n_partitions, *order).sortWithinPartitions(*order).drop("_z", "_y", "_x")
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
         stored, metas = Stored(), {}
@@ -223,9 +226,9 @@ def read_stored(requests: DataFrame, n_partitions: int = 0, transform: Transform
     return rows.mapInArrow(lambda batches: batched(made(batches), carried=carried), schema_of(carried))
 
 
-def partitions_for(n_patches: int, shape: tuple[int, ...]) -> int:
-    """So many tasks that each makes some TASK_BYTES of patches."""
-    return max(1, math.ceil(n_patches * math.prod(shape) * 4 / TASK_BYTES))
+def partitions_for(spark: SparkSession, n_patches: int, shape: tuple[int, ...]) -> int:
+    """So many tasks that each makes some TASK_BYTES of patches at most, and no fewer than the session's shuffles have."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(n_patches * math.prod(shape) * 4 / TASK_BYTES))
 
 
 def batched(made: Iterator[tuple], kind: type = np.float32, carried: tuple[str, ...] = (), most: int = 8 << 20) -> Iterator[pa.RecordBatch]:

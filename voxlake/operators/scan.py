@@ -100,13 +100,6 @@ def empty_patch(shape: tuple[int, ...]) -> Column:
     return F.array_repeat(F.lit(NAN), n)
 
 
-def as_patches(voxels: DataFrame, keys: list[str], shape: tuple[int, int, int]) -> DataFrame:
-    """Voxel form to patch form: keys, shape, data in C order."""
-    flat = (F.col("dz") * shape[1] + F.col("dy")) * shape[2] + F.col("dx")
-    got = voxels.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(flat.alias("i"), F.col("v")))).alias("d"))
-    return got.select(*keys, F.array(*map(F.lit, shape)).alias("shape"), F.transform("d", lambda x: x["v"]).alias("data"))
-
-
 def stream_patches(frames: Iterator[pd.DataFrame], f) -> Iterator[pd.DataFrame]:
     """Apply f(array of a patch) to column data of pandas batches with shape; what mapInPandas calls for patch-form transforms."""
     for frame in frames:

@@ -43,12 +43,13 @@ def crop_class_matrix(pairs: DataFrame, crop: str, label: str, labels: list) ->
 
 
 def chunk_runs(volumes: DataFrame, run: int = 256) -> DataFrame:
-    """volumes (volume_id, folder, meta) as runs [first, last) of their chunks in C order, dealt over the tasks."""
+    """volumes (volume_id, folder, meta) as runs [first, last) of their chunks in C order, dealt over a fixed number of tasks: adaptive
+    execution would put these short rows into one."""
     array = ngff.array_of(F.col("meta"))
     grid = F.transform(F.arrays_zip(array["shape"].alias("n"), array["chunks"].alias("c")), lambda x: F.ceil(x["n"] / x["c"]))
     total = F.aggregate(grid, F.lit(1).cast("bigint"), lambda a, x: a * x)
     runs = volumes.select("volume_id", "folder", "meta", total.alias("_n")).where("_n > 0").withColumn("first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(run).cast("bigint"))))
-    return runs.withColumn("last", F.least(F.col("first") + run, F.col("_n"))).drop("_n").repartition("folder", "first")
+    return runs.withColumn("last", F.least(F.col("first") + run, F.col("_n"))).drop("_n").repartition(int(volumes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "folder", "first")
 
 
 def _over_chunks(runs: DataFrame, count: bool) -> DataFrame:

@@ -149,6 +149,12 @@ def _finished(rows, out, resample=False, mode="nearest", turn=None):
     return _told(voxels.withColumnRenamed("sample", "volume_id"), "volume_id", "dz", "dy", "dx")
 
 
+@query(SQL["patch_enforce_shape"])
+def patch_enforce_shape_voxels(spark, sf_dir):
+    """The same in voxel form, for plans that go on relationally."""
+    return _told(spatial.enforce_shape(_whole(spark, sf_dir), ["volume_id"], (4, 4, 4), (6, 2, 5)), "volume_id", "dz", "dy", "dx")
+
+
 def _whole(spark, sf_dir):
     return R.cubes(spark, sf_dir).select("volume_id", F.col("z").alias("dz"), F.col("y").alias("dy"), F.col("x").alias("dx"), "v")
 
