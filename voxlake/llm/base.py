@@ -20,8 +20,11 @@ from ..session import importable
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 WORD_SQL = r"[^\x20\x09-\x0D]+"
 
-#: Arrow batches are bounded by bytes, not only by rows, as texts differ by four orders of magnitude.
-BATCH_BYTES = 4 << 20
+#: Arrow batches are bounded by bytes, not only by rows, as texts differ by four orders of magnitude. A buffer is doubled as it
+#: grows: those of 1 MB stay within the chunks that the JVM's allocator keeps, larger ones are left behind in malloc's arenas.
+BATCH_BYTES = 1 << 20
+#: Rows of a vector of the Parquet reader: its arrays hold all their bytes, and rows here are texts, or binaries of some 20 kB.
+READER_ROWS = 512
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -30,9 +33,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Set a byte bound on Arrow batches (idempotent; the row bound stays as the session has it)."""
+    """Set a byte bound on Arrow batches and a row bound on the Parquet reader's (idempotent; Arrow's row bound stays as the session has it)."""
     importable(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -79,6 +83,19 @@ def lists(arrays: list[np.ndarray], kind: type = np.int64) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(arrays) if arrays else np.zeros(0, kind)))
 
 
+def gathered(parts: Iterator[np.ndarray], most: int) -> Iterator[np.ndarray]:
+    """Arrays put together until they have `most` rows: what is dealt to buckets then depends less on the size of a batch."""
+    held, n = [], 0
+    for rows in parts:
+        held.append(rows)
+        n += len(rows)
+        if n >= most:
+            together, held, n = np.concatenate(held), [], 0
+            yield together
+    if n:
+        yield np.concatenate(held)
+
+
 def lean(run: Callable) -> Callable:
     """run over Arrow batches, then what the worker has freed goes back to the system: workers live on from stage to stage."""
 

@@ -34,8 +34,9 @@ from .components import components
 WORDS = re.compile(rb"[^\x20\x09-\x0D]+")
 #: Families that one task joins, in classes and in grams; a larger one is dealt in chunks of FAMILY classes. Pivots of a round, likewise.
 FAMILY, FAMILY_GRAMS, PIVOTS, PIVOT_GRAMS = 4000, 2_000_000, 256, 250_000
-#: Of a gram that a batch holds more often, two rows go to the bucket, so that no bucket receives it from each document.
-BATCH_MOST = 2
+#: (gram, class) rows that a task deals at once. Of a gram that these hold more often than BATCH_MOST, two rows go to the bucket, so
+#: that no bucket receives it from each document.
+DEALT, BATCH_MOST = 500_000, 2
 #: (gram, class) rows that a bucket receives, and classes whose counts meet in one, about.
 BUCKET, COUNTED = 250_000, 500_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)
@@ -219,12 +220,12 @@ _ROW, _COUNT = np.dtype([("g", "<i8"), ("c", "<i8")]), np.dtype([("c", "<i8"), (
 
 
 def _rows_of(batch: pa.RecordBatch, column: str) -> np.ndarray:
-    """(gram, class) of the lists in a column, sorted, each once."""
+    """(gram, class) of the lists in a column, each once."""
     lists = batch.column(column).cast(pa.large_list(pa.int64()))
     rows = np.zeros(len(lists.flatten()), _ROW)
     rows["g"] = lists.flatten().to_numpy()
     rows["c"] = np.repeat(batch.column("c").to_numpy(), np.diff(lists.offsets.to_numpy()))
-    return np.unique(rows)  # copies in one batch are one class
+    return np.unique(rows)
 
 
 def _dealt(kind: int, rows: np.ndarray, key: str, buckets: int) -> pa.RecordBatch:
@@ -247,14 +248,12 @@ def _counted(rows: np.ndarray) -> np.ndarray:
 
 
 def _packed(column: str, buckets: int, parts: int):
-    """The rows of each batch dealt by gram (kind 0). Of a gram that a batch holds more than BATCH_MOST times, the first two
+    """The rows of each DEALT or so dealt by gram (kind 0). Of a gram that these hold more than BATCH_MOST times, the first two
     rows go, so that its bucket knows of a second class, and all its rows are counted by class at once (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = _rows_of(batch, column)
-            if not len(rows):
-                continue
+        for rows in base.gathered((_rows_of(batch, column) for batch in batches), DEALT):
+            rows = np.unique(rows)  # copies among them are one class
             start = np.concatenate([[True], rows["g"][1:] != rows["g"][:-1]])
             count = np.diff(np.concatenate([np.flatnonzero(start), [len(rows)]]))
             often = np.repeat(count > BATCH_MOST, count)
