@@ -179,6 +179,43 @@ def test_sentencepiece_of_long_runs():
             assert mine.decode(coded) == library.decode(library.encode(t))
 
 
+def test_sentencepiece_of_many_texts(monkeypatch):
+    import sentencepiece
+
+    path = queries.tokenizer_path()
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    monkeypatch.setattr(sp_bpe, "CHARS", 3000)
+    monkeypatch.setattr(sp_bpe, "ROWS", 100)
+    rng = random.Random(5)
+    texts = [*TEXTS, "", *("".join(rng.choice("  \n\tabcdeé漢字_-.,0159thon▁🙂\0ßж") for _ in range(rng.randint(0, 90))) for _ in range(400)), "ab" * 24, "▁" * 48, "é" * 49, ""]
+    for kept in (10, 400_000):
+        mine = sp_bpe.PieceModel(path, cached=kept)
+        ids, numbers = mine.encode_all(texts)
+        ends = np.cumsum(numbers)
+        assert [ids[b - n : b].tolist() for b, n in zip(ends, numbers, strict=True)] == [library.encode(t) for t in texts]
+        assert mine.decode_all(ids, numbers) == [library.decode(library.encode(t)) for t in texts]
+        assert mine.n_kept <= kept
+    for none in ([], ["", ""]):
+        ids, numbers = mine.encode_all(none)
+        assert len(ids) == 0 and numbers.tolist() == [0] * len(none) and mine.decode_all(ids, numbers) == none
+
+
+def test_sentencepiece_takes_distinct_words_together(spark, monkeypatch):
+    """No word has a Python loop of its own, and what one task has learnt of pairs serves the next."""
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choice(["th", "on", "er", "an", "ti", "re"]) for _ in range(rng.randint(2, 7))) for _ in range(500)) for _ in range(20)]
+    calls = Counter()
+    for name in ("encode_chunk", "_merged"):
+        plain = getattr(sp_bpe.PieceModel, name)
+        monkeypatch.setattr(sp_bpe.PieceModel, name, lambda self, text, name=name, plain=plain: calls.update([name]) or plain(self, text))
+    mine = sp_bpe.PieceModel(queries.tokenizer_path())
+    first = [mine.encode(t) for t in texts]
+    assert calls["encode_chunk"] == 0 < calls["_merged"]
+    mine.forget()
+    calls.clear()
+    assert [mine.encode(t) for t in texts] == first and not calls
+
+
 def stats_by_force(text):
     words, lines = WORD.findall(text), [x for x in text.split("\n") if WORD.search(x)]
     grams = Counter(zip(words, words[1:], words[2:], strict=False))
