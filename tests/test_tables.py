@@ -1,10 +1,13 @@
 import difflib
+import hashlib
 import json
+import time
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from voxlake.functions import text
+from voxlake.functions import rng, text
 from voxlake.operators import catalog, sampling, sink
 from voxlake.plans import registry
 from voxlake.sources import ngff
@@ -57,6 +60,48 @@ def test_few_repeats(spark, k):
     assert len(ids) == k and all(len(set(ids[i : i + 3])) == len(ids[i : i + 3]) for i in range(0, k, 3))
 
 
+@pytest.mark.parametrize("case", ["i + 1", "7 * i", "i - 10", "i // 2"])
+def test_few_repeats_over_any_keys(spark, tmp_path, case):
+    """Blocks are those of the SQL where keys do not run from 0 without gaps."""
+    duck = duckdb.connect()
+    duck.execute(f"create table customer as select cast({case} as bigint) as c_custkey, 0 as c_nationkey from range(50) t(i)")
+    duck.execute(f"copy customer to '{tmp_path}/customer.parquet' (format parquet)")
+    got = [tuple(r) for r in registry.QUERIES["min_redundant_inds"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(duck.execute(registry.ORACLE_SQL["min_redundant_inds"]).fetchall())
+
+
+def test_few_repeats_of_one_row_group_are_many_tasks(spark, tmp_path):
+    spark.range(70_000).select(F.col("id").alias("c_custkey")).coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    rows = registry.QUERIES["min_redundant_inds"](spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()
+    assert len(rows) == 4 and sum(r["count"] for r in rows) == 163_333 and max(r["count"] for r in rows) < 50_000
+
+
+def test_told_bits_are_those_of_md5():
+    random = np.random.default_rng(5)
+    for at in (0, 1, 2, 3, 4, 7, 30, 45, 47, 48, 55, 56, 64, 130):
+        for most in (1, 10, 11, 9999, 10**4, 10**4 + 1, 10**8, 10**8 + 1, 10**12, 10**16, 10**16 + 1, 2**62):
+            for n in (1, 3):
+                heads = [random.integers(33, 127, at, np.uint8).tobytes() for _ in range(n)]
+                of, numbers = random.integers(0, n, 30), np.minimum((most * 10.0 ** -random.uniform(0, 7, 30)).astype(np.int64), most - 1)
+                numbers[:2] = 0, most - 1
+                want = [hashlib.md5(heads[k] + str(v).encode()).hexdigest() >= "8" for k, v in zip(of, numbers, strict=True)]
+                assert rng._told(heads, of, numbers).tolist() == want
+
+
+def test_permutation_of_many_takes_little_time(spark):
+    """A task permutes in a third of the time of a loop over hashlib, with names of several lengths and nulls in between."""
+    n, m = 900_000, 8000
+    rows = spark.range(0, m, 1, 1).select("id", rng.permuted(F.when(F.col("id") % 100 != 7, F.col("id")), n, 9, F.col("id") % 12).alias("p"))
+    got = {r["id"]: r["p"] for r in rows.collect()}
+    began = time.perf_counter()
+    want = {i: None if i % 100 == 7 else rng.permuted_index(i, n, 9, i % 12) for i in range(m)}
+    loop = time.perf_counter() - began
+    assert got == want
+    began = time.perf_counter()
+    rows.write.format("noop").mode("overwrite").save()
+    assert time.perf_counter() - began < 0.35 * loop
+
+
 def test_ngff_round_trip(spark, tmp_path):
     ngff.register(spark)
     data = np.random.default_rng(3).normal(size=(5, 6, 7)).astype(np.float32)
